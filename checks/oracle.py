@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import oracle_views
+from checks import oracle_more, oracle_views
 from checks.oracle_base import clean_ctes, sql
 
 CLEANING = {
@@ -15,5 +15,5 @@ CLEANING = {
 
 def oracle_sql() -> dict[str, str]:
     extra = clean_ctes("raw", "rc")
-    bodies = {**CLEANING, **oracle_views.STAR, **oracle_views.REPORTS}
+    bodies = {**CLEANING, **oracle_views.STAR, **oracle_views.REPORTS, **oracle_more.MORE}
     return {name: sql(body, extra) for name, body in bodies.items()}

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skyledger import session
 from skyledger.operators.clean import clean_flights
 from skyledger.operators.dedup import deduplicate
-from skyledger.plans import star
+from skyledger.operators.validate import with_row_errors
+from skyledger.plans import dead_letters, star
 from skyledger.schemas import CLEAN_COLUMNS
 from skyledger.settings import AS_OF
 from skyledger.sources import tables
@@ -36,7 +37,8 @@ class Layers:
         tables.write_days(df, path, sort_by)
         return tables.read(self.spark, path, df.schema)
 
-    def _small(self, label: str, df: DataFrame) -> DataFrame:
+    def _whole(self, label: str, df: DataFrame) -> DataFrame:
+        """A table that no day partitions."""
         table = tables.VersionedTable(self.spark, session.new_path(self.spark, label), df.schema)
         table.write(df)
         return table.read()
@@ -55,16 +57,23 @@ class Layers:
 
     @cached_property
     def airlines(self) -> DataFrame:
-        return self._small("dim-airlines", star.dim_airlines(self.clean))
+        return self._whole("dim-airlines", star.dim_airlines(self.clean))
 
     @cached_property
     def airports(self) -> DataFrame:
-        return self._small("dim-airports", star.dim_airports(self.clean))
+        return self._whole("dim-airports", star.dim_airports(self.clean))
 
     @cached_property
     def hourly(self) -> DataFrame:
         return self._days("hourly", star.hourly_summary(self.fact, self.as_of))
 
+    @cached_property
+    def letters(self) -> DataFrame:
+        """Dead letters of every RAW row that fails a row check."""
+        invalid = with_row_errors(self.raw).filter(F.size("errors") > 0)
+        return self._whole("dead-letters", dead_letters.dead_letters(
+            invalid, F.array_join("errors", ","), "ingestion", F.col("loaded_at")))
+
     @cached_property
     def routes(self) -> DataFrame:
         return self._days("routes", star.routes_from_clean(self.clean, self.as_of))

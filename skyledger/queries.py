@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.operators import clean, dedup
-from skyledger.plans import star, views
+from skyledger import session
+from skyledger.functions import display, times
+from skyledger.operators import clean, dedup, expectations, merge, validate
+from skyledger.plans import dead_letters, health, incremental, ingest, kpis, reports, slices, star, views
 from skyledger.plans.layers import Layers, layers
-from skyledger.functions import times
+from skyledger.sources import files, payload, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 MINUTES_OF_A_DAY = 1440  # look-back of the "now" reports, so that small data has rows
@@ -143,3 +146,689 @@ def intl_vs_domestic(t: Layers) -> DataFrame:
 @query
 def health_scorecard(t: Layers) -> DataFrame:
     return views.health_scorecard(t.raw, t.clean, t.fact, t.as_of)
+
+
+# --- Cleaning profiles, reports of the cleaner and of deduplication --------------------
+
+@query
+def clean_warehouse(t: Layers) -> DataFrame:
+    return clean.clean_warehouse_profile(dedup.exact_dedup(t.raw), t.as_of)
+
+
+@query
+def clean_scheduled(t: Layers) -> DataFrame:
+    return clean.clean_scheduled_profile(dedup.exact_dedup(t.raw), t.as_of)
+
+
+@query
+def clean_quick_load(t: Layers) -> DataFrame:
+    return clean.clean_quick_load_profile(t.raw, t.as_of)
+
+
+@query
+def clean_layer(t: Layers) -> DataFrame:
+    """RAW to CLEAN as written: both deduplications, then the canonical cleaner."""
+    return t.clean
+
+
+@query
+def transform_report(t: Layers) -> DataFrame:
+    return clean.transform_report(t.clean)
+
+
+@query
+def dedup_report(t: Layers) -> DataFrame:
+    return dedup.dedup_report(t.raw)
+
+
+@query
+def duplicate_events(t: Layers) -> DataFrame:
+    return dedup.find_duplicates(t.raw)
+
+
+@query
+def duplicate_events_log(t: Layers) -> DataFrame:
+    return dedup.duplicate_events_log(t.raw)
+
+
+# --- Validation -------------------------------------------------------------------------
+
+@query
+def validation_raw(t: Layers) -> DataFrame:
+    return validate.validate(t.raw, t.as_of)
+
+
+@query
+def validation_clean(t: Layers) -> DataFrame:
+    return validate.validate(t.clean, t.as_of)
+
+
+@query
+def validation_summary(t: Layers) -> DataFrame:
+    return validate.validation_summary(validate.validate(t.raw, t.as_of))
+
+
+@query
+def validation_samples(t: Layers) -> DataFrame:
+    return validate.failure_samples(t.raw.select("flight_id", "status", "source_airport", "dest_airport",
+                                                 "event_timestamp"), t.as_of)
+
+
+@query
+def expectation_suite(t: Layers) -> DataFrame:
+    return expectations.check_expectations(t.raw)
+
+
+@query
+def expectation_summary(t: Layers) -> DataFrame:
+    return expectations.expectation_summary(expectations.check_expectations(t.clean))
+
+
+@query
+def numeric_profile(t: Layers) -> DataFrame:
+    return expectations.numeric_profile(t.raw)
+
+
+@query
+def row_errors(t: Layers) -> DataFrame:
+    checked = validate.with_row_errors(t.raw)
+    return checked.select("event_id", "loaded_at", F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def error_breakdown(t: Layers) -> DataFrame:
+    return validate.error_breakdown(validate.with_row_errors(t.raw))
+
+
+@query
+def quality_gate(t: Layers) -> DataFrame:
+    return validate.quality_gate(validate.with_row_errors(t.raw))
+
+
+# --- Payloads and ingestion ----------------------------------------------------------------
+
+def _staging(t: Layers) -> DataFrame:
+    """RAW rows as staged messages; rows older than six hours count as processed."""
+    messages = payload.to_payload(t.raw)
+    staged = payload.staging_rows(messages, F.col("loaded_at"))
+    return staged.withColumn("processed", F.col("ingested_at") < times.ago(t.as_of, hours=6))
+
+
+@query
+def publish_messages(t: Layers) -> DataFrame:
+    """Messages per key, as published."""
+    messages = payload.to_payload(t.raw)
+    return messages.groupBy("key").agg(F.count("*").alias("messages"),
+                                       F.count(F.try_parse_json("value")).alias("parseable"))
+
+
+@query
+def payload_projection(t: Layers) -> DataFrame:
+    return _staging(t).drop("raw_payload", "processed")
+
+
+@query
+def payload_paths(t: Layers) -> DataFrame:
+    return payload.extract_paths(_staging(t).select("raw_payload")).drop("raw_payload")
+
+
+@query
+def unprocessed_recent(t: Layers) -> DataFrame:
+    return ingest.unprocessed_recent(_staging(t), t.as_of, MINUTES_OF_A_DAY).drop("raw_payload")
+
+
+@query
+def data_present_gate(t: Layers) -> DataFrame:
+    recent = ingest.unprocessed_recent(_staging(t), t.as_of, MINUTES_OF_A_DAY)
+    return recent.agg(F.count("*").alias("waiting"), (F.count("*") > 0).alias("ready"))
+
+
+def _api_records(t: Layers) -> DataFrame:
+    """RAW rows as nested API records; absent values leave their field out."""
+    parts = {
+        "flight": F.struct(F.col("flight_id").alias("iata"), F.col("flight_number").alias("number")),
+        "airline": F.struct(F.col("airline").alias("name"), F.col("airline_iata").alias("iata")),
+        "departure": F.struct(F.col("source_airport").alias("iata"), F.col("source_city").alias("airport"),
+                              F.col("departure_time").alias("scheduled"), F.col("delay_minutes").alias("delay")),
+        "arrival": F.struct(F.col("dest_airport").alias("iata"), F.col("dest_city").alias("airport"),
+                            F.col("arrival_time").alias("scheduled")),
+        "live": F.struct("latitude", "longitude", "altitude", F.col("speed").alias("speed_horizontal"),
+                         F.col("heading").alias("direction")),
+        "aircraft": F.struct(F.col("aircraft_type").alias("icao")),
+        "flight_status": F.col("status"),
+    }
+    record = F.struct(*[col.alias(name) for name, col in parts.items()])
+    return t.raw.select(F.to_json(record, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+
+
+@query
+def api_flatten(t: Layers) -> DataFrame:
+    return payload.flatten_api_records(_api_records(t), fetched_at=t.as_of).drop("event_id")
+
+
+@query
+def api_request_filter(t: Layers) -> DataFrame:
+    flat = payload.flatten_api_records(_api_records(t), fetched_at=t.as_of).drop("event_id")
+    return payload.request_filter(flat, airline_iata="AI", status="active", departure="DEL")
+
+
+@query
+def bulk_load_json(t: Layers) -> DataFrame:
+    """Events written as JSON lines, loaded twice: the second load finds nothing new."""
+    source = session.new_path(t.spark, "json-files")
+    events = t.raw.withColumnRenamed("event_timestamp", "timestamp").drop("loaded_at")
+    events.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(source)
+    target, checkpoint = session.new_path(t.spark, "json-loaded"), session.new_path(t.spark, "json-checkpoint")
+    for _ in range(2):
+        files.load_new_files(t.spark, source, target, checkpoint)
+    return files.loaded_rows(t.spark, target)
+
+
+def _day_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event_date", F.to_date("event_timestamp"))
+
+
+EARLY, LATE = datetime(2024, 1, 20), datetime(2024, 1, 15)  # first load ends, second load begins
+
+
+@query
+def raw_merge_batch(t: Layers) -> DataFrame:
+    """Two overlapping batches merged into RAW: known events only take the new batch id."""
+    path = session.new_path(t.spark, "raw-merged")
+    rows = _day_rows(dedup.exact_dedup(t.raw)).withColumn("is_transformed", F.lit(False))
+    first = rows.filter(F.col("event_timestamp") < F.lit(EARLY)).withColumn("ingestion_batch_id", F.lit("batch-1"))
+    second = rows.filter(F.col("event_timestamp") >= F.lit(LATE)).withColumn("ingestion_batch_id", F.lit("batch-2"))
+    ingest.merge_batch_into_raw(t.spark, path, first)
+    ingest.merge_batch_into_raw(t.spark, path, second)
+    return tables.read(t.spark, path, first.schema)
+
+
+@query
+def raw_insert_from_payload(t: Layers) -> DataFrame:
+    """RAW filled from payloads, twice: the second run inserts nothing."""
+    path = session.new_path(t.spark, "raw-from-payload")
+    messages = payload.to_payload(dedup.exact_dedup(t.raw)).withColumnRenamed("value", "raw_payload")
+    rows = ingest.raw_rows_from_payload(messages, t.as_of)
+    for _ in range(2):
+        merge.insert_only(t.spark, path, rows)
+    return tables.read(t.spark, path, rows.schema).drop("raw_json")
+
+
+@query
+def quick_load_raw(t: Layers) -> DataFrame:
+    messages = payload.to_payload(dedup.exact_dedup(t.raw)).withColumnRenamed("value", "raw_payload")
+    numbered = messages.withColumn("id", F.unix_micros("loaded_at"))
+    return ingest.quick_raw_rows(numbered, t.as_of)
+
+
+@query
+def clean_insert(t: Layers) -> DataFrame:
+    """CLEAN filled in two overlapping inserts."""
+    path = session.new_path(t.spark, "clean-insert")
+    ingest.write_clean(t.spark, path, t.clean.filter(F.col("event_date") < F.lit(EARLY.date())))
+    ingest.write_clean(t.spark, path, t.clean.filter(F.col("event_date") >= F.lit(LATE.date())))
+    return tables.read(t.spark, path, t.clean.schema)
+
+
+@query
+def pending_raw(t: Layers) -> DataFrame:
+    """RAW rows that CLEAN of the first days does not hold yet."""
+    done = t.clean.filter(F.col("event_date") < F.lit(EARLY.date()))
+    return ingest.pending(t.raw, done).select("event_id", "flight_id", "event_timestamp", "loaded_at")
+
+
+@query
+def raw_transformed_flag(t: Layers) -> DataFrame:
+    return ingest.with_transformed_flag(t.raw.select("event_id", "loaded_at"), t.clean)
+
+
+# --- Merges of the aggregate tables ----------------------------------------------------------
+
+@query
+def hourly_merge(t: Layers) -> DataFrame:
+    """The summary as of five days earlier, then merged with today's."""
+    path = session.new_path(t.spark, "hourly-merge")
+    earlier = star.hourly_summary(t.fact.filter(F.col("event_timestamp") < F.lit(datetime(2024, 1, 25, 12))),
+                                  datetime(2024, 1, 25, 12))
+    merge.upsert_days(t.spark, path, earlier, star.HOURLY_KEYS)
+    merge.upsert_days(t.spark, path, star.hourly_summary(t.fact, t.as_of), star.HOURLY_KEYS)
+    return tables.read(t.spark, path, earlier.schema)
+
+
+@query
+def hourly_replace_day(t: Layers) -> DataFrame:
+    """Every day of the rolling summary, with today's day replaced by the rounded refresh."""
+    path = session.new_path(t.spark, "hourly-replace")
+    base = star.hourly_summary(t.fact, t.as_of).withColumn("domestic_flights", F.lit(None).cast("bigint"))
+    tables.write_days(base, path)
+    refreshed = star.hourly_refresh(t.fact, times.day_of(t.as_of), t.as_of).select(*base.columns)
+    tables.replace_days(refreshed, path)
+    return tables.read(t.spark, path, base.schema)
+
+
+@query
+def route_merge(t: Layers) -> DataFrame:
+    """Route performance from CLEAN, then today's from FACT merged on top."""
+    path = session.new_path(t.spark, "route-merge")
+    first = star.routes_from_clean(t.clean, t.as_of)
+    merge.upsert_days(t.spark, path, first, star.ROUTE_KEYS, star.ROUTE_UPDATES)
+    second = star.routes_from_fact(t.fact, t.as_of).select(*first.columns)
+    merge.upsert_days(t.spark, path, second, star.ROUTE_KEYS, star.ROUTE_UPDATES)
+    return tables.read(t.spark, path, first.schema)
+
+
+@query
+def airline_dim_merge(t: Layers) -> DataFrame:
+    """Dimension of the first days upserted with the whole table's."""
+    before = star.dim_airlines(t.clean.filter(F.col("event_date") < F.lit(LATE.date())))
+    table = tables.VersionedTable(t.spark, session.new_path(t.spark, "airlines"), before.schema)
+    table.write(merge.upsert_rows(table.read(), before, ["airline_code"]))
+    table.write(merge.upsert_rows(table.read(), star.dim_airlines(t.clean), ["airline_code"]))
+    return table.read()
+
+
+@query
+def airport_dim_merge(t: Layers) -> DataFrame:
+    """Dimension of the late days upserted with the early days': early figures win, new codes are added."""
+    late = star.dim_airports(t.clean.filter(F.col("event_date") >= F.lit(LATE.date())))
+    early = star.dim_airports(t.clean.filter(F.col("event_date") < F.lit(LATE.date())))
+    return merge.upsert_rows(late, early, ["airport_code"])
+
+
+# --- Incremental load and run metrics -----------------------------------------------------------
+
+WINDOW_START = datetime(2024, 1, 10)
+
+
+@query
+def incremental_window(t: Layers) -> DataFrame:
+    return incremental.incremental_window(t.raw, WINDOW_START, t.as_of)
+
+
+@query
+def incremental_window_batch(t: Layers) -> DataFrame:
+    """The oldest 500 rows of the window, and all that share the last one's load time."""
+    return incremental.incremental_window(t.raw, WINDOW_START, t.as_of, limit=500)
+
+
+@query
+def watermarks_after_run(t: Layers) -> DataFrame:
+    control = incremental.initial_watermarks(t.spark)
+    start = incremental.get_watermark(control, "raw_to_clean")
+    batch = incremental.incremental_window(t.raw, start, t.as_of)
+    return incremental.updated_watermark(control, "raw_to_clean", batch, None, "run-1", t.as_of).drop("comment_text")
+
+
+@query
+def incremental_runs(t: Layers) -> DataFrame:
+    """CLEAN after two consecutive incremental runs."""
+    path = session.new_path(t.spark, "clean-incremental")
+    control = tables.VersionedTable(t.spark, session.new_path(t.spark, "watermarks"), incremental.WATERMARKS)
+    control.write(incremental.initial_watermarks(t.spark))
+    for run_id, upper in (("run-1", EARLY), ("run-2", t.as_of)):
+        incremental.run_raw_to_clean(t.spark, t.raw, path, control, upper, run_id)
+    return tables.read(t.spark, path, t.clean.schema)
+
+
+def _runs(t: Layers) -> DataFrame:
+    return incremental.hourly_load_runs(t.raw, validate.row_errors(t.raw))
+
+
+@query
+def run_metrics(t: Layers) -> DataFrame:
+    return _runs(t)
+
+
+@query
+def recent_runs(t: Layers) -> DataFrame:
+    return incremental.recent_runs(_runs(t), 50)
+
+
+@query
+def throughput_trend(t: Layers) -> DataFrame:
+    return incremental.throughput_trend(_runs(t), "flight_ingestion_dag")
+
+
+@query
+def run_audit(t: Layers) -> DataFrame:
+    """The audit history after both halves were appended."""
+    path, runs = session.new_path(t.spark, "run-audit"), _runs(t)
+    incremental.append_runs(path, runs.filter("dag_id = 'flight_ingestion_dag'"))
+    incremental.append_runs(path, runs.filter("dag_id = 'flight_transform_dag'"))
+    return tables.read(t.spark, path, runs.schema).groupBy("dag_id", "status").agg(
+        F.count("*").alias("runs"), F.sum("records_read").alias("records_read"))
+
+
+# --- Dead letters ------------------------------------------------------------------------------
+
+@query
+def dead_letter_rows(t: Layers) -> DataFrame:
+    return t.letters.drop("id", "raw_payload")
+
+
+@query
+def dead_letters_pending(t: Layers) -> DataFrame:
+    letters = t.letters.drop("raw_payload")
+    by_time = letters.withColumn("id", F.concat_ws("|", "event_id", F.unix_micros("created_at").cast("string")))
+    return dead_letters.pending_letters(by_time, 100).drop("id")
+
+
+@query
+def dead_letter_stats(t: Layers) -> DataFrame:
+    """Statistics after replaying every letter of one kind of error."""
+    letters = t.letters
+    chosen = letters.filter("error_message = 'invalid_status'").select("id")
+    return dead_letters.letter_stats(dead_letters.replay(letters, chosen)[1])
+
+
+@query
+def dead_letter_replay(t: Layers) -> DataFrame:
+    """Messages sent again, per key."""
+    letters = t.letters
+    chosen = letters.filter("error_message = 'invalid_status'").select("id")
+    return dead_letters.replay(letters, chosen)[0].groupBy("key").agg(F.count("*").alias("messages"))
+
+
+@query
+def dead_letter_alert(t: Layers) -> DataFrame:
+    return dead_letters.volume_alert(t.letters)
+
+
+# --- Health --------------------------------------------------------------------------------------
+
+@query
+def layer_checks(t: Layers) -> DataFrame:
+    return health.layer_checks(t.raw, t.clean, t.fact, t.as_of)
+
+
+@query
+def quality_log(t: Layers) -> DataFrame:
+    return health.quality_log_entry(health.layer_checks(t.raw, t.clean, t.fact, t.as_of), t.as_of)
+
+
+def _offsets(t: Layers) -> DataFrame:
+    """Topic offsets: partition by flight number; rows of the last three hours are not committed yet."""
+    partition = (F.col("flight_number").cast("bigint") % 3).alias("partition")
+    committed = F.count_if(F.col("loaded_at") < times.ago(t.as_of, hours=3))
+    return t.raw.groupBy(partition).agg(F.count("*").alias("end_offset"), committed.alias("committed")).withColumn(
+        "topic", F.lit("flights_raw"))
+
+
+def _components(t: Layers) -> DataFrame:
+    return (health.layer_freshness(t.raw, t.clean, t.fact, t.as_of).unionByName(health.quality_rate(t.clean, t.as_of))
+            .unionByName(health.consumer_lag(_offsets(t))).unionByName(health.dead_letter_health(t.letters)))
+
+
+@query
+def layer_freshness(t: Layers) -> DataFrame:
+    return health.layer_freshness(t.raw, t.clean, t.fact, t.as_of)
+
+
+@query
+def quality_rate(t: Layers) -> DataFrame:
+    return health.quality_rate(t.clean, t.as_of)
+
+
+@query
+def consumer_lag(t: Layers) -> DataFrame:
+    return health.consumer_lag(_offsets(t))
+
+
+@query
+def dead_letter_health(t: Layers) -> DataFrame:
+    return health.dead_letter_health(t.letters)
+
+
+@query
+def overall_health(t: Layers) -> DataFrame:
+    return health.overall_health(_components(t))
+
+
+@query
+def health_alerts(t: Layers) -> DataFrame:
+    return health.alerts(_components(t))
+
+
+# --- Headline figures and verification -----------------------------------------------------------
+
+@query
+def kpi_summary(t: Layers) -> DataFrame:
+    return kpis.kpi_summary(active_airlines_now(t), airline_league(t), airport_congestion(t), health_scorecard(t), t.as_of)
+
+
+@query
+def layer_volume(t: Layers) -> DataFrame:
+    return kpis.layer_volume(t.raw, t.clean, t.fact, t.as_of)
+
+
+@query
+def layer_funnel(t: Layers) -> DataFrame:
+    return kpis.layer_funnel(t.raw, t.clean, t.fact)
+
+
+@query
+def airline_summary(t: Layers) -> DataFrame:
+    return kpis.airline_summary(t.airlines)
+
+
+@query
+def delay_distribution(t: Layers) -> DataFrame:
+    return kpis.delay_distribution(t.clean)
+
+
+@query
+def busiest_routes(t: Layers) -> DataFrame:
+    return kpis.busiest_routes(t.routes, t.as_of)
+
+
+@query
+def hourly_traffic(t: Layers) -> DataFrame:
+    return kpis.hourly_traffic(t.hourly, t.as_of)
+
+
+@query
+def daily_error_rate(t: Layers) -> DataFrame:
+    return kpis.daily_error_rate(t.clean)
+
+
+@query
+def raw_load_stats(t: Layers) -> DataFrame:
+    done = t.clean.filter(F.col("event_date") < F.lit(EARLY.date()))
+    return kpis.raw_load_stats(ingest.with_transformed_flag(t.raw.select("event_id", "loaded_at"), done), t.as_of)
+
+
+@query
+def speed_and_delay_all(t: Layers) -> DataFrame:
+    return kpis.speed_and_delay(t.fact)
+
+
+@query
+def speed_and_delay_pruned(t: Layers) -> DataFrame:
+    return kpis.speed_and_delay(t.fact, times.day_of(t.as_of), "AI")
+
+
+@query
+def daily_summary(t: Layers) -> DataFrame:
+    return kpis.daily_summary(t.fact, t.as_of)
+
+
+@query
+def airline_fleet_summary(t: Layers) -> DataFrame:
+    return kpis.airline_fleet_summary(t.fact)
+
+
+@query
+def arrival_performance(t: Layers) -> DataFrame:
+    return kpis.arrival_performance(t.fact)
+
+
+@query
+def weekly_patterns(t: Layers) -> DataFrame:
+    return kpis.weekly_patterns(t.fact)
+
+
+@query
+def real_time_status(t: Layers) -> DataFrame:
+    return kpis.real_time_status(t.fact)
+
+
+@query
+def report_run_summary(t: Layers) -> DataFrame:
+    return reports.run_summary(t)
+
+
+@query
+def fact_rolling_views(t: Layers) -> DataFrame:
+    reports.register_views(t)
+    return t.spark.sql("""
+        SELECT 'all' AS view_name, count(*) AS row_count FROM fact_flights
+        UNION ALL SELECT 'recent', count(*) FROM fact_flights_recent
+        UNION ALL SELECT 'today', count(*) FROM fact_flights_today
+        UNION ALL SELECT 'clean', count(*) FROM fact_flights_clean""")
+
+
+# --- Dashboard slices ---------------------------------------------------------------------------
+
+@query
+def worst_delay_hours(t: Layers) -> DataFrame:
+    return slices.worst_hours(delay_patterns(t), t.as_of)
+
+
+@query
+def league_extremes(t: Layers) -> DataFrame:
+    return slices.league_extremes(airline_league(t))
+
+
+@query
+def peak_hours_ranked(t: Layers) -> DataFrame:
+    return slices.peak_hours_ranked(peak_hours(t))
+
+
+@query
+def route_extremes(t: Layers) -> DataFrame:
+    return slices.route_extremes(route_efficiency(t))
+
+
+@query
+def recent_trend(t: Layers) -> DataFrame:
+    return slices.recent_trend(weekly_trends(t), t.as_of)
+
+
+@query
+def league_slice(t: Layers) -> DataFrame:
+    return slices.league_slice(airline_league(t))
+
+
+@query
+def delay_slice(t: Layers) -> DataFrame:
+    return slices.delay_slice(delay_patterns(t), t.as_of)
+
+
+@query
+def peak_slice(t: Layers) -> DataFrame:
+    return slices.peak_slice(peak_hours(t))
+
+
+@query
+def route_slice(t: Layers) -> DataFrame:
+    return slices.route_slice(route_efficiency(t))
+
+
+@query
+def trend_slice(t: Layers) -> DataFrame:
+    return slices.trend_slice(weekly_trends(t), t.as_of)
+
+
+@query
+def airport_slice(t: Layers) -> DataFrame:
+    return slices.airport_slice(airport_congestion(t))
+
+
+@query
+def segment_slice(t: Layers) -> DataFrame:
+    return slices.segment_slice(intl_vs_domestic(t))
+
+
+@query
+def active_today(t: Layers) -> DataFrame:
+    return slices.active_today(t.fact, t.airlines, t.as_of)
+
+
+@query
+def live_positions(t: Layers) -> DataFrame:
+    return slices.live_positions(t.fact, t.as_of)
+
+
+@query
+def flights_today(t: Layers) -> DataFrame:
+    return slices.flights_today(t.fact, t.as_of)
+
+
+@query
+def map_kpis(t: Layers) -> DataFrame:
+    return slices.map_kpis(slices.live_positions(t.fact, t.as_of, None))
+
+
+@query
+def map_filtered(t: Layers) -> DataFrame:
+    positions = slices.live_positions(t.fact, t.as_of, None)
+    return slices.map_filter(positions, ["active", "landed"], ["cruise", "mid_altitude"], True)
+
+
+@query
+def map_marks(t: Layers) -> DataFrame:
+    return slices.map_marks(slices.live_positions(t.fact, t.as_of, None))
+
+
+@query
+def delay_heatmap(t: Layers) -> DataFrame:
+    return slices.delay_heatmap(slices.delay_slice(delay_patterns(t), t.as_of))
+
+
+@query
+def top_by_otp(t: Layers) -> DataFrame:
+    return slices.top_by_otp(airline_league(t))
+
+
+@query
+def fleet_means(t: Layers) -> DataFrame:
+    return slices.fleet_means(airline_league(t))
+
+
+@query
+def route_bubbles(t: Layers) -> DataFrame:
+    return slices.route_bubbles(route_efficiency(t))
+
+
+@query
+def run_bubbles(t: Layers) -> DataFrame:
+    return slices.run_bubbles(incremental.recent_runs(_runs(t), 50))
+
+
+@query
+def home_kpis(t: Layers) -> DataFrame:
+    return slices.home_kpis(slices.active_today(t.fact, t.airlines, t.as_of), health_scorecard(t))
+
+
+@query
+def health_page(t: Layers) -> DataFrame:
+    return slices.health_page(health_scorecard(t))
+
+
+@query
+def display_text(t: Layers) -> DataFrame:
+    """Every CLEAN row as display text."""
+    return t.clean.select(
+        "event_id", display.number_text(F.col("altitude")).alias("altitude_number"),
+        display.altitude_text(F.col("altitude")).alias("altitude"), display.speed_text(F.col("speed")).alias("speed"),
+        display.minutes_text(F.col("delay_minutes")).alias("delay"),
+        display.percent_text(F.col("heading")).alias("heading_pct"),
+        display.age_text(F.col("event_timestamp"), t.as_of).alias("age"),
+        display.delay_colour(F.col("delay_bucket")).alias("delay_colour"))
+
+
+@query
+def report_colours(t: Layers) -> DataFrame:
+    routes = route_efficiency(t)
+    return routes.select("route_key", display.route_mark(F.col("route_health")).alias("mark"),
+                         display.health_colour(F.col("route_health")).alias("colour"))
