@@ -18,9 +18,11 @@ def _all_equal(left: list[str], right: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
 
-def one_row_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """First row per key in the given order (default: every column, NULL last)."""
-    by = order or [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
+def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Earliest row per key: by load time, event time, then every other column, NULL last."""
+    times = [c for c in ("loaded_at", "event_timestamp") if c in df.columns]
+    others = [c for c in df.columns if c not in keys + times]
+    by = [F.col(c).asc_nulls_last() for c in times + others]
     ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*by)))
     return ranked.filter("_rank = 1").drop("_rank")
 

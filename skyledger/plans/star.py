@@ -91,6 +91,11 @@ def hourly_summary(fact: DataFrame, as_of: datetime = AS_OF, days: int = 7) -> D
     return _hourly(fact.filter(F.col("event_date") >= times.days_before(as_of, days)), as_of, rounded=False)
 
 
+def hourly_of_days(fact: DataFrame, as_of: datetime = AS_OF) -> DataFrame:
+    """The rounded summary of every day in ``fact``."""
+    return _hourly(fact, as_of, rounded=True)
+
+
 def hourly_refresh(fact: DataFrame, day: date | Column, as_of: datetime = AS_OF) -> DataFrame:
     """The rounded summary of one day, to replace that day."""
     wanted = (F.col("event_date") == day) & ~F.col("data_quality_flag")

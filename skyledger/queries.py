@@ -13,6 +13,7 @@ from skyledger.operators import clean, dedup, expectations, merge, validate
 from skyledger.plans import dead_letters, health, incremental, ingest, kpis, reports, slices, star, views
 from skyledger.plans.layers import Layers, layers
 from skyledger.sources import files, payload, tables
+from skyledger.streaming import dedup as stream_dedup, ingest as stream_ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 MINUTES_OF_A_DAY = 1440  # look-back of the "now" reports, so that small data has rows
@@ -832,3 +833,85 @@ def report_colours(t: Layers) -> DataFrame:
     routes = route_efficiency(t)
     return routes.select("route_key", display.route_mark(F.col("route_health")).alias("mark"),
                          display.health_colour(F.col("route_health")).alias("colour"))
+
+
+# --- Streams ---------------------------------------------------------------------------------------
+
+def _message_files(t: Layers) -> str:
+    path = session.new_path(t.spark, "messages")
+    payload.to_payload(t.raw).select("value").write.text(path)
+    return path
+
+
+def _ingested(t: Layers) -> stream_ingest.IngestSink:
+    """Every message run through the ingest stream, in several batches; invalid rows do not close the gate."""
+    fresh = lambda label: session.new_path(t.spark, label)
+    sink = stream_ingest.IngestSink(t.spark, fresh("stream-raw"), fresh("stream-letters"), fresh("stream-verdicts"),
+                                    t.as_of, max_fail_rate=1.0)
+    messages = stream_ingest.read_message_files(t.spark, _message_files(t))
+    stream_ingest.start_ingest(messages, sink, fresh("checkpoint"), available_now=True).awaitTermination()
+    return sink
+
+
+@query
+def stream_ingest_raw(t: Layers) -> DataFrame:
+    return t.spark.read.parquet(_ingested(t).raw_path)
+
+
+@query
+def stream_dead_letters(t: Layers) -> DataFrame:
+    """Dead letters of the stream per error."""
+    letters = t.spark.read.parquet(_ingested(t).letters_path)
+    return letters.groupBy("error_message").agg(F.count("*").alias("letters"))
+
+
+@query
+def stream_quality_gate(t: Layers) -> DataFrame:
+    """Rows judged over all batches of the stream."""
+    verdicts = t.spark.read.parquet(_ingested(t).verdicts_path)
+    return verdicts.agg(F.sum("total_records").alias("total_records"), F.sum("invalid_count").alias("invalid_count"))
+
+
+def _event_stream(t: Layers) -> DataFrame:
+    return payload.parse_events(stream_ingest.read_message_files(t.spark, _message_files(t))).drop("value")
+
+
+def _run_to_table(t: Layers, stream: DataFrame, label: str) -> DataFrame:
+    path = session.new_path(t.spark, label)
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
+             .option("checkpointLocation", session.new_path(t.spark, "checkpoint")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(path)
+
+
+@query
+def stream_dedup_ids(t: Layers) -> DataFrame:
+    return _run_to_table(t, stream_dedup.drop_redelivered(_event_stream(t)).select("event_id"), "stream-ids")
+
+
+@query
+def stream_fuzzy_dedup(t: Layers) -> DataFrame:
+    """Rows of all cells that the watermark (ten minutes behind the newest event) has closed."""
+    kept = stream_dedup.drop_near_duplicates(_event_stream(t))
+    return _run_to_table(t, kept.select("event_id", "flight_id", "event_timestamp"), "stream-fuzzy")
+
+
+@query
+def stream_latest_positions(t: Layers) -> DataFrame:
+    events = _event_stream(t)
+    schema = live.newest_positions(events).schema
+    table = tables.VersionedTable(t.spark, session.new_path(t.spark, "stream-latest"), schema)
+    live.keep_latest(events, table, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
+    return table.read()
+
+
+@query
+def stream_hourly_summary(t: Layers) -> DataFrame:
+    """FACT arriving in several batches; days may be split between them."""
+    source = session.new_path(t.spark, "fact-arrivals")
+    t.fact.repartition(6, "event_id").write.parquet(source)
+    rows = t.spark.readStream.schema(t.fact.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    fact, summary = session.new_path(t.spark, "stream-fact"), session.new_path(t.spark, "stream-hourly")
+    live.keep_hourly(t.spark, rows, fact, summary, session.new_path(t.spark, "checkpoint"), t.as_of,
+                     available_now=True).awaitTermination()
+    return t.spark.read.parquet(summary)
