@@ -24,8 +24,11 @@ def _capitalise_runs(col: Column, pattern: str) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """Capital after every non-letter: ``air-india`` becomes ``Air-India``."""
-    return _capitalise_runs(col, r"\p{L}+|\P{L}+")
+    """Capital after every non-letter: ``air-india`` becomes ``Air-India``.
+
+    Text of letters and spaces takes the compiled ``initcap``, which agrees there.
+    """
+    return F.when(col.rlike(r"[^\p{L} ]"), _capitalise_runs(col, r"\p{L}+|\P{L}+")).otherwise(F.initcap(col))
 
 
 def warehouse_initcap(col: Column) -> Column:

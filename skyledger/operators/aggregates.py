@@ -4,13 +4,12 @@ Ordinary sums, means and maxima combine before the shuffle by themselves. Exact
 percentiles would not combine well on raw rows: Spark falls back to sorting them
 once a task sees more than a few groups. Delay minutes are whole numbers with few
 distinct values, so ``summarise`` first counts rows per (group, minute) with plain
-hash aggregation and takes every statistic from those counts. Distinct counts run
-beside it, for the same reason, and meet the statistics at group grain.
+hash aggregation and takes every statistic from those counts. Distinct values are
+reduced the same way beside it, and one last aggregation at group grain takes both.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,12 +67,22 @@ def deviation(name: str, digits: int | None = None) -> Measure:
     return Measure([(_FREQ, F.count(VALUE))], F.when(n > 1, rounded).alias(name))
 
 
+def _distinct_values(df: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
+    """The distinct non-null values per group, for all counted columns in one scan."""
+    values = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_count"), F.col(col).cast("string").alias("_value")) for name, col in distinct.items()
+    ])).alias("v")
+    return df.select(*keys, values).select(*keys, "v._count", "v._value").filter("_value IS NOT NULL").distinct()
+
+
 def summarise(df: DataFrame, keys: list[str], measures: list[Measure], distinct: dict[str, str]) -> DataFrame:
-    """One row per group: the measures, and ``{name: column}`` distinct counts."""
+    """One row per group: the measures, and ``{name: column}`` distinct counts.
+
+    The counts per (group, minute) and the distinct values per group are stacked and
+    aggregated together; grouping treats NULL keys alike, so no join is needed.
+    """
     partials = {name: col for m in measures for name, col in m.partials}
     counted = df.groupBy(*keys, VALUE).agg(*[col.alias(name) for name, col in partials.items()])
-    stats = counted.groupBy(*keys).agg(*[m.final for m in measures])
-    uniques = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        *[F.countDistinct(col).alias(name) for name, col in distinct.items()])
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return stats.join(uniques, same).drop(*[f"_{k}" for k in keys])
+    stacked = counted.unionByName(_distinct_values(df, keys, distinct).drop("_value"), allowMissingColumns=True)
+    uniques = [F.count_if(F.col("_count") == name).alias(name) for name in distinct]
+    return stacked.groupBy(*keys).agg(*[m.final for m in measures], *uniques)

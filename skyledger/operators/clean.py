@@ -92,7 +92,7 @@ def repair_values(df: DataFrame) -> DataFrame:
         kind = "bigint" if name in _INTEGERS else "double"
         changes[name] = changes[name].cast(kind)
     changes["status"] = status
-    logged = df.withColumn(_LOG, F.array_compact(F.array(F.lit(None).cast("string"), *_log_columns(df.columns))))
+    logged = df.withColumn(_LOG, F.concat_ws(",", *_log_columns(df.columns)))  # skips NULL entries
     return _update(logged, changes)
 
 
@@ -146,12 +146,10 @@ def flag_quality(df: DataFrame) -> DataFrame:
     """Flag rows with any problem; the log names only the first rule that fired."""
     rules = quality_rules(df.columns)
     first = F.coalesce(*[F.when(condition, f"flag:{name}") for name, condition in rules])
-    log = F.concat(F.array_join(_LOG, ","), F.when(F.size(_LOG) > 0, ",").otherwise(""))
     flagged = df.withColumn("_first_rule", first)
     return flagged.withColumns({
         "data_quality_flag": F.col("_first_rule").isNotNull(),
-        "transformation_log": F.when(F.col("_first_rule").isNull(), F.array_join(_LOG, ","))
-        .otherwise(F.concat(log, F.col("_first_rule"))),
+        "transformation_log": F.concat_ws(",", F.nullif(F.col(_LOG), F.lit("")), F.col("_first_rule")),
     }).drop(_LOG, "_first_rule")
 
 

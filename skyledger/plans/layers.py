@@ -1,8 +1,8 @@
 """The layered tables of one data set, each written once per application.
 
-Cleaning and deduplicating 100 TB for every report would be waste, so CLEAN and FACT
-are written by day (with FACT sorted by airline inside each file) and the reports
-read only the days and columns they need.
+Deriving, deduplicating and cleaning 100 TB for every report would be waste, so RAW,
+CLEAN and FACT are written by day (with FACT sorted by airline inside each file) and
+every job reads only the days and columns it needs.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ class Layers:
         table.write(df)
         return table.read()
 
-    @property
+    @cached_property
     def raw(self) -> DataFrame:
-        return raw_flights(self.spark, self.sf_dir)
+        rows = raw_flights(self.spark, self.sf_dir)
+        return self._days("raw", rows.withColumn("event_date", F.to_date("event_timestamp"))).drop("event_date")
 
     @cached_property
     def clean(self) -> DataFrame:

@@ -12,7 +12,7 @@ from skyledger.functions import display, times
 from skyledger.operators import clean, dedup, expectations, merge, validate
 from skyledger.plans import dead_letters, health, incremental, ingest, kpis, reports, slices, star, views
 from skyledger.plans.layers import Layers, layers
-from skyledger.sources import files, payload, tables
+from skyledger.sources import files, flights_from_events, payload, tables
 from skyledger.streaming import dedup as stream_dedup, ingest as stream_ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,7 @@ def registered() -> dict[str, Query]:
 
 @query
 def raw_flights(t: Layers) -> DataFrame:
-    return t.raw
+    return flights_from_events.raw_flights(t.spark, t.sf_dir)
 
 
 @query
