@@ -77,7 +77,7 @@ def airline_summary(airlines: DataFrame, n: int = 15) -> DataFrame:
     return airlines.select(
         F.col("airline_code").alias("airline_iata"), "airline_name", "total_flights",
         F.round("avg_delay_minutes", 1).alias("avg_delay_mins"), "active_flights", "last_seen_at",
-    ).orderBy(F.desc("total_flights"), "airline_iata").limit(n)
+    ).orderBy(F.desc("total_flights"), F.asc_nulls_last("airline_iata")).limit(n)
 
 
 def delay_distribution(clean: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def busiest_routes(routes: DataFrame, as_of: datetime = AS_OF, n: int = 10) -> D
     return routes.filter(F.col("event_date") == times.day_of(as_of)).select(
         "route_key", "total_flights", F.round("avg_delay_minutes", 1).alias("avg_delay_mins"),
         F.round(F.col("pct_on_time") * 100, 1).alias("pct_on_time"), "is_international",
-    ).orderBy(F.desc("total_flights"), "route_key").limit(n)
+    ).orderBy(F.desc("total_flights"), F.asc_nulls_last("route_key")).limit(n)
 
 
 def hourly_traffic(hourly: DataFrame, as_of: datetime = AS_OF, days: int = 7) -> DataFrame:

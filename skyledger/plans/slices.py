@@ -45,8 +45,8 @@ SEGMENT_COLUMNS = [
 
 
 def _best_and_worst(report: DataFrame, score: str, key: str, label: str, names: tuple[str, str], n: int) -> DataFrame:
-    top = report.orderBy(F.desc(score), key).limit(n).withColumn(label, F.lit(names[0]))
-    bottom = report.orderBy(F.asc(score), key).limit(n).withColumn(label, F.lit(names[1]))
+    top = report.orderBy(F.desc(score), F.asc_nulls_last(key)).limit(n).withColumn(label, F.lit(names[0]))
+    bottom = report.orderBy(F.asc(score), F.asc_nulls_last(key)).limit(n).withColumn(label, F.lit(names[1]))
     return top.unionByName(bottom)
 
 
@@ -78,7 +78,7 @@ def recent_trend(trends: DataFrame, as_of: datetime = AS_OF, days: int = 14) ->
 
 
 def league_slice(league: DataFrame) -> DataFrame:
-    return league.select(LEAGUE_COLUMNS).orderBy("otp_rank", "airline_iata")
+    return league.select(LEAGUE_COLUMNS).orderBy("otp_rank", F.asc_nulls_last("airline_iata"))
 
 
 def delay_slice(patterns: DataFrame, as_of: datetime = AS_OF, days: int = 7) -> DataFrame:
@@ -91,7 +91,7 @@ def peak_slice(peaks: DataFrame) -> DataFrame:
 
 
 def route_slice(routes: DataFrame, n: int = 100) -> DataFrame:
-    return routes.select(ROUTE_COLUMNS).orderBy(F.desc("efficiency_score"), "route_key").limit(n)
+    return routes.select(ROUTE_COLUMNS).orderBy(F.desc("efficiency_score"), F.asc_nulls_last("route_key")).limit(n)
 
 
 def trend_slice(trends: DataFrame, as_of: datetime = AS_OF, days: int = 30) -> DataFrame:
@@ -99,7 +99,7 @@ def trend_slice(trends: DataFrame, as_of: datetime = AS_OF, days: int = 30) -> D
 
 
 def airport_slice(congestion: DataFrame, n: int = 20) -> DataFrame:
-    return congestion.select(AIRPORT_COLUMNS).orderBy("congestion_rank", "airport_code").limit(n)
+    return congestion.select(AIRPORT_COLUMNS).orderBy("congestion_rank", F.asc_nulls_last("airport_code")).limit(n)
 
 
 def segment_slice(segments: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def active_today(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF,
         percent(count_where(late), F.count("*"), 1).alias("pct_delayed"),
         F.max("event_timestamp").alias("last_seen_at"),
     ).filter("active_flights >= 1")
-    return _with_names(stats, airlines).orderBy(F.desc("active_flights"), "airline_iata").limit(n)
+    return _with_names(stats, airlines).orderBy(F.desc("active_flights"), F.asc_nulls_last("airline_iata")).limit(n)
 
 
 def live_positions(fact: DataFrame, as_of: datetime = AS_OF, n: int | None = 500) -> DataFrame:
@@ -170,7 +170,7 @@ def delay_heatmap(patterns: DataFrame) -> DataFrame:
 
 
 def top_by_otp(league: DataFrame, n: int = 15) -> DataFrame:
-    return league.orderBy(F.desc("otp_rate_pct"), "airline_iata").limit(n).select("airline_iata", "airline_name", "otp_rate_pct")
+    return league.orderBy(F.desc("otp_rate_pct"), F.asc_nulls_last("airline_iata")).limit(n).select("airline_iata", "airline_name", "otp_rate_pct")
 
 
 def fleet_means(league: DataFrame) -> DataFrame:

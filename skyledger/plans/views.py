@@ -75,7 +75,7 @@ def active_airlines_now(fact: DataFrame, airlines: DataFrame, as_of: datetime =
         _rank(F.desc("active_flights")).cast("bigint").alias("activity_rank"), "airline_iata", "airline_name",
         "active_flights", "avg_altitude_ft", "avg_speed_kmh", "avg_delay_minutes", "max_delay_minutes",
         "on_time_count", "delayed_count", "pct_delayed", "active_routes", "last_seen_at",
-    ).orderBy(F.desc("active_flights"), "airline_iata")
+    ).orderBy(F.desc("active_flights"), F.asc_nulls_last("airline_iata"))
 
 
 def delay_patterns(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) -> DataFrame:
@@ -109,7 +109,7 @@ def delay_patterns(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) ->
         "otp_rate_pct", "prev_hour_avg_delay",
         F.round(F.col("avg_delay") - F.col("prev_hour_avg_delay"), 2).alias("delay_delta_vs_prev_hour"),
         F.round("_rolling", 2).alias("rolling_3h_avg_delay"), signal.alias("delay_signal"),
-    ).orderBy(F.desc("event_date"), "event_hour", "airline_iata")
+    ).orderBy(F.desc("event_date"), "event_hour", F.asc_nulls_last("airline_iata"))
 
 
 def airline_league(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF, days: int = 30,
@@ -137,7 +137,7 @@ def airline_league(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF
              + (100 - F.least("avg_delay_minutes", F.lit(100.0))) * 0.3
              + F.when(F.col("delay_stddev_minutes").isNotNull(),
                       (100 - F.least("delay_stddev_minutes", F.lit(100.0))) * 0.1))
-    quartile = F.ntile(4).over(W.orderBy(F.desc("otp_rate_pct"), F.asc("airline_iata")))
+    quartile = F.ntile(4).over(W.orderBy(F.desc("otp_rate_pct"), F.asc_nulls_last("airline_iata")))
     return _with_names(stats, airlines).select(
         _rank(F.desc("otp_rate_pct")).cast("bigint").alias("otp_rank"),
         _rank(F.asc("avg_delay_minutes")).cast("bigint").alias("delay_rank"),
@@ -148,7 +148,7 @@ def airline_league(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF
         "pct_minor_delay", "pct_moderate_delay", "pct_major_delay", "pct_severe_delay",
         "avg_speed_kmh", "avg_altitude_ft", "pct_international_flights", "delay_stddev_minutes",
         F.round(score, 2).alias("composite_score"),
-    ).orderBy(F.desc("composite_score"), "airline_iata")
+    ).orderBy(F.desc("composite_score"), F.asc_nulls_last("airline_iata"))
 
 
 def peak_hours(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) -> DataFrame:
@@ -221,7 +221,7 @@ def airport_congestion(fact: DataFrame, airports: DataFrame, as_of: datetime = A
         _rank(F.desc("congestion_index")).cast("bigint").alias("congestion_rank"),
         "airport_code", F.coalesce("_city", "airport_code").alias("city"), "total_movements", "departures",
         "arrivals", "avg_delay_minutes", "max_delay_minutes", "total_delayed", "delay_rate_pct", "congestion_index",
-    ).orderBy(F.desc("congestion_index"), "airport_code")
+    ).orderBy(F.desc("congestion_index"), F.asc_nulls_last("airport_code"))
 
 
 def route_efficiency(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30, min_flights: int = 3) -> DataFrame:
@@ -254,7 +254,7 @@ def route_efficiency(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30, m
         "avg_speed_kmh", "avg_altitude_ft", "avg_delay_minutes", "median_delay_minutes", "worst_delay_minutes",
         "otp_rate_pct", "cancellations", "cancellation_rate_pct",
         F.round(score, 2).alias("efficiency_score"), health.alias("route_health"),
-    ).orderBy(F.desc("efficiency_score"), "route_key")
+    ).orderBy(F.desc("efficiency_score"), F.asc_nulls_last("route_key"))
 
 
 def aircraft_performance(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30, min_flights: int = 3) -> DataFrame:
