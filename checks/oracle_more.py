@@ -251,7 +251,7 @@ SELECT *, date_diff('microsecond', started_at, finished_at) / 1000000 AS elapsed
   {R("records_written / greatest(date_diff('microsecond', started_at, finished_at) / 1000000, 0.001::DOUBLE)", 2)} AS throughput_rps,
   {R("100.0::DOUBLE * records_failed / greatest(records_read, 1)", 4)} AS error_rate_pct
 FROM (SELECT 'run-' || strftime(h, '%Y%m%d%H') AS run_id,
-        CASE WHEN hour(h) % 2 = 0 THEN 'flight_ingestion_dag' ELSE 'flight_transform_dag' END AS dag_id, h AS started_at,
+        CASE WHEN hour(h) % 2 = 0 THEN 'ingestion' ELSE 'transform' END AS dag_id, h AS started_at,
         h + to_seconds(5 + n % 17 + hour(h)) AS finished_at, n AS records_read, n - b AS records_written, b AS records_failed,
         CASE WHEN n > b THEN 'success' ELSE 'failed' END AS status
       FROM (SELECT date_trunc('hour', loaded_at) AS h, count(*) AS n, count(*) FILTER (WHERE len(errors) > 0) AS b FROM rawe GROUP BY 1))"""
@@ -264,7 +264,7 @@ SELECT {R('a', 2)} AS avg_rps, CASE WHEN n < 2 THEN 'stable' WHEN r > o * 1.10::
 FROM (SELECT avg(throughput_rps) AS a, count(*) AS n, avg(throughput_rps) FILTER (WHERE i >= c // 2) AS r,
         avg(throughput_rps) FILTER (WHERE i < c // 2) AS o
       FROM (SELECT throughput_rps, row_number() OVER (ORDER BY started_at) - 1 AS i, count(*) OVER () AS c
-            FROM (SELECT * FROM runs WHERE dag_id = 'flight_ingestion_dag' ORDER BY started_at DESC LIMIT 10)
+            FROM (SELECT * FROM runs WHERE dag_id = 'ingestion' ORDER BY started_at DESC LIMIT 10)
             WHERE throughput_rps > 0))"""
 MORE["run_audit"] = f"SELECT dag_id, status, {N} AS runs, {big('sum(records_read)')} AS records_read FROM runs GROUP BY dag_id, status"
 

@@ -143,7 +143,7 @@ def hourly_load_runs(raw: DataFrame, errors: Column) -> DataFrame:
     per_hour = raw.groupBy(hour.alias("started_at")).agg(
         F.count("*").alias("records_read"), F.count_if(~failed).alias("records_written"),
         F.count_if(failed).alias("records_failed"))
-    job = F.when(F.hour("started_at") % 2 == 0, "flight_ingestion_dag").otherwise("flight_transform_dag")
+    job = F.when(F.hour("started_at") % 2 == 0, "ingestion").otherwise("transform")
     seconds = (F.lit(5) + F.col("records_read") % 17 + F.hour("started_at")).cast("int")
     return finalise_runs(per_hour.select(
         F.concat(F.lit("run-"), F.date_format("started_at", "yyyyMMddHH")).alias("run_id"), job.alias("dag_id"),

@@ -487,15 +487,15 @@ def recent_runs(t: Layers) -> DataFrame:
 
 @query
 def throughput_trend(t: Layers) -> DataFrame:
-    return incremental.throughput_trend(_runs(t), "flight_ingestion_dag")
+    return incremental.throughput_trend(_runs(t), "ingestion")
 
 
 @query
 def run_audit(t: Layers) -> DataFrame:
     """The audit history after both halves were appended."""
     path, runs = session.new_path(t.spark, "run-audit"), _runs(t)
-    incremental.append_runs(path, runs.filter("dag_id = 'flight_ingestion_dag'"))
-    incremental.append_runs(path, runs.filter("dag_id = 'flight_transform_dag'"))
+    incremental.append_runs(path, runs.filter("dag_id = 'ingestion'"))
+    incremental.append_runs(path, runs.filter("dag_id = 'transform'"))
     return tables.read(t.spark, path, runs.schema).groupBy("dag_id", "status").agg(
         F.count("*").alias("runs"), F.sum("records_read").alias("records_read"))
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _sequence = itertools.count()
 _run_id = uuid.uuid4().hex[:12]
 _local_fallback: list[str] = []
@@ -18,6 +20,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state beyond the heap
     return spark
 
 
