@@ -3,8 +3,7 @@
 BENCH_SF_DIR   folder with the tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local threads (default 8)
 
-Building the layered tables is timed as ``build_clean`` and ``build_fact``; every
-query is then timed cold (first run) and warm (median of three). ``value`` is the
+Building the layered tables is timed once, on a cold session; every query is then timed cold (first run) and warm (median of three). ``value`` is the
 sum of the warm times; the cold ones and the row rates are reported beside it.
 """
 
@@ -52,7 +51,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registered, tables = queries.registered(), layers(spark, sf_dir)
 
-    build = {"build_clean": seconds(lambda: tables.clean), "build_fact": seconds(lambda: tables.fact),
+    build = {"build_raw": seconds(lambda: tables.raw), "build_clean": seconds(lambda: tables.clean), "build_fact": seconds(lambda: tables.fact),
              "build_dimensions": seconds(lambda: (tables.airlines, tables.airports))}
     cold, warm = {}, {}
     for name in REPORTS + ROW_JOBS:

@@ -59,7 +59,8 @@ def clean_strings(df: DataFrame) -> DataFrame:
     changes["airline_iata"] = text.blank_to_null(F.upper(text.strip(F.col("airline_iata"))), S.AIRLINE_CODE_BLANKS)
     changes["status"] = F.lower(text.strip(F.col("status")))
     for name in ("source_city", "dest_city"):
-        changes[name] = text.blank_to_null(text.title_case(text.strip(F.col(name))), S.CITY_BLANKS)
+        city = text.strip(F.col(name))
+        changes[name] = F.when(~F.lower(city).isin(S.CITY_BLANKS), text.title_case(city))
     return _update(df, changes)
 
 

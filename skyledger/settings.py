@@ -55,7 +55,7 @@ AIRLINE_NAMES = {
 # --- Fixed values: placeholder spellings that mean "no value" -------------------
 AIRPORT_BLANKS = ["NAN", "NONE", "???", "", "N/A"]
 AIRLINE_CODE_BLANKS = ["NAN", "NONE", "??", ""]
-CITY_BLANKS = ["Nan", "None", ""]
+CITY_BLANKS = ["nan", "none", ""]  # compared in lower case
 UNKNOWN_AIRPORTS = ["???", "UNK", ""]
 UNKNOWN_AIRCRAFT = ["UNKN", "UNKNOWN", ""]
 

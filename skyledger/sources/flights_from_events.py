@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyledger.functions.flight import _first_match
+from skyledger.functions.text import lookup
 from skyledger.schemas import RAW_COLUMNS
 
 # Fixed values of the mapping (position in the list = remainder).
@@ -25,7 +25,7 @@ STATUSES = {
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return _first_match([(index == i, v) for i, v in enumerate(values[:-1])], values[-1])
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
 def _unless(absent: Column, col: Column) -> Column:
@@ -65,8 +65,7 @@ def flights_from_events(events: DataFrame) -> DataFrame:
         _unless(e % 41 == 0, (e * 7919) % 45000 - 1000).alias("altitude"),
         _unless(e % 43 == 0, ((e * 104729) % 10000).cast("double") / 8 - 20).alias("speed"),
         _unless(e % 71 == 0, ((e * 13) % 360).cast("double")).alias("heading"),
-        _pick(list(STATUSES.values()), F.array_position(
-            F.array(*[F.lit(k) for k in STATUSES]), F.col("event_type")) - 1).alias("status"),
+        lookup(STATUSES, F.col("event_type")).alias("status"),
         (ts - F.make_dt_interval(mins=(e % 180).cast("int"))).alias("departure_time"),
         (ts + F.make_dt_interval(mins=((e * 3) % 240).cast("int"))).alias("arrival_time"),
         F.when(e % 47 == 0, F.lit(None).cast("bigint")).when(e % 10 < 6, F.lit(0).cast("bigint"))
