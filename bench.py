@@ -3,8 +3,9 @@
 BENCH_SF_DIR   folder with the tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local threads (default 8)
 
-Building the layered tables is timed once, on a cold session; every query is then timed cold (first run) and warm (median of three). ``value`` is the
-sum of the warm times; the cold ones and the row rates are reported beside it.
+Building the layered tables is timed once, in the cold session; every query is then
+timed cold (first run) and warm (median of three). ``value`` is the sum of the warm
+times; the cold ones and the row rates are reported beside it.
 """
 
 from __future__ import annotations
