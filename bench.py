@@ -14,6 +14,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -48,6 +49,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='bench-')}")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     registered, tables = queries.registered(), layers(spark, sf_dir)

@@ -25,14 +25,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster.
+    """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the session names none (unit tests on one machine) is a temporary
-    folder made.
+    A session whose driver and executors are one process (``local[n]``) may leave it
+    unset and gets a temporary folder; on a cluster that is an error, because each
+    executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir names no shared folder; {master} needs one that every executor can reach")
     if not _local_fallback:
         _local_fallback.append(tempfile.mkdtemp(prefix="skyledger-"))
     return _local_fallback[0]
