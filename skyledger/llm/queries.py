@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import session
-from skyledger.llm import secret_scan
+from skyledger.llm import balanced_shards, language_profiles, secret_scan, token_counts
 from skyledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +31,24 @@ def registered() -> dict[str, Query]:
 @query
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+@query
+def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = balanced_shards.sized(table(spark, sf_dir, "documents", "doc_id", "text"))
+    placed = balanced_shards.assign(rows, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = language_profiles.held_out("doc_id")
+    names, prototypes = language_profiles.learn(docs.where(~out))
+    return language_profiles.classify(docs.select("doc_id", "text", out.alias("held_out")), names, prototypes)
