@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import session
-from skyledger.llm import balanced_shards, language_profiles, secret_scan, token_counts
+from skyledger.llm import balanced_shards, language_profiles, packing, secret_scan, token_counts, warc_archive
 from skyledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,18 @@ def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_profiles.held_out("doc_id")
     names, prototypes = language_profiles.learn(docs.where(~out))
     return language_profiles.classify(docs.select("doc_id", "text", out.alias("held_out")), names, prototypes)
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    packed = packing.pack(pieces.drop("ids"), 2048)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc_archive.archive_folder(spark)
+    rows = warc_archive.with_responses(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    index = warc_archive.write_archives(rows, folder)
+    return warc_archive.read_records(index, folder, payloads=False).drop("url", "payload")
