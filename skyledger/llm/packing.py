@@ -22,36 +22,77 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skyledger.llm.common import BoundedCache, as_long, slices, tasks_for, text_of, word_lists, written
+from skyledger.llm.common import as_long, slices, tasks_for, text_of, word_lists, written
 
 GROUP_ROWS = 50_000  # remainders that one task packs
 END_ID = 1
 
 
 class WordEncoder:
-    """Ids (little-endian unsigned 32-bit) of texts under a vocabulary that drops white space."""
+    """Ids (little-endian unsigned 32-bit) of texts under a vocabulary that drops white space.
 
-    def __init__(self, path: str):
+    Words that are not known yet are encoded together, with a special string between them
+    as the mark at which their ids are cut apart again.
+    """
+
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = BoundedCache(self._encode)
-
-    def _encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
+        self.entries, self.words, self.plain = entries, {}, {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_all(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, "<u4")
+        raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+        return [raw[4 * begin:4 * end] for begin, end in zip([0, *(e + 1 for e in ends[:-1])], ends)]
+
+    @staticmethod
+    def _parts(text: str) -> tuple[str, str]:
+        """Words of Latin letters share their entry with other cases, and with the marks after them.
+
+        Up to U+00FF lower case is one letter for one and nothing composes, and a run of
+        marks after a letter or digit is never part of the same token.
+        """
+        if max(text) >= "\u0100" or "<|" in text:
+            return text, ""
+        low = text.lower()
+        stem = low.rstrip(punctuation)
+        return (stem, low[len(stem):]) if stem and stem[-1].isalnum() else (low, "")
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts = {word: self._parts(word.decode("utf-8", "surrogatepass")) for word in words}
+        wanted = {p for pair in parts.values() for p in pair if p}
+        if len(self.plain) + len(wanted) > self.entries:
+            self.plain.clear()
+        missing = list(wanted.difference(self.plain))
+        joined = [p for p in missing if "<|" not in p]
+        self.plain.update(zip(joined, self._encode_all(joined)) if joined else ())
+        self.plain.update((p, self.encode(p)) for p in missing if "<|" in p)
+        self.plain[""] = b""
+        self.words.update((word, self.plain[stem] + self.plain[marks]) for word, (stem, marks) in parts.items())
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of a whole text, in parts."""
         for words in word_lists(text.encode("utf-8", "surrogatepass")):
+            missing = set(words).difference(self.words)
+            if len(self.words) + len(missing) > self.entries:
+                self.words.clear()
+                missing = set(words)
+            if missing:
+                self._learn(missing)
             yield b"".join(map(self.words.__getitem__, words))
 
 
