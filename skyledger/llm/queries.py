@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import session
-from skyledger.llm import balanced_shards, decontaminate, language_profiles, packing, secret_scan, token_counts, warc_archive
+from skyledger.llm import balanced_shards, decontaminate, language_profiles, ngram_join, packing, secret_scan, token_counts, warc_archive
 from skyledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = balanced_shards.sized(table(spark, sf_dir, "documents", "doc_id", "text"))
