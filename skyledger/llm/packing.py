@@ -50,12 +50,13 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
         self.entries, self.words, self.plain = entries, {}, {}
+        self.old_words, self.old_plain = {}, {}  # what was known when a cache was last full
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode_all(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
         raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
         return [raw[4 * begin:4 * end] for begin, end in zip([0, *(e + 1 for e in ends[:-1])], ends)]
 
@@ -76,8 +77,11 @@ class WordEncoder:
         parts = {word: self._parts(word.decode("utf-8", "surrogatepass")) for word in words}
         wanted = {p for pair in parts.values() for p in pair if p}
         if len(self.plain) + len(wanted) > self.entries:
-            self.plain.clear()
-        missing = list(wanted.difference(self.plain))
+            self.old_plain, self.plain = self.plain, {}
+        missing = wanted.difference(self.plain)
+        again = missing.intersection(self.old_plain)
+        self.plain.update((p, self.old_plain[p]) for p in again)
+        missing = list(missing - again)
         joined = [p for p in missing if "<|" not in p]
         self.plain.update(zip(joined, self._encode_all(joined)) if joined else ())
         self.plain.update((p, self.encode(p)) for p in missing if "<|" in p)
@@ -89,10 +93,12 @@ class WordEncoder:
         for words in word_lists(text.encode("utf-8", "surrogatepass")):
             missing = set(words).difference(self.words)
             if len(self.words) + len(missing) > self.entries:
-                self.words.clear()
+                self.old_words, self.words = self.words, {}
                 missing = set(words)
-            if missing:
-                self._learn(missing)
+            again = missing.intersection(self.old_words)
+            self.words.update((word, self.old_words[word]) for word in again)
+            if len(missing) > len(again):
+                self._learn(missing - again)
             yield b"".join(map(self.words.__getitem__, words))
 
 
