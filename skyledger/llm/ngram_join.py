@@ -77,7 +77,7 @@ def document_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame
     return written(rows.mapInArrow(run, schema), "document-sets")
 
 
-def _fragments(docs: DataFrame, text: str) -> int:
+def order_fragments(docs: DataFrame, text: str) -> int:
     """A power of two, by the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length(text_of(text)).cast("long"))).first()[0] or 0
     return 1 << max(4, (size // FRAGMENT_BYTES).bit_length())
@@ -92,16 +92,19 @@ def _cut(sorted_values: np.ndarray, fragments: int) -> Iterator[tuple[int, np.nd
             yield fragment, sorted_values[bounds[fragment]:bounds[fragment + 1]]
 
 
-def frequent_ngrams(sets: DataFrame, fragments: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, int]:
+def frequent_ngrams(rows: DataFrame, ngrams_of, fragments: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, int]:
     """Sorted prefixes (``24 + log2(fragments)`` bits) of the n-grams in more than ``frequent`` documents, and their width.
 
-    N-grams that share these bits are counted together; that changes the order, never the result.
+    ``rows`` has one column, of which ``ngrams_of`` makes the distinct 48-bit n-grams of
+    each document. N-grams that share these bits are counted together; that changes the
+    order, never the result.
     """
     bits = min(_BITS, fragments.bit_length() - 1 + 24)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 * _ROWS):
-            values = np.sort(unpacked(b"".join(x for x in batch.column(0).to_pylist() if x)))
+            values = [ngrams_of(x) for x in batch.column(0)]
+            values = np.sort(np.concatenate(values)) if values else np.empty(0, np.int64)
             found = [(f, np.ascontiguousarray(((part >> (_BITS - bits)) & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes())
                      for f, part in _cut(values, fragments)]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["fragment", "part"])
@@ -115,7 +118,7 @@ def frequent_ngrams(sets: DataFrame, fragments: int, frequent: int = FREQUENT, m
         fragment = table.column("fragment")[0].as_py()
         return pa.table({"value": as_long(values[common].astype(np.int64) | (fragment << 24)), "documents": as_long(counts[common])})
 
-    dealt = sets.where(F.col("ngrams").isNotNull()).select("ngrams").mapInArrow(deal, "fragment int, part binary")
+    dealt = rows.mapInArrow(deal, "fragment int, part binary")
     found = written(dealt.groupBy("fragment").applyInArrow(count, "value long, documents long"), "frequent-ngrams")
     least = frequent
     while found.where(F.col("documents") > least).count() > most:
@@ -124,6 +127,13 @@ def frequent_ngrams(sets: DataFrame, fragments: int, frequent: int = FREQUENT, m
     return np.sort(chosen), bits
 
 
+def is_frequent(ngrams: np.ndarray, common: np.ndarray, bits: int) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(ngrams), bool)
+    short = ngrams >> (_BITS - bits)
+    return common[np.minimum(np.searchsorted(common, short), len(common) - 1)] == short
+
+
 def _pairs_of(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs within runs of equal n-grams; the runs are short."""
     left, right = [], []
@@ -168,8 +178,7 @@ def candidates(sets: DataFrame, fragments: int, common: np.ndarray, common_bits:
                 ngrams, size = unpacked(batch.column(2)[i].as_py()), int(sizes[place])
                 length = size - -(-top * size // bottom) + 1
                 if len(known):
-                    short = ngrams >> (_BITS - common_bits)
-                    often = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+                    often = is_frequent(ngrams, known, common_bits)
                     rare = ngrams[~often][:length]
                     chosen = np.concatenate([rare, ngrams[often][:length - len(rare)] | (1 << _BITS)]) if len(rare) < length else rare
                 else:
@@ -349,9 +358,9 @@ def links(sets: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFram
 
 def _joined(docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The documents' sets, and for every set its component and its number of links."""
-    fragments = _fragments(docs, text)
+    fragments = order_fragments(docs, text)
     sets = document_sets(docs, key, text, width)
-    common, bits = frequent_ngrams(sets, fragments)
+    common, bits = frequent_ngrams(sets.where(F.col("ngrams").isNotNull()).select("ngrams"), lambda x: unpacked(x.as_py()), fragments)
     found = links(sets, candidates(sets, fragments, common, bits, share), share)
     groups = components(found, "id", "root", "join-components").withColumnsRenamed({"vertex": "id"})
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))

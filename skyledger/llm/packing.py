@@ -79,7 +79,7 @@ class WordEncoder:
         if len(self.plain) + len(wanted) > self.entries:
             self.old_plain, self.plain = self.plain, {}
         missing = wanted.difference(self.plain)
-        again = missing.intersection(self.old_plain)
+        again = {p for p in missing if p in self.old_plain}
         self.plain.update((p, self.old_plain[p]) for p in again)
         missing = list(missing - again)
         joined = [p for p in missing if "<|" not in p]
@@ -95,7 +95,7 @@ class WordEncoder:
             if len(self.words) + len(missing) > self.entries:
                 self.old_words, self.words = self.words, {}
                 missing = set(words)
-            again = missing.intersection(self.old_words)
+            again = {word for word in missing if word in self.old_words}
             self.words.update((word, self.old_words[word]) for word in again)
             if len(missing) > len(again):
                 self._learn(missing - again)

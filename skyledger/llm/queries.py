@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import session
-from skyledger.llm import balanced_shards, decontaminate, language_profiles, ngram_join, packing, secret_scan, token_counts, warc_archive
+from skyledger.llm import balanced_shards, decontaminate, language_profiles, ngram_join, packing, passage_dedup, secret_scan, token_counts, warc_archive
 from skyledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.passages(table(spark, sf_dir, "documents", "doc_id", "text")).drop("row_number")
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
