@@ -148,6 +148,19 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     return [name for name, _ in found], (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
+def _judged(texts: list[str | None], names: list[str], prototypes: np.ndarray) -> tuple[list[str], list[float], list[int]]:
+    """Language, cosine (0 where negative) and number of letter triples of each text."""
+    counts = [gram_counts(t) for t in texts]
+    triples = [int(n.sum()) for _, n in counts]
+    if not names:
+        return [NOT_KNOWN] * len(texts), [0.0] * len(texts), triples
+    vectors = bundled(counts)
+    cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    best = cosines.argmax(axis=1).tolist()
+    langs = [names[b] if n else NOT_KNOWN for b, n in zip(best, triples)]
+    return langs, [float(min(1.0, max(0.0, cosines[i, b]))) if n else 0.0 for i, (b, n) in enumerate(zip(best, triples))], triples
+
+
 def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` without the text, with the predicted language and its cosine (0 where negative); no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast((names, prototypes))
@@ -155,19 +168,29 @@ def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prototypes = shipped.value
         for batch in slices(batches, _ROWS):
             at = batch.schema.get_field_index(copy)
-            counts = [gram_counts(t) for t in batch.column(at).to_pylist()]
-            vectors = bundled(counts)
-            cosines = vectors @ prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            known = np.array([len(g) > 0 for g, _ in counts], bool) & bool(names)
-            best = cosines.argmax(axis=1) if names else np.zeros(len(counts), int)
-            langs = [names[b] if k else NOT_KNOWN for b, k in zip(best, known)]
-            scores = [float(min(1.0, max(0.0, cosines[i, b]))) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))]
+            langs, scores, _ = _judged(batch.column(at).to_pylist(), *shipped.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              [*(n for n in batch.schema.names if n != copy), prediction, score])
 
     rows = docs.select(*kept, F.col(text).alias(copy))
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != copy), T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())])
     return rows.mapInArrow(run, schema)
+
+
+def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", least_score: float = 0.1, sure_triples: int = 200) -> DataFrame:
+    """``docs`` without the rows in no known language.
+
+    Those are texts without letters, and texts of at least ``sure_triples`` letter triples
+    whose best cosine is below ``least_score``; the cosine of short texts says too little.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast((names, prototypes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, _ROWS):
+            langs, scores, triples = _judged(batch.column(batch.schema.get_field_index(text)).to_pylist(), *shipped.value)
+            yield batch.filter(pa.array([n > 0 and (not known or n < sure_triples or score >= least_score) for score, n in zip(scores, triples)], pa.bool_()))
+
+    known = bool(names)
+    return docs.mapInArrow(run, docs.schema)

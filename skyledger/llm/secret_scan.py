@@ -114,21 +114,17 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str =
                        F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"))
 
 
-def _masked(text: Column, live: Column) -> Column:
-    """``text`` with every value whose hash is in ``live`` replaced."""
-    for name in KINDS:
-        pattern, group, least = PATTERNS[name]
+def _masked_kind(text: Column, live: Column, name: str) -> Column:
+    pattern, group, least = PATTERNS[name]
 
-        def put(match: Column, pattern=pattern, group=group, least=least) -> Column:
-            value = F.regexp_extract(match, pattern, group)
-            head = F.substring(match, F.lit(1), F.length(match) - F.length(value))
-            hit = (F.length(value) >= least) & F.array_contains(live, F.sha2(value, 256))
-            return F.when(hit, F.concat(head, F.lit(MASK))).otherwise(match)
+    def put(match: Column) -> Column:
+        value = F.regexp_extract(match, pattern, group)
+        hit = (F.length(value) >= least) & F.array_contains(live, F.sha2(value, 256))
+        return F.when(hit, F.concat(F.substring(match, F.lit(1), F.length(match) - F.length(value)), F.lit(MASK))).otherwise(match)
 
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), put)
-        parts = F.zip_with(F.split(text, pattern, -1), found, lambda part, match: F.concat(part, F.coalesce(match, F.lit(""))))
-        text = F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
-    return text
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), put)
+    parts = F.zip_with(F.split(text, pattern, -1), found, lambda part, match: F.concat(part, F.coalesce(match, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id",
@@ -147,6 +143,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: str
     judged = _judged(_located(light), copied_owners, live_owners).where(F.col("verdict") == "live")
     hashes = judged.groupBy("rid").agg(F.collect_set("hash").alias(live)).withColumnRenamed("rid", rid)
     marked = aside.drop(own, rep, occ).join(hashes, rid, "left")
-    masked = F.when(F.col(live).isNotNull(), _masked(F.col(text), F.col(live))).otherwise(F.col(text))
-    cleaned = marked.withColumn(text, masked).select(*docs.columns)
+    for name in KINDS:  # a value inside one that is masked goes with it
+        marked = marked.withColumn(text, F.when(F.col(live).isNotNull(), _masked_kind(F.col(text), F.col(live), name)).otherwise(F.col(text)))
+    cleaned = marked.select(*docs.columns)
     return docs.where(~has).unionByName(cleaned)
