@@ -10,36 +10,40 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger import session
 from skyledger.llm import decontaminate, language_profiles, ngram_join, packing, secret_scan
-from skyledger.llm.common import table, written
+from skyledger.llm.common import prepared, table, written
 
 SEQUENCE_TOKENS = 2048
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; what is in none goes."""
+    prepared(spark)
     names, prototypes = language_profiles.learn(docs.where(~language_profiles.held_out("doc_id")))
     return language_profiles.with_language(docs, names, prototypes)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of similar ones: that of the least doc_id."""
+    prepared(spark)
     return ngram_join.one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    prepared(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, the credentials that look live masked."""
+    prepared(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document: its place in the document and in its sequence."""
+    prepared(spark)
     pieces = packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE_TOKENS)
     return packing.pack(pieces.drop("ids"), SEQUENCE_TOKENS).drop("piece")
 
@@ -49,7 +53,7 @@ ORACLE_SQL = None  # learned languages, edit distance and token ids are beyond S
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session.configure(spark)
+    prepared(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

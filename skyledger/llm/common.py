@@ -12,9 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skyledger import session
 
 ROWS_AT_ONCE = 512  # rows that a task turns into Python objects at a time
+ARROW_ROWS = 2048
 PIECE_BYTES = 1 << 20  # very long texts are split into words in pieces of about this size
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Session settings of these operators: tasks exchange rows with Python in batches that stay small with long texts."""
+    session.configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -84,7 +92,7 @@ def word_hashes(data: bytes, cache: BoundedCache) -> np.ndarray:
 
 
 def hash_cache() -> BoundedCache:
-    return BoundedCache(xxhash.xxh64_intdigest)
+    return BoundedCache(xxhash.xxh64_intdigest, entries=150_000)
 
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -39,7 +39,7 @@ from skyledger.llm.components import components
 FREQUENT = 32  # documents; more common n-grams come last in the order
 MOST_FREQUENT = 4_000_000  # n-grams that may be sent to every task (32 MB); beyond, only more common ones count as frequent
 FRAGMENT_BYTES = 16 << 20  # of text, for each fragment of the order
-PREFIX_FRAGMENTS = 4  # fragments that are joined for the prefixes, which are a quarter of all n-grams
+PREFIX_FRAGMENTS = 2  # fragments that are joined for the prefixes, which are a quarter of all n-grams
 MOST_SENT = 1_000_000  # document numbers that may be sent to every task (8 MB); beyond, they are joined
 BLOCK_NGRAMS = 4_000_000  # n-grams that a task holds of each side
 _BITS = 48

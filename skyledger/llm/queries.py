@@ -7,9 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger import session
 from skyledger.llm import balanced_shards, decontaminate, language_profiles, ngram_join, packing, passage_dedup, secret_scan, token_counts, warc_archive
-from skyledger.llm.common import table
+from skyledger.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +22,7 @@ def query(function: Query) -> Query:
 
 def registered() -> dict[str, Query]:
     def bind(function: Query) -> Query:
-        return lambda spark, sf_dir: function(session.configure(spark), sf_dir)
+        return lambda spark, sf_dir: function(prepared(spark), sf_dir)
 
     return {name: bind(function) for name, function in _registry.items()}
 
