@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import balanced_shards, decontaminate, language_profiles, ngram_join, packing, passage_dedup, secret_scan, token_counts, warc_archive
+from skyledger.llm import balanced_shards, decontaminate, language_profiles, metric_search, ngram_join, packing, passage_dedup, secret_scan, token_counts, warc_archive
 from skyledger.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 5, F.col("vec_id") % 50 == 0)
+
+
 @query
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.passages(table(spark, sf_dir, "documents", "doc_id", "text")).drop("row_number")
