@@ -16,7 +16,8 @@ rare n-grams: those of equal common part are one vertex, whatever else they hold
 parts are exact for pairs that collide; no bucket is cut.
 
 Defined cases: null and empty texts, and texts of fewer words than a paragraph, have no
-passages; repeated rows are repeated passages; a null key comes before others when the
+passages; what occurs in one row only is no repeated passage, however often; repeated rows
+are repeated passages; a null key comes before others when the
 first paragraph is chosen, ties go to the row read first; an empty table gives an empty
 result. Other columns are ignored, whatever their names.
 """
@@ -39,7 +40,7 @@ PARAGRAPH = 24  # words
 WIDTH = 5  # words of an n-gram
 GRAMS = PARAGRAPH - WIDTH + 1
 MOST_SENT = 4_000_000  # vertex numbers that may be sent to every task (32 MB); beyond, they are joined
-ENTRIES = np.dtype([("value", "<u8"), ("vertex", "<i8")])
+ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8")])
 _ROWS = 512
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 _TOP = np.uint64(1 << 63)
@@ -105,9 +106,10 @@ class Paragraphs:
         self.mostly_common = 4 * rare <= GRAMS
         self.kind = np.where(rare == 0, self.content, mixed(mark + rare.astype(np.uint64)).view(np.int64))
 
-    def entries(self, bands: int, rows: int) -> np.ndarray:
-        """(band value, vertex) of every paragraph."""
-        found = []
+    def entries(self, bands: int, rows: int, documents: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fragment and (next 32 bits of the band value, document, vertex) of every paragraph and band."""
+        parts, found, shift = [], [], np.uint64(64 - fragments.bit_length() + 1)
+        documents = (mixed(documents.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)[self.owner]
         for band in range(bands):
             rare_value = np.full(len(self.at), band + 1, np.uint64)
             common_value = rare_value.copy()
@@ -117,9 +119,10 @@ class Paragraphs:
                 common_value = mixed(common_value ^ np.where(self.common, key, _TOP).min(1) ^ np.uint64(0x5555))
             for values, vertex, used in ((rare_value, self.content, self.rare > 0), (common_value, self.kind, self.mostly_common)):
                 part = np.zeros(int(used.sum()), ENTRIES)
-                part["value"], part["vertex"] = values[used], vertex[used]
+                part["value"], part["document"], part["vertex"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used], vertex[used]
+                parts.append((values[used] >> shift).astype(np.int64))
                 found.append(part)
-        return np.concatenate(found)
+        return np.concatenate(parts), np.concatenate(found)
 
 
 def _words(batch: pa.RecordBatch, column: int, cache) -> list[np.ndarray]:
@@ -127,26 +130,30 @@ def _words(batch: pa.RecordBatch, column: int, cache) -> list[np.ndarray]:
 
 
 def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> DataFrame:
-    """Pairs (x, y) of vertices to verify, a chain for each bucket; (x, x) for a vertex that occurs more than once."""
-    shift = np.uint64(64 - fragments.bit_length() + 1)
+    """Pairs (x, y) of vertices to verify, a chain for each bucket; (x, x) for a vertex that occurs more than once.
 
+    Buckets of a single document are left out: paragraphs of one text overlap.
+    """
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (common, bits) = hash_cache(), shipped.value
-        for batch in slices(batches, _ROWS):
-            found = Paragraphs(_words(batch, 0, cache), common, bits).entries(bands, rows)
-            part = (found["value"] >> shift).astype(np.int64)
+        for batch in slices(batches, 4 * _ROWS):
+            part, found = Paragraphs(_words(batch, 1, cache), common, bits).entries(bands, rows, batch.column(0).to_numpy(), fragments)
             order = np.argsort(part, kind="stable")
             kinds, at = np.unique(part[order], return_index=True)
             blobs = [x.tobytes() for x in np.split(found[order], at[1:])] if len(kinds) else []
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "entries"])
 
     def collide(table: pa.Table) -> pa.Table:
-        found = np.sort(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRIES), order=["value", "vertex"])
+        found = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRIES)
+        found = found[np.lexsort((found["vertex"], found["value"]))]
+        starts = np.flatnonzero(np.concatenate([[True], found["value"][1:] != found["value"][:-1]]))
+        several = np.minimum.reduceat(found["document"], starts) != np.maximum.reduceat(found["document"], starts)
+        found = found[np.repeat(several, np.diff(np.append(starts, len(found))))]
         same = found["value"][1:] == found["value"][:-1]
         pairs = np.unique(np.stack([found["vertex"][:-1][same], found["vertex"][1:][same]], 1), axis=0)
         return pa.table({"x": as_long(pairs[:, 0]), "y": as_long(pairs[:, 1])})
 
-    dealt = docs.select("x_text").mapInArrow(deal, "part int, entries binary")
+    dealt = docs.select("rid", "x_text").mapInArrow(deal, "part int, entries binary")
     return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long"), "passage-candidates")
 
 
@@ -273,7 +280,7 @@ def _minus(spans: list[tuple[int, int, int]], kept: list[tuple[int, int, int]])
     return out
 
 
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.9) -> DataFrame:
     """A row per repeated passage of a document: key, row number, start and end (code points), cluster, and whether it is removed."""
     bands, rows = tuned(share[0] / share[1], recall)
     fragments = order_fragments(docs, text)
@@ -292,7 +299,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     placed = found.select("rid", "key", "start", "end", "content").join(clusters, "content", "left")
     placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"))
     placed = written(_apart(placed), "passage-places")
-    firsts = placed.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "rid", "start")).alias("first")).where("times > 1")
+    firsts = placed.groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
     judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
     removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start")))
     per_row = judged.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", removed.alias("removed"))).alias("spans"))
@@ -310,7 +317,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     return per_row.mapInArrow(merge, schema)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.9) -> DataFrame:
     """``docs`` with the removed passages cut out of the texts.
 
     ``docs`` is read more than once and must give the same rows in the same order.
