@@ -48,8 +48,8 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def assign(rows: DataFrame, shards: int, key: str = "doc_id", size: str = "size") -> DataFrame:
-    """``rows`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
-    spark = rows.sparkSession
+    """``rows`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard), in place of columns of these names."""
+    spark, rows = rows.sparkSession, rows.drop("shard", "slot")
     spread, part, before, row, base, base_row = fresh([*rows.columns, "shard", "slot"], "x_spread", "x_part", "x_before", "x_row", "x_base", "x_base_row")
     order = [F.col(key).asc_nulls_first(), F.col(spread)]
     ranged = rows.withColumn(spread, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).repartitionByRange(*order)

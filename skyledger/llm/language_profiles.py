@@ -60,27 +60,34 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     return (first[grams // (SLOTS * SLOTS)] * second[grams // SLOTS % SLOTS] * third[grams % SLOTS]).astype(np.float32)
 
 
-def _grams(text: str) -> np.ndarray:
-    slots = _slots()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+def _collapsed(text: str, before: np.ndarray, last: bool) -> np.ndarray:
+    """Slots of the letters and gaps of ``text``, after the slots that came before."""
+    slots = _slots()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    slots = np.concatenate([before, slots, np.zeros(1 if last else 0, np.int32)])
     kept = np.ones(len(slots), bool)
     kept[1:] = (slots[1:] != 0) | (slots[:-1] != 0)
-    slots = slots[kept]
-    return (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:] if slots.any() else np.empty(0, np.int32)
+    return slots[kept]
+
+
+def _triples(slots: np.ndarray) -> np.ndarray:
+    return (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:]
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct triples of a whole text and how often each occurs."""
+    gap = np.zeros(1, np.int32)
     if not text:
         return np.empty(0, np.int32), np.empty(0, np.int64)
     if len(text) <= _PIECE:
-        return np.unique(_grams(text), return_counts=True)
+        return np.unique(_triples(_collapsed(text, gap, True)), return_counts=True)
     total: dict[int, int] = {}
-    at = 0
-    while at < len(text):  # cut at a gap, so that no triple is lost or made
+    at, slots = 0, gap
+    while at < len(text):  # cut between words, whose lower case may depend on their end
         end = min(at + _PIECE, len(text))
         while end < len(text) and text[end].isalpha() and end < at + 2 * _PIECE:
             end += 1
-        for gram, n in zip(*(x.tolist() for x in np.unique(_grams(text[at:end]), return_counts=True))):
+        slots = _collapsed(text[at:end], slots[-2:], end == len(text))
+        for gram, n in zip(*(x.tolist() for x in np.unique(_triples(slots), return_counts=True))):
             total[gram] = total.get(gram, 0) + n
         at = end
     grams = np.array(sorted(total), np.int32)
@@ -162,10 +169,10 @@ def _judged(texts: list[str | None], names: list[str], prototypes: np.ndarray) -
 
 
 def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` without the text, with the predicted language and its cosine (0 where negative); no shuffle."""
+    """``docs`` without the text, with the predicted language and its cosine (0 where negative) in place of columns of these names; no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast((names, prototypes))
     copy, = fresh(docs.columns, "x_text")
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, prediction, score)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _ROWS):

@@ -26,7 +26,7 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 VERDICTS = ("live", "example")  # kinds of the spans that the judgement adds
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_.-]?|xxxx|0000|1234567|^(.)\1*$"
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_.-]|x{4}|0{8}|1234567|^(.)\1*$"
 MASK = "[SECRET]"
 
 
