@@ -48,10 +48,14 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    """The same rows in smaller batches, so that few texts are Python objects at a time.
+
+    Python workers live on for later tasks, so Arrow's free memory is given back at the end.
+    """
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def word_lists(data: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
@@ -72,7 +76,7 @@ def word_lists(data: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
 class BoundedCache(dict):
     """A dict that computes what it lacks and starts anew when it is full; results never depend on that."""
 
-    def __init__(self, compute, entries: int = 400_000, longest: int = 64):
+    def __init__(self, compute, entries: int = 150_000, longest: int = 64):
         super().__init__()
         self.compute, self.entries, self.longest = compute, entries, longest
 
@@ -92,7 +96,7 @@ def word_hashes(data: bytes, cache: BoundedCache) -> np.ndarray:
 
 
 def hash_cache() -> BoundedCache:
-    return BoundedCache(xxhash.xxh64_intdigest, entries=150_000)
+    return BoundedCache(xxhash.xxh64_intdigest)
 
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -56,7 +56,7 @@ class PairMerger:
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(PATTERN)
-        self.pieces = BoundedCache(lambda piece: self.merged(piece.encode()))
+        self.pieces = BoundedCache(lambda piece: self.merged(piece.encode()), entries=400_000)  # small numbers; the dearest to compute
         self.at_start = BoundedCache(self._by_pattern)
         self.after_space = BoundedCache(lambda chunk: self._by_pattern(" " + chunk))
 
