@@ -114,12 +114,16 @@ SELECT max(total_records) AS total_records, {N} AS checks_run, count(*) FILTER (
   count(*) FILTER (WHERE NOT passed AND severity = 'warning') AS checks_warned,
   count(*) FILTER (WHERE NOT passed AND severity = 'error') = 0 AS is_healthy,
   {pct('count(*) FILTER (WHERE passed)', N, 2)} AS pass_rate_pct FROM v_raw"""
+MISSING = " OR ".join(f"{c} IS NULL" for c in REQUIRED)
 MORE["validation_samples"] = f"""
 SELECT rule_name, value, CAST(row_number() OVER (PARTITION BY rule_name ORDER BY value NULLS LAST) AS INTEGER) AS sample_rank
 FROM (SELECT 'required_fields_present' AS rule_name, flight_id AS value FROM raw
-        WHERE flight_id IS NULL OR source_airport IS NULL OR dest_airport IS NULL OR event_timestamp IS NULL
+        WHERE {MISSING}
       UNION ALL SELECT DISTINCT 'status_is_valid_enum', status FROM raw WHERE status NOT IN {VALID}
-      UNION ALL SELECT 'no_route_self_loop', source_airport FROM raw WHERE source_airport = dest_airport)
+      UNION ALL SELECT 'no_route_self_loop', source_airport FROM raw WHERE source_airport = dest_airport
+      UNION ALL SELECT 'no_duplicate_event_ids', event_id FROM raw WHERE event_id IS NOT NULL GROUP BY event_id HAVING count(*) > 1
+      UNION ALL SELECT 'coordinate_bounds_valid', '{{' || concat_ws(',', '"flight_id":"' || flight_id || '"', '"latitude":' || latitude, '"longitude":' || longitude) || '}}'
+        FROM raw WHERE latitude IS NULL OR longitude IS NULL OR latitude NOT BETWEEN -90 AND 90 OR longitude NOT BETWEEN -180 AND 180)
 QUALIFY sample_rank <= 5"""
 
 CODES = [("flight_id", "s"), ("source_airport", "s"), ("dest_airport", "s"), ("latitude", "n"), ("longitude", "n"), ("status", "s")]
@@ -169,17 +173,18 @@ SELECT bool_and(success) AS success, {N} AS total_checks, count(*) FILTER (WHERE
 FROM x_clean"""
 MORE["numeric_profile"] = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS n, {R(f'avg({c})', 6)} AS mean, {R(f'stddev_samp({c})', 6)} AS stddev, "
-    f"CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum FROM raw"
+    f"CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum, "
+    + ", ".join(f"CAST(quantile_disc({c}, {q}) AS DOUBLE) AS {name}" for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))) + " FROM raw"
     for c in ["latitude", "longitude", "altitude", "speed", "heading", "delay_minutes"])
 
 # --- payloads and ingestion
 STAGED = """flight_id, airline, flight_number, source_airport, dest_airport, altitude, speed, latitude, longitude, status,
   loaded_at AS ingested_at"""
-MORE["publish_messages"] = f"SELECT coalesce(flight_id, 'unknown') AS key, {N} AS messages, {N} AS parseable FROM raw GROUP BY 1"
+MORE["publish_messages"] = f"SELECT coalesce(flight_id, 'unknown') AS key, {N} AS messages, {N} AS succeeded, {big('0')} AS failed FROM raw GROUP BY 1"
 MORE["payload_projection"] = f"SELECT {STAGED} FROM raw"
 MORE["payload_paths"] = """SELECT * EXCLUDE (loaded_at) REPLACE (CAST(altitude AS INTEGER) AS altitude,
   CAST(delay_minutes AS INTEGER) AS delay_minutes) FROM raw"""
-RECENT = f"loaded_at >= {AS_OF} - INTERVAL 6 HOUR AND loaded_at >= {AS_OF} - INTERVAL 1440 MINUTE"
+RECENT = f"loaded_at >= {AS_OF} - INTERVAL 6 HOUR AND loaded_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 MINUTE"
 MORE["unprocessed_recent"] = f"SELECT {STAGED}, FALSE AS processed FROM raw WHERE {RECENT}"
 MORE["data_present_gate"] = f"SELECT {N} AS waiting, {N} > 0 AS ready FROM raw WHERE {RECENT}"
 CTES["api"] = f"""
@@ -192,6 +197,15 @@ FROM raw WHERE latitude <> 0 AND longitude <> 0"""
 MORE["api_flatten"] = "SELECT * FROM api"
 MORE["api_request_filter"] = "SELECT * FROM api WHERE airline_iata = 'AI' AND status = 'active' AND source_airport = 'DEL'"
 MORE["bulk_load_json"] = 'SELECT * EXCLUDE (loaded_at, event_timestamp), event_timestamp AS "timestamp" FROM raw'
+CTES["untidy"] = """SELECT n % 10 = 7 AS broken, CASE WHEN n % 4 < 2 THEN altitude END AS altitude
+FROM (SELECT *, CAST(regexp_extract(event_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM raw)"""
+MORE["bulk_load_untidy_json"] = f"""
+SELECT kind, {N} FILTER (WHERE NOT broken) AS rows_loaded, {N} FILTER (WHERE broken AND kind = 'lines') AS errors_seen,
+  count(altitude) FILTER (WHERE NOT broken) AS with_altitude, {big('sum(altitude) FILTER (WHERE NOT broken)')} AS altitude_sum
+FROM untidy, (SELECT unnest(['lines', 'arrays']) AS kind) GROUP BY kind"""
+MORE["written_results"] = f"""SELECT f AS format, s.* FROM (
+  SELECT airline_iata, count(DISTINCT aircraft_type) AS aircraft_types, {N} AS events,
+  array_to_string(list_sort(list(DISTINCT aircraft_type)), ',') AS types FROM fact GROUP BY airline_iata) s, (SELECT unnest(['json', 'csv']) AS f)"""
 DAY = "CAST(event_timestamp AS DATE) AS event_date"
 MORE["raw_merge_batch"] = f"""SELECT *, {DAY}, FALSE AS is_transformed,
   CASE WHEN event_timestamp >= {LATE_DAY} THEN 'batch-2' ELSE 'batch-1' END AS ingestion_batch_id FROM d1"""
@@ -396,7 +410,7 @@ REPORT_TABLES = [
 LIVE30 = f"""(SELECT DISTINCT airline_iata FROM fact WHERE event_date = {TODAY} AND status = 'active'
   AND event_timestamp >= {AS_OF} - INTERVAL 30 MINUTE)"""
 MORE["report_run_summary"] = "SELECT *, CASE WHEN row_count > 0 THEN 'success' ELSE 'empty' END AS status FROM (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS name, '{team}' AS team, least(count(*), {lim}) AS row_count, CAST({cols} AS INTEGER) AS column_count FROM {src or LIVE30}"
+    f"SELECT '{n}' AS name, '{team}' AS team, count(*) AS row_count, CAST({cols} AS INTEGER) AS column_count FROM {src or LIVE30}"
     for n, team, lim, src, cols in REPORT_TABLES) + ")"
 MORE["fact_rolling_views"] = f"""SELECT 'all' AS view_name, {N} AS row_count FROM fact
 UNION ALL SELECT 'recent', {N} FROM fact WHERE event_date >= {TODAY} - 7
@@ -429,11 +443,12 @@ MORE["airport_slice"] = """SELECT airport_code, city, total_movements, departure
 FROM q5 ORDER BY congestion_rank, airport_code LIMIT 20"""
 MORE["segment_slice"] = """SELECT segment, total_flights, traffic_share_pct, avg_delay_minutes, avg_otp_rate_pct, cancellation_rate_pct,
   unique_routes FROM q9"""
-CTES["l1"] = f"""SELECT s.*, coalesce(airline_name, airline_iata) AS airline_name FROM (
+CTES["l1_all"] = f"""SELECT s.*, coalesce(airline_name, airline_iata) AS airline_name FROM (
   SELECT airline_iata, count(DISTINCT flight_id) AS active_flights, {R('avg(altitude)', 0)} AS avg_altitude_ft, {R('avg(speed)', 1)} AS avg_speed_kmh,
     {R('avg(delay_minutes)', 1)} AS avg_delay_minutes, {pct(LATE, N, 1)} AS pct_delayed, max(event_timestamp) AS last_seen_at
   FROM fact WHERE event_date = {TODAY} GROUP BY airline_iata) s
-LEFT JOIN (SELECT airline_code, airline_name FROM dim_airlines) ON airline_iata = airline_code ORDER BY active_flights DESC, airline_iata LIMIT 20"""
+LEFT JOIN (SELECT airline_code, airline_name FROM dim_airlines) ON airline_iata = airline_code"""
+CTES["l1"] = "SELECT * FROM l1_all ORDER BY active_flights DESC, airline_iata LIMIT 20"
 MORE["active_today"] = "SELECT * FROM l1"
 CTES["l2"] = f"""SELECT flight_id, airline_iata, source_airport, dest_airport, route_key, latitude, longitude, altitude, speed, status,
   delay_minutes, delay_bucket, flight_phase, is_international, event_timestamp
@@ -457,7 +472,7 @@ MORE["route_bubbles"] = f"""SELECT route_key, otp_rate_pct, avg_delay_minutes, r
   {R("least(greatest(total_flights / (SELECT greatest(max(total_flights), 1) FROM q6) * 40 + 5, 5), 45)", 6)} AS size FROM q6"""
 MORE["run_bubbles"] = f"""SELECT run_id, status, elapsed_seconds,
   {R("least(greatest(records_written / (SELECT greatest(max(records_written), 1) FROM runs50) * 20 + 5, 5), 25)", 6)} AS size FROM runs50"""
-MORE["home_kpis"] = f"""SELECT (SELECT {big('sum(active_flights)')} FROM l1) AS total_active, raw_records_today, clean_record_pct, raw_lag_minutes,
+MORE["home_kpis"] = f"""SELECT (SELECT {big('sum(active_flights)')} FROM l1_all) AS total_active, raw_records_today, clean_record_pct, raw_lag_minutes,
   overall_health FROM q10"""
 MORE["health_page"] = """SELECT clean_record_pct, CASE WHEN clean_record_pct >= 95 THEN 'Healthy' ELSE 'Below threshold' END AS clean_label,
   flagged_records_today, CASE WHEN flagged_records_today < 50 THEN 'Low' ELSE 'High' END AS flagged_label,
@@ -501,15 +516,15 @@ SELECT {PAYLOAD}, {AS_OF} AS loaded_at, CAST(event_timestamp AS DATE) AS event_d
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_timestamp) = 1"""
 MORE["stream_dead_letters"] = f"""SELECT array_to_string(errors, ',') AS error_message, {N} AS letters
 FROM rawe WHERE len(errors) > 0 GROUP BY 1"""
+MORE["stream_gate_closed"] = f"""SELECT CASE WHEN len(errors) > 0 THEN array_to_string(errors, ',') ELSE 'batch_rejected' END AS error_message, {N} AS letters
+FROM rawe GROUP BY 1"""
 MORE["stream_quality_gate"] = f"""SELECT {big('sum(t)')} AS total_records, {big('sum(b)')} AS invalid_count
 FROM (SELECT count(*) AS t, count(*) FILTER (WHERE len(errors) > 0) AS b FROM rawe)"""
 MORE["stream_dedup_ids"] = "SELECT DISTINCT event_id FROM raw"
-CLOSED = """(epoch_us(event_timestamp) // 5000000 + 1) * 5000000 <= (SELECT max(epoch_us(event_timestamp)) // 1000 * 1000 + 5000000
-  - 600000000 FROM raw WHERE flight_id IS NOT NULL)"""
-MORE["stream_fuzzy_dedup"] = f"""
+MORE["stream_fuzzy_dedup"] = """
 SELECT event_id, flight_id, event_timestamp FROM (
   SELECT *, lag(event_timestamp) OVER (PARTITION BY flight_id ORDER BY event_timestamp, event_id) AS prev FROM raw WHERE flight_id IS NOT NULL)
-WHERE (prev IS NULL OR event_timestamp - prev >= INTERVAL 5 SECOND) AND {CLOSED}
+WHERE prev IS NULL OR event_timestamp - prev >= INTERVAL 5 SECOND
 UNION ALL SELECT event_id, flight_id, event_timestamp FROM raw WHERE flight_id IS NULL"""
 MORE["stream_latest_positions"] = """SELECT flight_id, airline_iata, latitude, longitude, altitude, speed, status, event_timestamp, event_id
 FROM raw WHERE flight_id IS NOT NULL

@@ -60,7 +60,7 @@ CTES["routes"] = routes("clean", f"event_timestamp >= {AS_OF} - INTERVAL 7 DAY")
 
 CTES["q1_latest"] = f"""
 SELECT * FROM fact WHERE event_date = {TODAY} AND status = 'active' AND NOT data_quality_flag
-  AND event_timestamp >= {AS_OF} - INTERVAL 1440 MINUTE
+  AND event_timestamp >= {AS_OF} - INTERVAL 30 MINUTE
 QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY event_timestamp DESC, event_id) = 1"""
 CTES["q1"] = f"""
 SELECT rank() OVER (ORDER BY active_flights DESC) AS activity_rank, airline_iata,
@@ -229,7 +229,7 @@ CTES["q10"] = CTES["q10"]
 
 STAR = {
     "fact_rows": "SELECT * FROM fact",
-    "fact_recent_build": f"SELECT * FROM fact WHERE transformed_at >= {AS_OF} - INTERVAL 1440 MINUTE",
+    "fact_recent_build": f"SELECT * FROM fact WHERE transformed_at >= {AS_OF} - INTERVAL 20 MINUTE",
     "dim_airlines": "SELECT * FROM dim_airlines",
     "dim_airports": "SELECT * FROM dim_airports",
     "hourly_summary": "SELECT * FROM hourly",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger import settings as S
 from skyledger.operators.validate import AIRPORT_CODE
@@ -23,7 +24,7 @@ RANGES = [
 FORMATS = [("source_airport", AIRPORT_CODE), ("dest_airport", AIRPORT_CODE), ("airline_iata", "^[A-Z0-9]{2}$")]
 MEAN_SPEED = (50, 950)
 MIN_TOP_ALTITUDE = 10000
-STATISTICS_NEED_MORE_THAN = 10  # rows
+STATISTICS_NEED_MORE_THAN = 10  # rows; with fewer, statistical expectations do not apply
 
 
 class Expectation(NamedTuple):
@@ -63,8 +64,8 @@ def flight_expectations(columns: list[str]) -> list[Expectation]:
     return suite
 
 
-def check_expectations(df: DataFrame) -> DataFrame:
-    """One row per expectation. Statistical ones apply only to more than ten rows."""
+def check_expectations(df: DataFrame, statistics_need_more_than: int = STATISTICS_NEED_MORE_THAN) -> DataFrame:
+    """One row per expectation; ``success`` is NULL where one does not apply: a statistical one on too few rows."""
     suite = flight_expectations(df.columns)
     outcome = df.agg(F.count("*").alias("records"),
                      *[F.coalesce(x.success, F.lit(False)).alias(f"x{i}") for i, x in enumerate(suite)])
@@ -79,8 +80,8 @@ def check_expectations(df: DataFrame) -> DataFrame:
         for i, x in enumerate(suite)
     ])).alias("x")
     listed = outcome.select("records", each).select("records", "x.*")
-    enough = (F.col("category") != "statistical") | (F.col("records") > STATISTICS_NEED_MORE_THAN)
-    return listed.filter(enough).select("position", "category", "column_name", "success")
+    applies = (F.col("category") != "statistical") | (F.col("records") > statistics_need_more_than)
+    return listed.select("position", "category", "column_name", F.when(applies, F.col("success")).alias("success"))
 
 
 def expectation_summary(checked: DataFrame) -> DataFrame:
@@ -88,10 +89,10 @@ def expectation_summary(checked: DataFrame) -> DataFrame:
     failed = F.sort_array(F.collect_list(F.when(~F.col("success"), name)))  # at most 31 names
     return checked.agg(
         (F.count_if(~F.col("success")) == 0).alias("success"),
-        F.count("*").alias("total_checks"),
+        F.count("success").alias("total_checks"),
         F.count_if("success").alias("checks_passed"),
         F.count_if(~F.col("success")).alias("checks_failed"),
-        F.round(100.0 * F.count_if("success") / F.greatest(F.count("*"), F.lit(1)), 2).alias("pass_rate_pct"),
+        F.round(100.0 * F.count_if("success") / F.greatest(F.count("success"), F.lit(1)), 2).alias("pass_rate_pct"),
         F.array_join(failed, ",").alias("failed_checks"),
     )
 
@@ -99,12 +100,35 @@ def expectation_summary(checked: DataFrame) -> DataFrame:
 PROFILED = ["latitude", "longitude", "altitude", "speed", "heading", "delay_minutes"]
 
 
-def numeric_profile(df: DataFrame, quartiles: bool = False) -> DataFrame:
-    """Count, mean, deviation, minimum and maximum per numeric column, in one aggregation.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+RANGES_OF_VALUES = 4096
+
+
+def _quartiles(df: DataFrame, names: list[str]) -> DataFrame:
+    """Exact quartiles per column: the smallest value that at least that share of the values does not exceed.
 
-    ``quartiles`` adds approximate ones: an exact quartile of a continuous column
-    would bring all its values into one task.
+    Values are counted, the counts of equal ranges of values are added up (a few thousand
+    rows per column), and only the ranges that hold a quartile are looked at value by value.
     """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in names])).alias("p")
+    counted = df.select(pairs).select("p.*").filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    bounds = counted.groupBy("column_name").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
+    place = F.floor((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * (RANGES_OF_VALUES - 1))
+    placed = counted.join(bounds, "column_name").withColumn("place", F.coalesce(place, F.lit(0)))
+    up_to = W.partitionBy("column_name").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    ranges = placed.groupBy("column_name", "place").agg(F.sum("n").alias("inside"), F.max("total").alias("total"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("inside").over(up_to), F.lit(0)))
+    ranks = {q: F.ceil(F.col("total") * share) for q, share in QUARTILES.items()}
+    holds = reduce(Column.__or__, [(r > F.col("before")) & (r <= F.col("before") + F.col("inside")) for r in ranks.values()])
+    within = W.partitionBy("column_name", "place").orderBy("value")
+    near = placed.join(ranges.filter(holds).select("column_name", "place", "before"), ["column_name", "place"])
+    near = near.withColumn("through", F.col("before") + F.sum("n").over(within))
+    hit = {q: F.when((r <= F.col("through")) & (r > F.col("through") - F.col("n")), F.col("value")) for q, r in ranks.items()}
+    return near.groupBy("column_name").agg(*[F.max(value).alias(q) for q, value in hit.items()])
+
+
+def numeric_profile(df: DataFrame, quartiles: bool = False) -> DataFrame:
+    """Count, mean, deviation, minimum and maximum per numeric column, in one aggregation; exact quartiles if asked for."""
     names = [c for c in PROFILED if c in df.columns]
 
     def stats(name: str) -> Column:
@@ -112,8 +136,7 @@ def numeric_profile(df: DataFrame, quartiles: bool = False) -> DataFrame:
         parts = [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"),
                  F.round(F.stddev_samp(value), 6).alias("stddev"), F.min(value).alias("minimum"),
                  F.max(value).alias("maximum")]
-        if quartiles:
-            parts.append(F.percentile_approx(value, [0.25, 0.5, 0.75], 10000).alias("quartiles"))
         return F.struct(F.lit(name).alias("column_name"), *parts).alias(name)
 
-    return df.agg(*[stats(c) for c in names]).select(F.explode(F.array(*names)).alias("s")).select("s.*")
+    profile = df.agg(*[stats(c) for c in names]).select(F.explode(F.array(*names)).alias("s")).select("s.*")
+    return profile.join(_quartiles(df, names), "column_name", "left") if quartiles else profile

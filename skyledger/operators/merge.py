@@ -28,7 +28,11 @@ def one_row_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_rows(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """Target after MERGE: matched rows take ``update`` columns, new keys are inserted whole."""
+    """Target after MERGE: matched rows take ``update`` columns, new keys are inserted whole.
+
+    Of source rows with the same key the earliest counts, so a target row never multiplies.
+    """
+    source = one_row_per_key(source, keys)
     update = [c for c in target.columns if c not in keys] if update is None else update
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     s = source.select(*target.columns).withColumn("_in_source", F.lit(True)).alias("s")
@@ -67,10 +71,10 @@ def upsert_days(spark: SparkSession, path: str, source: DataFrame, keys: list[st
         return
     target = tables.read(spark, path, source.schema)
     touched = source.select(tables.DAY)
-    if tables.DAY not in keys:
+    if tables.DAY not in keys:  # a key may be stored under another day: only keys and days are read to find out
         held = target.select(*keys, tables.DAY)
         wanted = source.select(*[F.col(k).alias(f"_{k}") for k in keys])
         same = _all_equal(keys, [f"_{k}" for k in keys])
         touched = touched.unionByName(held.join(wanted, same, "left_semi").select(tables.DAY))
-    affected = target.join(touched.distinct(), tables.DAY, "left_semi")
+    affected = tables.of_days(target, tables.days_of(touched))
     tables.replace_days(upsert_rows(affected, source, keys, update), path, sort_by)

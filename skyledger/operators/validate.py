@@ -154,7 +154,7 @@ def validation_summary(results: DataFrame) -> DataFrame:
 
 
 def failure_samples(df: DataFrame, as_of: datetime = S.AS_OF) -> DataFrame:
-    """The first few failing values per rule, in value order."""
+    """The first few failing values per rule, in value order; of repeated ids each once."""
     sampled = [r for r in flight_rules(df.columns, as_of) if r.bad is not None and r.sample is not None]
     hits = F.explode(F.array_compact(F.array(*[
         F.when(r.bad, F.struct(F.lit(r.name).alias("rule_name"), r.sample.cast("string").alias("value")))
@@ -165,7 +165,11 @@ def failure_samples(df: DataFrame, as_of: datetime = S.AS_OF) -> DataFrame:
     statuses = failing.filter("rule_name = 'status_is_valid_enum'").distinct()
     others = failing.filter("rule_name <> 'status_is_valid_enum'")
     per_rule = W.partitionBy("rule_name").orderBy(F.col("value").asc_nulls_last())
-    ranked = others.unionByName(statuses).withColumn("sample_rank", F.row_number().over(per_rule))
+    listed = others.unionByName(statuses)
+    if "event_id" in df.columns:
+        repeated = df.filter(F.col("event_id").isNotNull()).groupBy(F.col("event_id").alias("value")).agg(F.count("*").alias("n")).filter("n > 1")
+        listed = listed.unionByName(repeated.select(F.lit("no_duplicate_event_ids").alias("rule_name"), "value"))
+    ranked = listed.withColumn("sample_rank", F.row_number().over(per_rule))
     return ranked.filter(F.col("sample_rank") <= SAMPLE_SIZE)
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions import times
-from skyledger.operators.merge import upsert_rows
+from skyledger.operators.merge import one_row_per_key, upsert_rows
 from skyledger.settings import AS_OF, DLQ_ALERT_THRESHOLD, MAX_ERROR_MESSAGE_CHARS
 
 STATUSES = ["pending", "replayed", "replay_failed"]
@@ -15,25 +15,30 @@ STATUSES = ["pending", "replayed", "replay_failed"]
 
 def dead_letters(failed: DataFrame, error: Column, source: str, created_at: datetime | Column = AS_OF,
                  dag_id: str = "unknown", run_id: str = "unknown", payload: Column | None = None) -> DataFrame:
-    """Failed rows as pending dead letters with their payload and a bounded error text.
+    """Failed rows as pending dead letters with their payload and whole error text.
 
     The id is a digest of the payload and the error, so publishing a batch again
-    yields the same letters.
+    yields the same letters, and equal rows with the same error are one letter.
     """
     text = payload if payload is not None else F.to_json(F.struct(*failed.columns))
-    cut = F.substring(error, 1, MAX_ERROR_MESSAGE_CHARS)
-    return failed.select(
-        F.sha2(F.concat_ws("|", text, cut), 256).alias("id"),
+    letters = failed.select(
+        F.sha2(F.concat_ws("|", text, error), 256).alias("id"),
         F.coalesce("event_id", F.lit("unknown")).alias("event_id"),
         F.coalesce("flight_id", F.lit("unknown")).alias("flight_id"),
         F.lit(source).alias("source"), F.lit(dag_id).alias("dag_id"), F.lit(run_id).alias("run_id"),
-        cut.alias("error_message"), F.lit(0).alias("retry_count"), text.alias("raw_payload"),
+        error.alias("error_message"), F.lit(0).alias("retry_count"), text.alias("raw_payload"),
         times.as_timestamp(created_at).alias("created_at"), F.lit("pending").alias("status"),
     )
+    return one_row_per_key(letters, ["id"])
 
 
-def pending_letters(letters: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Oldest pending letters first."""
+def display_error(error: Column) -> Column:
+    """Error text cut to the length a page shows."""
+    return F.substring(error, 1, MAX_ERROR_MESSAGE_CHARS)
+
+
+def pending_letters(letters: DataFrame, limit: int | None = None) -> DataFrame:
+    """Oldest pending letters first; all of them, or the first ``limit``."""
     ordered = letters.filter("status = 'pending'").orderBy("created_at", "id")
     return ordered if limit is None else ordered.limit(limit)
 

@@ -45,12 +45,16 @@ REPORTS: dict[str, Report] = {
 }
 
 
-def run_report(tables: Layers, name: str, limit: int | None = None) -> DataFrame:
-    """One named report, cut to ``limit`` or its usual length."""
+USUAL = -1
+
+
+def run_report(tables: Layers, name: str, limit: int | None = USUAL) -> DataFrame:
+    """One named report: cut to its usual length, to ``limit`` rows, or whole (None)."""
     if name not in REPORTS:
         raise ValueError(f"unknown report {name!r}; available: {sorted(REPORTS)}")
     report = REPORTS[name]
-    return report.build(tables).limit(limit or report.limit)
+    rows = report.build(tables)
+    return rows if limit is None else rows.limit(report.limit if limit == USUAL else limit)
 
 
 def run_all(tables: Layers) -> dict[str, DataFrame]:
@@ -58,9 +62,9 @@ def run_all(tables: Layers) -> dict[str, DataFrame]:
 
 
 def run_summary(tables: Layers) -> DataFrame:
-    """Rows, columns and state of every report, as one DataFrame."""
+    """Rows before any cut, columns and state of every report, as one DataFrame."""
     def line(name: str) -> DataFrame:
-        report = run_report(tables, name)
+        report = run_report(tables, name, None)
         return report.agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("name"), F.lit(REPORTS[name].team).alias("team"), "row_count",
             F.lit(len(report.columns)).alias("column_count"),

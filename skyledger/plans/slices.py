@@ -106,8 +106,8 @@ def segment_slice(segments: DataFrame) -> DataFrame:
     return segments.select(SEGMENT_COLUMNS)
 
 
-def active_today(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF, n: int = 20) -> DataFrame:
-    """Airlines by distinct flights over the whole day, any status."""
+def active_today(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF, n: int | None = 20) -> DataFrame:
+    """Airlines by distinct flights over the whole day, any status; all of them, or the first ``n``."""
     late = F.col("delay_bucket") != "on_time"
     stats = verified_today(fact, as_of).groupBy("airline_iata").agg(
         F.countDistinct("flight_id").alias("active_flights"),
@@ -117,7 +117,8 @@ def active_today(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF,
         percent(count_where(late), F.count("*"), 1).alias("pct_delayed"),
         F.max("event_timestamp").alias("last_seen_at"),
     ).filter("active_flights >= 1")
-    return _with_names(stats, airlines).orderBy(F.desc("active_flights"), F.asc_nulls_last("airline_iata")).limit(n)
+    ordered = _with_names(stats, airlines).orderBy(F.desc("active_flights"), F.asc_nulls_last("airline_iata"))
+    return ordered if n is None else ordered.limit(n)
 
 
 def live_positions(fact: DataFrame, as_of: datetime = AS_OF, n: int | None = 500) -> DataFrame:

@@ -12,11 +12,14 @@ from skyledger.functions import display, times
 from skyledger.operators import clean, dedup, expectations, merge, validate
 from skyledger.plans import dead_letters, health, incremental, ingest, kpis, reports, slices, star, views
 from skyledger.plans.layers import Layers, layers
+from skyledger.settings import QUALITY_GATE_MAX_FAIL_RATE
 from skyledger.sources import files, flights_from_events, payload, tables
 from skyledger.streaming import dedup as stream_dedup, ingest as stream_ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
-MINUTES_OF_A_DAY = 1440  # look-back of the "now" reports, so that small data has rows
+
+FACT_MINUTES = 20  # fixed value: look-back of the FACT build
+STAGING_AS_OF = datetime(2024, 1, 30, 12)  # a time at which rows have arrived in the ten minutes before
 
 _registry: dict[str, Callable[[Layers], DataFrame]] = {}
 
@@ -64,7 +67,7 @@ def fact_rows(t: Layers) -> DataFrame:
 
 @query
 def fact_recent_build(t: Layers) -> DataFrame:
-    return star.fact_rows(t.clean, t.as_of, MINUTES_OF_A_DAY)
+    return star.fact_rows(t.clean, t.as_of, FACT_MINUTES)
 
 
 @query
@@ -101,7 +104,7 @@ def routes_from_fact(t: Layers) -> DataFrame:
 
 @query
 def active_airlines_now(t: Layers) -> DataFrame:
-    return views.active_airlines_now(t.fact, t.airlines, t.as_of, MINUTES_OF_A_DAY)
+    return views.active_airlines_now(t.fact, t.airlines, t.as_of)
 
 
 @query
@@ -211,8 +214,7 @@ def validation_summary(t: Layers) -> DataFrame:
 
 @query
 def validation_samples(t: Layers) -> DataFrame:
-    return validate.failure_samples(t.raw.select("flight_id", "status", "source_airport", "dest_airport",
-                                                 "event_timestamp"), t.as_of)
+    return validate.failure_samples(t.raw, t.as_of)
 
 
 @query
@@ -227,7 +229,7 @@ def expectation_summary(t: Layers) -> DataFrame:
 
 @query
 def numeric_profile(t: Layers) -> DataFrame:
-    return expectations.numeric_profile(t.raw)
+    return expectations.numeric_profile(t.raw, quartiles=True)
 
 
 @query
@@ -259,8 +261,7 @@ def _staging(t: Layers) -> DataFrame:
 def publish_messages(t: Layers) -> DataFrame:
     """Messages per key, as published."""
     messages = payload.to_payload(t.raw)
-    return messages.groupBy("key").agg(F.count("*").alias("messages"),
-                                       F.count(F.try_parse_json("value")).alias("parseable"))
+    return payload.publish_counts(messages)
 
 
 @query
@@ -275,12 +276,12 @@ def payload_paths(t: Layers) -> DataFrame:
 
 @query
 def unprocessed_recent(t: Layers) -> DataFrame:
-    return ingest.unprocessed_recent(_staging(t), t.as_of, MINUTES_OF_A_DAY).drop("raw_payload")
+    return ingest.unprocessed_recent(_staging(t), STAGING_AS_OF).drop("raw_payload")
 
 
 @query
 def data_present_gate(t: Layers) -> DataFrame:
-    recent = ingest.unprocessed_recent(_staging(t), t.as_of, MINUTES_OF_A_DAY)
+    recent = ingest.unprocessed_recent(_staging(t), STAGING_AS_OF)
     return recent.agg(F.count("*").alias("waiting"), (F.count("*") > 0).alias("ready"))
 
 
@@ -325,6 +326,40 @@ def bulk_load_json(t: Layers) -> DataFrame:
     return files.loaded_rows(t.spark, target)
 
 
+@query
+def bulk_load_untidy_json(t: Layers) -> DataFrame:
+    """JSON arrays and lines whose numbers are fractional, quoted or no numbers, and lines that are not JSON."""
+    e = F.regexp_extract("event_id", "([0-9]+)$", 1).cast("bigint")
+    altitude = F.when(e % 4 == 0, F.concat(F.col("altitude").cast("string"), F.lit(".5"))).when(
+        e % 4 == 1, F.concat(F.lit('"'), F.col("altitude").cast("string"), F.lit('"'))).when(e % 4 == 2, F.lit('"n/a"')).otherwise(F.lit("null"))
+    text = F.concat(F.lit('{"event_id":"'), F.col("event_id"), F.lit('","altitude":'), F.coalesce(altitude, F.lit("null")), F.lit("}"))
+    rows = t.raw.select(F.when(e % 10 == 7, F.lit("{not json")).otherwise(text).alias("value"), (e % 10 == 7).alias("broken"))
+    lines, arrays = session.new_path(t.spark, "untidy-lines"), session.new_path(t.spark, "untidy-arrays")
+    rows.select("value").write.text(lines)
+    whole = rows.filter(~F.col("broken")).groupBy(F.pmod(F.xxhash64("value"), F.lit(50)).alias("file"))
+    whole.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(arrays)  # an array is a file
+
+    def counts(kind: str, path: str, outer_array: bool) -> DataFrame:
+        target = session.new_path(t.spark, "untidy-loaded")
+        files.load_new_files(t.spark, path, target, session.new_path(t.spark, "checkpoint"), "*.txt", outer_array)
+        loaded = files.loaded_rows(t.spark, target).agg(F.count("altitude").alias("with_altitude"), F.sum("altitude").alias("altitude_sum"))
+        return files.load_counts(t.spark, target).crossJoin(loaded).select(F.lit(kind).alias("kind"), "*")  # one row each
+
+    return counts("lines", lines, False).unionByName(counts("arrays", arrays, True))
+
+
+@query
+def written_results(t: Layers) -> DataFrame:
+    """A report written as JSON lines and as CSV, read back."""
+    def back(fmt: str) -> DataFrame:
+        path = session.new_path(t.spark, f"result-{fmt}")
+        files.write_result(kpis.airline_fleet_summary(t.fact), path, fmt)
+        reader = t.spark.read.schema("airline_iata string, aircraft_types long, events long, types string").option("header", True)
+        return reader.format(fmt).load(path).select(F.lit(fmt).alias("format"), "airline_iata", "aircraft_types", "events", "types")
+
+    return back("json").unionByName(back("csv"))
+
+
 def _day_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("event_date", F.to_date("event_timestamp"))
 
@@ -808,7 +843,7 @@ def run_bubbles(t: Layers) -> DataFrame:
 
 @query
 def home_kpis(t: Layers) -> DataFrame:
-    return slices.home_kpis(slices.active_today(t.fact, t.airlines, t.as_of), health_scorecard(t))
+    return slices.home_kpis(slices.active_today(t.fact, t.airlines, t.as_of, None), health_scorecard(t))
 
 
 @query
@@ -837,18 +872,22 @@ def report_colours(t: Layers) -> DataFrame:
 
 # --- Streams ---------------------------------------------------------------------------------------
 
-def _message_files(t: Layers) -> str:
+MESSAGE_FILES = 6  # a stream takes one file per batch
+
+
+def _message_files(t: Layers, *by) -> str:
+    """Messages in several files, in no order of time; ``by`` decides what shares a file."""
     path = session.new_path(t.spark, "messages")
-    payload.to_payload(t.raw).select("value").write.text(path)
+    payload.to_payload(t.raw).select("value").repartition(MESSAGE_FILES, *by).write.text(path)
     return path
 
 
-def _ingested(t: Layers) -> stream_ingest.IngestSink:
-    """Every message run through the ingest stream, in several batches; invalid rows do not close the gate."""
+def _ingested(t: Layers, max_fail_rate: float = 1.0) -> stream_ingest.IngestSink:
+    """Every message run through the ingest stream, a file per batch, deliveries of one id in the same file."""
     fresh = lambda label: session.new_path(t.spark, label)
     sink = stream_ingest.IngestSink(t.spark, fresh("stream-raw"), fresh("stream-letters"), fresh("stream-verdicts"),
-                                    t.as_of, max_fail_rate=1.0)
-    messages = stream_ingest.read_message_files(t.spark, _message_files(t))
+                                    t.as_of, max_fail_rate=max_fail_rate)
+    messages = stream_ingest.read_message_files(t.spark, _message_files(t, F.get_json_object("value", "$.event_id")), max_files=1)
     stream_ingest.start_ingest(messages, sink, fresh("checkpoint"), available_now=True).awaitTermination()
     return sink
 
@@ -858,11 +897,21 @@ def stream_ingest_raw(t: Layers) -> DataFrame:
     return t.spark.read.parquet(_ingested(t).raw_path)
 
 
+def _letters_per_error(sink: stream_ingest.IngestSink) -> DataFrame:
+    letters = sink.spark.read.parquet(sink.letters_path)
+    return letters.groupBy("error_message").agg(F.count("*").alias("letters"))
+
+
 @query
 def stream_dead_letters(t: Layers) -> DataFrame:
     """Dead letters of the stream per error."""
-    letters = t.spark.read.parquet(_ingested(t).letters_path)
-    return letters.groupBy("error_message").agg(F.count("*").alias("letters"))
+    return _letters_per_error(_ingested(t))
+
+
+@query
+def stream_gate_closed(t: Layers) -> DataFrame:
+    """Dead letters per error with the usual gate: a batch with too many invalid rows is rejected whole."""
+    return _letters_per_error(_ingested(t, QUALITY_GATE_MAX_FAIL_RATE))
 
 
 @query
@@ -873,27 +922,26 @@ def stream_quality_gate(t: Layers) -> DataFrame:
 
 
 def _event_stream(t: Layers) -> DataFrame:
-    return payload.parse_events(stream_ingest.read_message_files(t.spark, _message_files(t))).drop("value")
-
-
-def _run_to_table(t: Layers, stream: DataFrame, label: str) -> DataFrame:
-    path = session.new_path(t.spark, label)
-    query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
-             .option("checkpointLocation", session.new_path(t.spark, "checkpoint")).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(path)
+    """Events a file per batch; deliveries of one id and neighbours in time fall into different batches."""
+    messages = stream_ingest.read_message_files(t.spark, _message_files(t, F.xxhash64("value")), max_files=1)
+    return payload.parse_events(messages).drop("value")
 
 
 @query
 def stream_dedup_ids(t: Layers) -> DataFrame:
-    return _run_to_table(t, stream_dedup.drop_redelivered(_event_stream(t)).select("event_id"), "stream-ids")
+    events = _event_stream(t)
+    sink = stream_dedup.FirstArrivals(t.spark, session.new_path(t.spark, "stream-ids"))
+    stream_dedup.start(events, sink, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
+    return sink.read(events.schema).select("event_id")
 
 
 @query
 def stream_fuzzy_dedup(t: Layers) -> DataFrame:
-    """Rows of all cells that the watermark (ten minutes behind the newest event) has closed."""
-    kept = stream_dedup.drop_near_duplicates(_event_stream(t))
-    return _run_to_table(t, kept.select("event_id", "flight_id", "event_timestamp"), "stream-fuzzy")
+    """The batch operator's rows, from a stream in several unordered batches."""
+    events = _event_stream(t)
+    sink = stream_dedup.NearDuplicates(t.spark, session.new_path(t.spark, "stream-arrivals"), session.new_path(t.spark, "stream-fuzzy"))
+    stream_dedup.start(events, sink, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
+    return sink.read(events.schema).select("event_id", "flight_id", "event_timestamp")
 
 
 @query

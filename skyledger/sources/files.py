@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from skyledger.schemas import FLIGHT_EVENT
+from skyledger.sources import payload
 
 CORRUPT = "_corrupt"
 
 
 def _schema() -> T.StructType:
-    return T.StructType(FLIGHT_EVENT.fields + [T.StructField(CORRUPT, T.StringType())])
+    """Fields as texts: one unusable value costs that value, not its row."""
+    return T.StructType(payload.TEXT_EVENT.fields + [T.StructField(CORRUPT, T.StringType())])
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select(*payload.typed_event(F.col), CORRUPT).withColumnRenamed("event_timestamp", payload.EVENT_TIME_KEY)
 
 
 def read_json_files(spark: SparkSession, path: str, pattern: str = "*.json", outer_array: bool = False) -> DataFrame:
-    """Events from JSON files; a row that cannot be read keeps its text in ``_corrupt``.
+    """Events from JSON files; text that is not JSON is kept in ``_corrupt``.
 
     ``outer_array``: each file is one JSON array, whose elements become rows.
     """
-    return (spark.read.schema(_schema()).option("multiLine", outer_array).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", pattern).json(path))
+    return _typed(spark.read.schema(_schema()).option("multiLine", outer_array).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", pattern).json(path))
 
 
 def load_new_files(spark: SparkSession, path: str, target: str, checkpoint: str, pattern: str = "*.json",
@@ -39,7 +44,8 @@ def load_new_files(spark: SparkSession, path: str, target: str, checkpoint: str,
 
 
 def loaded_rows(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(_schema()).parquet(target).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Every row that was JSON, typed; unusable values are NULL and left to cleaning."""
+    return _typed(spark.read.schema(_schema()).parquet(target).filter(F.col(CORRUPT).isNull())).drop(CORRUPT)
 
 
 def load_counts(spark: SparkSession, target: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skyledger.functions import times
 from skyledger.schemas import FLIGHT_EVENT, RAW_COLUMNS, STAGING_COLUMNS
@@ -22,11 +22,28 @@ def to_payload(flights: DataFrame) -> DataFrame:
     return flights.select(F.coalesce("flight_id", F.lit("unknown")).alias("key"), value.alias("value"), *others)
 
 
+def typed(text: Column, kind: str) -> Column:
+    """A field's text as its type: numbers may be fractional or quoted, whole ones are cut toward zero; what is unusable is NULL."""
+    if kind == "bigint":
+        exact, whole = text.try_cast("bigint"), text.try_cast("double")
+        fits = F.abs(whole) < 2.0**63
+        return F.coalesce(exact, F.when(fits, whole.try_cast("bigint")))
+    return text if kind == "string" else text.try_cast(kind)
+
+
+_KINDS = {f.name: f.dataType.simpleString() for f in FLIGHT_EVENT.fields}
+TEXT_EVENT = T.StructType([T.StructField(name, T.StringType()) for name in _KINDS])
+
+
+def typed_event(field) -> list[Column]:
+    """The typed columns of an event whose fields are texts; ``field`` gives the column of a key."""
+    return [typed(field(key), kind).alias("event_timestamp" if key == EVENT_TIME_KEY else key) for key, kind in _KINDS.items()]
+
+
 def parse_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """Typed event columns beside the payload; all NULL where it is not a JSON object."""
-    parsed = messages.withColumn("_event", F.from_json(value, FLIGHT_EVENT))
-    named = [F.col(f"_event.{EVENT_TIME_KEY if c == 'event_timestamp' else c}").alias(c) for c in RAW_COLUMNS]
-    return parsed.select("*", *named).drop("_event")
+    parsed = messages.withColumn("_event", F.from_json(value, TEXT_EVENT))
+    return parsed.select("*", *typed_event(lambda key: F.col(f"_event.{key}"))).drop("_event")
 
 
 def staging_rows(messages: DataFrame, ingested_at: Column | datetime) -> DataFrame:
@@ -36,16 +53,18 @@ def staging_rows(messages: DataFrame, ingested_at: Column | datetime) -> DataFra
                          times.as_timestamp(ingested_at).alias("ingested_at"))
 
 
-_VARIANT_TYPES = {"string": "string", "double": "double", "bigint": "int", "timestamp": "timestamp"}
+def extract_paths(payloads: DataFrame, payload: str = "raw_payload") -> DataFrame:
+    """The 21 payload paths as typed columns through VARIANT, by the same rules as ``parse_events``; whole numbers as int."""
+    taken = typed_event(lambda key: F.try_variant_get("_v", f"$.{key}", "string"))
+    narrow = {name: F.col(name).try_cast("int") for name, kind in _KINDS.items() if kind == "bigint"}
+    found = payloads.withColumn("_v", F.try_parse_json(payload)).select(*[c for c in payloads.columns if c not in _KINDS], *taken)
+    return found.withColumns(narrow)
 
 
-def extract_paths(payloads: DataFrame, payload: str = "raw_payload") -> DataFrame:
-    """The 21 payload paths as typed columns through VARIANT; unusable values become NULL."""
-    variant = F.try_parse_json(payload)
-    kinds = {f.name: f.dataType.simpleString() for f in FLIGHT_EVENT.fields}
-    taken = [F.try_variant_get("_v", f"$.{key}", _VARIANT_TYPES[kind])
-             .alias("event_timestamp" if key == EVENT_TIME_KEY else key) for key, kind in kinds.items()]
-    return payloads.withColumn("_v", variant).select(*[c for c in payloads.columns if c not in kinds], *taken)
+def publish_counts(messages: DataFrame) -> DataFrame:
+    """Per key: messages, those that can be published, and those that cannot because their value is no JSON object."""
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    return messages.groupBy("key").agg(F.count("*").alias("messages"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))
 
 
 # --- Nested records of the flight-tracking API ---------------------------------------

@@ -7,7 +7,7 @@ one; readers take the newest version that finished.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 DAY = "event_date"
@@ -52,8 +52,29 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+MOST_DAYS = 10_000  # days that may become a partition filter
+
+
+def days_of(rows: DataFrame) -> list:
+    """The distinct days of a batch, None for rows without one."""
+    days = [r[0] for r in rows.select(DAY).distinct().limit(MOST_DAYS + 1).collect()]
+    if len(days) > MOST_DAYS:
+        raise ValueError(f"a batch of more than {MOST_DAYS} days; load it in parts")
+    return days
+
+
+def of_days(table: DataFrame, days: list) -> DataFrame:
+    """Only these days; a filter on partitions, so other days' files are not opened."""
+    known, day = sorted(d for d in days if d is not None), F.col(DAY)
+    wanted = day.isin(known) if known else F.lit(False)
+    return table.filter(wanted | day.isNull() if None in days else wanted)
+
+
+KEPT_VERSIONS = 2  # the newest, and the one a running reader may still hold
+
+
 class VersionedTable:
-    """A small table that is rewritten whole, one folder per version."""
+    """A small table that is rewritten whole, one folder per version; old ones are removed."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
@@ -77,3 +98,6 @@ class VersionedTable:
         versions = self._finished_versions()
         following = (versions[-1] if versions else 0) + 1
         df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{following:06d}")
+        for number in versions[:-(KEPT_VERSIONS - 1)]:
+            fs, folder = _file_system(self.spark, f"{self.path}/v{number:06d}")
+            fs.delete(folder, True)

@@ -1,40 +1,99 @@
-"""Deduplication of streams with state bounded by a watermark."""
+"""Deduplication of streams that loses nothing, in whatever order and however late rows arrive.
+
+Both sinks keep what has arrived in a table and decide from it, not from state that a
+watermark ends. Each batch reads only the part of the table its own rows can touch.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
+from skyledger.operators import dedup, merge
 from skyledger.settings import FUZZY_WINDOW_SECONDS
+from skyledger.sources import tables
+
+BUCKET, BATCH = "bucket", "batch_id"
+
+
+@dataclass(frozen=True)
+class FirstArrivals:
+    """First arrival of every event id.
+
+    The table is partitioned by a hash of the id and by batch, so a batch compares its ids
+    with the buckets they fall into. A batch that runs again ignores and replaces its own
+    earlier rows.
+    """
 
+    spark: SparkSession
+    path: str
+    key: str = "event_id"
+    buckets: int = 64
 
-def drop_redelivered(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First arrival per event id; an id is remembered for ``delay`` of event time."""
-    return events.withWatermark("event_timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        fresh = merge.one_row_per_key(batch, [self.key]).withColumn(BUCKET, bucket).persist()
+        try:
+            schema = T.StructType([*fresh.schema.fields, T.StructField(BATCH, T.LongType())])
+            new = fresh
+            if tables.exists(self.spark, self.path):
+                touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+                held = tables.read(self.spark, self.path, schema).filter(F.col(BUCKET).isin(touched) & (F.col(BATCH) < batch_id))
+                new = merge.rows_to_insert(fresh, held, self.key, dedupe_source=False)
+            (new.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, BATCH).parquet(self.path))
+        finally:
+            fresh.unpersist()
 
+    def read(self, schema: T.StructType) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType()), T.StructField(BATCH, T.LongType())])
+        return tables.read(self.spark, self.path, whole).select(*schema.names)
 
-def drop_near_duplicates(events: DataFrame, delay: str = "10 minutes", seconds: int = FUZZY_WINDOW_SECONDS) -> DataFrame:
+
+@dataclass(frozen=True)
+class NearDuplicates:
     """The batch rule on a stream: a row within ``seconds`` of its flight's previous row goes.
 
-    Same cells as in the batch operator: a row is the candidate of its own cell and
-    reports its time to the next one. A cell is decided when the watermark passes
-    its end, so the result does not depend on arrival order within ``delay``. It is an
-    ordinary aggregation: tasks combine a busy flight's rows before the shuffle, and
-    no per-flight Python state exists. Rows without flight or time pass through.
+    Every arrival is kept by day and batch. A batch can change its own days and the first
+    seconds of the days after them; these days are decided anew, from their arrivals and
+    those of the day before, and replaced. The result is always that of the batch operator
+    over all that has arrived. Rows without a time form a day of their own.
     """
-    placed = F.col("flight_id").isNotNull() & F.col("event_timestamp").isNotNull()
-    row = F.struct("event_timestamp", F.struct(*[F.col(c) for c in events.columns]).alias("row"))
-    kind = events.select(row).schema[0].dataType
-    ts = F.col("event_timestamp")
-    slots = F.explode(F.array(
-        F.struct(ts.alias("cell_time"), row.alias("candidate"), F.lit(None).cast("timestamp").alias("earlier")),
-        F.struct((ts + F.make_dt_interval(secs=F.lit(seconds))).alias("cell_time"), F.lit(None).cast(kind).alias("candidate"),
-                 ts.alias("earlier")),
-    ))
-    spread = events.filter(placed).select(F.col("flight_id").alias("_flight"), slots.alias("slot"))
-    timed = spread.select("_flight", F.col("slot.cell_time").alias("cell_time"), F.col("slot.candidate").alias("candidate"),
-                          F.col("slot.earlier").alias("earlier")).withWatermark("cell_time", delay)
-    cells = timed.groupBy("_flight", F.window("cell_time", f"{seconds} seconds")).agg(
-        F.min("candidate").alias("first"), F.max("earlier").alias("earlier"))
-    gap = F.unix_micros("first.event_timestamp") - F.unix_micros("earlier")
-    kept = cells.filter(F.col("first").isNotNull() & (F.col("earlier").isNull() | (gap >= seconds * 1_000_000)))
-    return kept.select("first.row.*").unionByName(events.filter(~placed))
+
+    spark: SparkSession
+    arrivals_path: str
+    kept_path: str
+    seconds: int = FUZZY_WINDOW_SECONDS
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn(tables.DAY, F.to_date("event_timestamp")).persist()
+        try:
+            schema = T.StructType([*rows.schema.fields, T.StructField(BATCH, T.LongType())])
+            (rows.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(tables.DAY, BATCH).parquet(self.arrivals_path))
+            days = {r[0] for r in rows.select(tables.DAY).distinct().collect()}  # a batch holds few days
+            if not days:
+                return
+            known = {d for d in days if d is not None}
+            changed = known | {d + timedelta(days=1) for d in known}
+            needed = changed | {d - timedelta(days=1) for d in known}
+            arrived = tables.read(self.spark, self.arrivals_path, schema).drop(BATCH)
+            day, none = F.col(tables.DAY), None in days
+            kept = dedup.fuzzy_dedup(arrived.filter(day.isin(sorted(needed)) | (F.lit(none) & day.isNull())), self.seconds)
+            tables.replace_days(kept.filter(day.isin(sorted(changed)) | (F.lit(none) & day.isNull())), self.kept_path)
+        finally:
+            rows.unpersist()
+
+    def read(self, schema: T.StructType) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField(tables.DAY, T.DateType())])
+        return tables.read(self.spark, self.kept_path, whole).select(*schema.names)
+
+
+def start(events: DataFrame, sink: FirstArrivals | NearDuplicates, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    return writer.trigger(**trigger).start()

@@ -61,7 +61,7 @@ class IngestSink:
 
     def _publish(self, rows: DataFrame, reason) -> None:
         letters = dead_letters(rows, reason, "ingestion", F.col("loaded_at"), payload=F.col("value"))
-        fresh = merge.one_row_per_key(letters, ["id"])
+        fresh = letters
         if tables.exists(self.spark, self.letters_path):
             known = tables.read(self.spark, self.letters_path, letters.schema)
             fresh = merge.rows_to_insert(fresh, known, "id", dedupe_source=False)

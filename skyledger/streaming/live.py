@@ -16,7 +16,7 @@ POSITION_COLUMNS = ["airline_iata", "latitude", "longitude", "altitude", "speed"
 
 
 def newest_positions(events: DataFrame) -> DataFrame:
-    """State of one row per flight: its newest position."""
+    """One row per flight: its newest position."""
     position = F.struct(*POSITION_COLUMNS)
     known = events.filter(F.col("flight_id").isNotNull())
     newest = known.groupBy("flight_id").agg(F.max_by(position, F.struct("event_timestamp", "event_id")).alias("p"))
@@ -24,12 +24,15 @@ def newest_positions(events: DataFrame) -> DataFrame:
 
 
 def keep_latest(events: DataFrame, table: tables.VersionedTable, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Upsert each batch's changed flights into the table of live positions."""
-    def write(changed: DataFrame, batch_id: int) -> None:
-        table.write(merge.upsert_rows(table.read(), changed, ["flight_id"]))
+    """Merge each batch into the table of live positions, which is the only state.
 
-    writer = (newest_positions(events).writeStream.outputMode("update").foreachBatch(write)
-              .option("checkpointLocation", checkpoint))
+    Newest wins whatever the order of arrival, so late rows and repeated batches are harmless.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = table.read()
+        table.write(newest_positions(known.unionByName(newest_positions(batch).select(*known.columns))))
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "60 seconds"}
     return writer.trigger(**trigger).start()
 
@@ -48,16 +51,15 @@ def keep_hourly(spark: SparkSession, fact_rows: DataFrame, fact_path: str, summa
                 as_of: datetime = AS_OF, available_now: bool = False) -> StreamingQuery:
     """Add each batch to FACT, then replace the summary of exactly the days it touched.
 
-    The days are joined, not collected; recomputing a whole day keeps the distinct
-    counts exact and a repeated batch harmless.
+    A batch holds few days, so they become a filter on FACT's partitions; recomputing a
+    whole day keeps the distinct counts exact and a repeated batch harmless.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
             merge.insert_only(spark, fact_path, rows)
-            days = rows.select(tables.DAY).distinct()
-            fact = tables.read(spark, fact_path, rows.schema)
-            touched = fact.filter(~F.col("data_quality_flag")).join(days, tables.DAY, "left_semi")
+            days = tables.days_of(rows)
+            touched = tables.of_days(tables.read(spark, fact_path, rows.schema), days).filter(~F.col("data_quality_flag"))
             tables.replace_days(star.hourly_of_days(touched, as_of), summary_path)
         finally:
             rows.unpersist()

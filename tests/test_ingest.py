@@ -80,6 +80,34 @@ def test_payload_paths_tolerate_bad_values(spark):
     assert rows[1].event_id is None and rows[2].event_id is None
 
 
+UNTIDY = ['{"event_id":"E1","altitude":35000.5,"speed":"812.5","delay_minutes":"7"}', '{"event_id":"E2","altitude":"n/a","timestamp":"never"}',
+          '{"event_id":"E3","altitude":"1200","latitude":"x","timestamp":"2024-01-01T00:00:00Z"}', '{"event_id":"E4","altitude":-0.5,"delay_minutes":1e2}', '{"event_id":"E5","altitude":1e30}']
+
+
+def test_both_extractions_agree_on_untidy_values(spark):
+    texts = spark.createDataFrame([(t,) for t in UNTIDY], "value string")
+    parsed = payload.parse_events(texts).drop("value")
+    paths = payload.extract_paths(texts.withColumnRenamed("value", "raw_payload")).drop("raw_payload")
+    same = [c for c in parsed.columns]
+    assert [tuple(r) for r in parsed.select(same).orderBy("event_id").collect()] == [tuple(r) for r in paths.select(same).orderBy("event_id").collect()]
+    assert [r.altitude for r in parsed.orderBy("event_id").collect()] == [35000, None, 1200, 0, None]
+    assert [r.delay_minutes for r in parsed.orderBy("event_id").collect()] == [7, None, None, 100, None]
+
+
+def test_bulk_load_keeps_rows_with_a_bad_field(spark, scratch):
+    source, target = scratch("json"), scratch("loaded")
+    spark.createDataFrame([(t,) for t in [*UNTIDY, "{broken", "[1, 2"]], "value string").coalesce(1).write.text(source)
+    files.load_new_files(spark, source, target, scratch("checkpoint"), "*.txt")
+    assert tuple(files.load_counts(spark, target).first()) == (5, 2)
+    assert sorted((r.event_id, r.altitude) for r in files.loaded_rows(spark, target).collect() if r.event_id < "E4") == [("E1", 35000), ("E2", None), ("E3", 1200)]
+
+
+def test_publish_counts(spark):
+    rows = [("A", '{"x":1}'), ("A", "{broken"), ("B", None), ("B", "[1]")]
+    found = {r.key: (r.messages, r.succeeded, r.failed) for r in payload.publish_counts(spark.createDataFrame(rows, "key string, value string")).collect()}
+    assert found == {"A": (2, 1, 1), "B": (2, 0, 2)}
+
+
 def test_bulk_load_skips_bad_rows_and_loaded_files(spark, scratch):
     source, target, checkpoint = scratch("json"), scratch("loaded"), scratch("checkpoint")
     good = '{"event_id":"E%d","altitude":%d}'
@@ -193,12 +221,21 @@ def letters(spark):
     return dead_letters.dead_letters(rows, F.repeat(F.lit("x"), 3000), "test", F.col("at"), payload=F.col("value"))
 
 
-def test_dead_letters_keep_payload_and_bound_the_error(spark):
+def test_dead_letters_keep_payload_and_the_whole_error(spark):
     rows = {r.event_id: r for r in letters(spark).collect()}
-    assert len(rows["E1"].error_message) == 2000 and rows["E1"].raw_payload == '{"event_id":"E1"}'
+    assert len(rows["E1"].error_message) == 3000 and rows["E1"].raw_payload == '{"event_id":"E1"}'
     assert rows["E2"].flight_id == "unknown" and set(rows) == {"E1", "E2", "unknown"}
 
 
+def test_replay_keeps_the_number_of_letters_with_equal_rows(spark):
+    rows = spark.createDataFrame([("E1", "A", '{"event_id":"E1"}', NOW)] * 2, "event_id string, flight_id string, value string, at timestamp")
+    twice = dead_letters.dead_letters(rows, F.lit("bad"), "test", F.col("at"), payload=F.col("value"))
+    assert twice.count() == 1
+    messages, after = dead_letters.replay(twice, twice.select("id"))
+    assert (messages.count(), after.count()) == (1, 1)
+    assert twice.select(dead_letters.display_error(F.repeat("error_message", 2000)).alias("e")).first().e == ("bad" * 2000)[:2000]
+
+
 def test_replay_marks_letters_and_returns_messages(spark):
     all_letters = letters(spark)
     messages, after = dead_letters.replay(all_letters, all_letters.select("id"))

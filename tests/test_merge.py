@@ -103,3 +103,9 @@ def test_hot_day_is_split_into_files_without_loss(spark, scratch, hot_rows):
     data = [(f"h{i}", D1, i, "x") for i in range(hot_rows)] + [(f"c{i}", D2, i, "x") for i in range(5)]
     tables.write_days(frame(spark, data).repartition(4), path)
     assert tables.read(spark, path, frame(spark, []).schema).count() == hot_rows + 5
+
+
+def test_repeated_source_keys_never_multiply_target_rows(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    source = spark.createDataFrame([("a", 9), ("a", 7), ("c", 5), ("c", 6)], "k string, v int")
+    assert sorted(tuple(r) for r in merge.upsert_rows(target, source, ["k"]).collect()) == [("a", 7), ("b", 2), ("c", 5)]

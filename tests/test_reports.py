@@ -1,24 +1,13 @@
-import os
-
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle
 from checks.compare import compare, duck
+from skyledger import queries
 from skyledger.plans import reports, views
 from tests.conftest import SF_DIR
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-
-# Cut from reports that are themselves compared, or covered by unit tests; ALL_QUERIES=1 compares them too.
-DERIVED = {
-    "league_extremes", "peak_hours_ranked", "route_extremes", "recent_trend", "league_slice", "delay_slice", "peak_slice",
-    "route_slice", "trend_slice", "airport_slice", "segment_slice", "top_by_otp", "fleet_means", "route_bubbles",
-    "run_bubbles", "home_kpis", "health_page", "report_colours", "report_run_summary", "worst_delay_hours", "map_kpis",
-    "map_filtered", "map_marks", "quality_log", "health_alerts", "dead_letter_rows", "recent_runs", "run_audit",
-    "duplicate_events_log", "validation_summary", "expectation_summary", "incremental_runs", "stream_dead_letters",
-    "stream_quality_gate", "stream_dedup_ids", "speed_and_delay_all", "data_present_gate", "api_request_filter",
-}
-COMPARED = list(QUERIES) if os.environ.get("ALL_QUERIES") else [name for name in QUERIES if name not in DERIVED]
+QUERIES, ORACLE = queries.registered(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +20,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", COMPARED)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF_DIR), con, ORACLE[name]) == []
 

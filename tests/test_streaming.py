@@ -66,33 +66,49 @@ def test_unreadable_message_becomes_a_dead_letter(spark, scratch):
 EVENT = "event_id string, flight_id string, event_timestamp timestamp, altitude int"
 
 
-def stream_of(spark, path, rows):
-    spark.createDataFrame(rows, EVENT).repartition(2).write.mode("append").parquet(path)
-    return spark.readStream.schema(spark.createDataFrame([], EVENT).schema).parquet(path)
+def arrive(spark, path, rows):
+    """One more file of events; shorter than a whole day's worth, in no order."""
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(path)
 
 
-def to_table(spark, stream, scratch):
-    path = scratch("out")
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch("cp")).trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def consume(spark, path, sink, checkpoint):
+    stream = spark.readStream.schema(spark.createDataFrame([], EVENT).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream_dedup.start(stream, sink, checkpoint, available_now=True).awaitTermination()
+    return sink.read(stream.schema)
 
 
-def test_redelivered_ids_are_dropped(spark, scratch):
-    rows = [(f"E{i % 7}", "A", NOW + timedelta(minutes=i), i) for i in range(40)]
-    out = to_table(spark, stream_dedup.drop_redelivered(stream_of(spark, scratch("in"), rows)), scratch)
-    assert sorted(r.event_id for r in out.collect()) == [f"E{i}" for i in range(7)]
+def test_redelivered_ids_are_dropped_across_batches(spark, scratch):
+    path, checkpoint, sink = scratch("in"), scratch("cp"), stream_dedup.FirstArrivals(spark, scratch("ids"), buckets=4)
+    for part in range(4):
+        arrive(spark, path, [(f"E{i % 7}" if i % 9 else None, "A", NOW - timedelta(days=40 * part, minutes=i), i) for i in range(part, 40, 4)])
+    out = consume(spark, path, sink, checkpoint)
+    assert sorted((r.event_id for r in out.collect()), key=str) == sorted([*(f"E{i}" for i in range(7)), None], key=str)
+    batch = spark.createDataFrame([("E1", "A", NOW, 1), ("NEW", "A", NOW, 1)], EVENT)
+    for _ in range(2):  # a batch that runs twice
+        sink(batch, 99)
+    assert out.count() + 1 == sink.read(batch.schema).count()
+
+
+def test_only_touched_buckets_are_read(spark, scratch, capsys):
+    sink = stream_dedup.FirstArrivals(spark, scratch("ids"))
+    sink(spark.createDataFrame([(f"E{i}", "A", NOW, 1) for i in range(50)], EVENT), 0)
+    spark.read.parquet(sink.path).filter(F.col("bucket").isin([3, 5]) & (F.col("batch_id") < 7)).explain("formatted")
+    filters = next(line for line in capsys.readouterr().out.splitlines() if "PartitionFilters" in line)
+    assert "bucket" in filters and "batch_id" in filters
 
 
 def test_stream_and_batch_drop_the_same_near_duplicates(spark, scratch):
-    rows = [(f"E{i:03d}", "HOT" if i % 3 else f"F{i % 5}", NOW + timedelta(milliseconds=1700 * i), i) for i in range(300)]
-    rows += [("N1", None, NOW, 1), ("N2", None, NOW, 2)]
-    closing = [("END", "Z", NOW + timedelta(hours=2), 0)]  # moves the watermark past every other row
-    path = scratch("in")
-    kept = stream_dedup.drop_near_duplicates(stream_of(spark, path, rows + closing), "1 minute")
-    got = sorted(r.event_id for r in to_table(spark, kept, scratch).collect())
-    expected = sorted(r.event_id for r in dedup.fuzzy_dedup(spark.createDataFrame(rows, EVENT)).collect())
-    assert got == expected and 0 < len(got) < len(rows)
+    midnight = NOW.replace(hour=0)
+    rows = [(f"E{i:03d}", "HOT" if i % 3 else f"F{i % 5}", midnight - timedelta(seconds=200) + timedelta(milliseconds=1700 * i), i) for i in range(300)]
+    rows += [("N1", None, NOW, 1), ("N2", None, NOW, 2), ("N3", "A", None, 3), ("OLD", "HOT", NOW - timedelta(days=90), 4)]
+    path, checkpoint, sink = scratch("in"), scratch("cp"), stream_dedup.NearDuplicates(spark, scratch("arrivals"), scratch("kept"))
+    for part in (4, 1, 3, 0, 2):
+        arrive(spark, path, rows[part::5])
+    got = consume(spark, path, sink, checkpoint)
+    expected = sorted(tuple(r) for r in dedup.fuzzy_dedup(spark.createDataFrame(rows, EVENT)).select("event_id", "altitude").collect())
+    assert sorted(tuple(r) for r in got.select("event_id", "altitude").collect()) == expected and 0 < len(expected) < len(rows)
+    sink(spark.createDataFrame(rows[2::5], EVENT), 4)  # the last batch again
+    assert sorted(tuple(r) for r in sink.read(got.schema).select("event_id", "altitude").collect()) == expected
 
 
 POSITION = ("flight_id string, airline_iata string, latitude double, longitude double, altitude int, speed double, "

@@ -96,9 +96,11 @@ def test_quality_gate_needs_rows(spark):
 
 def test_expectations(spark, tidy_flights):
     small = expectations.check_expectations(clean.cast_types(tidy_flights)).collect()
-    assert len(small) == 29 and all(r.success for r in small)  # no statistics for three rows
+    assert len(small) == 31 and [r.category for r in small if r.success is None] == ["statistical"] * 2  # too few rows for these
+    assert all(r.success for r in small if r.category != "statistical")
+    assert all(r.success is not None for r in expectations.check_expectations(clean.cast_types(tidy_flights), 2).collect())
     large = expectations.check_expectations(flights(spark, 20, status="ghost")).collect()
-    failed = {(r.category, r.column_name) for r in large if not r.success}
+    failed = {(r.category, r.column_name) for r in large if r.success is False}
     assert ("enum", "status") in failed and ("schema", "altitude") in failed and ("schema", "status") not in failed
     summary = expectations.expectation_summary(expectations.check_expectations(flights(spark, 20, status="ghost"))).first()
     assert not summary.success and summary.checks_failed == len(failed) and "enum:status" in summary.failed_checks
@@ -108,4 +110,6 @@ def test_numeric_profile_quartiles(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "speed double")
     row = expectations.numeric_profile(df, quartiles=True).first()
     assert (row.n, row.mean, row.minimum, row.maximum) == (100, 50.5, 1.0, 100.0)
-    assert row.quartiles == [25.0, 50.0, 75.0]
+    assert (row.q1, row.median, row.q3) == (25.0, 50.0, 75.0)
+    few = spark.createDataFrame([(7.0, None), (None, None)], "speed double, heading double")
+    assert {r.column_name: (r.q1, r.median, r.q3) for r in expectations.numeric_profile(few, quartiles=True).collect()} == {"speed": (7.0,) * 3, "heading": (None,) * 3}
