@@ -41,9 +41,11 @@ MOST_FREQUENT = 4_000_000  # n-grams that may be sent to every task (32 MB); bey
 FRAGMENT_BYTES = 16 << 20  # of text, for each fragment of the order
 PREFIX_FRAGMENTS = 2  # fragments that are joined for the prefixes, which are a quarter of all n-grams
 MOST_SENT = 1_000_000  # document numbers that may be sent to every task (8 MB); beyond, they are joined
-BLOCK_NGRAMS = 4_000_000  # n-grams that a task holds of each side
+BLOCK_NGRAMS = 4_000_000  # n-grams that a task holds of each side of a large group
+TASK_NGRAMS = 1_000_000  # n-grams of small groups that share a task
 _BITS = 48
 _ROWS = 512
+_FEW = 16  # sets that are compared one by one
 _SUB_ROWS, _SUB_NGRAMS, _SUB_COLUMNS = 256, 1_000_000, 4096
 _PAIR = np.dtype([("x", "<i8"), ("y", "<i8"), ("shared", "<i4"), ("needed", "<i4")])
 
@@ -93,18 +95,17 @@ def _cut(sorted_values: np.ndarray, fragments: int) -> Iterator[tuple[int, np.nd
 
 
 def frequent_ngrams(rows: DataFrame, ngrams_of, fragments: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, int]:
-    """Sorted prefixes (``24 + log2(fragments)`` bits) of the n-grams in more than ``frequent`` documents, and their width.
+    """Sorted prefixes (``24 + log2(fragments)`` bits) of the n-grams that occur more than ``frequent`` times, and their width.
 
-    ``rows`` has one column, of which ``ngrams_of`` makes the distinct 48-bit n-grams of
-    each document. N-grams that share these bits are counted together; that changes the
-    order, never the result.
+    ``rows`` has one column, of which ``ngrams_of`` makes the 48-bit n-grams of a batch of
+    documents. N-grams that share these bits are counted together; that changes the order,
+    never the result.
     """
     bits = min(_BITS, fragments.bit_length() - 1 + 24)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 * _ROWS):
-            values = [ngrams_of(x) for x in batch.column(0)]
-            values = np.sort(np.concatenate(values)) if values else np.empty(0, np.int64)
+            values = np.sort(ngrams_of(batch.column(0)))
             found = [(f, np.ascontiguousarray(((part >> (_BITS - bits)) & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes())
                      for f, part in _cut(values, fragments)]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["fragment", "part"])
@@ -297,14 +298,17 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def linked(names: np.ndarray, sizes: np.ndarray, block: np.ndarray, sets: list[np.ndarray], one_block: bool, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For every document its least linked name in this task, and its number of links.
-
-    ``block`` tells the sides apart: with two blocks, only pairs across them are counted.
-    """
+def _similar_pairs(sizes: np.ndarray, block: np.ndarray, sets: list[np.ndarray], one_block: bool, share: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Positions of all similar pairs; with two blocks, only of pairs across them."""
     top, bottom = share
-    order = np.lexsort((names, sizes))
-    parent, degree = list(range(len(names))), np.zeros(len(names), np.int64)
+    if one_block and len(sets) <= _FEW:
+        members = [set(s.tolist()) for s in sets]
+        for i in range(len(sets)):
+            for j in range(i):
+                if bottom * min(sizes[i], sizes[j]) >= top * max(sizes[i], sizes[j]) and (top + bottom) * len(members[i] & members[j]) >= top * (sizes[i] + sizes[j]):
+                    yield i, j
+        return
+    order = np.argsort(sizes, kind="stable")
     for begin_a, end_a in (blocks := _sub_blocks(sizes[order])):
         for begin_b, end_b in blocks:
             if begin_b < begin_a or bottom * sizes[order[end_a - 1]] < top * sizes[order[begin_b]]:
@@ -317,24 +321,40 @@ def linked(names: np.ndarray, sizes: np.ndarray, block: np.ndarray, sets: list[n
             if not one_block:
                 similar &= block[a][:, None] != block[b][None, :]
             for i, j in zip(*(x.tolist() for x in np.nonzero(similar))):
-                p, q = int(a[i]), int(b[j])
-                degree[p] += 1
-                degree[q] += 1
-                p, q = _find(parent, p), _find(parent, q)
-                if p != q:
-                    if names[p] < names[q]:
-                        p, q = q, p
-                    parent[p] = q
-    return np.array([names[_find(parent, i)] for i in range(len(names))], np.int64), degree
+                yield int(a[i]), int(b[j])
+
+
+def linked(names: np.ndarray, sizes: np.ndarray, block: np.ndarray, sets: list[np.ndarray], one_block: bool, share: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """For every document its least linked name in this task, and its number of links."""
+    names = names.tolist()
+    parent, degree = list(range(len(names))), [0] * len(names)
+    for p, q in _similar_pairs(sizes, block, sets, one_block, share):
+        degree[p] += 1
+        degree[q] += 1
+        p, q = _find(parent, p), _find(parent, q)
+        if p != q:
+            if names[p] < names[q]:
+                p, q = q, p
+            parent[p] = q
+    return [names[_find(parent, i)] for i in range(len(names))], degree
 
 
 def _verified(table: pa.Table, share: tuple[int, int]) -> pa.Table:
-    names, first = np.unique(table.column("id").to_numpy(), return_index=True)
-    table = table.take(pa.array(first))
-    sets = [unpacked(s) for s in table.column("ngrams").to_pylist()]
+    """All groups of one task; a group in several blocks has its tasks to itself."""
     one = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-    root, degree = linked(names, table.column("n").to_numpy(), table.column("block").to_numpy(), sets, one, share)
-    return pa.table({"id": as_long(names), "root": as_long(root), "links": as_long(degree)})
+    ids, groups = table.column("id").to_numpy(), table.column("group").to_numpy()
+    order = np.lexsort((ids, groups))
+    new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (groups[order][1:] != groups[order][:-1])])
+    table = table.take(pa.array(order[new]))
+    ids, groups = table.column("id").to_numpy(), table.column("group").to_numpy()
+    sizes, block, packed_sets = table.column("n").to_numpy(), table.column("block").to_numpy(), table.column("ngrams").to_pylist()
+    bounds = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]])).tolist()
+    roots, degrees = [], []
+    for begin, end in zip(bounds[:-1], bounds[1:]):
+        root, degree = linked(ids[begin:end], sizes[begin:end], block[begin:end], [unpacked(s) for s in packed_sets[begin:end]], one, share)
+        roots += root
+        degrees += degree
+    return pa.table({"id": as_long(ids), "root": as_long(roots), "links": as_long(degrees)})
 
 
 def links(sets: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -344,8 +364,11 @@ def links(sets: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFram
     members = written(rows.join(groups, "id"), "group-members")  # one row per set
     blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK_NGRAMS)).cast("int").alias("blocks"))
     placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.select("rid", "group", "blocks", "block")
-    few = members.count() <= MOST_SENT
+    rows, ngrams = members.agg(F.count(F.lit(1)), F.sum("n")).first()
+    tasks = max(1, -(-(ngrams or 0) // TASK_NGRAMS))  # small groups share a task
+    task = F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(tasks)))
+    placed = placed.select("rid", "group", "blocks", "block", task.alias("task"), (F.col("blocks") > 1).alias("alone"))
+    few = rows <= MOST_SENT
     held = sets.select("rid", "id", "n", "ngrams").join(F.broadcast(placed) if few else placed, "rid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = held.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -353,14 +376,14 @@ def links(sets: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFram
     def verify(table: pa.Table) -> pa.Table:
         return _verified(table, share)
 
-    return written(dealt.groupBy("group", "low", "high").applyInArrow(verify, "id long, root long, links long"), "join-links")
+    return written(dealt.groupBy("alone", "task", "low", "high").applyInArrow(verify, "id long, root long, links long"), "join-links")
 
 
 def _joined(docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The documents' sets, and for every set its component and its number of links."""
     fragments = order_fragments(docs, text)
     sets = document_sets(docs, key, text, width)
-    common, bits = frequent_ngrams(sets.where(F.col("ngrams").isNotNull()).select("ngrams"), lambda x: unpacked(x.as_py()), fragments)
+    common, bits = frequent_ngrams(sets.where(F.col("ngrams").isNotNull()).select("ngrams"), lambda column: unpacked(b"".join(column.to_pylist())), fragments)
     found = links(sets, candidates(sets, fragments, common, bits, share), share)
     groups = components(found, "id", "root", "join-components").withColumnsRenamed({"vertex": "id"})
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))

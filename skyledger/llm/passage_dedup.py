@@ -9,7 +9,7 @@ with at least the target probability, colliding paragraphs are joined, their exa
 similarity is verified, and components of similar paragraphs are the clusters. The first
 paragraph of a cluster, by document key and place, stays; the others are removals.
 
-N-grams in more than 32 documents would put every paragraph that touches a common passage
+N-grams that occur more than 32 times would put every paragraph that touches a common passage
 into one bucket. So signatures look at rare n-grams first, and paragraphs that are at
 least three quarters common are compared by their common part and the number of their
 rare n-grams: those of equal common part are one vertex, whatever else they hold. Both
@@ -24,7 +24,6 @@ result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skyledger.llm.common import as_long, fresh, hash_cache, mixed, shingle_set, slices, text_of, word_hashes, written
+from skyledger.llm.common import as_long, fresh, hash_cache, mixed, slices, text_of, word_hashes, written
 from skyledger.llm.components import components
 from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed
 
@@ -69,6 +68,19 @@ def _slid(values: np.ndarray, width: int, best, fill: int) -> np.ndarray:
     return out
 
 
+def short_names(rids: np.ndarray) -> np.ndarray:
+    """32 bits that tell documents apart; equal ones only make two documents count as one in a bucket."""
+    return (mixed(rids.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _grams(flat: np.ndarray, count: int) -> np.ndarray:
+    """Hashes of the n-grams that start at the first ``count`` words."""
+    grams = np.full(count, WIDTH, np.uint64)
+    for i in range(WIDTH):
+        grams = mixed(grams ^ flat[i:count + i]) + np.uint64(0x165667B19E3779F9)
+    return grams
+
+
 class Paragraphs:
     """The paragraphs of a batch of texts: starts, owners, n-grams, and what identifies them."""
 
@@ -88,9 +100,7 @@ class Paragraphs:
         chosen = (place < starts) & (_slid(least[::-1], PARAGRAPH, np.maximum, -1)[::-1] == order)
         self.at = np.flatnonzero(chosen)
         self.owner, self.place = owner[self.at], place[self.at]
-        grams = np.full(n, WIDTH, np.uint64)
-        for i in range(WIDTH):
-            grams = mixed(grams ^ flat[i:n + i]) + np.uint64(0x165667B19E3779F9)
+        grams = _grams(flat, n)
         self.grams = grams[self.at[:, None] + np.arange(GRAMS)] if len(self.at) else np.empty((0, GRAMS), np.uint64)
         content = np.full(len(self.at), PARAGRAPH, np.uint64)
         for column in (0, 5, 10, 15, GRAMS - 1):  # these hold every word
@@ -106,10 +116,10 @@ class Paragraphs:
         self.mostly_common = 4 * rare <= GRAMS
         self.kind = np.where(rare == 0, self.content, mixed(mark + rare.astype(np.uint64)).view(np.int64))
 
-    def entries(self, bands: int, rows: int, documents: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    def entries(self, bands: int, rows: int, rids: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
         """Fragment and (next 32 bits of the band value, document, vertex) of every paragraph and band."""
         parts, found, shift = [], [], np.uint64(64 - fragments.bit_length() + 1)
-        documents = (mixed(documents.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)[self.owner]
+        documents = short_names(rids)[self.owner]
         for band in range(bands):
             rare_value = np.full(len(self.at), band + 1, np.uint64)
             common_value = rare_value.copy()
@@ -151,14 +161,35 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> D
         found = found[np.repeat(several, np.diff(np.append(starts, len(found))))]
         same = found["value"][1:] == found["value"][:-1]
         pairs = np.unique(np.stack([found["vertex"][:-1][same], found["vertex"][1:][same]], 1), axis=0)
-        return pa.table({"x": as_long(pairs[:, 0]), "y": as_long(pairs[:, 1])})
+        documents = np.unique(found["document"])
+        bucket, at = np.unique(documents.astype(np.int64) * fragments >> 32, return_index=True)
+        blobs = [x.astype("<u4").tobytes() for x in np.split(documents, at[1:])] if len(bucket) else []
+        x, y = ([*pairs[:, i].tolist(), *[None] * len(blobs)] for i in (0, 1))
+        return pa.table({"x": as_long(x), "y": as_long(y), "bucket": pa.array([*[None] * len(pairs), *bucket.tolist()], pa.int32()),
+                         "documents": pa.array([*[None] * len(pairs), *blobs], pa.binary())})
 
     dealt = docs.select("rid", "x_text").mapInArrow(deal, "part int, entries binary")
-    return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long"), "passage-candidates")
+    return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, bucket int, documents binary"), "passage-candidates")
+
 
+def _documents(collisions: DataFrame) -> np.ndarray | None:
+    """Short names of the documents with a collision, sorted; None when they are too many to be sent to every task."""
+    def distinct(table: pa.Table) -> pa.Table:
+        names = np.unique(np.frombuffer(b"".join(table.column("documents").to_pylist()), "<u4"))
+        return pa.table({"documents": pa.array([names.tobytes()], pa.binary()), "n": as_long([len(names)])})
 
-def _occurrences(docs: DataFrame, shipped, edges: DataFrame) -> DataFrame:
-    """Place and vertices of the paragraphs that take part, and, once per task batch, the n-grams to verify them by."""
+    found = written(collisions.where(F.col("bucket").isNotNull()).select("bucket", "documents").groupBy("bucket").applyInArrow(distinct, "documents binary, n long"), "passage-documents")
+    if (found.agg(F.sum("n")).first()[0] or 0) > MOST_SENT:
+        return None
+    return np.sort(np.frombuffer(b"".join(r[0] for r in found.select("documents").collect()), "<u4"))
+
+
+def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarray | None) -> DataFrame:
+    """Place and vertices of the paragraphs that take part, and, once per task batch, the n-grams to verify them by.
+
+    Documents without a collision are passed over, if the others are few enough to be named.
+    """
+    named = docs.sparkSession.sparkContext.broadcast(documents)
     ends = edges.select(F.col("x").alias("vertex"), (F.col("x") != F.col("y")).alias("paired")).unionByName(edges.select(F.col("y").alias("vertex"), (F.col("x") != F.col("y")).alias("paired")))
     ends = written(ends.groupBy("vertex").agg(F.max("paired").alias("paired")), "passage-vertices")
     few = ends.count() <= MOST_SENT
@@ -183,6 +214,10 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame) -> DataFrame:
             return here, here & paired[at]
 
         for batch in slices(batches, _ROWS):
+            if named.value is not None:
+                own = short_names(batch.column(0).to_numpy())
+                at = np.minimum(np.searchsorted(named.value, own), max(0, len(named.value) - 1))
+                batch = batch.filter(pa.array(named.value[at] == own if len(named.value) else np.zeros(len(own), bool)))
             p = Paragraphs(_words(batch, 2, cache), common, bits)
             (by_content, pair_content), (by_kind, pair_kind) = status(p.content), status(p.kind)
             pair_content &= p.rare > 0
@@ -287,14 +322,18 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), text_of(text).alias("x_text"))
     cache = hash_cache()
 
-    def ngrams_of(x: pa.Scalar) -> np.ndarray:
-        found = shingle_set(word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache), WIDTH)
-        return (found >> np.uint64(16)).astype(np.int64)
+    def ngrams_of(texts: pa.Array) -> np.ndarray:
+        words = [word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache) for x in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.concatenate([*words, np.zeros(WIDTH, np.uint64)])
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))  # words to the end of the text
+        return (_grams(flat, len(left))[left >= WIDTH] >> np.uint64(16)).astype(np.int64)
 
     common = frequent_ngrams(numbered.select("x_text"), ngrams_of, fragments)
     shipped = docs.sparkSession.sparkContext.broadcast(common)
-    edges = _edges(numbered, shipped, fragments, bands, rows)
-    found = _occurrences(numbered, shipped, edges)
+    collisions = _edges(numbered, shipped, fragments, bands, rows)
+    edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
+    found = _occurrences(numbered, shipped, edges, _documents(collisions))
     clusters = _clustered(found, edges, share)
     placed = found.select("rid", "key", "start", "end", "content").join(clusters, "content", "left")
     placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"))
