@@ -508,6 +508,14 @@ window_ctes("w2", f"loaded_at > (SELECT max(loaded_at) FROM w1_c) AND loaded_at
 MORE["incremental_runs"] = """SELECT * EXCLUDE (event_hour, day_of_week, transformer_version) FROM (
   SELECT * FROM w1_c UNION ALL SELECT * FROM w2_c WHERE event_id NOT IN (SELECT event_id FROM w1_c))"""
 
+MORE["incremental_run_rows"] = f"""
+SELECT run_id, 'raw_to_clean' AS dag_id, n AS records_read, w AS records_written, n - w AS records_failed,
+  {R('100.0::DOUBLE * (n - w) / n', 4)} AS error_rate_pct, 'success' AS status, TRUE AS in_order
+FROM (SELECT 'run-1' AS run_id, (SELECT count(*) FROM raw WHERE loaded_at > TIMESTAMP '2024-01-01' AND loaded_at <= {EARLY}) AS n,
+        (SELECT count(*) FROM w1_c) AS w
+      UNION ALL SELECT 'run-2', (SELECT count(*) FROM raw WHERE loaded_at > (SELECT max(loaded_at) FROM w1_c) AND loaded_at <= {AS_OF}),
+        (SELECT count(*) FROM w2_c WHERE event_id NOT IN (SELECT event_id FROM w1_c)))"""
+
 # --- streams
 PAYLOAD = """event_id, flight_id, airline, airline_iata, flight_number, source_airport, dest_airport, source_city, dest_city, latitude,
   longitude, altitude, speed, heading, status, departure_time, arrival_time, delay_minutes, aircraft_type, event_timestamp, source"""

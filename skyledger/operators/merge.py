@@ -54,13 +54,21 @@ def rows_to_insert(source: DataFrame, target: DataFrame, key: str = "event_id",
 
 
 def insert_only(spark: SparkSession, path: str, source: DataFrame, key: str = "event_id",
-                dedupe_source: bool = True, sort_by: str | None = None) -> None:
-    """MERGE ... WHEN NOT MATCHED THEN INSERT, as an append of the missing rows."""
-    if tables.exists(spark, path):
+                dedupe_source: bool = True, sort_by: str | None = None) -> int:
+    """MERGE ... WHEN NOT MATCHED THEN INSERT, as an append of the missing rows; returns how many were written."""
+    there = tables.exists(spark, path)
+    if there:
         target = tables.read(spark, path, source.schema)
-        tables.append_days(rows_to_insert(source, target, key, dedupe_source), path, sort_by)
+        fresh = rows_to_insert(source, target, key, dedupe_source)
     else:
-        tables.write_days(one_row_per_key(source, [key]) if dedupe_source else source, path, sort_by)
+        fresh = one_row_per_key(source, [key]) if dedupe_source else source
+    fresh = fresh.persist()  # counted and written; what an executor loses is computed again
+    try:
+        inserted = fresh.count()  # before the write: it reads the table that the write changes
+        (tables.append_days if there else tables.write_days)(fresh, path, sort_by)
+        return inserted
+    finally:
+        fresh.unpersist()
 
 
 def upsert_days(spark: SparkSession, path: str, source: DataFrame, keys: list[str],

@@ -37,7 +37,11 @@ def run_checks(rows: DataFrame, checks: list[Column]) -> DataFrame:
 
 def layer_checks(raw: DataFrame, clean: DataFrame, fact: DataFrame, as_of: datetime = S.AS_OF,
                  recent_minutes: int = 60) -> DataFrame:
-    """Seven checks: volume, freshness, completeness (two), drift, plausibility and fact rows today."""
+    """Seven checks: volume, freshness, completeness (two), drift, plausibility and fact rows today.
+
+    ``raw`` and ``clean`` need hold no more than their newest day and the last
+    2 * ``recent_minutes``.
+    """
     now = times.as_timestamp(as_of)
     since = lambda col, minutes: F.col(col) >= times.ago(as_of, minutes=minutes)
     none_means = lambda col, value: F.coalesce(col, F.lit(value))

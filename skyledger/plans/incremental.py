@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -27,14 +27,20 @@ def get_watermark(watermarks: DataFrame, process: str) -> Column:
 
 
 def incremental_window(rows: DataFrame, watermark: Column | datetime, upper: Column | datetime = AS_OF,
-                       stamp: str = "loaded_at", extra: Column | None = None, limit: int | None = None) -> DataFrame:
+                       stamp: str = "loaded_at", extra: Column | None = None, limit: int | None = None,
+                       day: str | None = None) -> DataFrame:
     """Rows with watermark < stamp <= upper.
 
+    ``day`` names the partition column that holds the stamp's day: only those days are
+    opened, and the column is left out of the result.
+
     With ``limit`` the batch ends at the limit-th stamp but takes every row that
     shares it. Cutting inside equal stamps would lose the rest for good, because the
     next window starts strictly after the last stamp.
     """
     inside = (F.col(stamp) > times.as_timestamp(watermark)) & (F.col(stamp) <= times.as_timestamp(upper))
+    if day is not None:
+        rows = rows.filter((F.col(day) >= times.day_of(watermark)) & (F.col(day) <= times.day_of(upper))).drop(day)
     window = rows.filter(inside if extra is None else inside & extra)
     if limit is None:
         return window
@@ -56,19 +62,30 @@ def updated_watermark(watermarks: DataFrame, process: str, batch: DataFrame, cou
 
 
 def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, watermarks: tables.VersionedTable,
-                     as_of: datetime = AS_OF, run_id: str = "manual", limit: int | None = None) -> dict:
+                     as_of: datetime = AS_OF, run_id: str = "manual", limit: int | None = None, day: str | None = None,
+                     runs_path: str | None = None) -> dict:
     """One incremental run: window, validate, deduplicate, clean, validate, insert, advance.
 
-    The cleaned batch is written once beside CLEAN and everything after reads that
-    copy, so neither a retry nor the two validations repeat the shuffles. The
-    watermark moves last; a failure before it only means the batch runs again, and
-    the insert skips what is there already.
+    The window and the cleaned batch are each written once beside CLEAN and everything
+    after reads those copies. The watermark moves last; a failure before it only means the
+    batch runs again, and the insert skips what is there already. With ``runs_path`` the
+    run adds its row to the run metrics.
     """
-    begun = time.time()
+    begun, started_at = time.time(), datetime.now(timezone.utc)
     control = watermarks.read()
-    batch = incremental_window(raw, get_watermark(control, "raw_to_clean"), as_of, limit=limit)
-    counted = batch.agg(F.count("*").alias("n"), F.max("loaded_at").alias("newest")).first()
-    if counted.n == 0:
+    window = incremental_window(raw, get_watermark(control, "raw_to_clean"), as_of, limit=limit, day=day)
+    window_path = f"{clean_path}-window-{run_id}"
+    window.write.mode("overwrite").parquet(window_path)
+    batch = tables.read(spark, window_path, window.schema)
+    records_in = batch.count()
+
+    def finished(status: str, written: int, failed: int) -> None:
+        if runs_path is not None:
+            row = (run_id, "raw_to_clean", started_at, datetime.now(timezone.utc), records_in, written, failed, status)
+            append_runs(runs_path, finalise_runs(spark.createDataFrame([row], RUN_COLUMNS)))
+
+    if records_in == 0:
+        finished("no_data", 0, 0)
         return {"run_id": run_id, "status": "no_data", "records_in": 0, "records_out": 0}
     pre = validate.validation_summary(validate.validate(batch, as_of)).first()
 
@@ -78,15 +95,13 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
     staged = tables.read(spark, staged_path, cleaned.schema)
     post = validate.validation_summary(validate.validate(staged, as_of)).first()
     totals = staged.agg(F.count("*").alias("n"), F.count_if("data_quality_flag").alias("flagged")).first()
-
-    before = tables.read(spark, clean_path, cleaned.schema).count() if tables.exists(spark, clean_path) else 0
-    ingest.write_clean(spark, clean_path, staged)
-    written = tables.read(spark, clean_path, cleaned.schema).count() - before
+    written = ingest.write_clean(spark, clean_path, staged)
 
     watermarks.write(updated_watermark(control, "raw_to_clean", staged, written, run_id, as_of))
+    finished("success", written, records_in - written)
     return {
-        "run_id": run_id, "status": "success", "records_in": counted.n, "records_after_dedup": totals.n,
-        "records_out": written, "dedup_removed": counted.n - totals.n, "quality_flagged": totals.flagged,
+        "run_id": run_id, "status": "success", "records_in": records_in, "records_after_dedup": totals.n,
+        "records_out": written, "dedup_removed": records_in - totals.n, "quality_flagged": totals.flagged,
         "pre_validation_ok": pre.is_healthy, "post_validation_ok": post.is_healthy,
         "elapsed_seconds": round(time.time() - begun, 2),
     }
@@ -94,6 +109,10 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
 
 # --- Run metrics ---------------------------------------------------------------------
 
+RUN_COLUMNS = ("run_id string, dag_id string, started_at timestamp, finished_at timestamp, records_read long, "
+               "records_written long, records_failed long, status string")
+
+
 def finalise_runs(runs: DataFrame) -> DataFrame:
     """Elapsed seconds, throughput and error rate of finished runs."""
     elapsed = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1_000_000

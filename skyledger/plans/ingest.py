@@ -59,10 +59,10 @@ def quick_raw_rows(staging: DataFrame, loaded_at: datetime = AS_OF) -> DataFrame
     return typed.withColumns(changes).select(*kept, "loaded_at")
 
 
-def write_clean(spark: SparkSession, clean_path: str, rows: DataFrame) -> None:
-    """Insert cleaned rows that CLEAN does not hold yet, with the columns it knows."""
+def write_clean(spark: SparkSession, clean_path: str, rows: DataFrame) -> int:
+    """Insert cleaned rows that CLEAN does not hold yet, with the columns it knows; returns how many."""
     known = [c for c in CLEAN_COLUMNS if c in rows.columns]
-    merge.insert_only(spark, clean_path, rows.select(*known, "event_date"))
+    return merge.insert_only(spark, clean_path, rows.select(*known, "event_date"))
 
 
 def pending(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyledger import session
 from skyledger.operators.clean import clean_flights
@@ -28,13 +28,20 @@ def cleaned(raw: DataFrame) -> DataFrame:
     return clean_flights(deduplicate(raw), run_time)
 
 
+def _between(table: DataFrame, day: str, since: Column, until: Column | None) -> DataFrame:
+    rows = table.filter(F.col(day) >= since)
+    return rows if until is None else rows.filter(F.col(day) <= until)
+
+
 class Layers:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.as_of = session.configure(spark), sf_dir, AS_OF
+        self.paths: dict[str, str] = {}
 
-    def _days(self, label: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
+    def _days(self, label: str, df: DataFrame, sort_by: str | None = None, days: tuple[str, ...] = (tables.DAY,)) -> DataFrame:
         path = session.new_path(self.spark, label)
-        tables.write_days(df, path, sort_by)
+        tables.write_days(df, path, sort_by, days)
+        self.paths[label] = path
         return tables.read(self.spark, path, df.schema)
 
     def _whole(self, label: str, df: DataFrame) -> DataFrame:
@@ -44,13 +51,42 @@ class Layers:
         return table.read()
 
     @cached_property
-    def raw(self) -> DataFrame:
+    def raw_table(self) -> DataFrame:
+        """RAW with its partition column: the day a row was loaded, which is what incremental jobs ask for."""
         rows = raw_flights(self.spark, self.sf_dir)
-        return self._days("raw", rows.withColumn("event_date", F.to_date("event_timestamp"))).drop("event_date")
+        return self._days("raw", rows.withColumn(tables.LOAD_DAY, F.to_date("loaded_at")), days=(tables.LOAD_DAY,))
+
+    @property
+    def raw(self) -> DataFrame:
+        return self.raw_table.drop(tables.LOAD_DAY)
 
     @cached_property
+    def clean_table(self) -> DataFrame:
+        """CLEAN with both partition columns: the day of the run that made a row, and of its event."""
+        rows = cleaned(self.raw).select(*CLEAN_COLUMNS, "event_date")
+        return self._days("clean", rows.withColumn(tables.MADE_DAY, F.to_date("transformed_at")), days=(tables.MADE_DAY, tables.DAY))
+
+    @property
     def clean(self) -> DataFrame:
-        return self._days("clean", cleaned(self.raw).select(*CLEAN_COLUMNS, "event_date"))
+        return self.clean_table.drop(tables.MADE_DAY)
+
+    def raw_loaded(self, since: Column, until: Column | None = None) -> DataFrame:
+        """RAW rows of these load days; other days' files are not opened."""
+        return _between(self.raw_table, tables.LOAD_DAY, since, until).drop(tables.LOAD_DAY)
+
+    def clean_made(self, since: Column, until: Column | None = None) -> DataFrame:
+        """CLEAN rows of runs on these days; other days' files are not opened."""
+        return _between(self.clean_table, tables.MADE_DAY, since, until).drop(tables.MADE_DAY)
+
+    def newest_raw(self, at_least_since: Column) -> DataFrame:
+        """RAW rows of the newest load day, and of all days since ``at_least_since``."""
+        return self.raw_loaded(F.least(F.lit(self._newest("raw", self.raw_table, tables.LOAD_DAY)), at_least_since))
+
+    def newest_clean(self, at_least_since: Column) -> DataFrame:
+        return self.clean_made(F.least(F.lit(self._newest("clean", self.clean_table, tables.MADE_DAY)), at_least_since))
+
+    def _newest(self, label: str, table: DataFrame, day: str):
+        return tables.newest_day(self.spark, self.paths[label], day)
 
     @cached_property
     def fact(self) -> DataFrame:

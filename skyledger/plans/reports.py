@@ -41,7 +41,7 @@ REPORTS: dict[str, Report] = {
     "intl_vs_domestic": Report(
         lambda t: views.intl_vs_domestic(t.fact, t.as_of), "International vs domestic split", "Revenue Management", 10),
     "pipeline_health": Report(
-        lambda t: views.health_scorecard(t.raw, t.clean, t.fact, t.as_of), "Layer health scorecard", "Data Engineering", 1),
+        lambda t: views.health_scorecard(t.raw_loaded(today := times.day_of(t.as_of), today), t.clean_made(today, today), t.fact, t.as_of), "Layer health scorecard", "Data Engineering", 1),
 }
 
 

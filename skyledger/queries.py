@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,7 +67,7 @@ def fact_rows(t: Layers) -> DataFrame:
 
 @query
 def fact_recent_build(t: Layers) -> DataFrame:
-    return star.fact_rows(t.clean, t.as_of, FACT_MINUTES)
+    return star.fact_rows(t.clean_made(times.day_of(times.ago(t.as_of, minutes=FACT_MINUTES))), t.as_of, FACT_MINUTES)
 
 
 @query
@@ -149,7 +149,8 @@ def intl_vs_domestic(t: Layers) -> DataFrame:
 
 @query
 def health_scorecard(t: Layers) -> DataFrame:
-    return views.health_scorecard(t.raw, t.clean, t.fact, t.as_of)
+    today = times.day_of(t.as_of)
+    return views.health_scorecard(t.raw_loaded(today, today), t.clean_made(today, today), t.fact, t.as_of)
 
 
 # --- Cleaning profiles, reports of the cleaner and of deduplication --------------------
@@ -250,9 +251,9 @@ def quality_gate(t: Layers) -> DataFrame:
 
 # --- Payloads and ingestion ----------------------------------------------------------------
 
-def _staging(t: Layers) -> DataFrame:
-    """RAW rows as staged messages; rows older than six hours count as processed."""
-    messages = payload.to_payload(t.raw)
+def _staging(t: Layers, since: datetime | None = None) -> DataFrame:
+    """RAW rows as staged messages; rows older than six hours count as processed. ``since``: only of the days from there."""
+    messages = payload.to_payload(t.raw if since is None else t.raw_loaded(times.day_of(since)))
     staged = payload.staging_rows(messages, F.col("loaded_at"))
     return staged.withColumn("processed", F.col("ingested_at") < times.ago(t.as_of, hours=6))
 
@@ -276,12 +277,12 @@ def payload_paths(t: Layers) -> DataFrame:
 
 @query
 def unprocessed_recent(t: Layers) -> DataFrame:
-    return ingest.unprocessed_recent(_staging(t), STAGING_AS_OF).drop("raw_payload")
+    return ingest.unprocessed_recent(_staging(t, STAGING_AS_OF - timedelta(minutes=10)), STAGING_AS_OF).drop("raw_payload")
 
 
 @query
 def data_present_gate(t: Layers) -> DataFrame:
-    recent = ingest.unprocessed_recent(_staging(t), STAGING_AS_OF)
+    recent = ingest.unprocessed_recent(_staging(t, STAGING_AS_OF - timedelta(minutes=10)), STAGING_AS_OF)
     return recent.agg(F.count("*").alias("waiting"), (F.count("*") > 0).alias("ready"))
 
 
@@ -478,32 +479,45 @@ WINDOW_START = datetime(2024, 1, 10)
 
 @query
 def incremental_window(t: Layers) -> DataFrame:
-    return incremental.incremental_window(t.raw, WINDOW_START, t.as_of)
+    return incremental.incremental_window(t.raw_table, WINDOW_START, t.as_of, day=tables.LOAD_DAY)
 
 
 @query
 def incremental_window_batch(t: Layers) -> DataFrame:
     """The oldest 500 rows of the window, and all that share the last one's load time."""
-    return incremental.incremental_window(t.raw, WINDOW_START, t.as_of, limit=500)
+    return incremental.incremental_window(t.raw_table, WINDOW_START, t.as_of, limit=500, day=tables.LOAD_DAY)
 
 
 @query
 def watermarks_after_run(t: Layers) -> DataFrame:
     control = incremental.initial_watermarks(t.spark)
     start = incremental.get_watermark(control, "raw_to_clean")
-    batch = incremental.incremental_window(t.raw, start, t.as_of)
+    batch = incremental.incremental_window(t.raw_table, start, t.as_of, day=tables.LOAD_DAY)
     return incremental.updated_watermark(control, "raw_to_clean", batch, None, "run-1", t.as_of).drop("comment_text")
 
 
-@query
-def incremental_runs(t: Layers) -> DataFrame:
-    """CLEAN after two consecutive incremental runs."""
-    path = session.new_path(t.spark, "clean-incremental")
+def _two_runs(t: Layers) -> tuple[str, str]:
+    """Paths of CLEAN and of the run metrics after two consecutive incremental runs."""
+    path, runs = session.new_path(t.spark, "clean-incremental"), session.new_path(t.spark, "runs")
     control = tables.VersionedTable(t.spark, session.new_path(t.spark, "watermarks"), incremental.WATERMARKS)
     control.write(incremental.initial_watermarks(t.spark))
     for run_id, upper in (("run-1", EARLY), ("run-2", t.as_of)):
-        incremental.run_raw_to_clean(t.spark, t.raw, path, control, upper, run_id)
-    return tables.read(t.spark, path, t.clean.schema)
+        incremental.run_raw_to_clean(t.spark, t.raw_table, path, control, upper, run_id, day=tables.LOAD_DAY, runs_path=runs)
+    return path, runs
+
+
+@query
+def incremental_runs(t: Layers) -> DataFrame:
+    """CLEAN after two consecutive incremental runs."""
+    return tables.read(t.spark, _two_runs(t)[0], t.clean.schema)
+
+
+@query
+def incremental_run_rows(t: Layers) -> DataFrame:
+    """What the two runs wrote of themselves; their times are those of the clock."""
+    rows = t.spark.read.parquet(_two_runs(t)[1])
+    return rows.select("run_id", "dag_id", "records_read", "records_written", "records_failed", "error_rate_pct", "status",
+                       (F.col("finished_at") >= F.col("started_at")).alias("in_order"))
 
 
 def _runs(t: Layers) -> DataFrame:
@@ -572,14 +586,33 @@ def dead_letter_alert(t: Layers) -> DataFrame:
 
 # --- Health --------------------------------------------------------------------------------------
 
+def _layer_checks(t: Layers) -> DataFrame:
+    since = times.day_of(times.ago(t.as_of, hours=2))
+    return health.layer_checks(t.newest_raw(since), t.newest_clean(since), t.fact, t.as_of)
+
+
+def _layer_freshness(t: Layers) -> DataFrame:
+    today = times.day_of(t.as_of)
+    return health.layer_freshness(t.newest_raw(today), t.newest_clean(today), t.fact, t.as_of)
+
+
+def _quality_rate(t: Layers) -> DataFrame:
+    today = times.day_of(t.as_of)
+    return health.quality_rate(t.clean_made(today, today), t.as_of)
+
+
 @query
 def layer_checks(t: Layers) -> DataFrame:
-    return health.layer_checks(t.raw, t.clean, t.fact, t.as_of)
+    return _layer_checks(t)
 
 
 @query
 def quality_log(t: Layers) -> DataFrame:
-    return health.quality_log_entry(health.layer_checks(t.raw, t.clean, t.fact, t.as_of), t.as_of)
+    """The log after the entry of one check was appended."""
+    path = session.new_path(t.spark, "quality-log")
+    entry = health.quality_log_entry(_layer_checks(t), t.as_of)
+    entry.write.mode("append").parquet(path)
+    return tables.read(t.spark, path, entry.schema)
 
 
 def _offsets(t: Layers) -> DataFrame:
@@ -591,18 +624,18 @@ def _offsets(t: Layers) -> DataFrame:
 
 
 def _components(t: Layers) -> DataFrame:
-    return (health.layer_freshness(t.raw, t.clean, t.fact, t.as_of).unionByName(health.quality_rate(t.clean, t.as_of))
+    return (_layer_freshness(t).unionByName(_quality_rate(t))
             .unionByName(health.consumer_lag(_offsets(t))).unionByName(health.dead_letter_health(t.letters)))
 
 
 @query
 def layer_freshness(t: Layers) -> DataFrame:
-    return health.layer_freshness(t.raw, t.clean, t.fact, t.as_of)
+    return _layer_freshness(t)
 
 
 @query
 def quality_rate(t: Layers) -> DataFrame:
-    return health.quality_rate(t.clean, t.as_of)
+    return _quality_rate(t)
 
 
 @query

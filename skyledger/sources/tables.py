@@ -7,10 +7,13 @@ one; readers take the newest version that finished.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 DAY = "event_date"
+LOAD_DAY, MADE_DAY = "load_date", "transform_date"  # days of arrival in RAW and of the run that made a CLEAN row
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -23,14 +26,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _by_day(df: DataFrame, sort_by: str | None) -> DataFrame:
+def _by_day(df: DataFrame, sort_by: str | None, days: tuple[str, ...] = (DAY,)) -> DataFrame:
     """Even files per day: AQE merges small days and splits a day that is too large."""
-    even = df.hint("rebalance", DAY)
-    return even.sortWithinPartitions(DAY, sort_by) if sort_by else even
+    even = df.hint("rebalance", *days)
+    return even.sortWithinPartitions(*days, sort_by) if sort_by else even
+
+
+def write_days(df: DataFrame, path: str, sort_by: str | None = None, days: tuple[str, ...] = (DAY,)) -> None:
+    _by_day(df, sort_by, days).write.partitionBy(*days).parquet(path)
 
 
-def write_days(df: DataFrame, path: str, sort_by: str | None = None) -> None:
-    _by_day(df, sort_by).write.partitionBy(DAY).parquet(path)
+def newest_day(spark: SparkSession, path: str, day: str) -> date | None:
+    """The newest day of a table, from the names of its folders; no file is opened."""
+    fs, root = _file_system(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(root)] if fs.exists(root) else []
+    found = [n.partition("=")[2] for n in names if n.startswith(f"{day}=")]
+    return max((date.fromisoformat(n) for n in found if n[:1].isdigit()), default=None)
 
 
 def append_days(df: DataFrame, path: str, sort_by: str | None = None) -> None:
