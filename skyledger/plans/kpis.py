@@ -23,16 +23,14 @@ def kpi_summary(active: DataFrame, league: DataFrame, congestion: DataFrame, hea
     busiest = F.min_by(F.struct("airport_code", "city", "congestion_index"),
                        F.struct("congestion_rank", "airport_code"))
     best = F.min_by(F.struct("airline_name", "otp_rate_pct"), F.struct("otp_rank", "airline_iata"))
-    now = active.agg(F.coalesce(F.sum("active_flights"), F.lit(0)).alias("flights"),
-                     zero(F.round(F.avg("avg_delay_minutes"), 1)).alias("delay"))
-    fleet = league.agg(zero(F.round(F.avg("otp_rate_pct"), 1)).alias("otp"), best.alias("best"))
+    now = active.agg(F.struct(F.coalesce(F.sum("active_flights"), F.lit(0)).alias("flights"),
+                              zero(F.round(F.avg("avg_delay_minutes"), 1)).alias("delay")).alias("now"))
+    fleet = league.agg(F.struct(zero(F.round(F.avg("otp_rate_pct"), 1)).alias("otp"), best.alias("best")).alias("fleet"))
     places = congestion.agg(busiest.alias("busiest"))
-    return health.select(
-        now.select("flights").scalar().alias("active_flights_now"),
-        fleet.select("otp").scalar().alias("fleet_otp_rate_pct"),
-        now.select("delay").scalar().alias("avg_delay_minutes_now"),
-        places.scalar().alias("busiest"),
-        fleet.select("best").scalar().alias("best"),
+    figures = health.select("*", now.scalar().alias("now"), fleet.scalar().alias("fleet"), places.scalar().alias("busiest"))  # each report once
+    return figures.select(
+        F.col("now.flights").alias("active_flights_now"), F.col("fleet.otp").alias("fleet_otp_rate_pct"),
+        F.col("now.delay").alias("avg_delay_minutes_now"), "busiest", F.col("fleet.best").alias("best"),
         F.col("overall_health").alias("health"),
         zero(F.col("clean_record_pct")).alias("clean_record_pct"),
         F.col("raw_lag_minutes").alias("lag_minutes"),

@@ -13,6 +13,7 @@ from skyledger.plans.star import is_status
 from skyledger.plans.views import _with_names, verified_today
 from skyledger.settings import AS_OF
 
+# The columns that each dashboard table shows, in its order.
 LEAGUE_COLUMNS = [
     "otp_rank", "airline_iata", "airline_name", "total_unique_flights", "otp_rate_pct", "avg_delay_minutes",
     "median_delay_minutes", "worst_single_delay", "pct_minor_delay", "pct_moderate_delay", "pct_major_delay",

@@ -758,6 +758,13 @@ def fact_rolling_views(t: Layers) -> DataFrame:
 
 # --- Dashboard slices ---------------------------------------------------------------------------
 
+def _once(t: Layers, rows: DataFrame, label: str) -> DataFrame:
+    """A report that is used more than once, evaluated and written once."""
+    path = session.new_path(t.spark, label)
+    rows.write.parquet(path)
+    return tables.read(t.spark, path, rows.schema)
+
+
 @query
 def worst_delay_hours(t: Layers) -> DataFrame:
     return slices.worst_hours(delay_patterns(t), t.as_of)
@@ -765,7 +772,7 @@ def worst_delay_hours(t: Layers) -> DataFrame:
 
 @query
 def league_extremes(t: Layers) -> DataFrame:
-    return slices.league_extremes(airline_league(t))
+    return slices.league_extremes(_once(t, airline_league(t), "league"))
 
 
 @query
@@ -775,7 +782,7 @@ def peak_hours_ranked(t: Layers) -> DataFrame:
 
 @query
 def route_extremes(t: Layers) -> DataFrame:
-    return slices.route_extremes(route_efficiency(t))
+    return slices.route_extremes(_once(t, route_efficiency(t), "routes"))
 
 
 @query
@@ -866,12 +873,12 @@ def fleet_means(t: Layers) -> DataFrame:
 
 @query
 def route_bubbles(t: Layers) -> DataFrame:
-    return slices.route_bubbles(route_efficiency(t))
+    return slices.route_bubbles(_once(t, route_efficiency(t), "routes"))
 
 
 @query
 def run_bubbles(t: Layers) -> DataFrame:
-    return slices.run_bubbles(incremental.recent_runs(_runs(t), 50))
+    return slices.run_bubbles(_once(t, incremental.recent_runs(_runs(t), 50), "runs"))
 
 
 @query
@@ -963,7 +970,7 @@ def _event_stream(t: Layers) -> DataFrame:
 @query
 def stream_dedup_ids(t: Layers) -> DataFrame:
     events = _event_stream(t)
-    sink = stream_dedup.FirstArrivals(t.spark, session.new_path(t.spark, "stream-ids"))
+    sink = stream_dedup.FirstArrivals(t.spark, session.new_path(t.spark, "stream-ids"), buckets=16)
     stream_dedup.start(events, sink, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
     return sink.read(events.schema).select("event_id")
 
