@@ -1,7 +1,96 @@
-"""DuckDB SQL of the corpus queries that SQL can express."""
+"""DuckDB SQL of the corpus queries that SQL can express.
+
+Not expressed: edit distance over embedded windows (op1), CRC-32 of texts (op3, op7), MinHash
+signatures (op5), token ids (op6, op7) and learned prototypes (op10); ``tests/llm`` holds
+them against brute force, the tokenizer library, exact round trips and held-out accuracy.
+"""
 
 from __future__ import annotations
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASE32 = _UPPER + "234567"
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+named AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS name, s FROM sets),
+grams AS (SELECT doc_id, n, name, unnest(s) AS g FROM named),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.name) <> any_value(b.name) AS other, any_value(b.name) AS name
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM named JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(DISTINCT name) AS n_links FROM links WHERE other GROUP BY x) USING (doc_id)"""
+
+METRIC_SEARCH = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5"""
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: int, pattern: str) -> str:
+    return f"""SELECT rid, source, {kind} AS kind, unnest(m) AS match, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS nth
+  FROM (SELECT rid, source, regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS g FROM docs) WHERE len(m) > 0"""
+
+
+SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({_matches(0, _ASSIGN)} UNION ALL {_matches(1, 'AKIA[A-Z0-9]{12,}')} UNION ALL {_matches(2, '[0-9a-f]{32,}')}),
+placed AS (
+  SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY rid, kind ORDER BY nth) AS BIGINT) AS stop,
+    CASE WHEN kind = 0 THEN regexp_extract(match, '{_ASSIGN}', 2) ELSE match END AS value FROM found),
+candidates AS (
+  SELECT *, regexp_matches(value, '(?i)example|sample|dummy|changeme|placeholder|your[_.-]|x{{4}}|0{{8}}|1234567')
+      OR replace(lower(value), lower(value)[1:1], '') = '' AS placeholder
+  FROM placed WHERE length(value) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM candidates GROUP BY value),
+judged AS (
+  SELECT *, ['assign', 'access', 'hex'][kind + 1] AS name, CASE WHEN placeholder OR owners >= 3 THEN 'example' WHEN owners <= 1 THEN 'live' END AS verdict
+  FROM candidates JOIN owned USING (value)),
+spans AS (
+  SELECT rid, kind, stop - length(match) AS start, stop, name FROM judged
+  UNION SELECT rid, CASE verdict WHEN 'live' THEN 3 ELSE 4 END, stop - length(value), stop, verdict FROM judged WHERE verdict IS NOT NULL),
+texts AS (
+  SELECT rid, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans,
+    coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base
+  FROM spans GROUP BY rid),
+counts AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example, max(owners) AS most_owners
+  FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live,
+  coalesce(n_example, 0) AS n_example, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(most_owners, 0) AS most_owners
+FROM docs LEFT JOIN texts USING (rid) LEFT JOIN counts USING (rid)"""
+
+WARC = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS hexadecimal FROM pages),
+bits AS (
+  SELECT page_id, p, array_to_string(list_transform(range(1, 41), lambda i: 
+    substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(hexadecimal, i, 1)) - 3, 4)), '') AS b,
+    max(page_id) OVER (PARTITION BY p) AS kept
+  FROM payloads),
+digits AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('{_BASE32}', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: 
+    CAST(substr(b, CAST(1 + 5 * k + j AS BIGINT), 1) AS INTEGER) * (16 >> CAST(j AS INTEGER)))) AS BIGINT), 1)), '') AS digest
+  FROM bits)
+SELECT page_id, strlen(p) AS payload_bytes, digest AS payload_digest, CASE WHEN kept IS NULL OR kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id OR page_id IS NULL THEN kept END AS refers_to
+FROM digits"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_join": NGRAM_JOIN, "op4_metric_tree_search": METRIC_SEARCH, "op8_secret_ownership": SECRETS, "op9_warc_archive": WARC}

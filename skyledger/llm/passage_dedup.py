@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from skyledger.llm.common import as_long, fresh, hash_cache, mixed, slices, text_of, word_hashes, written
@@ -41,7 +40,6 @@ GRAMS = PARAGRAPH - WIDTH + 1
 MOST_SENT = 4_000_000  # vertex numbers that may be sent to every task (32 MB); beyond, they are joined
 ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8")])
 _ROWS = 512
-_WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 _TOP = np.uint64(1 << 63)
 
 
@@ -140,7 +138,7 @@ def _words(batch: pa.RecordBatch, column: int, cache) -> list[np.ndarray]:
 
 
 def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> DataFrame:
-    """Pairs (x, y) of vertices to verify, a chain for each bucket; (x, x) for a vertex that occurs more than once.
+    """Pairs (x, y) of vertices, a star for each bucket; (x, x) where a bucket holds one vertex several times.
 
     Buckets of a single document are left out: paragraphs of one text overlap.
     """
@@ -158,9 +156,12 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> D
         found = found[np.lexsort((found["vertex"], found["value"]))]
         starts = np.flatnonzero(np.concatenate([[True], found["value"][1:] != found["value"][:-1]]))
         several = np.minimum.reduceat(found["document"], starts) != np.maximum.reduceat(found["document"], starts)
-        found = found[np.repeat(several, np.diff(np.append(starts, len(found))))]
-        same = found["value"][1:] == found["value"][:-1]
-        pairs = np.unique(np.stack([found["vertex"][:-1][same], found["vertex"][1:][same]], 1), axis=0)
+        sizes = np.diff(np.append(starts, len(found)))
+        centre = np.repeat(found["vertex"][starts], sizes)
+        later = np.repeat(several, sizes)
+        later[starts] = False
+        pairs = np.unique(np.stack([centre[later], found["vertex"][later]], 1), axis=0)
+        found = found[np.repeat(several, sizes)]
         documents = np.unique(found["document"])
         bucket, at = np.unique(documents.astype(np.int64) * fragments >> 32, return_index=True)
         blobs = [x.astype("<u4").tobytes() for x in np.split(documents, at[1:])] if len(bucket) else []
@@ -172,6 +173,20 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> D
     return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, bucket int, documents binary"), "passage-candidates")
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Number of distinct values in each row."""
+    ordered = np.sort(rows, axis=1)
+    return 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(1)
+
+
+def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in code points, of the words ``[^\\x20\\x09-\\x0D]+``."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], (points != 32) & ((points < 9) | (points > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def _documents(collisions: DataFrame) -> np.ndarray | None:
     """Short names of the documents with a collision, sorted; None when they are too many to be sent to every task."""
     def distinct(table: pa.Table) -> pa.Table:
@@ -222,26 +237,28 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarr
             (by_content, pair_content), (by_kind, pair_kind) = status(p.content), status(p.kind)
             pair_content &= p.rare > 0
             used = np.flatnonzero((by_content & (p.rare > 0)) | (by_kind & p.mostly_common))
-            spans, sent = {}, set()
-            rid, key, out = batch.column(0).to_pylist(), p.owner[used].tolist(), []
-            for i, owner in zip(used.tolist(), key):
-                if owner not in spans:
-                    spans[owner] = [m.span() for m in _WORD.finditer(batch.column(2)[owner].as_py())]
-                place = int(p.place[i])
-                ngrams = np.unique(p.grams[i] >> np.uint64(16)).astype(np.int64)
-                often = np.unique(p.grams[i][p.common[i]] >> np.uint64(16)).astype(np.int64)
-                content, kind = int(p.content[i]), int(p.kind[i]) if p.mostly_common[i] else None
-                sets = [None, None]
-                if pair_content[i] and content not in sent:
-                    sets[0] = packed(ngrams)
-                    sent.add(content)
-                if kind is not None and pair_kind[i] and kind not in sent:
-                    sets[1] = packed(often)
-                    sent.add(kind)
-                alike = kind is not None and 7 * len(often) >= 6 * len(ngrams)  # two of this class are always similar
-                out.append((rid[owner], spans[owner][place][0], spans[owner][place + PARAGRAPH - 1][1], content, kind, len(ngrams), alike, *sets))
-            columns = [as_long([r[i] for r in out]) for i in range(6)] + [pa.array([r[6] for r in out], pa.bool_())] + [pa.array([r[i] for r in out], pa.binary()) for i in (7, 8)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(1).take(pa.array(key, pa.int64())), *columns[1:]], names)
+            owner, place, content, common_kind = p.owner[used], p.place[used], p.content[used], p.mostly_common[used]
+            kind = p.kind[used]
+            grams = (p.grams[used] >> np.uint64(16)).astype(np.int64)
+            often = np.where(p.common[used], grams, -1)
+            n, n_often = _distinct(grams), _distinct(often) - (often < 0).any(1)
+            alike = common_kind & (7 * n_often >= 6 * n)  # two of this class are always similar
+            start, end = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
+            for i in np.unique(owner).tolist():
+                begins, stops = _word_spans(batch.column(2)[i].as_py())
+                mine = owner == i
+                start[mine], end[mine] = begins[place[mine]], stops[place[mine] + PARAGRAPH - 1]
+            sets: list[list[bytes | None]] = []
+            for names_of, wanted, values in ((content, pair_content[used], grams), (kind, pair_kind[used] & common_kind, often)):
+                column: list[bytes | None] = [None] * len(used)
+                chosen = np.flatnonzero(wanted)
+                for i in chosen[np.unique(names_of[chosen], return_index=True)[1]].tolist():
+                    distinct = np.unique(values[i])
+                    column[i] = packed(distinct[distinct >= 0])
+                sets.append(column)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), as_long(start), as_long(end), as_long(content),
+                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), *(pa.array(column, pa.binary()) for column in sets)], names)
 
     names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "content_ngrams", "kind_ngrams"]
     longs = {"rid", "start", "end", "content", "kind", "n"}

@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pytest
@@ -93,4 +92,5 @@ def test_windows_hold_a_start_in_every_stretch():
 def test_spans():
     assert P._merged([(5, 9, 3), (0, 4, 7), (12, 15, 1)]) == [(0, 9, 3), (12, 15, 1)]
     assert P._minus([(0, 20, 1), (30, 40, 2)], [(5, 8, 0), (18, 35, 0)]) == [(0, 5, 1), (8, 18, 1), (35, 40, 2)]
-    assert re.findall(P._WORD.pattern, "a\u00a0b c\x0bd") == ["a\u00a0b", "c", "d"]
+    text = " a\u00a0b \U0001f600c\x0bd\n"
+    assert [text[s:e] for s, e in zip(*P._word_spans(text))] == ["a\u00a0b", "\U0001f600c", "d"]
