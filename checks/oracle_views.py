@@ -196,8 +196,8 @@ FROM (SELECT *, lag(daily_flights, 7) OVER w AS flights_last_week, lag(avg_delay
 CTES["q9"] = f"""
 SELECT segment, {N} AS days_of_data, {big('sum(f)')} AS total_flights,
        {pct('sum(f)', 'sum(sum(f)) OVER ()', 2)} AS traffic_share_pct, max(r) AS unique_routes, max(a) AS airlines,
-       {R('avg(d)', 2)} AS avg_delay_minutes, {R('avg(sp)', 1)} AS avg_speed_kmh, {R('avg(al)', 0)} AS avg_altitude_ft,
-       {R('avg(o)', 2)} AS avg_otp_rate_pct, {big('sum(sv)')} AS total_severe_delays, {big('sum(c)')} AS total_cancellations,
+       {R('avg(CAST(d AS DECIMAL(18,2)))', 2)} AS avg_delay_minutes, {R('avg(CAST(sp AS DECIMAL(18,1)))', 1)} AS avg_speed_kmh, {R('avg(al)', 0)} AS avg_altitude_ft,
+       {R('avg(CAST(o AS DECIMAL(18,2)))', 2)} AS avg_otp_rate_pct, {big('sum(sv)')} AS total_severe_delays, {big('sum(c)')} AS total_cancellations,
        {pct('sum(c)', 'sum(f)', 2)} AS cancellation_rate_pct
 FROM (SELECT CASE WHEN is_international THEN 'International' ELSE 'Domestic' END AS segment, event_date,
              count(DISTINCT flight_id) AS f, count(DISTINCT route_key) AS r, count(DISTINCT airline_iata) AS a,

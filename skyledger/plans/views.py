@@ -319,7 +319,14 @@ def weekly_trends(fact: DataFrame, as_of: datetime = AS_OF, days: int = 60) -> D
 
 
 def intl_vs_domestic(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) -> DataFrame:
-    """The two segments: daily figures first, then averages of the daily figures."""
+    """The two segments: daily figures first, then averages of the daily figures.
+
+    Rounded figures are averaged as decimals: their mean often lies just between two
+    results, and sums of doubles would decide by the order of the rows.
+    """
+    def exact_mean(name: str, digits: int) -> Column:
+        return F.round(F.avg(F.col(name).cast(f"decimal(18,{digits})")), digits).cast("double")
+
     segment = F.when(_abroad(), "International").otherwise("Domestic")
     daily = verified(fact, as_of, days).groupBy(segment.alias("segment"), "event_date").agg(
         F.countDistinct("flight_id").alias("flights"),
@@ -337,10 +344,10 @@ def intl_vs_domestic(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) -
         F.sum("flights").alias("total_flights"),
         F.max("routes").alias("unique_routes"),
         F.max("carriers").alias("airlines"),
-        F.round(F.avg("delay"), 2).alias("avg_delay_minutes"),
-        F.round(F.avg("speed"), 1).alias("avg_speed_kmh"),
+        exact_mean("delay", 2).alias("avg_delay_minutes"),
+        exact_mean("speed", 1).alias("avg_speed_kmh"),
         F.round(F.avg("altitude"), 0).alias("avg_altitude_ft"),
-        F.round(F.avg("otp"), 2).alias("avg_otp_rate_pct"),
+        exact_mean("otp", 2).alias("avg_otp_rate_pct"),
         F.sum("severe").alias("total_severe_delays"),
         F.sum("cancelled").alias("total_cancellations"),
         percent(F.sum("cancelled"), F.sum("flights"), 2).alias("cancellation_rate_pct"),
