@@ -41,7 +41,7 @@ class WordEncoder:
     as the mark at which their ids are cut apart again.
     """
 
-    def __init__(self, path: str, entries: int = 80_000):
+    def __init__(self, path: str, entries: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
