@@ -35,6 +35,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, rid: str, label: str) -> DataFrame:
+    """``df`` as a written table with a number for every row.
+
+    Numbers that are made while reading depend on how files are split, which changes with
+    the executors that are there; so rows that are read more than once get theirs once.
+    """
+    return written(df.withColumn(rid, F.monotonically_increasing_id()), label)
+
+
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     """Names for helper columns that do not clash with columns the caller already has."""
     low = {name.lower() for name in taken}

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skyledger.llm.common import as_long, fresh, hash_cache, shingle_set, slices, text_of, word_hashes, written
+from skyledger.llm.common import as_long, fresh, hash_cache, numbered, shingle_set, slices, text_of, word_hashes, written
 from skyledger.llm.components import components
 
 FREQUENT = 32  # documents; more common n-grams come last in the order
@@ -61,7 +61,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
-def document_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def document_sets(docs: DataFrame, key: str, text: str, width: int, rid: str | None = None) -> DataFrame:
     """Row number, key, size, identity and packed n-grams of every document, as a written table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = hash_cache()
@@ -74,7 +74,8 @@ def document_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame
                 sets.append(packed(found >> np.uint64(64 - _BITS)) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_long(sizes), as_long(names), pa.array(sets, pa.binary())], ["rid", "key", "n", "id", "ngrams"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), text_of(text).alias("x_text"))
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(number.alias("rid"), F.col(key).alias("key"), text_of(text).alias("x_text"))
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("n", T.LongType()), T.StructField("id", T.LongType()), T.StructField("ngrams", T.BinaryType())])
     return written(rows.mapInArrow(run, schema), "document-sets")
 
@@ -379,10 +380,10 @@ def links(sets: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFram
     return written(dealt.groupBy("alone", "task", "low", "high").applyInArrow(verify, "id long, root long, links long"), "join-links")
 
 
-def _joined(docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int], rid: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents' sets, and for every set its component and its number of links."""
     fragments = order_fragments(docs, text)
-    sets = document_sets(docs, key, text, width)
+    sets = document_sets(docs, key, text, width, rid)
     common, bits = frequent_ngrams(sets.where(F.col("ngrams").isNotNull()).select("ngrams"), lambda column: unpacked(b"".join(column.to_pylist())), fragments)
     found = links(sets, candidates(sets, fragments, common, bits, share), share)
     groups = components(found, "id", "root", "join-components").withColumnsRenamed({"vertex": "id"})
@@ -408,14 +409,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (3, 4)) -> DataFrame:
     """``docs`` with one row of each component, that of the least key; rows without n-grams stay.
 
-    ``docs`` is read twice and must give the same rows in the same order, as a table on
-    disk does. Only row numbers are joined to the texts.
+    Only row numbers are joined to the texts.
     """
     rid, = fresh(docs.columns, "x_rid")
-    sets, classes = _joined(docs, key, text, width, share)
-    rows = sets.join(classes.select("id", "component"), "id")
-    stays = rows.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "rid")).alias("first")).select("component", F.col("first.rid").alias("stays"))
-    gone = written(rows.join(stays, "component").where(F.col("rid") != F.col("stays")).select(F.col("rid").alias(rid)), "join-removed")
+    rows = numbered(docs, rid, "numbered-documents")
+    sets, classes = _joined(rows, key, text, width, share, rid)
+    members = sets.join(classes.select("id", "component"), "id")
+    stays = members.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "rid")).alias("first")).select("component", F.col("first.rid").alias("stays"))
+    gone = written(members.join(stays, "component").where(F.col("rid") != F.col("stays")).select(F.col("rid").alias(rid)), "join-removed")
     few = gone.count() <= MOST_SENT
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    return numbered.join(F.broadcast(gone) if few else gone, rid, "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, rid, "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skyledger.llm.common import as_long, fresh, hash_cache, mixed, slices, text_of, word_hashes, written
+from skyledger.llm.common import as_long, fresh, hash_cache, mixed, numbered, slices, text_of, word_hashes, written
 from skyledger.llm.components import components
 from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed
 
@@ -334,23 +334,27 @@ def _minus(spans: list[tuple[int, int, int]], kept: list[tuple[int, int, int]])
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.9) -> DataFrame:
     """A row per repeated passage of a document: key, row number, start and end (code points), cluster, and whether it is removed."""
+    return _passages(numbered(docs.select(F.col(key).alias("key"), text_of(text).alias("x_text")), "rid", "numbered-texts"), key, share, recall)
+
+
+def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float) -> DataFrame:
+    """``texts`` is a written table of rid, key and x_text."""
     bands, rows = tuned(share[0] / share[1], recall)
-    fragments = order_fragments(docs, text)
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), text_of(text).alias("x_text"))
+    fragments = order_fragments(texts, "x_text")
     cache = hash_cache()
 
-    def ngrams_of(texts: pa.Array) -> np.ndarray:
-        words = [word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache) for x in texts]
+    def ngrams_of(column: pa.Array) -> np.ndarray:
+        words = [word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache) for x in column]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.concatenate([*words, np.zeros(WIDTH, np.uint64)])
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))  # words to the end of the text
         return (_grams(flat, len(left))[left >= WIDTH] >> np.uint64(16)).astype(np.int64)
 
-    common = frequent_ngrams(numbered.select("x_text"), ngrams_of, fragments)
-    shipped = docs.sparkSession.sparkContext.broadcast(common)
-    collisions = _edges(numbered, shipped, fragments, bands, rows)
+    common = frequent_ngrams(texts.select("x_text"), ngrams_of, fragments)
+    shipped = texts.sparkSession.sparkContext.broadcast(common)
+    collisions = _edges(texts, shipped, fragments, bands, rows)
     edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
-    found = _occurrences(numbered, shipped, edges, _documents(collisions))
+    found = _occurrences(texts, shipped, edges, _documents(collisions))
     clusters = _clustered(found, edges, share)
     placed = found.select("rid", "key", "start", "end", "content").join(clusters, "content", "left")
     placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"))
@@ -359,7 +363,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
     removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start")))
     per_row = judged.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", removed.alias("removed"))).alias("spans"))
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("row_number", "start", "end", "cluster")), T.StructField("removed", T.BooleanType())])
+    schema = T.StructType([T.StructField(key, texts.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("row_number", "start", "end", "cluster")), T.StructField("removed", T.BooleanType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -374,14 +378,13 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.9) -> DataFrame:
-    """``docs`` with the removed passages cut out of the texts.
-
-    ``docs`` is read more than once and must give the same rows in the same order.
-    """
+    """``docs`` with the removed passages cut out of the texts."""
     names, (rid, cuts) = docs.columns, fresh(docs.columns, "x_rid", "x_cuts")
-    gone = written(passages(docs, key, text, share, recall).where("removed"), "passage-removals")
+    rows = numbered(docs, rid, "numbered-documents")
+    texts = rows.select(F.col(key).alias("key"), text_of(text).alias("x_text"), F.col(rid).alias("rid"))
+    gone = written(_passages(texts, key, share, recall).where("removed"), "passage-removals")
     spans = gone.groupBy(F.col("row_number").alias(rid)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
-    joined = docs.withColumn(rid, F.monotonically_increasing_id()).join(spans, rid, "left")
+    joined = rows.join(spans, rid, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
