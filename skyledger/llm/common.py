@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,15 @@ class BoundedCache(dict):
 def word_hashes(data: bytes, cache: BoundedCache) -> np.ndarray:
     """A 64-bit hash for every word of ``data``, in order."""
     parts = [np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)) for words in word_lists(data) if words]
+    if len(parts) == 1:
+        return parts[0]
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+@lru_cache(maxsize=1)
 def hash_cache() -> BoundedCache:
-    return BoundedCache(xxhash.xxh64_intdigest)
+    """One for all tasks of a worker."""
+    return BoundedCache(xxhash.xxh64_intdigest, entries=250_000)
 
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -25,7 +25,7 @@ def _to_least(pairs: DataFrame, own: bool) -> DataFrame:
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _to_least(both, own=True).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+    large = _to_least(both, own=True).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
     down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     small = _to_least(down, own=False)
     onto = small.where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))

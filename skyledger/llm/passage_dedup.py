@@ -341,16 +341,16 @@ def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float)
     """``texts`` is a written table of rid, key and x_text."""
     bands, rows = tuned(share[0] / share[1], recall)
     fragments = order_fragments(texts, "x_text")
-    cache = hash_cache()
 
     def ngrams_of(column: pa.Array) -> np.ndarray:
+        cache = hash_cache()
         words = [word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache) for x in column]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.concatenate([*words, np.zeros(WIDTH, np.uint64)])
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))  # words to the end of the text
         return (_grams(flat, len(left))[left >= WIDTH] >> np.uint64(16)).astype(np.int64)
 
-    common = frequent_ngrams(texts.select("x_text"), ngrams_of, fragments)
+    common = frequent_ngrams(texts.select("x_text"), ngrams_of, fragments)  # the order costs a pass, and saves most candidates
     shipped = texts.sparkSession.sparkContext.broadcast(common)
     collisions = _edges(texts, shipped, fragments, bands, rows)
     edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
