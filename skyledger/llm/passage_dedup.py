@@ -16,10 +16,10 @@ rare n-grams: those of equal common part are one vertex, whatever else they hold
 parts are exact for pairs that collide; no bucket is cut.
 
 Defined cases: null and empty texts, and texts of fewer words than a paragraph, have no
-passages; what occurs in one row only is no repeated passage, however often; repeated rows
-are repeated passages; a null key comes before others when the
-first paragraph is chosen, ties go to the row read first; an empty table gives an empty
-result. Other columns are ignored, whatever their names.
+passages; a passage that occurs twice in one row, apart from each other, is repeated, but a
+run of one and the same word in one row only is not; repeated rows are repeated passages; a
+null key comes before others when the first paragraph is chosen, ties go to the row read
+first; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ MOST_SENT = 4_000_000  # vertex numbers that may be sent to every task (32 MB);
 ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8")])
 _ROWS = 512
 _TOP = np.uint64(1 << 63)
+_NAME = np.uint32(0xFFFFFFFE)  # the document of an entry; the last bit says that its bucket holds two places of it that are apart
 
 
 def tuned(similarity: float, recall: float, most_bands: int = 16) -> tuple[int, int]:
@@ -67,8 +68,8 @@ def _slid(values: np.ndarray, width: int, best, fill: int) -> np.ndarray:
 
 
 def short_names(rids: np.ndarray) -> np.ndarray:
-    """32 bits that tell documents apart; equal ones only make two documents count as one in a bucket."""
-    return (mixed(rids.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    """31 bits, above a free one, that tell documents apart; equal ones only make two documents count as one in a bucket."""
+    return (mixed(rids.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32) & _NAME
 
 
 def _grams(flat: np.ndarray, count: int) -> np.ndarray:
@@ -111,9 +112,21 @@ class Paragraphs:
         for column in range(GRAMS):
             mark += np.where(self.common[:, column], mixed(self.grams[:, column] + np.uint64(97)), np.uint64(0))
         self.rare = rare
+        self.uniform = (self.grams == self.grams[:, :1]).all(1)
         self.mostly_common = 4 * rare <= GRAMS
         self.kind = np.where(rare == 0, self.content, mixed(mark + rare.astype(np.uint64)).view(np.int64))
 
+    def _repeated(self, values: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Whether a document has this value in paragraphs that do not overlap; runs of a single word aside."""
+        out, of = np.zeros(int(used.sum()), bool), np.flatnonzero(used & ~self.uniform)
+        names = mixed(values[of] ^ mixed(self.owner[of].astype(np.uint64)))
+        order = np.argsort(names, kind="stable")  # paragraphs are in order of place
+        starts = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]])) if len(of) else np.empty(0, np.int64)
+        sizes, place = np.diff(np.append(starts, len(of))), self.place[of][order]
+        wide = place[starts + sizes - 1] - place[starts] >= PARAGRAPH
+        out[(np.cumsum(used) - 1)[of[order]]] = np.repeat(wide, sizes)
+        return out
+
     def entries(self, bands: int, rows: int, rids: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
         """Fragment and (next 32 bits of the band value, document, vertex) of every paragraph and band."""
         parts, found, shift = [], [], np.uint64(64 - fragments.bit_length() + 1)
@@ -127,7 +140,7 @@ class Paragraphs:
                 common_value = mixed(common_value ^ np.where(self.common, key, _TOP).min(1) ^ np.uint64(0x5555))
             for values, vertex, used in ((rare_value, self.content, self.rare > 0), (common_value, self.kind, self.mostly_common)):
                 part = np.zeros(int(used.sum()), ENTRIES)
-                part["value"], part["document"], part["vertex"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used], vertex[used]
+                part["value"], part["document"], part["vertex"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used] | self._repeated(values, used), vertex[used]
                 parts.append((values[used] >> shift).astype(np.int64))
                 found.append(part)
         return np.concatenate(parts), np.concatenate(found)
@@ -140,7 +153,7 @@ def _words(batch: pa.RecordBatch, column: int, cache) -> list[np.ndarray]:
 def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> DataFrame:
     """Pairs (x, y) of vertices, a star for each bucket; (x, x) where a bucket holds one vertex several times.
 
-    Buckets of a single document are left out: paragraphs of one text overlap.
+    Buckets of a single document are left out where all its paragraphs overlap.
     """
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (common, bits) = hash_cache(), shipped.value
@@ -155,14 +168,14 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> D
         found = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRIES)
         found = found[np.lexsort((found["vertex"], found["value"]))]
         starts = np.flatnonzero(np.concatenate([[True], found["value"][1:] != found["value"][:-1]]))
-        several = np.minimum.reduceat(found["document"], starts) != np.maximum.reduceat(found["document"], starts)
+        names = found["document"] & _NAME
+        several = (np.minimum.reduceat(names, starts) != np.maximum.reduceat(names, starts)) | (np.maximum.reduceat(found["document"] & ~_NAME, starts) > 0)
         sizes = np.diff(np.append(starts, len(found)))
         centre = np.repeat(found["vertex"][starts], sizes)
         later = np.repeat(several, sizes)
         later[starts] = False
         pairs = np.unique(np.stack([centre[later], found["vertex"][later]], 1), axis=0)
-        found = found[np.repeat(several, sizes)]
-        documents = np.unique(found["document"])
+        documents = np.unique(names[np.repeat(several, sizes)])
         bucket, at = np.unique(documents.astype(np.int64) * fragments >> 32, return_index=True)
         blobs = [x.astype("<u4").tobytes() for x in np.split(documents, at[1:])] if len(bucket) else []
         x, y = ([*pairs[:, i].tolist(), *[None] * len(blobs)] for i in (0, 1))
@@ -287,7 +300,7 @@ def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> Da
 
 def _apart(placed: DataFrame) -> DataFrame:
     """Without paragraphs that overlap one of the same cluster before them in the same row: those are no repetition."""
-    names, per_row = placed.columns, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component"))).alias("spans"))
+    names, per_row = placed.columns, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component", "uniform"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -297,9 +310,9 @@ def _apart(placed: DataFrame) -> DataFrame:
                 for span in spans:
                     if span["start"] >= ends.get(span["component"], 0):
                         ends[span["component"]] = span["end"]
-                        out.append((i, rid, span["start"], span["end"], span["component"]))
+                        out.append((i, rid, span["start"], span["end"], span["component"], span["uniform"]))
             keys = batch.column(1).take(pa.array([r[0] for r in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4))], names)
+            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4)), pa.array([r[5] for r in out], pa.bool_())], names)
 
     return per_row.mapInArrow(run, placed.schema)
 
@@ -332,7 +345,7 @@ def _minus(spans: list[tuple[int, int, int]], kept: list[tuple[int, int, int]])
     return out
 
 
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.9) -> DataFrame:
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
     """A row per repeated passage of a document: key, row number, start and end (code points), cluster, and whether it is removed."""
     return _passages(numbered(docs.select(F.col(key).alias("key"), text_of(text).alias("x_text")), "rid", "numbered-texts"), key, share, recall)
 
@@ -356,10 +369,11 @@ def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float)
     edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
     found = _occurrences(texts, shipped, edges, _documents(collisions))
     clusters = _clustered(found, edges, share)
-    placed = found.select("rid", "key", "start", "end", "content").join(clusters, "content", "left")
-    placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"))
+    placed = found.select("rid", "key", "start", "end", "content", (F.col("n") == 1).alias("uniform")).join(clusters, "content", "left")
+    placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"), "uniform")
     placed = written(_apart(placed), "passage-places")
-    firsts = placed.groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
+    firsts = placed.groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"),
+                                             F.count(F.lit(1)).alias("times"), F.bool_or("uniform").alias("uniform")).where("low < high OR times > 1 AND NOT uniform")
     judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
     removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start")))
     per_row = judged.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", removed.alias("removed"))).alias("spans"))
@@ -377,7 +391,7 @@ def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float)
     return per_row.mapInArrow(merge, schema)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.9) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
     """``docs`` with the removed passages cut out of the texts."""
     names, (rid, cuts) = docs.columns, fresh(docs.columns, "x_rid", "x_cuts")
     rows = numbered(docs, rid, "numbered-documents")

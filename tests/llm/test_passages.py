@@ -73,6 +73,26 @@ def test_defined_cases(documents, clashing):
     assert P.passages(docs.limit(0)).count() == 0
 
 
+def test_repeats_within_one_document_are_found(documents):
+    draw = random.Random(21)
+    passage, near = words(draw, 60), words(draw, 60)
+    changed = [*near[:2], "changed", *near[3:]]
+    text = words(draw, 50) + passage + words(draw, 90) + near + passage + words(draw, 40) + changed + passage + words(draw, 30)
+    docs = documents([(1, " ".join(text)), (2, " ".join(words(draw, 400))), (3, "same " * 300)])
+    found = spans(P.passages(docs))
+    assert set(found) == {1}
+    assert sum(not removed for _, _, removed in found[1]) == 2 and sum(removed for _, _, removed in found[1]) == 2  # the last two adjoin
+    texts = {r.doc_id: r.text for r in P.without_repeats(docs).collect()}
+    assert texts[1].count(" ".join(passage)) == 1 and " ".join(changed) not in texts[1] and texts[3] == "same " * 300
+
+
+def test_the_default_recall_is_the_stated_one():
+    for operator in (P.passages, P.without_repeats):
+        share, recall = operator.__defaults__[-2:]
+        bands, rows = P.tuned(share[0] / share[1], recall)
+        assert recall == 0.95 and 1 - (1 - 0.75**rows) ** bands >= 0.95
+
+
 def test_banding_is_tuned():
     for similarity, recall in ((0.75, 0.9), (0.75, 0.95), (0.5, 0.8)):
         bands, rows = P.tuned(similarity, recall)
