@@ -1,6 +1,7 @@
 """Repeated passages inside documents, by paragraph MinHash banding.
 
-A paragraph is a run of ``PARAGRAPH`` words. Where one starts is chosen by content: of
+Paragraphs are the lines of at least ``WIDTH`` words, as they stand, and, for passages that
+were copied into other lines, runs of ``PARAGRAPH`` words. Where such a run starts is chosen by content: of
 every ``PARAGRAPH`` places in a row, the one whose first words have the least hash. So a
 passage that was copied into the middle of another text has the same paragraphs there, and
 one of at least 2 * ``PARAGRAPH`` - 1 words (47) has at least one. The n-grams of a
@@ -15,8 +16,8 @@ least three quarters common are compared by their common part and the number of
 rare n-grams: those of equal common part are one vertex, whatever else they hold. Both
 parts are exact for pairs that collide; no bucket is cut.
 
-Defined cases: null and empty texts, and texts of fewer words than a paragraph, have no
-passages; a passage that occurs twice in one row, apart from each other, is repeated, but a
+Defined cases: null and empty texts, and texts of fewer than ``WIDTH`` words, have no
+passages, and shorter lines only as part of a run; a passage that occurs twice in one row, apart from each other, is repeated, but a
 run of one and the same word in one row only is not; repeated rows are repeated passages; a
 null key comes before others when the first paragraph is chosen, ties go to the row read
 first; an empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -36,7 +37,6 @@ from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_
 
 PARAGRAPH = 24  # words
 WIDTH = 5  # words of an n-gram
-GRAMS = PARAGRAPH - WIDTH + 1
 MOST_SENT = 4_000_000  # vertex numbers that may be sent to every task (32 MB); beyond, they are joined
 ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8")])
 _ROWS = 512
@@ -80,10 +80,25 @@ def _grams(flat: np.ndarray, count: int) -> np.ndarray:
     return grams
 
 
+def _line_numbers(data: bytes) -> np.ndarray:
+    """The line that each word of ``data`` is in."""
+    points = np.frombuffer(data, np.uint8)
+    inside = (points != 32) & ((points < 9) | (points > 13))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    return np.searchsorted(np.flatnonzero(points == 10), np.flatnonzero(first))
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
 class Paragraphs:
-    """The paragraphs of a batch of texts: starts, owners, n-grams, and what identifies them."""
+    """The paragraphs of a batch of texts: starts, sizes, owners, n-grams, and what identifies them.
 
-    def __init__(self, words: list[np.ndarray], common: np.ndarray, bits: int):
+    ``lines`` has the line of every word; without it, there are only runs chosen by content.
+    """
+
+    def __init__(self, words: list[np.ndarray], common: np.ndarray, bits: int, lines: list[np.ndarray] | None = None):
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.concatenate([*words, np.zeros(PARAGRAPH, np.uint64)])
         self.begins = np.cumsum(sizes) - sizes
@@ -97,25 +112,66 @@ class Paragraphs:
         order = np.where(place < starts, order, largest)
         least = np.where((starts > 0) & (place <= np.maximum(0, starts - PARAGRAPH)), _slid(order, PARAGRAPH, np.minimum, largest), -1)
         chosen = (place < starts) & (_slid(least[::-1], PARAGRAPH, np.maximum, -1)[::-1] == order)
-        self.at = np.flatnonzero(chosen)
+        at = np.flatnonzero(chosen)
+        length = np.full(len(at), PARAGRAPH, np.int64)
+        if lines is not None and n:
+            line = np.concatenate(lines)
+            begin = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])]))
+            extent = np.diff(np.append(begin, n))
+            long = extent >= WIDTH
+            at, length = np.concatenate([at, begin[long]]), np.concatenate([length, extent[long]])
+            order = np.lexsort((length, at))
+            at, length = at[order], length[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (length[1:] != length[:-1])
+            at, length = at[new], length[new]
+        self.at, self.length = at, length
         self.owner, self.place = owner[self.at], place[self.at]
-        grams = _grams(flat, n)
-        self.grams = grams[self.at[:, None] + np.arange(GRAMS)] if len(self.at) else np.empty((0, GRAMS), np.uint64)
-        content = np.full(len(self.at), PARAGRAPH, np.uint64)
-        for column in (0, 5, 10, 15, GRAMS - 1):  # these hold every word
-            content = mixed(content ^ self.grams[:, column]) + np.uint64(0xC2B2AE3D27D4EB4F)
-        self.content = content.view(np.int64)
-        self.common = is_frequent((self.grams >> np.uint64(16)).astype(np.int64).ravel(), common, bits).reshape(self.grams.shape)
-        rare = GRAMS - self.common.sum(1)
+        self.flat_grams = _grams(flat, n)
+        self.counts = self.length - WIDTH + 1
+        self._bounds = np.stack([self.at, self.at + self.counts], 1).ravel()
+        # a polynomial over the n-grams between two places, whatever comes before
+        steps = np.full(n + 1, _BASE, np.uint64)
+        steps[:1] = 1
+        back = np.full(n + 1, pow(_BASE, -1, 2**64), np.uint64)
+        back[:1] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.flat_grams) * np.cumprod(steps)[:n], dtype=np.uint64)])
+        content = (sums[self.at + self.counts] - sums[self.at]) * np.cumprod(back)[self.at]
+        self.content = mixed(mixed(content) ^ self.length.astype(np.uint64)).view(np.int64)
+        self.flat_common = is_frequent((self.flat_grams >> np.uint64(16)).astype(np.int64), common, bits)
+        rare = self.counts - self._over(np.add, self.flat_common.astype(np.int64))
         # the class of a mostly common paragraph: its common n-grams, whatever their order, and how many others it has
-        mark = np.zeros(len(self.at), np.uint64)
-        for column in range(GRAMS):
-            mark += np.where(self.common[:, column], mixed(self.grams[:, column] + np.uint64(97)), np.uint64(0))
+        mark = self._over(np.add, np.where(self.flat_common, mixed(self.flat_grams + np.uint64(97)), np.uint64(0)))
         self.rare = rare
-        self.uniform = (self.grams == self.grams[:, :1]).all(1)
-        self.mostly_common = 4 * rare <= GRAMS
+        different = np.concatenate([[0], np.cumsum(flat[1:n] != flat[:n - 1])]) if n else np.empty(0, np.int64)
+        self.uniform = different[self.at + self.length - 1] == different[self.at]
+        self.mostly_common = 4 * rare <= self.counts
         self.kind = np.where(rare == 0, self.content, mixed(mark + rare.astype(np.uint64)).view(np.int64))
 
+    def _over(self, ufunc, values: np.ndarray) -> np.ndarray:
+        """``ufunc`` over the n-grams of every paragraph."""
+        if not len(self.at):
+            return np.empty(0, values.dtype)
+        return ufunc.reduceat(np.append(values, values[:1]), self._bounds)[::2]
+
+    def distinct(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct n-grams, and of distinct common ones, of some paragraphs."""
+        n, often = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
+        for count in np.unique(self.counts[used]).tolist():
+            here = np.flatnonzero(self.counts[used] == count)
+            at = self.at[used[here]][:, None] + np.arange(count)
+            grams = (self.flat_grams[at] >> np.uint64(16)).astype(np.int64)
+            n[here] = _distinct(grams)
+            common = np.where(self.flat_common[at], grams, -1)
+            often[here] = _distinct(common) - (common < 0).any(1)
+        return n, often
+
+    def gram_set(self, i: int, only_common: bool) -> np.ndarray:
+        """The distinct n-grams of a paragraph, 48 bits each."""
+        here = slice(self.at[i], self.at[i] + self.counts[i])
+        grams = self.flat_grams[here][self.flat_common[here]] if only_common else self.flat_grams[here]
+        return np.unique((grams >> np.uint64(16)).astype(np.int64))
+
     def _repeated(self, values: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Whether a document has this value in paragraphs that do not overlap; runs of a single word aside."""
         out, of = np.zeros(int(used.sum()), bool), np.flatnonzero(used & ~self.uniform)
@@ -123,7 +179,7 @@ class Paragraphs:
         order = np.argsort(names, kind="stable")  # paragraphs are in order of place
         starts = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]])) if len(of) else np.empty(0, np.int64)
         sizes, place = np.diff(np.append(starts, len(of))), self.place[of][order]
-        wide = place[starts + sizes - 1] - place[starts] >= PARAGRAPH
+        wide = place[starts + sizes - 1] >= np.minimum.reduceat(place + self.length[of][order], starts) if len(of) else np.empty(0, bool)
         out[(np.cumsum(used) - 1)[of[order]]] = np.repeat(wide, sizes)
         return out
 
@@ -135,9 +191,9 @@ class Paragraphs:
             rare_value = np.full(len(self.at), band + 1, np.uint64)
             common_value = rare_value.copy()
             for row in range(rows):
-                key = mixed(self.grams + np.uint64((band * rows + row + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(1)
-                rare_value = mixed(rare_value ^ np.where(self.common, key | _TOP, key).min(1))
-                common_value = mixed(common_value ^ np.where(self.common, key, _TOP).min(1) ^ np.uint64(0x5555))
+                key = mixed(self.flat_grams + np.uint64((band * rows + row + 1) * _BASE % 2**64)) >> np.uint64(1)
+                rare_value = mixed(rare_value ^ self._over(np.minimum, np.where(self.flat_common, key | _TOP, key)))
+                common_value = mixed(common_value ^ self._over(np.minimum, np.where(self.flat_common, key, _TOP)) ^ np.uint64(0x5555))
             for values, vertex, used in ((rare_value, self.content, self.rare > 0), (common_value, self.kind, self.mostly_common)):
                 part = np.zeros(int(used.sum()), ENTRIES)
                 part["value"], part["document"], part["vertex"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used] | self._repeated(values, used), vertex[used]
@@ -146,8 +202,9 @@ class Paragraphs:
         return np.concatenate(parts), np.concatenate(found)
 
 
-def _words(batch: pa.RecordBatch, column: int, cache) -> list[np.ndarray]:
-    return [word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache) for x in batch.column(column)]
+def _paragraphs(batch: pa.RecordBatch, column: int, cache, common: np.ndarray, bits: int) -> Paragraphs:
+    texts = [x.as_py().encode("utf-8", "surrogatepass").lower() for x in batch.column(column)]
+    return Paragraphs([word_hashes(x, cache) for x in texts], common, bits, [_line_numbers(x) for x in texts])
 
 
 def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> DataFrame:
@@ -158,7 +215,7 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> D
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (common, bits) = hash_cache(), shipped.value
         for batch in slices(batches, 4 * _ROWS):
-            part, found = Paragraphs(_words(batch, 1, cache), common, bits).entries(bands, rows, batch.column(0).to_numpy(), fragments)
+            part, found = _paragraphs(batch, 1, cache, common, bits).entries(bands, rows, batch.column(0).to_numpy(), fragments)
             order = np.argsort(part, kind="stable")
             kinds, at = np.unique(part[order], return_index=True)
             blobs = [x.tobytes() for x in np.split(found[order], at[1:])] if len(kinds) else []
@@ -246,36 +303,33 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarr
                 own = short_names(batch.column(0).to_numpy())
                 at = np.minimum(np.searchsorted(named.value, own), max(0, len(named.value) - 1))
                 batch = batch.filter(pa.array(named.value[at] == own if len(named.value) else np.zeros(len(own), bool)))
-            p = Paragraphs(_words(batch, 2, cache), common, bits)
+            p = _paragraphs(batch, 2, cache, common, bits)
             (by_content, pair_content), (by_kind, pair_kind) = status(p.content), status(p.kind)
             pair_content &= p.rare > 0
             used = np.flatnonzero((by_content & (p.rare > 0)) | (by_kind & p.mostly_common))
             owner, place, content, common_kind = p.owner[used], p.place[used], p.content[used], p.mostly_common[used]
             kind = p.kind[used]
-            grams = (p.grams[used] >> np.uint64(16)).astype(np.int64)
-            often = np.where(p.common[used], grams, -1)
-            n, n_often = _distinct(grams), _distinct(often) - (often < 0).any(1)
+            n, n_often = p.distinct(used)
             alike = common_kind & (7 * n_often >= 6 * n)  # two of this class are always similar
             start, end = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
             for i in np.unique(owner).tolist():
                 begins, stops = _word_spans(batch.column(2)[i].as_py())
                 mine = owner == i
-                start[mine], end[mine] = begins[place[mine]], stops[place[mine] + PARAGRAPH - 1]
+                start[mine], end[mine] = begins[place[mine]], stops[place[mine] + p.length[used][mine] - 1]
             sets: list[list[bytes | None]] = []
-            for names_of, wanted, values in ((content, pair_content[used], grams), (kind, pair_kind[used] & common_kind, often)):
+            for names_of, wanted, only_common in ((content, pair_content[used], False), (kind, pair_kind[used] & common_kind, True)):
                 column: list[bytes | None] = [None] * len(used)
                 chosen = np.flatnonzero(wanted)
                 for i in chosen[np.unique(names_of[chosen], return_index=True)[1]].tolist():
-                    distinct = np.unique(values[i])
-                    column[i] = packed(distinct[distinct >= 0])
+                    column[i] = packed(p.gram_set(used[i], only_common))
                 sets.append(column)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), as_long(start), as_long(end), as_long(content),
-                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), *(pa.array(column, pa.binary()) for column in sets)], names)
+                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]), *(pa.array(column, pa.binary()) for column in sets)], names)
 
-    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "content_ngrams", "kind_ngrams"]
+    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "uniform", "content_ngrams", "kind_ngrams"]
     longs = {"rid", "start", "end", "content", "kind", "n"}
-    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
+    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "uniform": T.BooleanType(), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
     schema = T.StructType([T.StructField(name, T.LongType() if name in longs else kinds[name]) for name in names])
     found = docs.select("rid", "key", "x_text").mapInArrow(locate, schema)
     if not few:
@@ -299,22 +353,26 @@ def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> Da
 
 
 def _apart(placed: DataFrame) -> DataFrame:
-    """Without paragraphs that overlap one of the same cluster before them in the same row: those are no repetition."""
-    names, per_row = placed.columns, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component", "uniform"))).alias("spans"))
+    """Paragraphs that overlap one of the same cluster before them in the same row are no repetition: they widen its ``reach``."""
+    schema = T.StructType([*placed.schema.fields, T.StructField("reach", T.LongType())])
+    names, per_row = schema.names, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component", "uniform"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for i, (rid, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                ends: dict[int, int] = {}
+                last: dict[int, list] = {}
                 for span in spans:
-                    if span["start"] >= ends.get(span["component"], 0):
-                        ends[span["component"]] = span["end"]
-                        out.append((i, rid, span["start"], span["end"], span["component"], span["uniform"]))
+                    before = last.get(span["component"])
+                    if before is None or span["start"] >= before[3]:
+                        last[span["component"]] = row = [i, rid, span["start"], span["end"], span["component"], span["uniform"], span["end"]]
+                        out.append(row)
+                    else:
+                        before[6] = max(before[6], span["end"])
             keys = batch.column(1).take(pa.array([r[0] for r in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4)), pa.array([r[5] for r in out], pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4)), pa.array([r[5] for r in out], pa.bool_()), as_long([r[6] for r in out])], names)
 
-    return per_row.mapInArrow(run, placed.schema)
+    return per_row.mapInArrow(run, schema)
 
 
 def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -369,14 +427,14 @@ def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float)
     edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
     found = _occurrences(texts, shipped, edges, _documents(collisions))
     clusters = _clustered(found, edges, share)
-    placed = found.select("rid", "key", "start", "end", "content", (F.col("n") == 1).alias("uniform")).join(clusters, "content", "left")
+    placed = found.select("rid", "key", "start", "end", "content", "uniform").join(clusters, "content", "left")
     placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"), "uniform")
     placed = written(_apart(placed), "passage-places")
     firsts = placed.groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"),
                                              F.count(F.lit(1)).alias("times"), F.bool_or("uniform").alias("uniform")).where("low < high OR times > 1 AND NOT uniform")
     judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
     removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start")))
-    per_row = judged.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", removed.alias("removed"))).alias("spans"))
+    per_row = judged.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", F.col("reach").alias("end"), "component", removed.alias("removed"))).alias("spans"))
     schema = T.StructType([T.StructField(key, texts.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("row_number", "start", "end", "cluster")), T.StructField("removed", T.BooleanType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,31 @@ def test_the_default_recall_is_the_stated_one():
         assert recall == 0.95 and 1 - (1 - 0.75**rows) ** bands >= 0.95
 
 
+def test_lines_as_they_stand_reach_the_recall(documents):
+    draw, rows, similar = random.Random(13), [], []
+
+    def grams(line):
+        return {tuple(line[i:i + 5]) for i in range(len(line) - 4)}
+
+    def among(line):
+        return "\n".join(" ".join(x) for x in (words(draw, 30), line, words(draw, 30)))
+
+    for key in range(0, 600, 2):
+        line = words(draw, draw.choice((12, 30, 50, 55, 80, 120)))
+        edited = list(line)
+        for _ in range(len(line) // 40):
+            edited[draw.randrange(len(line))] = "changed"
+        a, b = grams(line), grams(edited)
+        if 4 * len(a & b) >= 3 * len(a | b):
+            similar += [key, key + 1]
+        rows += [(key, among(line)), (key + 1, among(edited))]
+    found = spans(P.passages(documents(rows)))
+    assert len(similar) > 400 and sum(key in found for key in similar) >= 0.95 * len(similar)
+    left = {r.doc_id: r.text.split() for r in P.without_repeats(documents(rows)).collect()}
+    lines = {key: dict(rows)[key].split("\n")[1].split() for key in similar if key % 2}
+    assert sum(w in left[key] for key, line in lines.items() for w in line) <= 0.1 * sum(map(len, lines.values()))
+
+
 def test_banding_is_tuned():
     for similarity, recall in ((0.75, 0.9), (0.75, 0.95), (0.5, 0.8)):
         bands, rows = P.tuned(similarity, recall)
