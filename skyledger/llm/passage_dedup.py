@@ -10,6 +10,10 @@ with at least the target probability, colliding paragraphs are joined, their exa
 similarity is verified, and components of similar paragraphs are the clusters. The first
 paragraph of a cluster, by document key and place, stays; the others are removals.
 
+Runs leave at most ``PARAGRAPH`` - 1 words of an equal passage before the first and after the
+last of them. So a paragraph is extended word by word as far as another one of its cluster has
+the same words there, and the first to have them keeps them.
+
 N-grams that occur more than 32 times would put every paragraph that touches a common passage
 into one bucket. So signatures look at rare n-grams first, and paragraphs that are at
 least three quarters common are compared by their common part and the number of their
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from skyledger.llm.common import as_long, fresh, hash_cache, mixed, numbered, slices, text_of, word_hashes, written
 from skyledger.llm.components import components
-from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed
+from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed, unpacked
 
 PARAGRAPH = 24  # words
 WIDTH = 5  # words of an n-gram
@@ -127,6 +131,7 @@ class Paragraphs:
             at, length = at[new], length[new]
         self.at, self.length = at, length
         self.owner, self.place = owner[self.at], place[self.at]
+        self.flat = flat
         self.flat_grams = _grams(flat, n)
         self.counts = self.length - WIDTH + 1
         self._bounds = np.stack([self.at, self.at + self.counts], 1).ravel()
@@ -166,6 +171,14 @@ class Paragraphs:
             often[here] = _distinct(common) - (common < 0).any(1)
         return n, often
 
+    def around(self, i: int, begins: np.ndarray, stops: np.ndarray) -> tuple[bytes, bytes]:
+        """The words before (the nearest first) and after a paragraph, as far as no run may cover them: 48 bits and how far to go."""
+        first, at, most = int(self.begins[self.owner[i]]), int(self.place[i]), max(PARAGRAPH - 1, 2 * PARAGRAPH - 2 - int(self.length[i]))
+        stop = at + int(self.length[i])
+        left, right = np.arange(at - 1, max(0, at - most) - 1, -1), np.arange(stop, min(len(begins), stop + most))
+        return tuple(packed(np.concatenate([(self.flat[first + x] >> np.uint64(16)).astype(np.int64), far]))
+                     for x, far in ((left, begins[at] - begins[left]), (right, stops[right] - stops[stop - 1])))
+
     def gram_set(self, i: int, only_common: bool) -> np.ndarray:
         """The distinct n-grams of a paragraph, 48 bits each."""
         here = slice(self.at[i], self.at[i] + self.counts[i])
@@ -312,9 +325,13 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarr
             n, n_often = p.distinct(used)
             alike = common_kind & (7 * n_often >= 6 * n)  # two of this class are always similar
             start, end = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
+            before: list[bytes] = [b""] * len(used)
+            after = before.copy()
             for i in np.unique(owner).tolist():
                 begins, stops = _word_spans(batch.column(2)[i].as_py())
                 mine = owner == i
+                for k in np.flatnonzero(mine).tolist():
+                    before[k], after[k] = p.around(used[k], begins, stops)
                 start[mine], end[mine] = begins[place[mine]], stops[place[mine] + p.length[used][mine] - 1]
             sets: list[list[bytes | None]] = []
             for names_of, wanted, only_common in ((content, pair_content[used], False), (kind, pair_kind[used] & common_kind, True)):
@@ -325,11 +342,11 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarr
                 sets.append(column)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), as_long(start), as_long(end), as_long(content),
-                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]), *(pa.array(column, pa.binary()) for column in sets)], names)
+                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]), pa.array(before, pa.binary()), pa.array(after, pa.binary()), *(pa.array(column, pa.binary()) for column in sets)], names)
 
-    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "uniform", "content_ngrams", "kind_ngrams"]
+    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "uniform", "before", "after", "content_ngrams", "kind_ngrams"]
     longs = {"rid", "start", "end", "content", "kind", "n"}
-    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "uniform": T.BooleanType(), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
+    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "uniform": T.BooleanType(), "before": T.BinaryType(), "after": T.BinaryType(), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
     schema = T.StructType([T.StructField(name, T.LongType() if name in longs else kinds[name]) for name in names])
     found = docs.select("rid", "key", "x_text").mapInArrow(locate, schema)
     if not few:
@@ -353,24 +370,24 @@ def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> Da
 
 
 def _apart(placed: DataFrame) -> DataFrame:
-    """Paragraphs that overlap one of the same cluster before them in the same row are no repetition: they widen its ``reach``."""
-    schema = T.StructType([*placed.schema.fields, T.StructField("reach", T.LongType())])
-    names, per_row = schema.names, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component", "uniform"))).alias("spans"))
+    """Paragraphs that overlap one of the same cluster before them in the same row are no repetition: they are judged with it, their ``head``."""
+    schema = T.StructType([*placed.schema.fields, T.StructField("head", T.LongType()), T.StructField("main", T.BooleanType())])
+    names, per_row = schema.names, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component", "uniform", "before", "after"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for i, (rid, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                last: dict[int, list] = {}
+                last: dict[int, tuple[int, int]] = {}
                 for span in spans:
-                    before = last.get(span["component"])
-                    if before is None or span["start"] >= before[3]:
-                        last[span["component"]] = row = [i, rid, span["start"], span["end"], span["component"], span["uniform"], span["end"]]
-                        out.append(row)
-                    else:
-                        before[6] = max(before[6], span["end"])
+                    head, end = last.get(span["component"], (0, 0))
+                    main = span["start"] >= end
+                    if main:
+                        head, end = last[span["component"]] = span["start"], span["end"]
+                    out.append((i, rid, *(span[n] for n in ("start", "end", "component", "uniform", "before", "after")), head, main))
             keys = batch.column(1).take(pa.array([r[0] for r in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4)), pa.array([r[5] for r in out], pa.bool_()), as_long([r[6] for r in out])], names)
+            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4)), pa.array([r[5] for r in out], pa.bool_()),
+                                                *(pa.array([r[i] for r in out], pa.binary()) for i in (6, 7)), as_long([r[8] for r in out]), pa.array([r[9] for r in out], pa.bool_())], names)
 
     return per_row.mapInArrow(run, schema)
 
@@ -403,6 +420,64 @@ def _minus(spans: list[tuple[int, int, int]], kept: list[tuple[int, int, int]])
     return out
 
 
+def _far(around: bytes) -> np.ndarray:
+    """How far the outer ends of the words around a paragraph are."""
+    return unpacked(around)[len(around) // 12:]
+
+
+def _extensions(judged: DataFrame) -> DataFrame:
+    """The words next to repeated paragraphs, outside of all of them, that another member of the cluster has in the same place.
+
+    A row per word: which row it is in, from where to where, and whether another one keeps it.
+    """
+    spans = F.sort_array(F.collect_list(F.struct("start", "end", "component", "before", "after"))).alias("spans")
+    per_row, longs, blobs = judged.groupBy("rid").agg(F.first("key").alias("key"), spans), ["start", "end", "component"], ["before", "after", "left_open", "right_open"]
+    kept = [T.StructField("rid", T.LongType()), T.StructField("key", judged.schema["key"].dataType)]
+    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in longs), *(T.StructField(n, T.BinaryType()) for n in blobs)])
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which words around a paragraph no paragraph of its row holds; null where all are held."""
+        for batch in slices(batches):
+            out = []
+            for i, (rid, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                covered = np.array(_merged([(s["start"], s["end"], 0) for s in spans]), np.int64)
+                for s in spans:
+                    masks: list[bytes | None] = []
+                    for at, data in ((s["start"] - _far(s["before"]), s["before"]), (s["end"] + _far(s["after"]) - 1, s["after"])):
+                        outside = at >= covered[np.maximum(0, np.searchsorted(covered[:, 0], at, "right") - 1), 1]
+                        outside |= at < covered[0, 0]
+                        masks.append(outside.astype(np.uint8).tobytes() if outside.any() else None)
+                    out.append((i, rid, s["start"], s["end"], s["component"], s["before"], s["after"], *masks))
+            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), batch.column(1).take(pa.array([r[0] for r in out], pa.int64())),
+                                              *(as_long([r[k] for r in out]) for k in range(2, 5)), *(pa.array([r[k] for r in out], pa.binary()) for k in range(5, 9))], schema.names)
+
+    ends = written(per_row.mapInArrow(gaps, schema), "passage-ends")
+    wanted = ends.groupBy("component").agg(F.bool_or(F.col("left_open").isNotNull()).alias("left"), F.bool_or(F.col("right_open").isNotNull()).alias("right")).where("left OR right")
+    names = ["rid", "key", "place", "component", "words", "start", "end", "open"]
+    word = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names[2:7]), T.StructField("open", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for i, r in enumerate(batch.drop_columns(["key"]).to_pylist()):
+                for side, chosen, at, data, mask in ((0, r["left"], r["start"], r["before"], r["left_open"]), (1, r["right"], r["end"], r["after"], r["right_open"])):
+                    if not chosen:
+                        continue
+                    far = _far(data)
+                    words, name = unpacked(data)[:len(far)], mixed(np.full(1, side + 1, np.uint64))
+                    for value, to, free in zip(words.astype(np.uint64), (at + (far if side else -far)).tolist(), mask or bytes(len(far))):
+                        name = mixed(name ^ value) + np.uint64(0x165667B19E3779F9)
+                        out.append((i, r["rid"], r["end" if side else "start"], r["component"], int(name.view(np.int64)[0]), min(at, to), max(at, to), free > 0))
+                        at = to
+            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), batch.column(batch.schema.get_field_index("key")).take(pa.array([r[0] for r in out], pa.int64())),
+                                              *(as_long([r[k] for r in out]) for k in range(2, 7)), pa.array([r[7] for r in out], pa.bool_())], names)
+
+    words = written(ends.join(wanted, "component").mapInArrow(run, word), "passage-words")
+    shared = words.groupBy("component", "words").agg(F.min(F.struct("key", "rid", "place")).alias("first"), F.max(F.struct("key", "rid", "place")).alias("last")).where("first <> last")
+    held = words.where("open").join(shared.select("component", "words", F.col("first.rid").alias("first_rid"), F.col("first.place").alias("first_place")), ["component", "words"])
+    return held.select("rid", "key", "start", "end", "component", (~((F.col("rid") == F.col("first_rid")) & (F.col("place") == F.col("first_place")))).alias("removed"))
+
+
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
     """A row per repeated passage of a document: key, row number, start and end (code points), cluster, and whether it is removed."""
     return _passages(numbered(docs.select(F.col(key).alias("key"), text_of(text).alias("x_text")), "rid", "numbered-texts"), key, share, recall)
@@ -427,14 +502,16 @@ def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float)
     edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
     found = _occurrences(texts, shipped, edges, _documents(collisions))
     clusters = _clustered(found, edges, share)
-    placed = found.select("rid", "key", "start", "end", "content", "uniform").join(clusters, "content", "left")
-    placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"), "uniform")
+    placed = found.select("rid", "key", "start", "end", "content", "uniform", "before", "after").join(clusters, "content", "left")
+    placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"), "uniform", "before", "after")
     placed = written(_apart(placed), "passage-places")
-    firsts = placed.groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"),
+    firsts = placed.where("main").groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"),
                                              F.count(F.lit(1)).alias("times"), F.bool_or("uniform").alias("uniform")).where("low < high OR times > 1 AND NOT uniform")
     judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
-    removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start")))
-    per_row = judged.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", F.col("reach").alias("end"), "component", removed.alias("removed"))).alias("spans"))
+    removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("head") == F.col("first_start")))
+    judged = written(judged.withColumn("removed", removed), "passage-judged")
+    whole = judged.select("rid", "key", "start", "end", "component", "removed").unionByName(_extensions(judged))
+    per_row = whole.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", "removed")).alias("spans"))
     schema = T.StructType([T.StructField(key, texts.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("row_number", "start", "end", "cluster")), T.StructField("removed", T.BooleanType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -118,6 +119,22 @@ def test_lines_as_they_stand_reach_the_recall(documents):
     assert sum(w in left[key] for key, line in lines.items() for w in line) <= 0.1 * sum(map(len, lines.values()))
 
 
+def test_every_word_of_an_exact_passage_is_covered(documents):
+    draw, rows, held = random.Random(31), [], {}
+    for group in range(24):
+        passage = words(draw, (47, 52, 60, 80, 120)[group % 5])
+        for key in (3 * group, 3 * group + 1, 3 * group + 2):
+            rows.append((key, " ".join(words(draw, 70) + passage + words(draw, 70))))
+            held[key] = " ".join(passage)
+    docs = documents(rows)
+    found = spans(P.passages(docs))
+    for key, text in rows:
+        at, covered = text.index(held[key]), set()
+        for start, end, _ in found[key]:
+            covered.update(range(start, end))
+        assert all(at + m.start() in covered for m in re.finditer(r"\S+", held[key]))
+
+
 def test_banding_is_tuned():
     for similarity, recall in ((0.75, 0.9), (0.75, 0.95), (0.5, 0.8)):
         bands, rows = P.tuned(similarity, recall)
