@@ -9,6 +9,11 @@ repetitions with other walks and places reach the target recall. Every pair that
 key is then verified: a document holds an item if some run of its words has an edit
 distance of at most ``max_edits`` times the item's length.
 
+Walks that fell out of step in a long item are lost for longer, the more edits it has. So
+an item of more than ``SEGMENT`` words is cut into equal segments: if the item is held with the
+allowed edits, one of its segments at least is held with the allowed edits of its own size.
+Segments are looked for like items, and the whole item is verified around them.
+
 Windows have the items' sizes: items are put into classes of nearly equal length, a class
 embeds its items' first words, and windows of that many words start at every word of every
 document. A window can only match when all but the allowed edits of its words occur in
@@ -39,6 +44,7 @@ WORDS_AT_ONCE = 2_000_000
 STEPS_PER_WORD = 2  # a walk moves at every other step
 TABLE_WORDS = 1 << 15
 PLACES = 2  # sampled for a key
+SEGMENT = 60  # words; longer items are looked for by segments
 LOST_PER_EDIT = 3  # embedded places that an edit is taken to change, per word
 
 
@@ -141,19 +147,24 @@ class ItemIndex:
         self.numbers = [number for number, _ in sequences]
         self.items = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in sequences]
         self.edits = [math.floor(max_edits * len(item)) for item in self.items]
-        self.pad = max((len(i) + 2 * e for i, e in zip(self.items, self.edits)), default=0) + 1
+        self.pad = max((len(i) + 4 * e for i, e in zip(self.items, self.edits)), default=0) + 1
         self.walks = Walks(len(self.vocabulary) + 1)
+        cuts = [(k, round(j * len(item) / parts), round((j + 1) * len(item) / parts))
+                for k, item in enumerate(self.items) for parts in [-(-len(item) // SEGMENT)] for j in range(parts)]
+        self.segments = [self.items[k][begin:end] for k, begin, end in cuts]
+        self.allowed = [math.floor(max_edits * len(segment)) for segment in self.segments]
+        self.item_of, self.offset = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
         by_size: dict[int, list[int]] = {}
-        for k, item in enumerate(self.items):
-            by_size.setdefault(math.floor(CLASS_RATIO ** math.floor(math.log(len(item), CLASS_RATIO) + 1e-9)), []).append(k)
+        for k, segment in enumerate(self.segments):
+            by_size.setdefault(math.floor(CLASS_RATIO ** math.floor(math.log(len(segment), CLASS_RATIO) + 1e-9)), []).append(k)
         self.classes = [self._class(size, members, repetitions(max_edits, recall)) for size, members in sorted(by_size.items())]
 
     def _class(self, size: int, members: list[int], times: int):
         known = np.zeros(len(self.vocabulary) + 1, bool)
-        known[np.concatenate([self.items[k] for k in members])] = True
-        slack = max(self.edits[k] for k in members)
-        flat = np.concatenate([np.concatenate([self.items[k], [0]]) for k in members])
-        starts = np.cumsum([0, *(len(self.items[k]) + 1 for k in members[:-1])])
+        known[np.concatenate([self.items[k] for k in set(self.item_of[members].tolist())])] = True
+        slack = max(self.allowed[k] for k in members)
+        flat = np.concatenate([np.concatenate([self.segments[k], [0]]) for k in members])
+        starts = np.cumsum([0, *(len(self.segments[k]) + 1 for k in members[:-1])])
         keys, steps = [], STEPS_PER_WORD * size
         for repetition in range(times):
             draw = np.random.Generator(np.random.PCG64([size, repetition]))
@@ -169,7 +180,7 @@ class ItemIndex:
         return size, slack, known, keys
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, item) whose window shares a key with the item."""
+        """Distinct (start, item) where a window shares a key with a segment of the item; the item would start there."""
         found = []
         for size, slack, known, keys in self.classes:
             inside = np.concatenate([[0], np.cumsum(known[words], dtype=np.int32)])
@@ -183,7 +194,8 @@ class ItemIndex:
                     first, last = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
                     count = last - first
                     which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    found.append(np.stack([np.repeat(left, count), members[which]], 1))
+                    segment = members[which]
+                    found.append(np.stack([np.repeat(left, count) - self.offset[segment], self.item_of[segment]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pairs[:, 0], pairs[:, 1]
 
@@ -198,11 +210,12 @@ class ItemIndex:
             item, slack, own = self.items[k], self.edits[k], apart(np.sort(starts[items == k]), self.edits[k])
             for begin in range(0, len(own), 4096):
                 block = own[begin:begin + 4096]
-                span = np.arange(-slack, len(item) + 2 * slack)
+                lead = slack if len(item) <= SEGMENT else 2 * slack  # edits before a segment move the item's start
+                span = np.arange(-lead, len(item) + 2 * lead)
                 regions = words[np.minimum(block[:, None] + span, len(words) - 1)]
                 edits, ends = edit_distances(item, regions)
                 held = np.flatnonzero(edits <= slack)
-                stops = block[held] - slack + ends[held]  # windows may start before the document
+                stops = block[held] - lead + ends[held]  # windows may start before the document
                 owners = np.searchsorted(begins, stops - 1, "right") - 1
                 firsts = np.maximum(0, stops - len(item) - begins[owners])
                 for owner, distance, first in zip(owners.tolist(), edits[held].tolist(), firsts.tolist()):

@@ -66,6 +66,25 @@ def test_recall_of_edited_passages_reaches_the_target():
     assert all(e <= 0.2 * len(items[k][1].split()) for (_, k), e in found.items())
 
 
+@pytest.mark.parametrize("size", [120, 300, 800])
+@pytest.mark.parametrize("kind", ["mixed", "deletions", "insertions"])
+def test_recall_of_long_items_reaches_the_target(size, kind):
+    draw = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(k, " ".join(draw.choice(vocabulary) for _ in range(size))) for k in range(40)]
+    index = D.ItemIndex(items, 0.2, 0.95, 8)
+    docs = []
+    for _, text in items:
+        words = text.split()
+        for _ in range(size // 5):
+            at, what = draw.randrange(len(words)), draw.choice(("deletions", "insertions", "change")) if kind == "mixed" else kind
+            words[at:at + (what != "insertions")] = [] if what == "deletions" else [draw.choice(vocabulary)]
+        docs.append(np.array([0] * 40 + [index.vocabulary.get(w, 0) for w in words] + [0] * 40))
+    found = {(d, k): e for d, k, e, _ in index.matches(docs)}
+    assert sum((k, k) in found for k in range(40)) >= 0.95 * 40
+    assert all(e <= size // 5 for e in found.values())
+
+
 def test_items_in_several_blocks_and_empty_tables(llm, documents, items, monkeypatch):
     monkeypatch.setattr(D.blocks, "__defaults__", (10,))
     docs = documents([(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, "clean")])
