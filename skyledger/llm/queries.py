@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import balanced_shards, decontaminate, language_profiles, metric_search, ngram_join, packing, passage_dedup, secret_scan, token_counts, warc_archive
+from skyledger.llm import balanced_shards, decontaminate, language_profiles, metric_search, ngram_join, packing, passage_dedup, secret_scan, token_counts, toxicity, vector_codes, warc_archive
 from skyledger.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,17 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc_archive.with_responses(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     index = warc_archive.write_archives(rows, folder)
     return warc_archive.read_records(index, folder, payloads=False).drop("url", "payload")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents", "doc_id", "text"), language_profiles.held_out("doc_id")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~out))
+    scored = toxicity.with_scores(docs.select("doc_id", "text", out.alias("held_out")), model, keep_text=False)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
