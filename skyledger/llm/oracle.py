@@ -1,7 +1,7 @@
 """DuckDB SQL of the corpus queries that SQL can express.
 
 Not expressed: edit distance over embedded windows (op1), CRC-32 of texts (op3, op7), MinHash
-signatures (op5), token ids (op6, op7) and learned prototypes (op10); ``tests/llm`` holds
+signatures (op5), token ids (op6, op7), learned prototypes (op10) and class models (op12); ``tests/llm`` holds
 them against brute force, the tokenizer library, exact round trips and held-out accuracy.
 """
 
@@ -91,6 +91,61 @@ SELECT page_id, strlen(p) AS payload_bytes, digest AS payload_digest, CASE WHEN
   CASE WHEN kept <> page_id OR page_id IS NULL THEN kept END AS refers_to
 FROM digits"""
 
+_PARTS, _ENTRIES, _ROUNDS = 8, 16, 6
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_NEAREST = """SELECT p.rid, p.pos, p.v, arg_min(b.e, {distance} * 16 + b.e) AS e, min({distance}) AS d
+  FROM parts p JOIN b{n} b ON b.pos = p.pos GROUP BY p.rid, p.pos, p.v"""
+_DISTANCE = "CAST(coalesce(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.c[i]) * (p.v[i] - b.c[i]))), 0) AS BIGINT)"
+
+
+def _codes() -> str:
+    """The rounds are written out, one after the other."""
+    rounds = []
+    for n in range(_ROUNDS + 1):
+        rounds.append(f"a{n} AS MATERIALIZED ({_NEAREST.format(distance=_DISTANCE, n=n)})")
+        if n < _ROUNDS:
+            rounds.append(f"""m{n} AS (
+  SELECT pos, e, list(CAST(floor(s / t) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT pos, e, i, sum(x) AS s, count(*) AS t FROM (SELECT pos, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY pos, e, i) GROUP BY pos, e),
+b{n + 1} AS MATERIALIZED (SELECT b.pos, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON m.pos = b.pos AND m.e = b.e)""")
+    last = _ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_USABLE}),
+cut AS (SELECT max(len(v) + {_PARTS} - 1) // {_PARTS} AS w FROM kept),
+parts AS MATERIALIZED (
+  SELECT rid, pos, list_transform(range(1, w + 1), lambda i: coalesce(v[CAST(pos * w + i AS BIGINT)], 0)) AS v
+  FROM kept, cut, (SELECT unnest(range(0, {_PARTS})) AS pos)),
+b0 AS MATERIALIZED (SELECT pos, rid - 1 AS e, v AS c FROM parts WHERE rid <= {_ENTRIES}),
+{", ".join(rounds)},
+numbers AS (SELECT pos, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM b{last}),
+books AS (SELECT sha256(coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos, e, i), '')) AS codebooks_sha256 FROM numbers),
+codes AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (rid), books"""
+
+
+VECTOR_CODES = _codes()
+
+HARD_NEGATIVES = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+scores AS MATERIALIZED (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, c.rid, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM kept a JOIN kept c ON a.rid <> c.rid AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, rid AS positive, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY n.score DESC, n.vec_id, n.rid) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_JOIN, "op4_metric_tree_search": METRIC_SEARCH, "op8_secret_ownership": SECRETS, "op9_warc_archive": WARC}
+    return {"op2_ngram_join": NGRAM_JOIN, "op4_metric_tree_search": METRIC_SEARCH, "op8_secret_ownership": SECRETS, "op9_warc_archive": WARC,
+            "op11_vector_codes": VECTOR_CODES, "op13_hard_negatives": HARD_NEGATIVES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import balanced_shards, decontaminate, language_profiles, metric_search, ngram_join, packing, passage_dedup, secret_scan, token_counts, toxicity, vector_codes, warc_archive
+from skyledger.llm import balanced_shards, decontaminate, hard_negatives, language_profiles, metric_search, ngram_join, packing, passage_dedup, secret_scan, token_counts, toxicity, vector_codes, warc_archive
 from skyledger.llm.common import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,9 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~out))
     scored = toxicity.with_scores(docs.select("doc_id", "text", out.alias("held_out")), model, keep_text=False)
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flipped = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), F.col("vec_id") % 100 == 0, flipped)
