@@ -303,17 +303,17 @@ def plant(rows: DataFrame) -> Forest | None:
 def _routed(forest: Forest, asked: DataFrame, k: int, home: bool) -> DataFrame:
     """``asked`` with a row for each tree to search: those of the anchor's own cell, or of the others that its annulus meets."""
     chunks, bases = np.array(forest.chunks), np.concatenate([[0], np.cumsum(forest.chunks)])
+    upper, length, low, high = _lifted(forest.splits, forest.length), forest.length, forest.low, forest.high
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        upper = _lifted(forest.splits, forest.length)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            searches = _Searches(pa.Table.from_batches([batch]), k, forest.length)
+            searches = _Searches(pa.Table.from_batches([batch]), k, length)
             away = _distances(searches.points, upper)
             occupied = np.where(chunks[None, :] > 0, away, math.inf)
             own = occupied.argmin(1)[:, None] == np.arange(len(chunks))[None, :]
-            wanted = own if home else searches.meets(np.arange(batch.num_rows), away, forest.low, forest.high)[0] & ~own & (chunks > 0)[None, :]
+            wanted = own if home else searches.meets(np.arange(batch.num_rows), away, low, high)[0] & ~own & (chunks > 0)[None, :]
             query, cell = np.nonzero(wanted)
             times = chunks[cell]
             at, first = np.repeat(query, times), np.repeat(bases[cell] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(times) else np.zeros(0, np.int64)
