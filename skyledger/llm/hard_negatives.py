@@ -174,13 +174,13 @@ class _Searches:
         self.points = np.concatenate([points, np.zeros((len(points), 1))], 1)
         self.base = (points * points).sum(1) + length
         self.margin = _margin(float(self.base.max(initial=0.0)))
-        self.near = self._distance(self.most) - self.margin
-        self.far = self._distance(self.least) + self.margin
+        self.near = self._distance(self.most, self.base) - self.margin
+        self.far = self._distance(self.least, self.base) + self.margin
         self.best = _Best.empty(len(self.number), k)
         self.compared = 0
 
-    def _distance(self, score: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, self.base - 2.0 * score.astype(np.float64)))
+    def _distance(self, score: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, base - 2.0 * score.astype(np.float64)))
 
     def leaf(self, at: np.ndarray, rids: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
         scores = _products(self.vectors[at], vectors)
@@ -189,7 +189,7 @@ class _Searches:
         fits &= (rids[None, :] != self.rid[at][:, None]) & (scores >= self.least[at][:, None]) & (scores <= self.most[at][:, None])
         self.best.take(at, np.where(fits, scores, NONE), ids, rids)
         worst = self.best.scores[at, -1]
-        self.far[at] = np.where(worst > NONE, np.minimum(self.far[at], self._distance(worst) + self.margin), self.far[at])
+        self.far[at] = np.where(worst > NONE, np.minimum(self.far[at], self._distance(worst, self.base[at]) + self.margin), self.far[at])
 
     def meets(self, at: np.ndarray, away: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which cells an annulus meets, and how near each could be: ``away`` are distances to split points, the ranges are split points x cells."""
@@ -328,7 +328,8 @@ def _pass(forest: Forest, asked: DataFrame, k: int, home: bool, blocks: int) ->
         stored = forest.pages.withColumn("block", F.lit(0).cast("long"))
     else:  # a page goes to the blocks that search its tree
         routed = written(routed, "negative-routes")
-        stored = forest.pages.join(routed.select("tree", "block").distinct(), "tree")
+        pairs = routed.select(F.col("tree").alias("of_tree"), F.col("block").alias("block")).distinct()
+        stored = forest.pages.join(pairs, F.col("tree") == F.col("of_tree")).drop("of_tree")
     length = forest.length
 
     def answer(key: tuple, table: pa.Table, questions: pa.Table) -> pa.Table:
