@@ -230,7 +230,7 @@ CTES["hourly_old"] = CTES["hourly"].replace(f"event_date >= {TODAY} - 7", f"even
     f"{AS_OF} AS summary_created_at", f"{CUT} AS summary_created_at")
 MORE["hourly_merge"] = """SELECT * FROM hourly UNION ALL
 SELECT o.* FROM hourly_old o ANTI JOIN hourly h USING (event_date, event_hour, airline_iata)"""
-MORE["hourly_replace_day"] = f"""SELECT *, CAST(NULL AS BIGINT) AS domestic_flights FROM hourly WHERE event_date <> {TODAY}
+MORE["hourly_replace_day"] = f"""SELECT *, CAST(NULL AS BIGINT) AS domestic_flights FROM hourly WHERE event_date NOT IN ({TODAY}, {TODAY} - 1)
 UNION ALL BY NAME {hourly_refresh(f"event_date = {TODAY}")}"""
 CTES["routes_today"] = routes("fact", f"event_date = {TODAY} AND source_airport <> dest_airport")
 MORE["route_merge"] = """SELECT t.* REPLACE (coalesce(r.is_international, t.is_international) AS is_international)
@@ -519,19 +519,26 @@ FROM (SELECT 'run-1' AS run_id, (SELECT count(*) FROM raw WHERE loaded_at > TIME
 # --- streams
 PAYLOAD = """event_id, flight_id, airline, airline_iata, flight_number, source_airport, dest_airport, source_city, dest_city, latitude,
   longitude, altitude, speed, heading, status, departure_time, arrival_time, delay_minutes, aircraft_type, event_timestamp, source"""
+ARRIVAL = "epoch_us(event_timestamp) // 1000000 % 6"  # the batch a message arrives in
 MORE["stream_ingest_raw"] = f"""
 SELECT {PAYLOAD}, {AS_OF} AS loaded_at, CAST(event_timestamp AS DATE) AS event_date FROM rawe WHERE len(errors) = 0
-QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_timestamp) = 1"""
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {ARRIVAL}, event_timestamp) = 1"""
 MORE["stream_dead_letters"] = f"""SELECT array_to_string(errors, ',') AS error_message, {N} AS letters
 FROM rawe WHERE len(errors) > 0 GROUP BY 1"""
 MORE["stream_gate_closed"] = f"""SELECT CASE WHEN len(errors) > 0 THEN array_to_string(errors, ',') ELSE 'batch_rejected' END AS error_message, {N} AS letters
 FROM rawe GROUP BY 1"""
 MORE["stream_quality_gate"] = f"""SELECT {big('sum(t)')} AS total_records, {big('sum(b)')} AS invalid_count
 FROM (SELECT count(*) AS t, count(*) FILTER (WHERE len(errors) > 0) AS b FROM rawe)"""
-MORE["stream_dedup_ids"] = "SELECT DISTINCT event_id FROM raw"
+MORE["stream_dedup_ids"] = f"""
+SELECT {PAYLOAD} FROM raw QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {ARRIVAL}, event_timestamp) = 1"""
+CTES["around_midnight"] = """SELECT side || event_id AS event_id, flight_id,
+  TIMESTAMP '2020-01-01' + to_days(CAST(3 * (n // 500 % 100 + 1) AS INTEGER)) + to_seconds(CASE side WHEN 'V' THEN 2 ELSE -1 END) AS event_timestamp
+FROM (SELECT event_id, flight_id, CAST(substr(event_id, 2, 9) AS INTEGER) AS n FROM raw WHERE event_id LIKE 'E%' AND flight_id IS NOT NULL),
+  (SELECT unnest(['U', 'V']) AS side) WHERE n % 500 = 0"""
 MORE["stream_fuzzy_dedup"] = """
 SELECT event_id, flight_id, event_timestamp FROM (
-  SELECT *, lag(event_timestamp) OVER (PARTITION BY flight_id ORDER BY event_timestamp, event_id) AS prev FROM raw WHERE flight_id IS NOT NULL)
+  SELECT *, lag(event_timestamp) OVER (PARTITION BY flight_id ORDER BY event_timestamp, event_id) AS prev FROM (
+    SELECT event_id, flight_id, event_timestamp FROM raw WHERE flight_id IS NOT NULL UNION ALL SELECT * FROM around_midnight))
 WHERE prev IS NULL OR event_timestamp - prev >= INTERVAL 5 SECOND
 UNION ALL SELECT event_id, flight_id, event_timestamp FROM raw WHERE flight_id IS NULL"""
 MORE["stream_latest_positions"] = """SELECT flight_id, airline_iata, latitude, longitude, altitude, speed, status, event_timestamp, event_id

@@ -1,17 +1,20 @@
 """MERGE on plain Parquet: upsert, insert-only and day replacement.
 
 Parquet has no row updates, so a merge rewrites the days it touches and nothing
-else. Keys compare NULL-safe, which keeps a repeated merge idempotent for rows
-without a key as well.
+else. Where keys are, an index says (``snapshots.DayTable``): a merge reads the entries
+its keys' hashes lead to, never a column of the table. Keys compare NULL-safe, which
+keeps a repeated merge idempotent for rows without a key as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from skyledger.sources import tables
+from skyledger.sources.snapshots import HELD, KEY, ROWS, Conflict, DayTable, State, seen
 
 
 def _all_equal(left: list[str], right: list[str]) -> Column:
@@ -53,36 +56,86 @@ def rows_to_insert(source: DataFrame, target: DataFrame, key: str = "event_id",
     return fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
 
 
+ATTEMPTS = 5  # writers that meet start again from the newest state
+
+
+def _again(change: Callable[[], int]) -> int:
+    for attempt in range(ATTEMPTS):
+        try:
+            return change()
+        except Conflict:
+            if attempt + 1 == ATTEMPTS:
+                raise
+    return 0
+
+
+def unknown_rows(table: DayTable, rows: DataFrame, state: State) -> DataFrame:
+    """Rows whose key the table lacks; only its index is read, and of that the prefixes that the rows hit."""
+    known = table.entries(rows.select(table.key_of()), state).select(F.col(KEY).alias("_known"))
+    return rows.join(known, table.key_of().eqNullSafe(F.col("_known")), "left_anti")
+
+
 def insert_only(spark: SparkSession, path: str, source: DataFrame, key: str = "event_id",
-                dedupe_source: bool = True, sort_by: str | None = None) -> int:
-    """MERGE ... WHEN NOT MATCHED THEN INSERT, as an append of the missing rows; returns how many were written."""
-    there = tables.exists(spark, path)
-    if there:
-        target = tables.read(spark, path, source.schema)
-        fresh = rows_to_insert(source, target, key, dedupe_source)
-    else:
-        fresh = one_row_per_key(source, [key]) if dedupe_source else source
-    fresh = fresh.persist()  # counted and written; what an executor loses is computed again
+                dedupe_source: bool = True, sort_by: str | None = None, batch: tuple[str, int] | None = None) -> int:
+    """MERGE ... WHEN NOT MATCHED THEN INSERT, as an append of the missing rows; returns how many were written.
+
+    ``batch`` names a stream and its batch: one that was inserted already is not inserted again.
+    """
+    table = DayTable(spark, path, source.schema, [key], sort_by=sort_by)
+    candidates = (one_row_per_key(source, [key]) if dedupe_source else source).persist()  # what an executor loses is computed again
+
+    def attempt() -> int:
+        base = table.state()
+        if seen(base, batch):
+            return 0
+        fresh = unknown_rows(table, candidates, base).persist() if base.pieces else candidates
+        try:
+            inserted = fresh.count()
+            added = [*table.stage(ROWS, fresh), *table.stage_keys(fresh, inserted)] if inserted else []
+            if added or batch or not base.number:
+                table.commit(base, added, batch=batch)
+            return inserted
+        finally:
+            if fresh is not candidates:
+                fresh.unpersist()
+
     try:
-        inserted = fresh.count()  # before the write: it reads the table that the write changes
-        (tables.append_days if there else tables.write_days)(fresh, path, sort_by)
+        inserted = _again(attempt)
+        table.upkeep()
         return inserted
     finally:
-        fresh.unpersist()
+        candidates.unpersist()
 
 
 def upsert_days(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
                 update: list[str] | None = None, sort_by: str | None = None) -> None:
-    """MERGE into a day-partitioned table, rewriting only the days with a match or an insert."""
-    if not tables.exists(spark, path):
-        tables.write_days(source, path, sort_by)
-        return
-    target = tables.read(spark, path, source.schema)
-    touched = source.select(tables.DAY)
-    if tables.DAY not in keys:  # a key may be stored under another day: only keys and days are read to find out
-        held = target.select(*keys, tables.DAY)
-        wanted = source.select(*[F.col(k).alias(f"_{k}") for k in keys])
-        same = _all_equal(keys, [f"_{k}" for k in keys])
-        touched = touched.unionByName(held.join(wanted, same, "left_semi").select(tables.DAY))
-    affected = tables.of_days(target, tables.days_of(touched))
-    tables.replace_days(upsert_rows(affected, source, keys, update), path, sort_by)
+    """MERGE into a day-partitioned table, rewriting only the days with a match or an insert.
+
+    Where the day is not part of the key, a key may be stored under another day: the index names it.
+    """
+    indexed = tables.DAY not in keys
+    table = DayTable(spark, path, source.schema, keys if indexed else None, sort_by=sort_by)
+    rows = source.persist()
+
+    def attempt() -> int:
+        base = table.state()
+        days, fresh = set(tables.days_of(rows)), rows
+        if indexed and base.pieces:
+            entries = table.entries(rows.select(table.key_of()), base)
+            wanted = rows.select(table.key_of("_key"), F.col(table.day).alias("_day"))
+            days |= {r[0] for r in entries.join(wanted, F.col(KEY).eqNullSafe(F.col("_key")), "left_semi").select(HELD).distinct().collect()}
+            same = table.key_of().eqNullSafe(F.col("_key")) & F.col(table.day).eqNullSafe(F.col("_day"))
+            fresh = rows.join(entries.select(F.col(KEY).alias("_key"), F.col(HELD).alias("_day")), same, "left_anti")
+        named = [table.sections[ROWS].folder_of(d) for d in days]
+        merged = upsert_rows(table.rows(days, base), rows, keys, update) if base.pieces else rows
+        added = table.stage(ROWS, merged)
+        if indexed:
+            added += table.stage_keys(fresh, rows.count())
+        table.commit(base, added, base.of(ROWS, named))
+        return len(days)
+
+    try:
+        _again(attempt)
+        table.upkeep()
+    finally:
+        rows.unpersist()

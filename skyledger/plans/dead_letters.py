@@ -1,15 +1,28 @@
-"""Dead-letter table: publish, list, replay and statistics."""
+"""Dead letters: publish, list, replay and statistics.
+
+The table holds a row per change of a letter, and the last one counts: publishing adds
+letters that are not there, a replay adds the letters whose status it changes. Both read
+only the buckets their ids fall into.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions import times
-from skyledger.operators.merge import one_row_per_key, upsert_rows
+from skyledger.operators.merge import one_row_per_key
 from skyledger.settings import AS_OF, DLQ_ALERT_THRESHOLD, MAX_ERROR_MESSAGE_CHARS
+from skyledger.sources.snapshots import KeyedTable
 
+LETTER = T.StructType([
+    *(T.StructField(name, T.StringType()) for name in ("id", "event_id", "flight_id", "source", "dag_id", "run_id", "error_message")),
+    T.StructField("retry_count", T.IntegerType()), T.StructField("raw_payload", T.StringType()),
+    T.StructField("created_at", T.TimestampType()), T.StructField("status", T.StringType())])
 STATUSES = ["pending", "replayed", "replay_failed"]
 
 
@@ -43,18 +56,54 @@ def pending_letters(letters: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
-def replay(letters: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages to publish, letters with new status) for the pending letters in ``ids``.
+def judged(letters: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pending letters in ``ids`` with their status after a replay.
 
-    A payload that is a JSON object is published under its flight id; any other
-    letter is marked as failed.
+    A payload that is a JSON object can be published again; any other letter is marked as failed.
     """
     wanted = ids.select(F.col("id").alias("_id")).distinct()
     chosen = letters.filter("status = 'pending'").join(wanted, F.col("id") == F.col("_id"), "left_semi")
     usable = F.schema_of_variant(F.try_parse_json("raw_payload")).startswith("OBJECT")
-    judged = chosen.withColumn("status", F.when(F.coalesce(usable, F.lit(False)), "replayed").otherwise("replay_failed"))
-    messages = judged.filter("status = 'replayed'").select(F.col("flight_id").alias("key"), F.col("raw_payload").alias("value"))
-    return messages, upsert_rows(letters, judged, ["id"], ["status"])
+    return chosen.withColumn("status", F.when(F.coalesce(usable, F.lit(False)), "replayed").otherwise("replay_failed"))
+
+
+def messages_of(letters: DataFrame) -> DataFrame:
+    """Replayed letters as messages under their flight id."""
+    return letters.filter("status = 'replayed'").select(F.col("flight_id").alias("key"), F.col("raw_payload").alias("value"))
+
+
+class Letters(KeyedTable):
+    """The table of dead letters."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, LETTER, "id")
+
+    def publish(self, letters: DataFrame) -> None:
+        """Add the letters that are not there; publishing a batch again changes nothing."""
+        base, fresh = self.state(), letters
+        if base.pieces:
+            known = self.current(letters, base).select(F.col("id").alias("_known"))
+            fresh = letters.join(known, F.col("id") == F.col("_known"), "left_anti")
+        self.write(fresh, base=base)
+
+    def replay(self, ids: DataFrame, send: Callable[[DataFrame, int], None], attempt: int) -> bool:
+        """Send the pending letters in ``ids`` again and write their new status; returns False for an attempt that is through.
+
+        The letters of an attempt are first written down, then sent, then marked. After a failure the same number is
+        given again: the letters written down are sent, whatever ``ids`` says now, and ``send`` gets the number,
+        so that a sink that replaces its output for a number (as ``files.write_messages`` does) holds no message twice.
+        """
+        marked = ("marked", attempt)
+        if self.state().batches.get("marked", -1) >= attempt:
+            return False
+        outbox = f"{self.path}/_attempts/{attempt:09d}"
+        done = self._hadoop.fs.Path(f"{outbox}/_SUCCESS")
+        if not self._fs.exists(done):
+            judged(self.current(ids), ids).write.mode("overwrite").parquet(outbox)
+        letters = self.spark.read.schema(self.schema).parquet(outbox)
+        send(messages_of(letters), attempt)
+        self.write(letters, batch=marked)
+        return True
 
 
 def letter_stats(letters: DataFrame) -> DataFrame:

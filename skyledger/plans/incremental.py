@@ -91,7 +91,7 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
 
     staged_path = f"{clean_path}-batch-{run_id}"
     cleaned = clean.clean_flights(dedup.deduplicate(batch), as_of).select(*CLEAN_COLUMNS, "event_date")
-    tables.replace_days(cleaned, staged_path)
+    tables.write_days(cleaned, staged_path, anew=True)
     staged = tables.read(spark, staged_path, cleaned.schema)
     post = validate.validation_summary(validate.validate(staged, as_of)).first()
     totals = staged.agg(F.count("*").alias("n"), F.count_if("data_quality_flag").alias("flagged")).first()

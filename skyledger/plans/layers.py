@@ -105,11 +105,16 @@ class Layers:
         return self._days("hourly", star.hourly_summary(self.fact, self.as_of))
 
     @cached_property
-    def letters(self) -> DataFrame:
+    def letter_table(self) -> dead_letters.Letters:
         """Dead letters of every RAW row that fails a row check."""
+        table = dead_letters.Letters(self.spark, session.new_path(self.spark, "dead-letters"))
         invalid = with_row_errors(self.raw).filter(F.size("errors") > 0)
-        return self._whole("dead-letters", dead_letters.dead_letters(
-            invalid, F.array_join("errors", ","), "ingestion", F.col("loaded_at")))
+        table.publish(dead_letters.dead_letters(invalid, F.array_join("errors", ","), "ingestion", F.col("loaded_at")))
+        return table
+
+    @property
+    def letters(self) -> DataFrame:
+        return self.letter_table.current()
 
     @cached_property
     def routes(self) -> DataFrame:

@@ -434,13 +434,17 @@ def hourly_merge(t: Layers) -> DataFrame:
 
 @query
 def hourly_replace_day(t: Layers) -> DataFrame:
-    """Every day of the rolling summary, with today's day replaced by the rounded refresh."""
-    path = session.new_path(t.spark, "hourly-replace")
+    """Every day of the rolling summary, today's replaced by the rounded refresh; the day before
+    is replaced, too, by the rows of an airline that does not fly, and is empty afterwards."""
     base = star.hourly_summary(t.fact, t.as_of).withColumn("domestic_flights", F.lit(None).cast("bigint"))
-    tables.write_days(base, path)
-    refreshed = star.hourly_refresh(t.fact, times.day_of(t.as_of), t.as_of).select(*base.columns)
-    tables.replace_days(refreshed, path)
-    return tables.read(t.spark, path, base.schema)
+    table = tables.DayTable(t.spark, session.new_path(t.spark, "hourly-replace"), base.schema)
+    table.append(base)
+    today = t.as_of.date()
+    table.replace(star.hourly_refresh(t.fact, times.day_of(t.as_of), t.as_of).select(*base.columns), [today])
+    yesterday = today - timedelta(days=1)
+    none = star.hourly_refresh(t.fact.filter(F.col("airline_iata") == "--"), F.lit(yesterday), t.as_of)
+    table.replace(none.select(*base.columns), [yesterday])
+    return table.rows()
 
 
 @query
@@ -563,20 +567,26 @@ def dead_letters_pending(t: Layers) -> DataFrame:
     return dead_letters.pending_letters(by_time, 100).drop("id")
 
 
+def _replayed(t: Layers) -> tuple[dead_letters.Letters, str]:
+    """A table of the letters after replaying those of one kind of error, and where the messages went."""
+    table, sent = dead_letters.Letters(t.spark, session.new_path(t.spark, "letters")), session.new_path(t.spark, "sent-again")
+    table.publish(t.letters)
+    chosen = table.current().filter("error_message = 'invalid_status'").select("id")
+    for _ in range(2):  # an attempt that is repeated sends nothing twice
+        table.replay(chosen, lambda messages, attempt: files.write_messages(messages, sent, attempt), 1)
+    return table, sent
+
+
 @query
 def dead_letter_stats(t: Layers) -> DataFrame:
     """Statistics after replaying every letter of one kind of error."""
-    letters = t.letters
-    chosen = letters.filter("error_message = 'invalid_status'").select("id")
-    return dead_letters.letter_stats(dead_letters.replay(letters, chosen)[1])
+    return dead_letters.letter_stats(_replayed(t)[0].current())
 
 
 @query
 def dead_letter_replay(t: Layers) -> DataFrame:
     """Messages sent again, per key."""
-    letters = t.letters
-    chosen = letters.filter("error_message = 'invalid_status'").select("id")
-    return dead_letters.replay(letters, chosen)[0].groupBy("key").agg(F.count("*").alias("messages"))
+    return files.read_messages(t.spark, _replayed(t)[1]).groupBy("key").agg(F.count("*").alias("messages"))
 
 
 @query
@@ -915,31 +925,41 @@ def report_colours(t: Layers) -> DataFrame:
 MESSAGE_FILES = 6  # a stream takes one file per batch
 
 
-def _message_files(t: Layers, *by) -> str:
-    """Messages in several files, in no order of time; ``by`` decides what shares a file."""
+def _arrivals(t: Layers, rows: DataFrame) -> DataFrame:
+    """Messages of ``rows`` as a stream, a file for each batch in the order of the column ``arrival``."""
     path = session.new_path(t.spark, "messages")
-    payload.to_payload(t.raw).select("value").repartition(MESSAGE_FILES, *by).write.text(path)
-    return path
+    messages = payload.to_payload(rows).select("value", "arrival")
+    messages.repartition(MESSAGE_FILES, "arrival").write.partitionBy("arrival").text(path)
+    names = sorted(t.spark.read.text(path).inputFiles(), key=lambda name: int(name.rpartition("arrival=")[2].partition("/")[0]))
+    files.arrange(t.spark, names, datetime(2024, 2, 1))
+    return stream_ingest.read_message_files(t.spark, path, max_files=1).select("value")
+
+
+def _dealt(t: Layers) -> DataFrame:
+    """RAW with the batch a row arrives in: by the second of its event, so that deliveries of one id and
+    neighbours in time fall into different batches, in no order of time."""
+    return t.raw.withColumn("arrival", F.unix_seconds("event_timestamp") % MESSAGE_FILES)
 
 
 def _ingested(t: Layers, max_fail_rate: float = 1.0) -> stream_ingest.IngestSink:
-    """Every message run through the ingest stream, a file per batch, deliveries of one id in the same file."""
+    """Every message run through the ingest stream."""
     fresh = lambda label: session.new_path(t.spark, label)
     sink = stream_ingest.IngestSink(t.spark, fresh("stream-raw"), fresh("stream-letters"), fresh("stream-verdicts"),
                                     t.as_of, max_fail_rate=max_fail_rate)
-    messages = stream_ingest.read_message_files(t.spark, _message_files(t, F.get_json_object("value", "$.event_id")), max_files=1)
-    stream_ingest.start_ingest(messages, sink, fresh("checkpoint"), available_now=True).awaitTermination()
+    stream_ingest.start_ingest(_arrivals(t, _dealt(t)), sink, fresh("checkpoint"), available_now=True).awaitTermination()
     return sink
 
 
 @query
 def stream_ingest_raw(t: Layers) -> DataFrame:
-    return t.spark.read.parquet(_ingested(t).raw_path)
+    """RAW after the stream: the first valid delivery of every event, many of which come in two batches."""
+    events = payload.parse_events(t.spark.createDataFrame([], "value string")).drop("value")
+    schema = events.withColumns({"loaded_at": times.as_timestamp(t.as_of), "event_date": F.to_date("event_timestamp")}).schema
+    return tables.read(t.spark, _ingested(t).raw_path, schema)
 
 
 def _letters_per_error(sink: stream_ingest.IngestSink) -> DataFrame:
-    letters = sink.spark.read.parquet(sink.letters_path)
-    return letters.groupBy("error_message").agg(F.count("*").alias("letters"))
+    return sink.letters.current().groupBy("error_message").agg(F.count("*").alias("letters"))
 
 
 @query
@@ -961,24 +981,38 @@ def stream_quality_gate(t: Layers) -> DataFrame:
     return verdicts.agg(F.sum("total_records").alias("total_records"), F.sum("invalid_count").alias("invalid_count"))
 
 
-def _event_stream(t: Layers) -> DataFrame:
-    """Events a file per batch; deliveries of one id and neighbours in time fall into different batches."""
-    messages = stream_ingest.read_message_files(t.spark, _message_files(t, F.xxhash64("value")), max_files=1)
-    return payload.parse_events(messages).drop("value")
+def _event_stream(t: Layers, rows: DataFrame | None = None) -> DataFrame:
+    return payload.parse_events(_arrivals(t, _dealt(t) if rows is None else rows)).drop("value")
 
 
 @query
 def stream_dedup_ids(t: Layers) -> DataFrame:
+    """The first delivery of every event id."""
     events = _event_stream(t)
     sink = stream_dedup.FirstArrivals(t.spark, session.new_path(t.spark, "stream-ids"), buckets=16)
     stream_dedup.start(events, sink, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
-    return sink.read(events.schema).select("event_id")
+    return sink.read(events.schema)
+
+
+def _around_midnight(t: Layers) -> DataFrame:
+    """Pairs of positions three seconds apart, on both sides of a midnight long ago; the later one arrives first.
+
+    When the earlier one comes, the day after it loses its only rows.
+    """
+    number = F.substring("event_id", 2, 9).cast("int")
+    chosen = t.raw.filter(F.col("event_id").startswith("E") & (number % 500 == 0) & F.col("flight_id").isNotNull())
+    midnight = F.timestamp_seconds(F.lit(1577836800) + 3 * 86400 * ((number / 500).cast("int") % 100 + 1))
+    sides = F.explode(F.array(F.struct(F.lit("V").alias("side"), F.lit(2).alias("second"), F.lit(0).alias("arrival")),
+                              F.struct(F.lit("U").alias("side"), F.lit(-1).alias("second"), F.lit(MESSAGE_FILES - 1).alias("arrival"))))
+    pairs = chosen.withColumn("s", sides).withColumns({
+        "event_timestamp": midnight + F.make_dt_interval(secs=F.col("s.second")), "arrival": F.col("s.arrival").cast("long")})
+    return pairs.withColumn("event_id", F.concat("s.side", "event_id")).drop("s")
 
 
 @query
 def stream_fuzzy_dedup(t: Layers) -> DataFrame:
     """The batch operator's rows, from a stream in several unordered batches."""
-    events = _event_stream(t)
+    events = _event_stream(t, _dealt(t).unionByName(_around_midnight(t)))
     sink = stream_dedup.NearDuplicates(t.spark, session.new_path(t.spark, "stream-arrivals"), session.new_path(t.spark, "stream-fuzzy"))
     stream_dedup.start(events, sink, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
     return sink.read(events.schema).select("event_id", "flight_id", "event_timestamp")
@@ -988,9 +1022,9 @@ def stream_fuzzy_dedup(t: Layers) -> DataFrame:
 def stream_latest_positions(t: Layers) -> DataFrame:
     events = _event_stream(t)
     schema = live.newest_positions(events).schema
-    table = tables.VersionedTable(t.spark, session.new_path(t.spark, "stream-latest"), schema)
+    table = live.positions_table(t.spark, session.new_path(t.spark, "stream-latest"), schema)
     live.keep_latest(events, table, session.new_path(t.spark, "checkpoint"), available_now=True).awaitTermination()
-    return table.read()
+    return table.current()
 
 
 @query
@@ -1002,4 +1036,4 @@ def stream_hourly_summary(t: Layers) -> DataFrame:
     fact, summary = session.new_path(t.spark, "stream-fact"), session.new_path(t.spark, "stream-hourly")
     live.keep_hourly(t.spark, rows, fact, summary, session.new_path(t.spark, "checkpoint"), t.as_of,
                      available_now=True).awaitTermination()
-    return t.spark.read.parquet(summary)
+    return tables.read(t.spark, summary, star.hourly_of_days(t.fact, t.as_of).schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -60,3 +62,19 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError(f"unknown format {fmt!r}; use json or csv")
     writer = df.write.mode("errorifexists")
     writer.json(path) if fmt == "json" else writer.option("header", True).csv(path)
+
+
+def write_messages(messages: DataFrame, path: str, number: int) -> None:
+    """(key, value) messages as JSON lines in the folder of this number, which they replace."""
+    messages.write.mode("overwrite").json(f"{path}/attempt={number:09d}")
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key string, value string, attempt int").json(path).drop("attempt")
+
+
+def arrange(spark: SparkSession, paths: list[str], first: datetime) -> None:
+    """Give files modification times a second apart, the order in which a file stream takes them."""
+    for second, path in enumerate(paths):
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(file, int(first.timestamp() * 1000) + 1000 * second, -1)

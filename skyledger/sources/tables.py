@@ -1,8 +1,8 @@
 """Tables as Parquet folders in the shared file system.
 
-Large tables are partitioned by day and only ever appended to or replaced one day at
-a time. Small tables without a day are rewritten as a new version beside the old
-one; readers take the newest version that finished.
+Large tables are partitioned by day. Those that are built once are plain folders; those
+that change are lists of folders (``snapshots``). Small tables without a day are rewritten
+as a new version beside the old one; readers take the newest version that finished.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from skyledger.sources.snapshots import DayTable
+
 DAY = "event_date"
 LOAD_DAY, MADE_DAY = "load_date", "transform_date"  # days of arrival in RAW and of the run that made a CLEAN row
 
@@ -32,8 +34,9 @@ def _by_day(df: DataFrame, sort_by: str | None, days: tuple[str, ...] = (DAY,))
     return even.sortWithinPartitions(*days, sort_by) if sort_by else even
 
 
-def write_days(df: DataFrame, path: str, sort_by: str | None = None, days: tuple[str, ...] = (DAY,)) -> None:
-    _by_day(df, sort_by, days).write.partitionBy(*days).parquet(path)
+def write_days(df: DataFrame, path: str, sort_by: str | None = None, days: tuple[str, ...] = (DAY,), anew: bool = False) -> None:
+    """A table that is built once; ``anew`` replaces it whole."""
+    _by_day(df, sort_by, days).write.mode("overwrite" if anew else "error").partitionBy(*days).parquet(path)
 
 
 def newest_day(spark: SparkSession, path: str, day: str) -> date | None:
@@ -44,41 +47,15 @@ def newest_day(spark: SparkSession, path: str, day: str) -> date | None:
     return max((date.fromisoformat(n) for n in found if n[:1].isdigit()), default=None)
 
 
-def append_days(df: DataFrame, path: str, sort_by: str | None = None) -> None:
-    _by_day(df, sort_by).write.mode("append").partitionBy(DAY).parquet(path)
-
-
-def replace_days(df: DataFrame, path: str, sort_by: str | None = None) -> None:
-    """Replace exactly the days that occur in ``df``; other days stay as they are.
-
-    Spark stages the new files and moves them at commit, so ``df`` may read the
-    table it replaces, and a failed job leaves the old days in place.
-    """
-    (_by_day(df, sort_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(DAY).parquet(path))
-
-
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read with a known schema: no footer is opened to infer one."""
-    return spark.read.schema(schema).parquet(path)
-
-
-MOST_DAYS = 10_000  # days that may become a partition filter
+    """The rows of a table, with a known schema: no footer is opened to infer one."""
+    changing = DayTable(spark, path, schema)
+    return changing.rows() if changing.exists() else spark.read.schema(schema).parquet(path)
 
 
 def days_of(rows: DataFrame) -> list:
-    """The distinct days of a batch, None for rows without one."""
-    days = [r[0] for r in rows.select(DAY).distinct().limit(MOST_DAYS + 1).collect()]
-    if len(days) > MOST_DAYS:
-        raise ValueError(f"a batch of more than {MOST_DAYS} days; load it in parts")
-    return days
-
-
-def of_days(table: DataFrame, days: list) -> DataFrame:
-    """Only these days; a filter on partitions, so other days' files are not opened."""
-    known, day = sorted(d for d in days if d is not None), F.col(DAY)
-    wanted = day.isin(known) if known else F.lit(False)
-    return table.filter(wanted | day.isNull() if None in days else wanted)
+    """The distinct days of a batch, None for rows without one; the calendar bounds their number."""
+    return [r[0] for r in rows.select(DAY).distinct().collect()]
 
 
 KEPT_VERSIONS = 2  # the newest, and the one a running reader may still hold

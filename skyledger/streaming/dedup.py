@@ -1,7 +1,9 @@
 """Deduplication of streams that loses nothing, in whatever order and however late rows arrive.
 
 Both sinks keep what has arrived in a table and decide from it, not from state that a
-watermark ends. Each batch reads only the part of the table its own rows can touch.
+watermark ends. Each batch reads only the part of the table its own rows can touch, adds
+one piece to each part, and pieces are merged as they gather. A batch that runs again is
+known by its number.
 """
 
 from __future__ import annotations
@@ -15,18 +17,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators import dedup, merge
 from skyledger.settings import FUZZY_WINDOW_SECONDS
-from skyledger.sources import tables
-
-BUCKET, BATCH = "bucket", "batch_id"
+from skyledger.sources import snapshots, tables
+from skyledger.sources.snapshots import BUCKET, ROWS
 
 
 @dataclass(frozen=True)
 class FirstArrivals:
-    """First arrival of every event id.
+    """First arrival of every event id; of several in one batch, the earliest row.
 
-    The table is partitioned by a hash of the id and by batch, so a batch compares its ids
-    with the buckets they fall into. A batch that runs again ignores and replaces its own
-    earlier rows.
+    The table is partitioned by a hash of the id, and a batch compares its ids with the
+    buckets they fall into.
     """
 
     spark: SparkSession
@@ -34,34 +34,40 @@ class FirstArrivals:
     key: str = "event_id"
     buckets: int = 64
 
+    def table(self, schema: T.StructType) -> snapshots.SnapshotTable:
+        stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        return snapshots.SnapshotTable(self.spark, self.path, {ROWS: snapshots.Section(stored, BUCKET, self.key)})
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        table, name = self.table(batch.schema), snapshots.batch_name(batch, batch_id)
+        base = table.state()
+        if snapshots.seen(base, name):
+            return
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         fresh = merge.one_row_per_key(batch, [self.key]).withColumn(BUCKET, bucket).persist()
         try:
-            schema = T.StructType([*fresh.schema.fields, T.StructField(BATCH, T.LongType())])
             new = fresh
-            if tables.exists(self.spark, self.path):
+            if base.pieces:
                 touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-                held = tables.read(self.spark, self.path, schema).filter(F.col(BUCKET).isin(touched) & (F.col(BATCH) < batch_id))
-                new = merge.rows_to_insert(fresh, held, self.key, dedupe_source=False)
-            (new.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, BATCH).parquet(self.path))
+                new = merge.rows_to_insert(fresh, table.read(ROWS, touched, base), self.key, dedupe_source=False)
+            table.commit(base, table.stage(ROWS, new), batch=name)
         finally:
             fresh.unpersist()
+        table.upkeep()
 
     def read(self, schema: T.StructType) -> DataFrame:
-        whole = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType()), T.StructField(BATCH, T.LongType())])
-        return tables.read(self.spark, self.path, whole).select(*schema.names)
+        return self.table(schema).read(ROWS).select(*schema.names)
 
 
 @dataclass(frozen=True)
 class NearDuplicates:
     """The batch rule on a stream: a row within ``seconds`` of its flight's previous row goes.
 
-    Every arrival is kept by day and batch. A batch can change its own days and the first
-    seconds of the days after them; these days are decided anew, from their arrivals and
-    those of the day before, and replaced. The result is always that of the batch operator
-    over all that has arrived. Rows without a time form a day of their own.
+    Every arrival is kept by day. A batch can change its own days and the first seconds of
+    the days after them; these days are decided anew, from their arrivals and those of the
+    day before, and replaced by name, so one that loses its last row becomes empty. The
+    result is always that of the batch operator over all that has arrived. Rows without a
+    time form a day of their own.
     """
 
     spark: SparkSession
@@ -72,19 +78,18 @@ class NearDuplicates:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn(tables.DAY, F.to_date("event_timestamp")).persist()
         try:
-            schema = T.StructType([*rows.schema.fields, T.StructField(BATCH, T.LongType())])
-            (rows.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy(tables.DAY, BATCH).parquet(self.arrivals_path))
-            days = {r[0] for r in rows.select(tables.DAY).distinct().collect()}  # a batch holds few days
+            arrivals = tables.DayTable(self.spark, self.arrivals_path, rows.schema)
+            arrivals.append(rows, snapshots.batch_name(batch, batch_id))
+            days = set(tables.days_of(rows))
             if not days:
                 return
             known = {d for d in days if d is not None}
-            changed = known | {d + timedelta(days=1) for d in known}
+            changed = days | {d + timedelta(days=1) for d in known}
             needed = changed | {d - timedelta(days=1) for d in known}
-            arrived = tables.read(self.spark, self.arrivals_path, schema).drop(BATCH)
-            day, none = F.col(tables.DAY), None in days
-            kept = dedup.fuzzy_dedup(arrived.filter(day.isin(sorted(needed)) | (F.lit(none) & day.isNull())), self.seconds)
-            tables.replace_days(kept.filter(day.isin(sorted(changed)) | (F.lit(none) & day.isNull())), self.kept_path)
+            kept = dedup.fuzzy_dedup(arrivals.rows(needed), self.seconds)
+            day = F.col(tables.DAY)
+            wanted = F.coalesce(day.isin(sorted(d for d in changed if d is not None)), F.lit(None in changed))
+            tables.DayTable(self.spark, self.kept_path, rows.schema).replace(kept.filter(wanted), changed)
         finally:
             rows.unpersist()
 

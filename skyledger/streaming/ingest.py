@@ -3,7 +3,9 @@
 The checkpoint holds the source offsets and moves on only after ``foreachBatch``
 returns, so a batch may run twice but none is lost. Every write of a batch is
 therefore repeatable: RAW takes only unknown event ids, a dead letter's id is a
-digest of its content, and a verdict lives in a folder of its batch number.
+digest of its content, and a verdict lives in a folder of its batch number. Of an
+event that is delivered in several batches the first valid delivery stays; of several
+in one batch, the earliest row.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.functions import times
 from skyledger.operators import merge, validate
-from skyledger.plans.dead_letters import dead_letters
+from skyledger.plans.dead_letters import Letters, dead_letters
 from skyledger.settings import QUALITY_GATE_MAX_FAIL_RATE
-from skyledger.sources import tables
 from skyledger.sources.payload import parse_events
+from skyledger.sources.snapshots import batch_name
 
 FLUSH_EVERY = "10 seconds"  # fixed value
 
@@ -51,7 +53,8 @@ class IngestSink:
             good, bad = F.size("errors") == 0, F.size("errors") > 0
             if decision.load_allowed:
                 rows = checked.filter(good).drop("errors", "value", "key")
-                merge.insert_only(self.spark, self.raw_path, rows.withColumn("event_date", F.to_date("event_timestamp")))
+                rows = rows.withColumn("event_date", F.to_date("event_timestamp"))
+                merge.insert_only(self.spark, self.raw_path, rows, batch=batch_name(batch, batch_id))
                 self._publish(checked.filter(bad), F.array_join("errors", ","))
             elif decision.total_records:
                 reason = F.when(bad, F.array_join("errors", ",")).otherwise("batch_rejected")
@@ -60,12 +63,11 @@ class IngestSink:
             checked.unpersist()
 
     def _publish(self, rows: DataFrame, reason) -> None:
-        letters = dead_letters(rows, reason, "ingestion", F.col("loaded_at"), payload=F.col("value"))
-        fresh = letters
-        if tables.exists(self.spark, self.letters_path):
-            known = tables.read(self.spark, self.letters_path, letters.schema)
-            fresh = merge.rows_to_insert(fresh, known, "id", dedupe_source=False)
-        fresh.write.mode("append").parquet(self.letters_path)
+        self.letters.publish(dead_letters(rows, reason, "ingestion", F.col("loaded_at"), payload=F.col("value")))
+
+    @property
+    def letters(self) -> Letters:
+        return Letters(self.spark, self.letters_path)
 
 
 def start_ingest(messages: DataFrame, sink: IngestSink, checkpoint: str, available_now: bool = False) -> StreamingQuery:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators import merge
 from skyledger.plans import star
 from skyledger.settings import AS_OF
 from skyledger.sources import tables
+from skyledger.sources.snapshots import KeyedTable, batch_name
 
 POSITION_COLUMNS = ["airline_iata", "latitude", "longitude", "altitude", "speed", "status", "event_timestamp", "event_id"]
 
@@ -23,14 +25,18 @@ def newest_positions(events: DataFrame) -> DataFrame:
     return newest.select("flight_id", "p.*")
 
 
-def keep_latest(events: DataFrame, table: tables.VersionedTable, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Merge each batch into the table of live positions, which is the only state.
+def positions_table(spark: SparkSession, path: str, schema: T.StructType) -> KeyedTable:
+    """The live positions: a row per flight, the newest in event time whatever the order of arrival."""
+    return KeyedTable(spark, path, schema, "flight_id", ["event_timestamp", "event_id"])
+
+
+def keep_latest(events: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Add the newest position of each flight in a batch, which is all that a batch writes.
 
     Newest wins whatever the order of arrival, so late rows and repeated batches are harmless.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = table.read()
-        table.write(newest_positions(known.unionByName(newest_positions(batch).select(*known.columns))))
+        table.write(newest_positions(batch), batch_name(batch, batch_id))
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "60 seconds"}
@@ -51,16 +57,17 @@ def keep_hourly(spark: SparkSession, fact_rows: DataFrame, fact_path: str, summa
                 as_of: datetime = AS_OF, available_now: bool = False) -> StreamingQuery:
     """Add each batch to FACT, then replace the summary of exactly the days it touched.
 
-    A batch holds few days, so they become a filter on FACT's partitions; recomputing a
+    A batch holds few days, and only their folders are read; recomputing a
     whole day keeps the distinct counts exact and a repeated batch harmless.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            merge.insert_only(spark, fact_path, rows)
+            merge.insert_only(spark, fact_path, rows, batch=batch_name(batch, batch_id))
             days = tables.days_of(rows)
-            touched = tables.of_days(tables.read(spark, fact_path, rows.schema), days).filter(~F.col("data_quality_flag"))
-            tables.replace_days(star.hourly_of_days(touched, as_of), summary_path)
+            touched = tables.DayTable(spark, fact_path, rows.schema).rows(days).filter(~F.col("data_quality_flag"))
+            summary = star.hourly_of_days(touched, as_of)
+            tables.DayTable(spark, summary_path, summary.schema).replace(summary, days)
         finally:
             rows.unpersist()
 

@@ -52,31 +52,44 @@ def test_insert_without_source_dedup_keeps_both(spark):
     assert merge.rows_to_insert(source, empty).count() == 1
 
 
-def files_of(spark, path, day):
-    return sorted(spark.read.parquet(f"{path}/event_date={day}").inputFiles())
+def day_table(spark, path, **options):
+    return tables.DayTable(spark, path, frame(spark, []).schema, **options)
+
+
+def pieces_of(table, day):
+    return table.folders(table.state().of("rows", [f"event_date={day}"]))
 
 
 def test_upsert_days_leaves_other_days_alone(spark, scratch):
     path = scratch("days")
-    tables.write_days(frame(spark, [("a", D1, 1, "x"), ("b", D2, 2, "x"), ("c", D3, 3, "x")]), path)
-    before = {day: files_of(spark, path, day) for day in (D1, D2, D3)}
+    merge.upsert_days(spark, path, frame(spark, [("a", D1, 1, "x"), ("b", D2, 2, "x"), ("c", D3, 3, "x")]), ["event_id"])
+    table = day_table(spark, path, keys=["event_id"])
+    before = {day: pieces_of(table, day) for day in (D1, D2, D3)}
     # "a" is known under day 1 although the source dates it day 3
     merge.upsert_days(spark, path, frame(spark, [("a", D3, 10, "y"), ("d", D3, 4, "y")]), ["event_id"], ["n"])
     schema = frame(spark, []).schema
     assert content(tables.read(spark, path, schema)) == [
         ("a", str(D1), 10, "x"), ("b", str(D2), 2, "x"), ("c", str(D3), 3, "x"), ("d", str(D3), 4, "y")]
-    after = {day: files_of(spark, path, day) for day in (D1, D2, D3)}
+    after = {day: pieces_of(table, day) for day in (D1, D2, D3)}
     assert after[D2] == before[D2] and after[D1] != before[D1] and after[D3] != before[D3]
 
 
 def test_replace_days_replaces_exactly_those_days(spark, scratch):
-    path = scratch("replace")
-    rows = frame(spark, [("a", D1, 1, "x"), ("b", D2, 2, "x")])
-    tables.write_days(rows, path)
+    table = day_table(spark, scratch("replace"))
+    table.append(frame(spark, [("a", D1, 1, "x"), ("b", D2, 2, "x")]))
     for _ in range(2):  # the replacement reads the table it replaces
-        table = tables.read(spark, path, rows.schema)
-        tables.replace_days(table.filter(F.col("event_date") == D2).withColumn("n", F.lit(7)), path)
-    assert content(tables.read(spark, path, rows.schema)) == [("a", str(D1), 1, "x"), ("b", str(D2), 7, "x")]
+        table.replace(table.rows([D2]).withColumn("n", F.lit(7)), [D2])
+    assert content(table.rows()) == [("a", str(D1), 1, "x"), ("b", str(D2), 7, "x")]
+
+
+def test_a_day_replaced_by_nothing_is_empty(spark, scratch):
+    table = day_table(spark, scratch("replace"))
+    table.append(frame(spark, [("a", D1, 1, "x"), ("b", D2, 2, "x"), (None, None, 3, "x")]))
+    table.replace(frame(spark, []), [D1, None])
+    assert content(table.rows()) == [("b", str(D2), 2, "x")]
+    with pytest.raises(ValueError, match="not to be replaced"):
+        table.replace(frame(spark, [("c", D3, 1, "x")]), [D1])
+    assert content(table.rows()) == [("b", str(D2), 2, "x")]
 
 
 def test_versioned_table_ignores_an_unfinished_version(spark, scratch):
