@@ -78,13 +78,10 @@ class Letters(KeyedTable):
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path, LETTER, "id")
 
-    def publish(self, letters: DataFrame) -> None:
-        """Add the letters that are not there; publishing a batch again changes nothing."""
-        base, fresh = self.state(), letters
-        if base.pieces:
-            known = self.current(letters, base).select(F.col("id").alias("_known"))
-            fresh = letters.join(known, F.col("id") == F.col("_known"), "left_anti")
-        self.write(fresh, base=base)
+    def publish(self, letters: DataFrame, large: bool = False) -> None:
+        """Add the letters (one for each id) that are not there; publishing a batch again changes nothing."""
+        base = self.state()
+        self.write(self.unknown(letters, base), base=base, large=large)
 
     def replay(self, ids: DataFrame, send: Callable[[DataFrame, int], None], attempt: int) -> bool:
         """Send the pending letters in ``ids`` again and write their new status; returns False for an attempt that is through.

@@ -109,7 +109,7 @@ class Layers:
         """Dead letters of every RAW row that fails a row check."""
         table = dead_letters.Letters(self.spark, session.new_path(self.spark, "dead-letters"))
         invalid = with_row_errors(self.raw).filter(F.size("errors") > 0)
-        table.publish(dead_letters.dead_letters(invalid, F.array_join("errors", ","), "ingestion", F.col("loaded_at")))
+        table.publish(dead_letters.dead_letters(invalid, F.array_join("errors", ","), "ingestion", F.col("loaded_at")), large=True)
         return table
 
     @property

@@ -10,7 +10,8 @@ Streams name themselves and their batch in the list, so a batch that runs again
 
 Small pieces of a part are merged when ``FAN_IN`` of the same level have gathered, into one
 piece of the next level: after n batches a part has at most (FAN_IN - 1) times log n pieces, and a
-row is rewritten log n times. Superseded folders stay for running readers until their lists
+row is rewritten log n times. Where a batch would hit every part with a few rows (parts by hash) it
+is one piece of its own first, a run, and as many runs are dealt to the parts together. Superseded folders stay for running readers until their lists
 are older than the newest ``KEPT_LISTS`` and than ``KEPT_SECONDS``.
 """
 
@@ -70,8 +71,9 @@ class State:
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str, sections: dict[str, Section]):
-        self.spark, self.path, self.sections = spark, path.rstrip("/"), sections
+    def __init__(self, spark: SparkSession, path: str, sections: dict[str, Section], runs: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] | None = None):
+        """``runs``: for a section of runs, the section they go to, and what turns their rows into rows of that."""
+        self.spark, self.path, self.sections, self.runs = spark, path.rstrip("/"), sections, runs or {}
         self._hadoop = spark._jvm.org.apache.hadoop
         root = self._hadoop.fs.Path(self.path)
         self._fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -159,12 +161,21 @@ class SnapshotTable:
         """Pieces to merge: those of a part and level of which ``FAN_IN`` have gathered."""
         gathered: dict[tuple[str, str, int], list[Piece]] = {}
         for piece in state.pieces:
+            if piece.section in self.runs:
+                continue
             gathered.setdefault((piece.section, piece.part, piece.level), []).append(piece)
         return [p for found in gathered.values() if len(found) >= FAN_IN for p in found]
 
     def compact(self) -> State:
-        """Merge what is due until nothing is; gives way to another writer."""
+        """Deal runs and merge what is due until nothing is; gives way to another writer."""
         state = self.state()
+        for section, (target, deal) in self.runs.items():
+            runs = state.of(section)
+            if len(runs) >= FAN_IN:
+                try:
+                    state = self.commit(state, self.stage(target, deal(self.rows_of(section, runs))), runs)
+                except Conflict:
+                    return self.state()
         while due := self.due(state):
             added = []
             for section, level in sorted({(p.section, p.level) for p in due}):
@@ -210,7 +221,7 @@ ROWS, RECENT, KEYS = "rows", "recent", "keys"
 PREFIX, KEY, HELD = "key_prefix", "key", "held_day"
 PREFIXES = 32
 AT_ONCE = 10_000  # keys of a batch beyond this many for each prefix go to their prefixes at once
-WHOLE = "all"
+RUN, WHOLE = "run", "all"
 
 
 class DayTable(SnapshotTable):
@@ -227,9 +238,10 @@ class DayTable(SnapshotTable):
         sections = {ROWS: Section(schema, day, sort_by)}
         if keys:
             entry = [T.StructField(KEY, T.StringType()), T.StructField(HELD, T.DateType())]
-            sections[RECENT] = Section(T.StructType([*entry, T.StructField("run", T.StringType())]), "run")
+            sections[RECENT] = Section(T.StructType([*entry, T.StructField(RUN, T.StringType())]), RUN)
             sections[KEYS] = Section(T.StructType([*entry, T.StructField(PREFIX, T.IntegerType())]), PREFIX, KEY)
-        super().__init__(spark, path, sections)
+        deal = lambda runs: runs.select(KEY, HELD).distinct().withColumn(PREFIX, self.prefix_of())
+        super().__init__(spark, path, sections, {RECENT: (KEYS, deal)} if keys else None)
 
     def rows(self, days: Iterable | None = None, state: State | None = None) -> DataFrame:
         return self.read(ROWS, days, state)
@@ -256,18 +268,7 @@ class DayTable(SnapshotTable):
         entries = rows.select(self.key_of(), F.col(self.day).alias(HELD))
         if count > AT_ONCE * self.prefixes:
             return self.stage(KEYS, entries.withColumn(PREFIX, self.prefix_of()))
-        return self.stage(RECENT, entries.withColumn("run", F.lit(WHOLE)))
-
-    def compact(self) -> State:
-        state = self.state()
-        runs = state.of(RECENT) if self.keys else []
-        if len(runs) >= FAN_IN:
-            dealt = self.rows_of(RECENT, runs).select(KEY, HELD).distinct().withColumn(PREFIX, self.prefix_of())
-            try:
-                self.commit(state, self.stage(KEYS, dealt), runs)
-            except Conflict:
-                return self.state()
-        return super().compact()
+        return self.stage(RECENT, entries.withColumn(RUN, F.lit(WHOLE)))
 
     def replace(self, rows: DataFrame, days: Iterable, batch: tuple[str, int] | None = None) -> None:
         """Replace exactly these days by ``rows``; a day without rows is empty afterwards. ``rows`` may read the table."""
@@ -310,14 +311,17 @@ BUCKET, CHANGE = "bucket", "change_number"
 class KeyedTable(SnapshotTable):
     """A row for each key: writes add the changed rows, reads take the newest of each key.
 
-    ``order`` says which of a key's rows is the newest (the greatest); without it the last one written is. Pieces
-    of a bucket are merged in turn, and a merged piece holds one row of a key, so old rows go by themselves.
+    ``order`` says which of a key's rows is the newest (the greatest); without it the last one written is. A write is
+    a run; runs are dealt to buckets of the key's hash, whose pieces are merged in turn, and a merged piece holds one
+    row of a key, so old rows go by themselves.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str] | None = None, buckets: int = PREFIXES):
         self.schema, self.key, self.order, self.buckets = schema, key, order or [CHANGE], buckets
-        stored = T.StructType([*schema.fields, T.StructField(CHANGE, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
-        super().__init__(spark, path, {ROWS: Section(stored, BUCKET, key, self.newest)})
+        stored = [*schema.fields, T.StructField(CHANGE, T.LongType())]
+        sections = {RECENT: Section(T.StructType([*stored, T.StructField(RUN, T.StringType())]), RUN),
+                    ROWS: Section(T.StructType([*stored, T.StructField(BUCKET, T.IntegerType())]), BUCKET, key, self.newest)}
+        super().__init__(spark, path, sections, {RECENT: (ROWS, lambda runs: self.newest(runs.drop(RUN)).withColumn(BUCKET, self.bucket_of()))})
 
     def newest(self, rows: DataFrame) -> DataFrame:
         others = [c for c in rows.columns if c != self.key]
@@ -327,17 +331,29 @@ class KeyedTable(SnapshotTable):
     def bucket_of(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
+    def changes(self, like: DataFrame | None = None, state: State | None = None) -> DataFrame:
+        """Rows as written, of all keys or of the keys in the buckets that ``like`` hits; a key may have several."""
+        state = state or self.state()
+        hit = None if like is None or not state.of(ROWS) else [r[0] for r in like.select(self.bucket_of()).distinct().collect()]  # at most ``buckets`` numbers
+        return self.read(ROWS, hit, state).drop(BUCKET).unionByName(self.read(RECENT, None, state).drop(RUN))
+
     def current(self, like: DataFrame | None = None, state: State | None = None) -> DataFrame:
         """The newest row of every key, or of the keys in the buckets that ``like`` hits."""
-        hit = None if like is None else [r[0] for r in like.select(self.bucket_of()).distinct().collect()]  # at most ``buckets`` numbers
-        return self.newest(self.read(ROWS, hit, state)).select(*self.schema.names)
+        return self.newest(self.changes(like, state)).select(*self.schema.names)
+
+    def unknown(self, rows: DataFrame, state: State) -> DataFrame:
+        """Rows whose key the table lacks; of the table only keys are read, of the buckets that ``rows`` hit."""
+        if not state.pieces:
+            return rows
+        known = self.changes(rows, state).select(F.col(self.key).alias("_known"))
+        return rows.join(known, F.col(self.key).eqNullSafe(F.col("_known")), "left_anti")
 
-    def write(self, changes: DataFrame, batch: tuple[str, int] | None = None, base: State | None = None) -> None:
-        """Add changed rows; of several of one key the newest counts. With ``base`` it fails if the table has changed since."""
+    def write(self, changes: DataFrame, batch: tuple[str, int] | None = None, base: State | None = None, large: bool = False) -> None:
+        """Add changed rows, one for each key. With ``base`` it fails if the table has changed since; a ``large`` write goes to the buckets at once."""
         before = base or self.state()
         if not seen(before, batch):
-            numbered = changes.select(*self.schema.names, F.lit(before.number).cast("long").alias(CHANGE))
-            added = self.stage(ROWS, self.newest(numbered).withColumn(BUCKET, self.bucket_of()))
+            rows = changes.select(*self.schema.names, F.lit(before.number).cast("long").alias(CHANGE))
+            added = self.stage(ROWS, rows.withColumn(BUCKET, self.bucket_of())) if large else self.stage(RECENT, rows.withColumn(RUN, F.lit(WHOLE)))
             if added or batch:
                 self.commit(before, added, batch=batch)
                 self.upkeep()

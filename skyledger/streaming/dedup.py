@@ -18,15 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 from skyledger.operators import dedup, merge
 from skyledger.settings import FUZZY_WINDOW_SECONDS
 from skyledger.sources import snapshots, tables
-from skyledger.sources.snapshots import BUCKET, ROWS
 
 
 @dataclass(frozen=True)
 class FirstArrivals:
     """First arrival of every event id; of several in one batch, the earliest row.
 
-    The table is partitioned by a hash of the id, and a batch compares its ids with the
-    buckets they fall into.
+    A batch compares its ids with the recent batches and the buckets of the id's hash that they fall into.
     """
 
     spark: SparkSession
@@ -34,29 +32,20 @@ class FirstArrivals:
     key: str = "event_id"
     buckets: int = 64
 
-    def table(self, schema: T.StructType) -> snapshots.SnapshotTable:
-        stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        return snapshots.SnapshotTable(self.spark, self.path, {ROWS: snapshots.Section(stored, BUCKET, self.key)})
+    def table(self, schema: T.StructType) -> snapshots.KeyedTable:
+        return snapshots.KeyedTable(self.spark, self.path, schema, self.key, buckets=self.buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        table, name = self.table(batch.schema), snapshots.batch_name(batch, batch_id)
+        table = self.table(batch.schema)
         base = table.state()
-        if snapshots.seen(base, name):
-            return
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        fresh = merge.one_row_per_key(batch, [self.key]).withColumn(BUCKET, bucket).persist()
+        fresh = merge.one_row_per_key(batch, [self.key]).persist()
         try:
-            new = fresh
-            if base.pieces:
-                touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-                new = merge.rows_to_insert(fresh, table.read(ROWS, touched, base), self.key, dedupe_source=False)
-            table.commit(base, table.stage(ROWS, new), batch=name)
+            table.write(table.unknown(fresh, base), snapshots.batch_name(batch, batch_id), base)
         finally:
             fresh.unpersist()
-        table.upkeep()
 
     def read(self, schema: T.StructType) -> DataFrame:
-        return self.table(schema).read(ROWS).select(*schema.names)
+        return self.table(schema).changes().select(*schema.names)  # a key is written once
 
 
 @dataclass(frozen=True)

@@ -48,8 +48,8 @@ class IngestSink:
         checked = validate.with_row_errors(parse_events(batch)).withColumn("loaded_at", arrived).persist()
         try:
             verdict = validate.quality_gate(checked, self.max_fail_rate).withColumn("decided_at", arrived)
-            verdict.write.mode("overwrite").parquet(f"{self.verdicts_path}/batch_id={batch_id}")
             decision = verdict.first()
+            self.spark.createDataFrame([decision], verdict.schema).write.mode("overwrite").parquet(f"{self.verdicts_path}/batch_id={batch_id}")
             good, bad = F.size("errors") == 0, F.size("errors") > 0
             if decision.load_allowed:
                 rows = checked.filter(good).drop("errors", "value", "key")
