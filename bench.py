@@ -24,6 +24,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from skyledger import queries  # noqa: E402
+from skyledger.plans import views  # noqa: E402
 from skyledger.plans.layers import layers  # noqa: E402
 
 REPORTS = [
@@ -56,7 +57,8 @@ def main() -> None:
     registered, tables = queries.registered(), layers(spark, sf_dir)
 
     build = {"build_raw": seconds(lambda: tables.raw), "build_clean": seconds(lambda: tables.clean), "build_fact": seconds(lambda: tables.fact),
-             "build_dimensions": seconds(lambda: (tables.airlines, tables.airports))}
+             "build_dimensions": seconds(lambda: (tables.airlines, tables.airports)),
+             "build_day_partials": seconds(lambda: [tables.daily(profile) for profile in views.PROFILES])}
     cold, warm = {}, {}
     for name in REPORTS + ROW_JOBS:
         once = lambda: run(registered[name](spark, sf_dir))  # noqa: B023, E731

@@ -3,9 +3,10 @@
 Ordinary sums, means and maxima combine before the shuffle by themselves. Exact
 percentiles would not combine well on raw rows: Spark falls back to sorting them
 once a task sees more than a few groups. Delay minutes are whole numbers with few
-distinct values, so ``summarise`` first counts rows per (group, minute) with plain
-hash aggregation and takes every statistic from those counts. Distinct values are
-reduced the same way beside it, and one last aggregation at group grain takes both.
+distinct values, so ``partials`` counts rows per (group, minute) with plain hash
+aggregation, and reduces distinct values the same way beside it, in one scan. Every
+statistic comes from these, by one last aggregation at group grain; partials of days
+can be kept and merged.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions.numbers import percent
 
@@ -67,22 +69,40 @@ def deviation(name: str, digits: int | None = None) -> Measure:
     return Measure([(_FREQ, F.count(VALUE))], F.when(n > 1, rounded).alias(name))
 
 
-def _distinct_values(df: DataFrame, keys: list[str], distinct: dict[str, str]) -> DataFrame:
-    """The distinct non-null values per group, for all counted columns in one scan."""
-    values = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_count"), F.col(col).cast("string").alias("_value")) for name, col in distinct.items()
-    ])).alias("v")
-    return df.select(*keys, values).select(*keys, "v._count", "v._value").filter("_value IS NOT NULL").distinct()
+def partials(df: DataFrame, keys: list[str], measures: list[Measure], distinct: dict[str, str]) -> DataFrame:
+    """What ``merged`` needs of ``df``: counts per (group, minute), and the distinct values per group.
+
+    Both come from one scan and one exchange: a row counts once for its minute, and once for each
+    counted column, and both combine before the exchange. Partials of parts of ``df`` may be stacked.
+    """
+    columns = {name: col for m in measures for name, col in m.partials}
+    text = T.StringType()
+    slots = [F.struct(F.lit(None).cast(text).alias("_count"), F.lit(None).cast(text).alias("_value"), F.col(VALUE).alias("_minute"))]
+    slots += [F.struct(F.lit(name).alias("_count"), F.col(col).cast(text).alias("_value"), F.lit(None).cast(df.schema[VALUE].dataType).alias("_minute"))
+              for name, col in distinct.items()]
+    spread = df.withColumn("_slot", F.explode(F.array(*slots))).filter("_slot._count IS NULL OR _slot._value IS NOT NULL")
+    counted = spread.groupBy(*keys, F.col("_slot._count").alias("_count"), F.col("_slot._value").alias("_value"), F.col("_slot._minute").alias(VALUE)).agg(
+        *[col.alias(name) for name, col in columns.items()])
+    plain = F.col("_count").isNull()
+    return counted.select(*keys, "_count", "_value", VALUE, *[F.when(plain, F.col(name)).alias(name) for name in columns])
+
+
+def finished(parts: DataFrame, keys: list[str], measures: list[Measure], distinct: dict[str, str]) -> DataFrame:
+    """One row per group of ``partials``: the measures, and ``{name: column}`` distinct counts."""
+    uniques = [F.count_if(F.col("_count") == name).alias(name) for name in distinct]
+    return parts.groupBy(*keys).agg(*[m.final for m in measures], *uniques)
+
+
+def merged(parts: DataFrame, keys: list[str], measures: list[Measure], distinct: dict[str, str]) -> DataFrame:
+    """As ``finished``, of the stacked partials of several parts (days), where a group and its values may occur in each."""
+    columns = [name for name in dict.fromkeys(name for m in measures for name, _ in m.partials)]
+    pick = {name: F.max(name) if name.startswith("_max_") else F.sum(name) for name in columns}
+    return finished(parts.groupBy(*keys, "_count", "_value", VALUE).agg(*[col.alias(name) for name, col in pick.items()]), keys, measures, distinct)
 
 
 def summarise(df: DataFrame, keys: list[str], measures: list[Measure], distinct: dict[str, str]) -> DataFrame:
-    """One row per group: the measures, and ``{name: column}`` distinct counts.
+    """One row per group: the measures, and ``{name: column}`` distinct counts, from one scan of ``df``.
 
-    The counts per (group, minute) and the distinct values per group are stacked and
-    aggregated together; grouping treats NULL keys alike, so no join is needed.
+    Grouping treats NULL keys alike, so no join is needed.
     """
-    partials = {name: col for m in measures for name, col in m.partials}
-    counted = df.groupBy(*keys, VALUE).agg(*[col.alias(name) for name, col in partials.items()])
-    stacked = counted.unionByName(_distinct_values(df, keys, distinct).drop("_value"), allowMissingColumns=True)
-    uniques = [F.count_if(F.col("_count") == name).alias(name) for name in distinct]
-    return stacked.groupBy(*keys).agg(*[m.final for m in measures], *uniques)
+    return finished(partials(df, keys, measures, distinct), keys, measures, distinct)

@@ -16,6 +16,7 @@ from skyledger.operators.clean import clean_flights
 from skyledger.operators.dedup import deduplicate
 from skyledger.operators.validate import with_row_errors
 from skyledger.plans import dead_letters, star
+from skyledger.plans.profiles import Profile
 from skyledger.schemas import CLEAN_COLUMNS
 from skyledger.settings import AS_OF
 from skyledger.sources import tables
@@ -37,6 +38,7 @@ class Layers:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.as_of = session.configure(spark), sf_dir, AS_OF
         self.paths: dict[str, str] = {}
+        self._profiles: dict[str, tables.DayTable] = {}
 
     def _days(self, label: str, df: DataFrame, sort_by: str | None = None, days: tuple[str, ...] = (tables.DAY,)) -> DataFrame:
         path = session.new_path(self.spark, label)
@@ -92,6 +94,14 @@ class Layers:
     def fact(self) -> DataFrame:
         return self._days("fact", star.fact_rows(self.clean), sort_by="airline_iata")
 
+    def daily(self, profile: Profile) -> tables.DayTable:
+        """The day partials of a profile, counted once from FACT and kept."""
+        if profile.name not in self._profiles:
+            table = profile.table(self.spark, session.new_path(self.spark, f"daily-{profile.name}"), self.fact)
+            table.append(profile.by_day(self.fact))
+            self._profiles[profile.name] = table
+        return self._profiles[profile.name]
+
     @cached_property
     def airlines(self) -> DataFrame:
         return self._whole("dim-airlines", star.dim_airlines(self.clean))

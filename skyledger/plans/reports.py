@@ -26,17 +26,17 @@ REPORTS: dict[str, Report] = {
     "active_airlines_now": Report(
         lambda t: views.active_airlines_now(t.fact, t.airlines, t.as_of), "Flights in the air per airline, by each flight's newest active position", "Operations", 20),
     "delay_patterns": Report(
-        lambda t: views.delay_patterns(t.fact, t.as_of), "Mean delay, punctuality and delay classes per day, hour and airline, with a signal", "Operations", 200),
+        lambda t: views.delay_patterns(t.daily(views.DELAYS), t.as_of), "Mean delay, punctuality and delay classes per day, hour and airline, with a signal", "Operations", 200),
     "airline_league": Report(
-        lambda t: views.airline_league(t.fact, t.airlines, t.as_of), "Airlines by punctuality, with delay shares and a combined score", "Management", 50),
+        lambda t: views.airline_league(t.daily(views.LEAGUE), t.airlines, t.as_of), "Airlines by punctuality, with delay shares and a combined score", "Management", 50),
     "peak_hours": Report(
         lambda t: views.peak_hours(t.fact, t.as_of), "Share of the day's traffic in each hour, with its rank and band", "Infrastructure", 24),
     "airport_congestion": Report(
         lambda t: views.airport_congestion(t.fact, t.airports, t.as_of), "Movements and delays at each airport, combined to an index", "Ground Operations", 30),
     "route_efficiency": Report(
-        lambda t: views.route_efficiency(t.fact, t.as_of), "Punctuality, speed and cancellations per route, combined to a score", "Network Planning", 100),
+        lambda t: views.route_efficiency(t.daily(views.ROUTES), t.as_of), "Punctuality, speed and cancellations per route, combined to a score", "Network Planning", 100),
     "aircraft_performance": Report(
-        lambda t: views.aircraft_performance(t.fact, t.as_of), "Use, speed and delays of each type of aircraft", "Fleet Planning", 30),
+        lambda t: views.aircraft_performance(t.daily(views.AIRCRAFT), t.as_of), "Use, speed and delays of each type of aircraft", "Fleet Planning", 30),
     "weekly_trends": Report(
         lambda t: views.weekly_trends(t.fact, t.as_of), "Each day against the same day a week before, with a rolling mean", "Executive", 30),
     "intl_vs_domestic": Report(

@@ -3,7 +3,8 @@
 Every report prunes days on the partition column, aggregates to report grain first
 and only then joins dimensions or ranks, so windows and joins see a few rows per
 airline, airport, hour or day. Ties are broken by natural key where the report needs
-one definite row.
+one definite row. Four of them need a distribution or distinct counts over their
+look-back; they read FACT or the day partials of their profile.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from skyledger.functions import times
 from skyledger.functions.numbers import count_where, percent
 from skyledger.operators import aggregates as A
 from skyledger.operators.ranking import latest_per, rank_desc_then_asc
+from skyledger.plans.profiles import Profile, verified
 from skyledger.plans.star import in_bucket, is_status
 from skyledger.settings import AS_OF, UNKNOWN_AIRCRAFT
+from skyledger.sources.snapshots import DayTable
+
+Source = DataFrame | DayTable  # FACT, or the table of a profile's day partials
 
 
 def _on_time() -> Column:
@@ -32,11 +37,6 @@ def _abroad() -> Column:
     return F.col("is_international")
 
 
-def verified(fact: DataFrame, as_of: datetime, days: int) -> DataFrame:
-    """Unflagged rows of the last ``days`` days and today."""
-    return fact.filter((F.col("event_date") >= times.days_before(as_of, days)) & ~F.col("data_quality_flag"))
-
-
 def verified_today(fact: DataFrame, as_of: datetime) -> DataFrame:
     return fact.filter((F.col("event_date") == times.day_of(as_of)) & ~F.col("data_quality_flag"))
 
@@ -78,24 +78,25 @@ def active_airlines_now(fact: DataFrame, airlines: DataFrame, as_of: datetime =
     ).orderBy(F.desc("active_flights"), F.asc_nulls_last("airline_iata"))
 
 
-def delay_patterns(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) -> DataFrame:
+DELAYS = Profile(
+    "delays", ("event_date", "event_hour", "airline_iata"), {"flights": "flight_id"},
+    lambda: [
+        A.mean("avg_delay", F.col("delay_minutes"), 2),
+        A.quantile("median_delay", 0.5, 2),
+        A.largest("max_delay", F.col("delay_minutes")),
+        A.quantile("p90_delay", 0.9, 2),  # tenths at most, so two digits lose nothing
+        A.occurrences("on_time", _on_time()),
+        A.occurrences("minor_delays", in_bucket("minor_delay")),
+        A.occurrences("moderate_delays", in_bucket("moderate_delay")),
+        A.occurrences("major_delays", in_bucket("major_delay")),
+        A.occurrences("severe_delays", in_bucket("severe_delay")),
+        A.share("otp_rate_pct", _on_time(), 2),
+    ])
+
+
+def delay_patterns(fact: Source, as_of: datetime = AS_OF, days: int = 30) -> DataFrame:
     """Hourly delay profile per airline with change, rolling mean and spike signal."""
-    hourly = A.summarise(
-        verified(fact, as_of, days), ["event_date", "event_hour", "airline_iata"],
-        [
-            A.mean("avg_delay", F.col("delay_minutes"), 2),
-            A.quantile("median_delay", 0.5, 2),
-            A.largest("max_delay", F.col("delay_minutes")),
-            A.quantile("p90_delay", 0.9, 2),  # tenths at most, so two digits lose nothing
-            A.occurrences("on_time", _on_time()),
-            A.occurrences("minor_delays", in_bucket("minor_delay")),
-            A.occurrences("moderate_delays", in_bucket("moderate_delay")),
-            A.occurrences("major_delays", in_bucket("major_delay")),
-            A.occurrences("severe_delays", in_bucket("severe_delay")),
-            A.share("otp_rate_pct", _on_time(), 2),
-        ],
-        {"flights": "flight_id"},
-    )
+    hourly = DELAYS.summary(fact, as_of, days)
     hours = W.partitionBy("airline_iata", "event_date").orderBy("event_hour")
     trend = hourly.withColumns({
         "prev_hour_avg_delay": F.lag("avg_delay").over(hours),
@@ -112,27 +113,28 @@ def delay_patterns(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30) ->
     ).orderBy(F.desc("event_date"), "event_hour", F.asc_nulls_last("airline_iata"))
 
 
-def airline_league(fact: DataFrame, airlines: DataFrame, as_of: datetime = AS_OF, days: int = 30,
+LEAGUE = Profile(
+    "league", ("airline_iata",), {"total_unique_flights": "flight_id", "days_of_data": "event_date", "unique_routes_flown": "route_key"},
+    lambda: [
+        A.share("otp_rate_pct", _on_time(), 2),
+        A.mean("avg_delay_minutes", F.col("delay_minutes"), 2),
+        A.quantile("median_delay_minutes", 0.5, 2),
+        A.largest("worst_single_delay", F.col("delay_minutes")),
+        A.share("pct_minor_delay", in_bucket("minor_delay"), 1),
+        A.share("pct_moderate_delay", in_bucket("moderate_delay"), 1),
+        A.share("pct_major_delay", in_bucket("major_delay"), 1),
+        A.share("pct_severe_delay", in_bucket("severe_delay"), 1),
+        A.mean("avg_speed_kmh", F.col("speed"), 1),
+        A.mean("avg_altitude_ft", F.col("altitude"), 0),
+        A.share("pct_international_flights", _abroad(), 1),
+        A.deviation("delay_stddev_minutes", 2),
+    ])
+
+
+def airline_league(fact: Source, airlines: DataFrame, as_of: datetime = AS_OF, days: int = 30,
                    min_flights: int = 5) -> DataFrame:
     """Airlines with enough flights, ranked by punctuality, delay and consistency."""
-    stats = A.summarise(
-        verified(fact, as_of, days), ["airline_iata"],
-        [
-            A.share("otp_rate_pct", _on_time(), 2),
-            A.mean("avg_delay_minutes", F.col("delay_minutes"), 2),
-            A.quantile("median_delay_minutes", 0.5, 2),
-            A.largest("worst_single_delay", F.col("delay_minutes")),
-            A.share("pct_minor_delay", in_bucket("minor_delay"), 1),
-            A.share("pct_moderate_delay", in_bucket("moderate_delay"), 1),
-            A.share("pct_major_delay", in_bucket("major_delay"), 1),
-            A.share("pct_severe_delay", in_bucket("severe_delay"), 1),
-            A.mean("avg_speed_kmh", F.col("speed"), 1),
-            A.mean("avg_altitude_ft", F.col("altitude"), 0),
-            A.share("pct_international_flights", _abroad(), 1),
-            A.deviation("delay_stddev_minutes", 2),
-        ],
-        {"total_unique_flights": "flight_id", "days_of_data": "event_date", "unique_routes_flown": "route_key"},
-    ).filter(F.col("total_unique_flights") >= min_flights)
+    stats = LEAGUE.summary(fact, as_of, days).filter(F.col("total_unique_flights") >= min_flights)
     score = (F.col("otp_rate_pct") * 0.6
              + (100 - F.least("avg_delay_minutes", F.lit(100.0))) * 0.3
              + F.when(F.col("delay_stddev_minutes").isNotNull(),
@@ -224,25 +226,25 @@ def airport_congestion(fact: DataFrame, airports: DataFrame, as_of: datetime = A
     ).orderBy(F.desc("congestion_index"), F.asc_nulls_last("airport_code"))
 
 
-def route_efficiency(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30, min_flights: int = 3) -> DataFrame:
+ROUTES = Profile(
+    "routes", ("route_key", "source_airport", "dest_airport", "is_international"),
+    {"total_flights": "flight_id", "days_operated": "event_date", "airlines_on_route": "airline_iata"},
+    lambda: [
+        A.mean("avg_speed_kmh", F.col("speed"), 1),
+        A.mean("avg_altitude_ft", F.col("altitude"), 0),
+        A.mean("avg_delay_minutes", F.col("delay_minutes"), 2),
+        A.quantile("median_delay_minutes", 0.5, 2),
+        A.largest("worst_delay_minutes", F.col("delay_minutes")),
+        A.share("otp_rate_pct", _on_time(), 2),
+        A.occurrences("cancellations", is_status("cancelled")),
+        A.share("cancellation_rate_pct", is_status("cancelled"), 2),
+    ],
+    lambda rows: rows.filter(~F.col("route_key").contains("???") & (F.col("source_airport") != F.col("dest_airport"))))
+
+
+def route_efficiency(fact: Source, as_of: datetime = AS_OF, days: int = 30, min_flights: int = 3) -> DataFrame:
     """Routes between known, different airports, scored on punctuality, speed and cancellations."""
-    rows = verified(fact, as_of, days).filter(
-        ~F.col("route_key").contains("???") & (F.col("source_airport") != F.col("dest_airport")))
-    cancelled = is_status("cancelled")
-    stats = A.summarise(
-        rows, ["route_key", "source_airport", "dest_airport", "is_international"],
-        [
-            A.mean("avg_speed_kmh", F.col("speed"), 1),
-            A.mean("avg_altitude_ft", F.col("altitude"), 0),
-            A.mean("avg_delay_minutes", F.col("delay_minutes"), 2),
-            A.quantile("median_delay_minutes", 0.5, 2),
-            A.largest("worst_delay_minutes", F.col("delay_minutes")),
-            A.share("otp_rate_pct", _on_time(), 2),
-            A.occurrences("cancellations", cancelled),
-            A.share("cancellation_rate_pct", cancelled, 2),
-        ],
-        {"total_flights": "flight_id", "days_operated": "event_date", "airlines_on_route": "airline_iata"},
-    ).filter(F.col("total_flights") >= min_flights)
+    stats = ROUTES.summary(fact, as_of, days).filter(F.col("total_flights") >= min_flights)
     otp, cancel = F.col("otp_rate_pct"), F.col("cancellation_rate_pct")
     score = otp * 0.5 + F.least(F.col("avg_speed_kmh") / 10, F.lit(100.0)) * 0.3 + (100 - cancel) * 0.2
     health = (F.when((otp >= 90) & (cancel < 2), "EXCELLENT").when((otp >= 75) & (cancel < 5), "GOOD")
@@ -257,24 +259,26 @@ def route_efficiency(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30, m
     ).orderBy(F.desc("efficiency_score"), F.asc_nulls_last("route_key"))
 
 
-def aircraft_performance(fact: DataFrame, as_of: datetime = AS_OF, days: int = 30, min_flights: int = 3) -> DataFrame:
+AIRCRAFT = Profile(
+    "aircraft", ("aircraft_type",), {"flights_operated": "flight_id", "airlines_using": "airline_iata"},
+    lambda: [
+        A.mean("avg_cruise_speed_kmh", F.col("speed"), 1),
+        A.mean("avg_cruise_altitude_ft", F.col("altitude"), 0),
+        A.mean("avg_delay_minutes", F.col("delay_minutes"), 2),
+        A.quantile("median_delay_minutes", 0.5, 2),
+        A.share("otp_rate_pct", _on_time(), 2),
+        A.share("pct_intl_routes", _abroad(), 1),
+        A.deviation("_deviation"),
+    ],
+    lambda rows: rows.filter((F.col("flight_phase") == "cruise") & F.col("aircraft_type").isNotNull()
+                             & ~F.col("aircraft_type").isin(UNKNOWN_AIRCRAFT)))
+
+PROFILES = [DELAYS, LEAGUE, ROUTES, AIRCRAFT]
+
+
+def aircraft_performance(fact: Source, as_of: datetime = AS_OF, days: int = 30, min_flights: int = 3) -> DataFrame:
     """Known aircraft types in cruise."""
-    rows = verified(fact, as_of, days).filter(
-        (F.col("flight_phase") == "cruise") & F.col("aircraft_type").isNotNull()
-        & ~F.col("aircraft_type").isin(UNKNOWN_AIRCRAFT))
-    stats = A.summarise(
-        rows, ["aircraft_type"],
-        [
-            A.mean("avg_cruise_speed_kmh", F.col("speed"), 1),
-            A.mean("avg_cruise_altitude_ft", F.col("altitude"), 0),
-            A.mean("avg_delay_minutes", F.col("delay_minutes"), 2),
-            A.quantile("median_delay_minutes", 0.5, 2),
-            A.share("otp_rate_pct", _on_time(), 2),
-            A.share("pct_intl_routes", _abroad(), 1),
-            A.deviation("_deviation"),
-        ],
-        {"flights_operated": "flight_id", "airlines_using": "airline_iata"},
-    ).filter(F.col("flights_operated") >= min_flights)
+    stats = AIRCRAFT.summary(fact, as_of, days).filter(F.col("flights_operated") >= min_flights)
     return stats.select(
         "aircraft_type", "flights_operated", "airlines_using", "avg_cruise_speed_kmh", "avg_cruise_altitude_ft",
         "avg_delay_minutes", "median_delay_minutes", "otp_rate_pct", "pct_intl_routes",

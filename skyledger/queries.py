@@ -109,12 +109,12 @@ def active_airlines_now(t: Layers) -> DataFrame:
 
 @query
 def delay_patterns(t: Layers) -> DataFrame:
-    return views.delay_patterns(t.fact, t.as_of)
+    return views.delay_patterns(t.daily(views.DELAYS), t.as_of)
 
 
 @query
 def airline_league(t: Layers) -> DataFrame:
-    return views.airline_league(t.fact, t.airlines, t.as_of)
+    return views.airline_league(t.daily(views.LEAGUE), t.airlines, t.as_of)
 
 
 @query
@@ -129,12 +129,12 @@ def airport_congestion(t: Layers) -> DataFrame:
 
 @query
 def route_efficiency(t: Layers) -> DataFrame:
-    return views.route_efficiency(t.fact, t.as_of)
+    return views.route_efficiency(t.daily(views.ROUTES), t.as_of)
 
 
 @query
 def aircraft_performance(t: Layers) -> DataFrame:
-    return views.aircraft_performance(t.fact, t.as_of)
+    return views.aircraft_performance(t.daily(views.AIRCRAFT), t.as_of)
 
 
 @query

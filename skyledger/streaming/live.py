@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators import merge
 from skyledger.plans import star
+from skyledger.plans.profiles import Profile
 from skyledger.settings import AS_OF
 from skyledger.sources import tables
 from skyledger.sources.snapshots import KeyedTable, batch_name
@@ -54,8 +55,9 @@ def hourly_windows(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def keep_hourly(spark: SparkSession, fact_rows: DataFrame, fact_path: str, summary_path: str, checkpoint: str,
-                as_of: datetime = AS_OF, available_now: bool = False) -> StreamingQuery:
-    """Add each batch to FACT, then replace the summary of exactly the days it touched.
+                as_of: datetime = AS_OF, available_now: bool = False, profiles: dict[str, Profile] | None = None) -> StreamingQuery:
+    """Add each batch to FACT, then replace the summary of exactly the days it touched, and their
+    partials in the tables of ``profiles`` (path -> profile).
 
     A batch holds few days, and only their folders are read; recomputing a
     whole day keeps the distinct counts exact and a repeated batch harmless.
@@ -65,9 +67,11 @@ def keep_hourly(spark: SparkSession, fact_rows: DataFrame, fact_path: str, summa
         try:
             merge.insert_only(spark, fact_path, rows, batch=batch_name(batch, batch_id))
             days = tables.days_of(rows)
-            touched = tables.DayTable(spark, fact_path, rows.schema).rows(days).filter(~F.col("data_quality_flag"))
-            summary = star.hourly_of_days(touched, as_of)
+            changed = tables.DayTable(spark, fact_path, rows.schema).rows(days)
+            summary = star.hourly_of_days(changed.filter(~F.col("data_quality_flag")), as_of)
             tables.DayTable(spark, summary_path, summary.schema).replace(summary, days)
+            for path, profile in (profiles or {}).items():
+                profile.refresh(profile.table(spark, path, changed), changed, days)
         finally:
             rows.unpersist()
 

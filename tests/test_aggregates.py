@@ -1,3 +1,5 @@
+from datetime import date
+
 import random
 import statistics
 
@@ -52,3 +54,16 @@ def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 3, "y"), ("b", 2, "w")], "k string, ts int, id string")
     got = latest_per(df, "k", [F.desc("ts"), F.asc("id")])
     assert sorted((r.k, r.id) for r in got.collect()) == [("a", "y"), ("b", "w")]
+
+
+def test_stacked_partials_are_those_of_the_whole(spark):
+    rows = [("a" if i % 3 else None, f"f{i % 7}", date(2024, 1, 1 + i % 4), (i * 13) % 50 if i % 5 else None, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, flight string, day date, delay_minutes long, speed double")
+    measures = [A.rows("n"), A.quantile("median", 0.5, 2), A.deviation("sd", 4), A.mean("speed", F.col("speed"), 3), A.largest("most", F.col("delay_minutes")), A.share("late", F.col("delay_minutes") > 9, 2)]
+    distinct = {"flights": "flight", "days": "day"}
+    whole = A.summarise(df, ["k"], measures, distinct)
+    daily = A.partials(df, ["day", "k"], measures, distinct)
+    again = A.merged(daily.filter("day <> DATE '2024-01-02'").unionByName(daily.filter("day = DATE '2024-01-02'")), ["k"], measures, distinct)
+    key = lambda r: str(r.k)
+    assert [tuple(r) for r in sorted(whole.collect(), key=key)] == [tuple(r) for r in sorted(again.collect(), key=key)]
+    assert whole.count() == 2
