@@ -76,10 +76,12 @@ def unknown_rows(table: DayTable, rows: DataFrame, state: State) -> DataFrame:
 
 
 def insert_only(spark: SparkSession, path: str, source: DataFrame, key: str = "event_id",
-                dedupe_source: bool = True, sort_by: str | None = None, batch: tuple[str, int] | None = None) -> int:
+                dedupe_source: bool = True, sort_by: str | None = None, batch: tuple[str, int] | None = None,
+                then: Callable[[DataFrame], None] | None = None) -> int:
     """MERGE ... WHEN NOT MATCHED THEN INSERT, as an append of the missing rows; returns how many were written.
 
-    ``batch`` names a stream and its batch: one that was inserted already is not inserted again.
+    ``batch`` names a stream and its batch: one that was inserted already is not inserted again. ``then`` is
+    given the rows that were inserted.
     """
     table = DayTable(spark, path, source.schema, [key], sort_by=sort_by)
     candidates = (one_row_per_key(source, [key]) if dedupe_source else source).persist()  # what an executor loses is computed again
@@ -94,6 +96,8 @@ def insert_only(spark: SparkSession, path: str, source: DataFrame, key: str = "e
             added = [*table.stage(ROWS, fresh), *table.stage_keys(fresh, inserted)] if inserted else []
             if added or batch or not base.number:
                 table.commit(base, added, batch=batch)
+            if then is not None and inserted:
+                then(fresh)
             return inserted
         finally:
             if fresh is not candidates:

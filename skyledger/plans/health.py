@@ -94,12 +94,17 @@ def _component(name: Column, status: Column, value: Column, threshold: Column) -
 
 
 def layer_freshness(raw: DataFrame, clean: DataFrame, fact: DataFrame, as_of: datetime = S.AS_OF) -> DataFrame:
-    """Age of each layer against its objective; an empty layer is degraded."""
+    """Age of each layer against its objective, by its rows; an empty layer is degraded."""
     def newest(layer: str, rows: DataFrame, stamp: str) -> DataFrame:
-        return rows.agg(F.max(stamp).alias("latest")).select(F.lit(layer).alias("layer"), "latest")
+        return rows.agg(F.max(stamp).alias("stamp")).select(F.lit(layer).alias("layer"), "stamp")
 
-    ages = _stack([newest("RAW", raw, "loaded_at"), newest("CLEAN", clean, "transformed_at"),
-                   newest("ANALYTICS", fact, "transformed_at")])
+    return freshness_of(_stack([newest("RAW", raw, "loaded_at"), newest("CLEAN", clean, "transformed_at"), newest("FACT", fact, "transformed_at")]), as_of)
+
+
+def freshness_of(stamps: DataFrame, as_of: datetime = S.AS_OF) -> DataFrame:
+    """Age of each layer against its objective, from its newest stamp."""
+    named = F.when(F.col("layer") == "FACT", "ANALYTICS").otherwise(F.col("layer"))
+    ages = stamps.select(named.alias("layer"), F.col("stamp").alias("latest"))
     lag = times.minutes_between(F.col("latest"), times.as_timestamp(as_of))
     limits = F.create_map(*[F.lit(x) for item in S.FRESHNESS_SLO_MINUTES.items() for x in item])
     limit = limits[F.col("layer")]

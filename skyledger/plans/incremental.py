@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from skyledger.functions import times
 from skyledger.operators import clean, dedup, merge, validate
 from skyledger.plans import ingest
+from skyledger.plans.layer_stats import LayerStatistics
 from skyledger.schemas import CLEAN_COLUMNS, WATERMARKS
 from skyledger.settings import AS_OF, WATERMARK_EPOCH, WATERMARK_PROCESSES
 from skyledger.sources import tables
@@ -63,13 +64,13 @@ def updated_watermark(watermarks: DataFrame, process: str, batch: DataFrame, cou
 
 def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, watermarks: tables.VersionedTable,
                      as_of: datetime = AS_OF, run_id: str = "manual", limit: int | None = None, day: str | None = None,
-                     runs_path: str | None = None) -> dict:
+                     runs_path: str | None = None, statistics: LayerStatistics | None = None) -> dict:
     """One incremental run: window, validate, deduplicate, clean, validate, insert, advance.
 
     The window and the cleaned batch are each written once beside CLEAN and everything
     after reads those copies. The watermark moves last; a failure before it only means the
     batch runs again, and the insert skips what is there already. With ``runs_path`` the
-    run adds its row to the run metrics.
+    run adds its row to the run metrics, with ``statistics`` the figures of what it read and wrote.
     """
     begun, started_at = time.time(), datetime.now(timezone.utc)
     control = watermarks.read()
@@ -95,7 +96,13 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
     staged = tables.read(spark, staged_path, cleaned.schema)
     post = validate.validation_summary(validate.validate(staged, as_of)).first()
     totals = staged.agg(F.count("*").alias("n"), F.count_if("data_quality_flag").alias("flagged")).first()
-    written = ingest.write_clean(spark, clean_path, staged)
+
+    def counted(inserted: DataFrame) -> None:
+        statistics.add("RAW", batch, F.to_date("loaded_at"))
+        statistics.add("CLEAN", inserted)
+        statistics.add_done(batch, inserted)
+
+    written = ingest.write_clean(spark, clean_path, staged, counted if statistics else None)
 
     watermarks.write(updated_watermark(control, "raw_to_clean", staged, written, run_id, as_of))
     finished("success", written, records_in - written)

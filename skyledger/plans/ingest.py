@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,10 +60,10 @@ def quick_raw_rows(staging: DataFrame, loaded_at: datetime = AS_OF) -> DataFrame
     return typed.withColumns(changes).select(*kept, "loaded_at")
 
 
-def write_clean(spark: SparkSession, clean_path: str, rows: DataFrame) -> int:
-    """Insert cleaned rows that CLEAN does not hold yet, with the columns it knows; returns how many."""
+def write_clean(spark: SparkSession, clean_path: str, rows: DataFrame, then: Callable[[DataFrame], None] | None = None) -> int:
+    """Insert cleaned rows that CLEAN does not hold yet, with the columns it knows; returns how many. ``then`` gets these rows."""
     known = [c for c in CLEAN_COLUMNS if c in rows.columns]
-    return merge.insert_only(spark, clean_path, rows.select(*known, "event_date"))
+    return merge.insert_only(spark, clean_path, rows.select(*known, "event_date"), then=then)
 
 
 def pending(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -48,23 +48,28 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def layer_volume(raw: DataFrame, clean: DataFrame, fact: DataFrame, as_of: datetime = AS_OF) -> DataFrame:
-    """Rows, distinct flights and event-time span of each layer."""
+def volumes_of(raw: DataFrame, clean: DataFrame, fact: DataFrame) -> DataFrame:
+    """What ``LayerStatistics.volumes`` gives, by scanning the layers."""
     def volume(layer: str, rows: DataFrame) -> DataFrame:
         return rows.agg(
             F.count("*").alias("total_rows"), F.countDistinct("flight_id").alias("unique_flights"),
-            F.min("event_timestamp").alias("oldest_record"), F.max("event_timestamp").alias("newest_record"),
+            F.min("event_timestamp").alias("oldest"), F.max("event_timestamp").alias("newest"),
+            F.max("loaded_at" if layer == "RAW" else "transformed_at").alias("stamp"),
         ).select(F.lit(layer).alias("layer"), "*")
 
-    lag = times.minutes_between(F.col("newest_record"), times.as_timestamp(as_of))
-    return _stack([volume("RAW", raw), volume("CLEAN", clean), volume("FACT", fact)]).withColumn(
-        "minutes_since_last_record", lag)
+    return _stack([volume("RAW", raw), volume("CLEAN", clean), volume("FACT", fact)])
 
 
-def layer_funnel(raw: DataFrame, clean: DataFrame, fact: DataFrame) -> DataFrame:
-    """Row counts of the layers and the share that reaches the next one."""
-    sizes = _stack([rows.agg(F.count("*").alias("n")).withColumn("layer", F.lit(name))
-                    for name, rows in (("raw", raw), ("clean", clean), ("fact", fact))])
+def layer_volume(volumes: DataFrame, as_of: datetime = AS_OF) -> DataFrame:
+    """Rows, distinct flights and event-time span of each layer, from its figures."""
+    lag = times.minutes_between(F.col("newest"), times.as_timestamp(as_of))
+    return volumes.select("layer", "total_rows", "unique_flights", F.col("oldest").alias("oldest_record"),
+                          F.col("newest").alias("newest_record"), lag.alias("minutes_since_last_record"))
+
+
+def layer_funnel(volumes: DataFrame) -> DataFrame:
+    """Row counts of the layers and the share that reaches the next one, from their figures."""
+    sizes = volumes.select(F.lower("layer").alias("layer"), F.col("total_rows").alias("n"))
     of = lambda name: F.max(F.when(F.col("layer") == name, F.col("n")))
     return sizes.agg(of("raw").alias("raw_count"), of("clean").alias("clean_count"), of("fact").alias("fact_count")).select(
         "*", percent(F.col("clean_count"), F.col("raw_count"), 2).alias("raw_to_clean_pct"),
@@ -109,13 +114,12 @@ def daily_error_rate(clean: DataFrame, n: int = 14) -> DataFrame:
     ).orderBy(F.desc("check_date")).limit(n)
 
 
-def raw_load_stats(raw: DataFrame, as_of: datetime = AS_OF) -> DataFrame:
-    """Over RAW rows that carry ``is_transformed``."""
-    newest = F.max("loaded_at")
-    return raw.agg(
-        F.count("*").alias("total_raw_records"), count_where(~F.col("is_transformed")).alias("pending_transformation"),
-        newest.alias("latest_record"),
-        times.minutes_between(newest, times.as_timestamp(as_of)).alias("minutes_since_last_load"))
+def raw_load_stats(volumes: DataFrame, done: Column, as_of: datetime = AS_OF) -> DataFrame:
+    """RAW rows, those not transformed yet (``done`` are), and the newest load, from the figures of the layers."""
+    newest = F.col("stamp")
+    return volumes.filter("layer = 'RAW'").select(
+        F.col("total_rows").alias("total_raw_records"), (F.col("total_rows") - done).alias("pending_transformation"),
+        newest.alias("latest_record"), times.minutes_between(newest, times.as_timestamp(as_of)).alias("minutes_since_last_load"))
 
 
 def speed_and_delay(fact: DataFrame, day: Column | None = None, airline: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from skyledger.operators.clean import clean_flights
 from skyledger.operators.dedup import deduplicate
 from skyledger.operators.validate import with_row_errors
 from skyledger.plans import dead_letters, star
+from skyledger.plans.layer_stats import LayerStatistics
 from skyledger.plans.profiles import Profile
 from skyledger.schemas import CLEAN_COLUMNS
 from skyledger.settings import AS_OF
@@ -94,6 +95,16 @@ class Layers:
     def fact(self) -> DataFrame:
         return self._days("fact", star.fact_rows(self.clean), sort_by="airline_iata")
 
+    @cached_property
+    def statistics(self) -> LayerStatistics:
+        """Figures of the three layers, counted once when they are built and kept."""
+        table = LayerStatistics(self.spark, session.new_path(self.spark, "layer-statistics"))
+        table.add("RAW", self.raw_table, tables.LOAD_DAY)
+        table.add("CLEAN", self.clean)
+        table.add("FACT", self.fact)
+        table.add_done(self.raw, self.clean)
+        return table
+
     def daily(self, profile: Profile) -> tables.DayTable:
         """The day partials of a profile, counted once from FACT and kept."""
         if profile.name not in self._profiles:

@@ -602,8 +602,7 @@ def _layer_checks(t: Layers) -> DataFrame:
 
 
 def _layer_freshness(t: Layers) -> DataFrame:
-    today = times.day_of(t.as_of)
-    return health.layer_freshness(t.newest_raw(today), t.newest_clean(today), t.fact, t.as_of)
+    return health.freshness_of(t.statistics.volumes(), t.as_of)
 
 
 def _quality_rate(t: Layers) -> DataFrame:
@@ -677,12 +676,12 @@ def kpi_summary(t: Layers) -> DataFrame:
 
 @query
 def layer_volume(t: Layers) -> DataFrame:
-    return kpis.layer_volume(t.raw, t.clean, t.fact, t.as_of)
+    return kpis.layer_volume(t.statistics.volumes(), t.as_of)
 
 
 @query
 def layer_funnel(t: Layers) -> DataFrame:
-    return kpis.layer_funnel(t.raw, t.clean, t.fact)
+    return kpis.layer_funnel(t.statistics.volumes())
 
 
 @query
@@ -712,8 +711,8 @@ def daily_error_rate(t: Layers) -> DataFrame:
 
 @query
 def raw_load_stats(t: Layers) -> DataFrame:
-    done = t.clean.filter(F.col("event_date") < F.lit(EARLY.date()))
-    return kpis.raw_load_stats(ingest.with_transformed_flag(t.raw.select("event_id", "loaded_at"), done), t.as_of)
+    """CLEAN of the first days counts as done."""
+    return kpis.raw_load_stats(t.statistics.volumes(), t.statistics.done_before(F.lit(EARLY.date())), t.as_of)
 
 
 @query
