@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from skyledger.sources import payload
+from skyledger.sources import json_arrays, payload
 
 CORRUPT = "_corrupt"
 
@@ -24,25 +24,37 @@ def _typed(rows: DataFrame) -> DataFrame:
 def read_json_files(spark: SparkSession, path: str, pattern: str = "*.json", outer_array: bool = False) -> DataFrame:
     """Events from JSON files; text that is not JSON is kept in ``_corrupt``.
 
-    ``outer_array``: each file is one JSON array, whose elements become rows.
+    ``outer_array``: each file is one JSON array, whose elements become rows; a large file is read by several tasks.
     """
-    return _typed(spark.read.schema(_schema()).option("multiLine", outer_array).option("mode", "PERMISSIVE")
+    if outer_array:
+        return _typed(_parsed(json_arrays.elements(json_arrays.fragments(spark, path, pattern))))
+    return _typed(spark.read.schema(_schema()).option("mode", "PERMISSIVE")
                   .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", pattern).json(path))
 
 
+def _parsed(texts: DataFrame) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return texts.select(F.from_json("value", _schema(), options).alias("_e")).select("_e.*")
+
+
 def load_new_files(spark: SparkSession, path: str, target: str, checkpoint: str, pattern: str = "*.json",
                    outer_array: bool = False) -> None:
     """Append every file not loaded before; the checkpoint remembers the loaded ones.
 
     Readable and unreadable rows land together, told apart by ``_corrupt``, so the
-    load never fails on a bad row. The Parquet file sink commits each batch once, so
-    a restart neither loses nor repeats a file.
+    load never fails on a bad row. Each batch is committed once (by the Parquet file sink, for arrays
+    as the folder of the batch), so a restart neither loses nor repeats a file.
     """
-    stream = (spark.readStream.schema(_schema()).option("multiLine", outer_array).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", pattern).json(path))
-    query = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-             .option("path", target).trigger(availableNow=True).start())
-    query.awaitTermination()
+    if outer_array:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            _parsed(json_arrays.elements(batch)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+        writer = json_arrays.fragments(spark, path, pattern, stream=True).writeStream.foreachBatch(write)
+    else:
+        stream = (spark.readStream.schema(_schema()).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", pattern).json(path))
+        writer = stream.writeStream.format("parquet").option("path", target)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def loaded_rows(spark: SparkSession, target: str) -> DataFrame:
