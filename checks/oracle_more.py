@@ -260,26 +260,18 @@ SELECT p AS process_name, CASE WHEN p = 'raw_to_clean' THEN m ELSE TIMESTAMP '20
   CASE WHEN p = 'raw_to_clean' THEN 'run-1' END AS last_run_id
 FROM (SELECT unnest(['raw_to_clean', 'clean_to_analytics', 'route_aggregation', 'hourly_aggregation']) AS p),
      (SELECT max(loaded_at) AS m, count(*) AS n FROM raw WHERE loaded_at > TIMESTAMP '2024-01-01' AND loaded_at <= {AS_OF})"""
-CTES["runs"] = f"""
-SELECT *, date_diff('microsecond', started_at, finished_at) / 1000000 AS elapsed_seconds,
-  {R("records_written / greatest(date_diff('microsecond', started_at, finished_at) / 1000000, 0.001::DOUBLE)", 2)} AS throughput_rps,
-  {R("100.0::DOUBLE * records_failed / greatest(records_read, 1)", 4)} AS error_rate_pct
-FROM (SELECT 'run-' || strftime(h, '%Y%m%d%H') AS run_id,
-        CASE WHEN hour(h) % 2 = 0 THEN 'ingestion' ELSE 'transform' END AS dag_id, h AS started_at,
-        h + to_seconds(5 + n % 17 + hour(h)) AS finished_at, n AS records_read, n - b AS records_written, b AS records_failed,
-        CASE WHEN n > b THEN 'success' ELSE 'failed' END AS status
-      FROM (SELECT date_trunc('hour', loaded_at) AS h, count(*) AS n, count(*) FILTER (WHERE len(errors) > 0) AS b FROM rawe GROUP BY 1))"""
-MORE["run_metrics"] = "SELECT * FROM runs"
-CTES["runs50"] = "SELECT * FROM runs ORDER BY started_at DESC, run_id LIMIT 50"
-MORE["recent_runs"] = "SELECT * FROM runs50"
-MORE["throughput_trend"] = f"""
-SELECT {R('a', 2)} AS avg_rps, CASE WHEN n < 2 THEN 'stable' WHEN r > o * 1.10::DOUBLE THEN 'improving'
-    WHEN r < o * 0.90::DOUBLE THEN 'degrading' ELSE 'stable' END AS trend, n AS runs, {R('r', 2)} AS recent_avg, {R('o', 2)} AS older_avg
-FROM (SELECT avg(throughput_rps) AS a, count(*) AS n, avg(throughput_rps) FILTER (WHERE i >= c // 2) AS r,
-        avg(throughput_rps) FILTER (WHERE i < c // 2) AS o
-      FROM (SELECT throughput_rps, row_number() OVER (ORDER BY started_at) - 1 AS i, count(*) OVER () AS c
-            FROM (SELECT * FROM runs WHERE dag_id = 'ingestion' ORDER BY started_at DESC LIMIT 10)
-            WHERE throughput_rps > 0))"""
+ARRIVAL = "epoch_us(event_timestamp) // 1000000 % 6"  # the batch a message arrives in
+CTES["delivered"] = f"""
+SELECT k, len(errors) > 0 AS bad, len(errors) = 0 AND row_number() OVER (PARTITION BY event_id, len(errors) = 0 ORDER BY k, event_timestamp) = 1 AS kept
+FROM (SELECT *, {ARRIVAL} AS k FROM rawe)"""
+RUNS = f"""
+SELECT nth, run_id, dag_id, records_read, records_written, records_failed, {R('100.0::DOUBLE * records_failed / greatest(records_read, 1)', 4)} AS error_rate_pct, status
+FROM (SELECT 6 - k AS nth, 'ingestion-' || k AS run_id, 'ingestion' AS dag_id, {N} AS records_read, count(*) FILTER (WHERE kept) AS records_written,
+        count(*) FILTER (WHERE bad) AS records_failed, 'success' AS status FROM delivered WHERE k < 4 GROUP BY k
+      UNION ALL SELECT CASE run_id WHEN 'run-2' THEN 1 ELSE 2 END, run_id, dag_id, records_read, records_written, records_failed, status FROM clean_runs)"""
+MORE["run_metrics"] = "SELECT * EXCLUDE (nth), TRUE AS in_order, records_written > 0 AS wrote FROM runs"
+MORE["recent_runs"] = "SELECT * FROM runs"
+MORE["throughput_trend"] = f"SELECT {N} AS runs, TRUE AS judged, TRUE AS moving, TRUE AS recently, TRUE AS before FROM runs WHERE dag_id = 'ingestion'"
 MORE["run_audit"] = f"SELECT dag_id, status, {N} AS runs, {big('sum(records_read)')} AS records_read FROM runs GROUP BY dag_id, status"
 
 # --- dead letters
@@ -338,7 +330,7 @@ RATE = f"coalesce({pct('count(*) FILTER (WHERE data_quality_flag)', N, 2)}, 0)"
 CTES["c_rate"] = f"""SELECT 'data_quality_rate' AS component, {grade(RATE, '5', '10')} AS status, {RATE} AS value, 5::DOUBLE AS threshold
 FROM clean WHERE CAST(transformed_at AS DATE) = {TODAY}"""
 CTES["c_lag"] = f"""SELECT 'kafka_consumer_lag' AS component, {grade('l', '100', '1000')} AS status, l::DOUBLE AS value, 1000::DOUBLE AS threshold
-FROM (SELECT count(*) AS l FROM raw WHERE loaded_at >= {AS_OF} - INTERVAL 3 HOUR)"""
+FROM (SELECT {N} AS l FROM raw WHERE {ARRIVAL} >= 4)"""
 CTES["c_dlq"] = f"""SELECT 'dead_letter_queue' AS component, {grade('n', '0', '49')} AS status, n::DOUBLE AS value, 50::DOUBLE AS threshold
 FROM (SELECT count(*) AS n FROM letters)"""
 CTES["components"] = "SELECT * FROM c_fresh UNION ALL SELECT * FROM c_rate UNION ALL SELECT * FROM c_lag UNION ALL SELECT * FROM c_dlq"
@@ -470,8 +462,8 @@ MORE["fleet_means"] = f"""SELECT (SELECT airline_name FROM q3 ORDER BY otp_rank,
                                            "pct_major_delay", "pct_severe_delay"]) + " FROM q3"
 MORE["route_bubbles"] = f"""SELECT route_key, otp_rate_pct, avg_delay_minutes, route_health,
   {R("least(greatest(total_flights / (SELECT greatest(max(total_flights), 1) FROM q6) * 40 + 5, 5), 45)", 6)} AS size FROM q6"""
-MORE["run_bubbles"] = f"""SELECT run_id, status, elapsed_seconds,
-  {R("least(greatest(records_written / (SELECT greatest(max(records_written), 1) FROM runs50) * 20 + 5, 5), 25)", 6)} AS size FROM runs50"""
+MORE["run_bubbles"] = f"""SELECT run_id, status, TRUE AS timed,
+  {R("least(greatest(records_written / (SELECT greatest(max(records_written), 1) FROM runs) * 20 + 5, 5), 25)", 6)} AS size FROM runs"""
 MORE["home_kpis"] = f"""SELECT (SELECT {big('sum(active_flights)')} FROM l1_all) AS total_active, raw_records_today, clean_record_pct, raw_lag_minutes,
   overall_health FROM q10"""
 MORE["health_page"] = """SELECT clean_record_pct, CASE WHEN clean_record_pct >= 95 THEN 'Healthy' ELSE 'Below threshold' END AS clean_label,
@@ -516,10 +508,12 @@ FROM (SELECT 'run-1' AS run_id, (SELECT count(*) FROM raw WHERE loaded_at > TIME
       UNION ALL SELECT 'run-2', (SELECT count(*) FROM raw WHERE loaded_at > (SELECT max(loaded_at) FROM w1_c) AND loaded_at <= {AS_OF}),
         (SELECT count(*) FROM w2_c WHERE event_id NOT IN (SELECT event_id FROM w1_c)))"""
 
+CTES["clean_runs"] = MORE["incremental_run_rows"]
+CTES["runs"] = RUNS
+
 # --- streams
 PAYLOAD = """event_id, flight_id, airline, airline_iata, flight_number, source_airport, dest_airport, source_city, dest_city, latitude,
   longitude, altitude, speed, heading, status, departure_time, arrival_time, delay_minutes, aircraft_type, event_timestamp, source"""
-ARRIVAL = "epoch_us(event_timestamp) // 1000000 % 6"  # the batch a message arrives in
 MORE["stream_ingest_raw"] = f"""
 SELECT {PAYLOAD}, {AS_OF} AS loaded_at, CAST(event_timestamp AS DATE) AS event_date FROM rawe WHERE len(errors) = 0
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {ARRIVAL}, event_timestamp) = 1"""

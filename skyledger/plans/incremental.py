@@ -158,26 +158,6 @@ def throughput_trend(runs: DataFrame, dag_id: str, n: int = 10) -> DataFrame:
         F.when(~few, F.round("recent", 2)).alias("recent_avg"), F.when(~few, F.round("older", 2)).alias("older_avg"))
 
 
-def hourly_load_runs(raw: DataFrame, errors: Column) -> DataFrame:
-    """One ingestion run per load hour of RAW, as run-metrics rows.
-
-    Start, end and job name derive from the hour and the row count, so the table
-    grows with the data and stays reproducible.
-    """
-    hour = F.date_trunc("hour", F.col("loaded_at"))
-    failed = F.size(errors) > 0
-    per_hour = raw.groupBy(hour.alias("started_at")).agg(
-        F.count("*").alias("records_read"), F.count_if(~failed).alias("records_written"),
-        F.count_if(failed).alias("records_failed"))
-    job = F.when(F.hour("started_at") % 2 == 0, "ingestion").otherwise("transform")
-    seconds = (F.lit(5) + F.col("records_read") % 17 + F.hour("started_at")).cast("int")
-    return finalise_runs(per_hour.select(
-        F.concat(F.lit("run-"), F.date_format("started_at", "yyyyMMddHH")).alias("run_id"), job.alias("dag_id"),
-        "started_at", (F.col("started_at") + F.make_dt_interval(secs=seconds)).alias("finished_at"),
-        "records_read", "records_written", "records_failed",
-        F.when(F.col("records_written") > 0, "success").otherwise("failed").alias("status")))
-
-
 def append_runs(path: str, runs: DataFrame) -> None:
     """Add finished runs to the metrics or audit history."""
     runs.write.mode("append").parquet(path)

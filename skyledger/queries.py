@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from skyledger import session
 from skyledger.functions import display, times
@@ -14,7 +15,7 @@ from skyledger.plans import dead_letters, health, incremental, ingest, kpis, rep
 from skyledger.plans.layers import Layers, layers
 from skyledger.settings import QUALITY_GATE_MAX_FAIL_RATE
 from skyledger.sources import files, flights_from_events, payload, tables
-from skyledger.streaming import dedup as stream_dedup, ingest as stream_ingest, live
+from skyledger.streaming import dedup as stream_dedup, ingest as stream_ingest, live, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -524,31 +525,56 @@ def incremental_run_rows(t: Layers) -> DataFrame:
                        (F.col("finished_at") >= F.col("started_at")).alias("in_order"))
 
 
+@cache
+def _jobs(t: Layers) -> tuple[str, str]:
+    """Folders of the run rows and of the messages, after the ingest stream has read four of six files and two
+    incremental runs have followed."""
+    fresh = lambda label: session.new_path(t.spark, label)
+    runs, path = fresh("job-runs"), _message_files(t, _dealt(t).filter(F.col("arrival") < READ_FILES))
+    sink = stream_ingest.IngestSink(t.spark, fresh("stream-raw"), fresh("stream-letters"), fresh("stream-verdicts"), t.as_of, 1.0, f"{runs}/ingestion")
+    stream_ingest.start_ingest(_messages(t, path), sink, fresh("checkpoint"), available_now=True).awaitTermination()
+    payload.to_payload(_dealt(t).filter(F.col("arrival") >= READ_FILES)).select("value", "arrival").write.mode("append").partitionBy("arrival").text(path)
+    cleaned = t.spark.read.parquet(_two_runs(t)[1])
+    incremental.append_runs(f"{runs}/raw_to_clean", cleaned)
+    return runs, path
+
+
 def _runs(t: Layers) -> DataFrame:
-    return incremental.hourly_load_runs(t.raw, validate.row_errors(t.raw))
+    """Run rows as the jobs wrote them; their times are those of the clock."""
+    schema = incremental.finalise_runs(t.spark.createDataFrame([], incremental.RUN_COLUMNS)).schema
+    return t.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(_jobs(t)[0])
+
+
+_RUN = ["run_id", "dag_id", "records_read", "records_written", "records_failed", "error_rate_pct", "status"]
 
 
 @query
 def run_metrics(t: Layers) -> DataFrame:
-    return _runs(t)
+    return _runs(t).select(*_RUN, (F.col("finished_at") >= F.col("started_at")).alias("in_order"), (F.col("throughput_rps") > 0).alias("wrote"))
 
 
 @query
 def recent_runs(t: Layers) -> DataFrame:
-    return incremental.recent_runs(_runs(t), 50)
+    """The last runs, the newest first."""
+    rows = incremental.recent_runs(_runs(t), 50)
+    newest = W.orderBy(F.desc("started_at"), "run_id")  # 50 rows
+    return rows.select(F.row_number().over(newest).cast("bigint").alias("nth"), *_RUN)
 
 
 @query
 def throughput_trend(t: Layers) -> DataFrame:
-    return incremental.throughput_trend(_runs(t), "ingestion")
+    """The trend itself depends on the clock; what does not is returned."""
+    trend = incremental.throughput_trend(_runs(t), "ingestion")
+    return trend.select("runs", F.col("trend").isin("improving", "degrading", "stable").alias("judged"), (F.col("avg_rps") > 0).alias("moving"),
+                        (F.col("recent_avg") > 0).alias("recently"), (F.col("older_avg") > 0).alias("before"))
 
 
 @query
 def run_audit(t: Layers) -> DataFrame:
-    """The audit history after both halves were appended."""
+    """The audit history after the rows of both jobs were appended."""
     path, runs = session.new_path(t.spark, "run-audit"), _runs(t)
     incremental.append_runs(path, runs.filter("dag_id = 'ingestion'"))
-    incremental.append_runs(path, runs.filter("dag_id = 'transform'"))
+    incremental.append_runs(path, runs.filter("dag_id <> 'ingestion'"))
     return tables.read(t.spark, path, runs.schema).groupBy("dag_id", "status").agg(
         F.count("*").alias("runs"), F.sum("records_read").alias("records_read"))
 
@@ -625,11 +651,8 @@ def quality_log(t: Layers) -> DataFrame:
 
 
 def _offsets(t: Layers) -> DataFrame:
-    """Topic offsets: partition by flight number; rows of the last three hours are not committed yet."""
-    partition = (F.col("flight_number").cast("bigint") % 3).alias("partition")
-    committed = F.count_if(F.col("loaded_at") < times.ago(t.as_of, hours=3))
-    return t.raw.groupBy(partition).agg(F.count("*").alias("end_offset"), committed.alias("committed")).withColumn(
-        "topic", F.lit("flights_raw"))
+    """What there is to read, and what the ingest stream has read."""
+    return progress.folder_offsets(t.spark.read.text(_jobs(t)[1]), _runs(t), "flights_raw")
 
 
 def _components(t: Layers) -> DataFrame:
@@ -887,7 +910,8 @@ def route_bubbles(t: Layers) -> DataFrame:
 
 @query
 def run_bubbles(t: Layers) -> DataFrame:
-    return slices.run_bubbles(_once(t, incremental.recent_runs(_runs(t), 50), "runs"))
+    bubbles = slices.run_bubbles(_once(t, incremental.recent_runs(_runs(t), 50), "runs"))
+    return bubbles.select("run_id", "status", "size", (F.col("elapsed_seconds") >= 0).alias("timed"))
 
 
 @query
@@ -924,16 +948,27 @@ def report_colours(t: Layers) -> DataFrame:
 MESSAGE_FILES = 6  # a stream takes one file per batch
 
 
-def _arrivals(t: Layers, rows: DataFrame) -> DataFrame:
-    """Messages of ``rows`` as a stream, a file for each batch in the order of the column ``arrival``."""
+READ_FILES = 4  # files that the ingest stream behind the run metrics has read
+
+
+def _message_files(t: Layers, rows: DataFrame) -> str:
+    """Messages of ``rows``, a file for each batch in the order of the column ``arrival``."""
     path = session.new_path(t.spark, "messages")
     messages = payload.to_payload(rows).select("value", "arrival")
     messages.repartition(MESSAGE_FILES, "arrival").write.partitionBy("arrival").text(path)
     names = sorted(t.spark.read.text(path).inputFiles(), key=lambda name: int(name.rpartition("arrival=")[2].partition("/")[0]))
     files.arrange(t.spark, names, datetime(2024, 2, 1))
+    return path
+
+
+def _messages(t: Layers, path: str) -> DataFrame:
     return stream_ingest.read_message_files(t.spark, path, max_files=1).select("value")
 
 
+def _arrivals(t: Layers, rows: DataFrame) -> DataFrame:
+    return _messages(t, _message_files(t, rows))
+
+
 def _dealt(t: Layers) -> DataFrame:
     """RAW with the batch a row arrives in: by the second of its event, so that deliveries of one id and
     neighbours in time fall into different batches, in no order of time."""

@@ -11,7 +11,7 @@ in one batch, the earliest row.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from skyledger.functions import times
 from skyledger.operators import merge, validate
 from skyledger.plans.dead_letters import Letters, dead_letters
+from skyledger.plans.incremental import RUN_COLUMNS, finalise_runs
 from skyledger.settings import QUALITY_GATE_MAX_FAIL_RATE
 from skyledger.sources.payload import parse_events
 from skyledger.sources.snapshots import batch_name
@@ -42,8 +43,10 @@ class IngestSink:
     verdicts_path: str
     loaded_at: datetime | None = None  # None: the time of the batch
     max_fail_rate: float = QUALITY_GATE_MAX_FAIL_RATE
+    runs_path: str | None = None  # where each batch leaves its row of the run metrics
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        started = datetime.now(timezone.utc)
         arrived = F.current_timestamp() if self.loaded_at is None else times.as_timestamp(self.loaded_at)
         checked = validate.with_row_errors(parse_events(batch)).withColumn("loaded_at", arrived).persist()
         try:
@@ -51,14 +54,20 @@ class IngestSink:
             decision = verdict.first()
             self.spark.createDataFrame([decision], verdict.schema).write.mode("overwrite").parquet(f"{self.verdicts_path}/batch_id={batch_id}")
             good, bad = F.size("errors") == 0, F.size("errors") > 0
+            inserted = 0
             if decision.load_allowed:
                 rows = checked.filter(good).drop("errors", "value", "key")
                 rows = rows.withColumn("event_date", F.to_date("event_timestamp"))
-                merge.insert_only(self.spark, self.raw_path, rows, batch=batch_name(batch, batch_id))
+                inserted = merge.insert_only(self.spark, self.raw_path, rows, batch=batch_name(batch, batch_id))
                 self._publish(checked.filter(bad), F.array_join("errors", ","))
             elif decision.total_records:
                 reason = F.when(bad, F.array_join("errors", ",")).otherwise("batch_rejected")
                 self._publish(checked, reason)
+            if self.runs_path is not None:
+                run = (f"ingestion-{batch_id}", "ingestion", started, datetime.now(timezone.utc), decision.total_records, inserted,
+                       decision.invalid_count, "success" if decision.load_allowed else "rejected")
+                rows = finalise_runs(self.spark.createDataFrame([run], RUN_COLUMNS))
+                rows.write.mode("overwrite").parquet(f"{self.runs_path}/batch_id={batch_id}")
         finally:
             checked.unpersist()
 
