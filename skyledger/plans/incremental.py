@@ -6,10 +6,12 @@ import time
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions import times
 from skyledger.operators import clean, dedup, merge, validate
 from skyledger.plans import ingest
+from skyledger.plans.carry_over import SeenPositions
 from skyledger.plans.layer_stats import LayerStatistics
 from skyledger.schemas import CLEAN_COLUMNS, WATERMARKS
 from skyledger.settings import AS_OF, WATERMARK_EPOCH, WATERMARK_PROCESSES
@@ -64,13 +66,14 @@ def updated_watermark(watermarks: DataFrame, process: str, batch: DataFrame, cou
 
 def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, watermarks: tables.VersionedTable,
                      as_of: datetime = AS_OF, run_id: str = "manual", limit: int | None = None, day: str | None = None,
-                     runs_path: str | None = None, statistics: LayerStatistics | None = None) -> dict:
+                     runs_path: str | None = None, statistics: LayerStatistics | None = None, seen: SeenPositions | None = None) -> dict:
     """One incremental run: window, validate, deduplicate, clean, validate, insert, advance.
 
     The window and the cleaned batch are each written once beside CLEAN and everything
     after reads those copies. The watermark moves last; a failure before it only means the
     batch runs again, and the insert skips what is there already. With ``runs_path`` the
-    run adds its row to the run metrics, with ``statistics`` the figures of what it read and wrote.
+    run adds its row to the run metrics, with ``statistics`` the figures of what it read and wrote. With ``seen``
+    near-duplicates of rows of earlier windows go, too, and events that CLEAN holds are left out before anything else.
     """
     begun, started_at = time.time(), datetime.now(timezone.utc)
     control = watermarks.read()
@@ -91,8 +94,16 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
     pre = validate.validation_summary(validate.validate(batch, as_of)).first()
 
     staged_path = f"{clean_path}-batch-{run_id}"
-    cleaned = clean.clean_flights(dedup.deduplicate(batch), as_of).select(*CLEAN_COLUMNS, "event_date")
+    fresh = dedup.exact_dedup(batch)
+    since = get_watermark(control, "raw_to_clean")
+    if seen is not None:
+        held = tables.DayTable(spark, clean_path, T.StructType([T.StructField("event_id", T.StringType()), T.StructField(tables.DAY, T.DateType())]), ["event_id"])
+        fresh = merge.unknown_rows(held, fresh, held.state())
+    single = dedup.fuzzy_dedup(fresh)
+    cleaned = clean.clean_flights(single if seen is None else seen.unseen(single, since), as_of).select(*CLEAN_COLUMNS, "event_date")
     tables.write_days(cleaned, staged_path, anew=True)
+    if seen is not None:
+        seen.add(fresh, batch.agg(F.max("loaded_at").alias("m")).scalar())
     staged = tables.read(spark, staged_path, cleaned.schema)
     post = validate.validation_summary(validate.validate(staged, as_of)).first()
     totals = staged.agg(F.count("*").alias("n"), F.count_if("data_quality_flag").alias("flagged")).first()
