@@ -50,7 +50,7 @@ def test_reports_read_only_needed_days_and_columns(layered, capsys):
 
 
 @pytest.mark.parametrize("name", ["incremental_window", "incremental_window_batch", "fact_recent_build", "unprocessed_recent", "health_scorecard", "layer_checks",
-                                  "layer_freshness", "quality_rate", "watermarks_after_run"])
+                                  "quality_rate", "watermarks_after_run"])
 def test_look_backs_open_only_their_days(layered, capsys, name):
     """RAW and CLEAN are read with a filter on the day they are partitioned by."""
     queries._registry[name](layered).explain("formatted")
@@ -58,3 +58,9 @@ def test_look_backs_open_only_their_days(layered, capsys, name):
     layers = [part for part in plan.split("Scan parquet")[1:] if "/0" in part and ("-raw]" in part or "-clean]" in part)]
     filters = [line for part in layers for line in part.splitlines() if "PartitionFilters" in line]
     assert filters and all("load_date" in line or "transform_date" in line for line in filters)
+
+
+@pytest.mark.parametrize("name", ["layer_freshness", "layer_volume", "layer_funnel", "raw_load_stats"])
+def test_figures_of_the_layers_open_no_layer(layered, name):
+    opened = queries._registry[name](layered).inputFiles()
+    assert opened and not any(f"-{layer}/" in f for f in opened for layer in ("raw", "clean", "fact"))
