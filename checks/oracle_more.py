@@ -381,6 +381,9 @@ MORE["raw_load_stats"] = f"""SELECT {N} AS total_raw_records,
 MEANS = f"SELECT {N} AS events, avg(speed) AS avg_speed, avg(delay_minutes) AS avg_delay FROM fact"
 MORE["speed_and_delay_all"] = MEANS
 MORE["speed_and_delay_pruned"] = f"{MEANS} WHERE event_date = {TODAY} AND airline_iata = 'AI'"
+MORE["speed_and_delay_of_airline"] = f"{MEANS} WHERE airline_iata = 'AI'"
+MORE["speed_and_delay_of_route"] = f"{MEANS} WHERE route_key = 'DXB→BLR'"
+MORE["speed_and_delay_of_hours"] = f"{MEANS} WHERE event_hour BETWEEN 6 AND 9"
 MORE["daily_summary"] = f"""SELECT {TODAY} AS report_date, count(DISTINCT flight_id) AS unique_flights, {N} AS total_events,
   {R('avg(delay_minutes)', 1)} AS avg_delay_mins, {pct(ONT, N, 1)} AS otp_rate_pct, {st('cancelled')} AS cancellations,
   count(DISTINCT airline_iata) AS active_airlines, count(DISTINCT route_key) AS routes_flown FROM fact WHERE event_date = {TODAY}"""

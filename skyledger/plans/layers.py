@@ -1,8 +1,8 @@
 """The layered tables of one data set, each written once per application.
 
 Deriving, deduplicating and cleaning 100 TB for every report would be waste, so RAW,
-CLEAN and FACT are written by day (with FACT sorted by airline inside each file) and
-every job reads only the days and columns it needs.
+CLEAN and FACT are written by day (the files of a FACT day are laid out by airline, route
+and hour together) and every job reads only the days, files and columns it needs.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from skyledger.plans.profiles import Profile
 from skyledger.schemas import CLEAN_COLUMNS
 from skyledger.settings import AS_OF
 from skyledger.sources import tables
+from skyledger.sources.clustering import ClusteredTable
 from skyledger.sources.flights_from_events import raw_flights
 
+FACT_CLUSTERS = ["airline_iata", "route_key", "event_hour"]  # what reports and pages filter FACT by, beside the day
+
 
 def cleaned(raw: DataFrame) -> DataFrame:
     """RAW to CLEAN. Each row counts as transformed five minutes after it was loaded."""
@@ -88,12 +91,28 @@ class Layers:
     def newest_clean(self, at_least_since: Column) -> DataFrame:
         return self.clean_made(F.least(F.lit(self._newest("clean", self.clean_table, tables.MADE_DAY)), at_least_since))
 
+    def clean_of_newest_days(self, n: int) -> DataFrame:
+        """CLEAN rows of the ``n`` newest days of runs; of fewer, all rows, those without a day included."""
+        clean, days = self.clean_table, tables.newest_days(self.spark, self.paths["clean"], tables.MADE_DAY, n)
+        return self.clean_made(F.lit(days[-1])) if len(days) == n else clean.drop(tables.MADE_DAY)
+
     def _newest(self, label: str, table: DataFrame, day: str):
         return tables.newest_day(self.spark, self.paths[label], day)
 
+    @cached_property
+    def fact_table(self) -> ClusteredTable:
+        rows = star.fact_rows(self.clean)
+        table = ClusteredTable(self.spark, session.new_path(self.spark, "fact"), rows.schema, FACT_CLUSTERS)
+        table.write(rows)
+        return table
+
     @cached_property
     def fact(self) -> DataFrame:
-        return self._days("fact", star.fact_rows(self.clean), sort_by="airline_iata")
+        return self.fact_table.rows()
+
+    def fact_where(self, **filters) -> DataFrame:
+        """FACT rows of a day, airline, route or hour, or of several of these; files without such rows are not opened."""
+        return self.fact_table.where(**filters)
 
     @cached_property
     def statistics(self) -> LayerStatistics:

@@ -20,6 +20,7 @@ from skyledger.streaming import dedup as stream_dedup, ingest as stream_ingest,
 Query = Callable[[SparkSession, str], DataFrame]
 
 FACT_MINUTES = 20  # fixed value: look-back of the FACT build
+SHOWN_DAYS = 14  # fixed value: days of the error-rate chart
 STAGING_AS_OF = datetime(2024, 1, 30, 12)  # a time at which rows have arrived in the ten minutes before
 
 _registry: dict[str, Callable[[Layers], DataFrame]] = {}
@@ -729,7 +730,7 @@ def hourly_traffic(t: Layers) -> DataFrame:
 
 @query
 def daily_error_rate(t: Layers) -> DataFrame:
-    return kpis.daily_error_rate(t.clean)
+    return kpis.daily_error_rate(t.clean_of_newest_days(SHOWN_DAYS), SHOWN_DAYS)
 
 
 @query
@@ -745,7 +746,24 @@ def speed_and_delay_all(t: Layers) -> DataFrame:
 
 @query
 def speed_and_delay_pruned(t: Layers) -> DataFrame:
-    return kpis.speed_and_delay(t.fact, times.day_of(t.as_of), "AI")
+    return kpis.speed_and_delay(t.fact_where(event_date=t.as_of.date(), airline_iata="AI"))
+
+
+@query
+def speed_and_delay_of_airline(t: Layers) -> DataFrame:
+    """All days of one airline: the files of a day that do not hold it stay closed."""
+    return kpis.speed_and_delay(t.fact_where(airline_iata="AI"))
+
+
+@query
+def speed_and_delay_of_route(t: Layers) -> DataFrame:
+    return kpis.speed_and_delay(t.fact_where(route_key="DXB→BLR"))
+
+
+@query
+def speed_and_delay_of_hours(t: Layers) -> DataFrame:
+    """The morning hours of all days."""
+    return kpis.speed_and_delay(t.fact_where(event_hour=(6, 9)))
 
 
 @query

@@ -39,12 +39,16 @@ def write_days(df: DataFrame, path: str, sort_by: str | None = None, days: tuple
     _by_day(df, sort_by, days).write.mode("overwrite" if anew else "error").partitionBy(*days).parquet(path)
 
 
-def newest_day(spark: SparkSession, path: str, day: str) -> date | None:
-    """The newest day of a table, from the names of its folders; no file is opened."""
+def newest_days(spark: SparkSession, path: str, day: str, n: int) -> list[date]:
+    """The ``n`` newest days of a table, newest first, from the names of its folders; no file is opened."""
     fs, root = _file_system(spark, path)
     names = [status.getPath().getName() for status in fs.listStatus(root)] if fs.exists(root) else []
-    found = [n.partition("=")[2] for n in names if n.startswith(f"{day}=")]
-    return max((date.fromisoformat(n) for n in found if n[:1].isdigit()), default=None)
+    found = [name.partition("=")[2] for name in names if name.startswith(f"{day}=")]
+    return sorted((date.fromisoformat(name) for name in found if name[:1].isdigit()), reverse=True)[:n]
+
+
+def newest_day(spark: SparkSession, path: str, day: str) -> date | None:
+    return next(iter(newest_days(spark, path, day, 1)), None)
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
