@@ -37,6 +37,8 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RANGE_GAP = 64 << 10  # ranges with at most this many bytes between them are read at once
 RANGE_MOST = 8 << 20  # and a read ends after this many bytes, unless one record is longer
+READ_BYTES, READ_RECORDS = 64 << 20, 20_000  # a task reads about this much of the archives, whichever comes first
+SPREAD_GROUPS = 1_000  # at most so many payloads are common enough to be sent to every task
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -47,11 +49,22 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def with_responses(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Key, URL, payload and digest of every page, and the page its payload is kept with (null: its own)."""
+    """Key, URL, payload and digest of every page, and the page its payload is kept with (null: its own).
+
+    Only digests that occur twice are joined. A payload with more than a thousandth of the
+    repeated pages is one of fewer than ``SPREAD_GROUPS``; these are sent to every task, and their
+    pages are spread over the tasks of the join instead of meeting in one.
+    """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), text_of(payload).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    kept = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"))
-    rows = rows.join(kept, "digest", "left")
+    repeated = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    repeated = written(repeated, "repeated-payloads")
+    common = F.col("n") > (repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // SPREAD_GROUPS)
+    often = repeated.where(common).select("digest", F.col("kept").alias("kept_often"), F.lit(True).alias("often"))
+    rows = rows.join(F.broadcast(often), "digest", "left")
+    apart = F.when(F.col("often"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("digest"))
+    seldom = repeated.where(~common).select(F.col("digest").alias("place"), "kept")
+    rows = rows.withColumn("place", apart).join(seldom, "place", "left").withColumn("kept", F.coalesce("kept_often", "kept"))
     own = F.col("kept").isNull() | F.col("page_id").eqNullSafe(F.col("kept"))
     return rows.select("page_id", "url", "payload", "digest", F.when(~own, F.col("kept")).alias("refers_to"))
 
@@ -79,8 +92,16 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
     return packer.compress("\r\n".join(["WARC/1.1", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of Spark's default file system where it names none: tasks must not take it for their own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+
+
 def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write every row of ``with_responses`` as a record below ``folder``; returns the written index."""
+    folder = qualified(rows.sparkSession, folder)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(folder)
         name, out, offset = f"{uuid.uuid4().hex}.warc.gz", None, 0
@@ -137,7 +158,8 @@ def coalesced(places: Iterator[tuple[str, int, int]], gap: int = RANGE_GAP, most
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the selected index rows, read in sorted, coalesced byte ranges."""
+    """The records of the selected index rows, read in sorted, coalesced byte ranges, by as many tasks as their bytes ask for."""
+    folder = qualified(index.sparkSession, folder)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
                         ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
@@ -155,7 +177,9 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     record["payload"] = None
             yield pa.RecordBatch.from_pylist(found, schema)
 
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    selected = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("records")).first()
+    tasks = max(1, -(-selected.bytes // READ_BYTES), -(-selected.records // READ_RECORDS))
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, RECORD)
 
 

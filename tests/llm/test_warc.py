@@ -75,3 +75,27 @@ def test_small_payloads_and_empty_tables(llm, spark):
 def test_ranges_are_joined_when_close():
     places = [("a", 0, 10), ("a", 10, 5), ("a", 100, 5), ("b", 0, 4), ("b", 4, 50)]
     assert list(A.coalesced(iter(places), gap=20, most=40)) == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 100, 5, [(0, 5)]), ("b", 0, 4, [(0, 4)]), ("b", 4, 50, [(0, 50)])]
+
+
+def test_reads_are_dealt_by_bytes_and_records(archived, monkeypatch):
+    folder, index = archived
+    monkeypatch.setattr(A, "READ_RECORDS", 10)
+    found = A.read_records(index, folder)
+    assert found.rdd.getNumPartitions() >= 8 and answer(found) == expected(ROWS)
+    monkeypatch.setattr(A, "READ_RECORDS", 10**6)
+    monkeypatch.setattr(A, "READ_BYTES", 1000)
+    assert A.read_records(index, folder).rdd.getNumPartitions() >= 4
+
+
+def test_a_common_payload_is_spread(llm, spark, monkeypatch):
+    rows = [(i, "u", "common" if i % 3 else f"pair {i // 6}", None, None) for i in range(3000)] + [(None, "u", "common", None, None)]
+    pages = written(llm.createDataFrame(rows, SCHEMA), "pages")
+    for groups in (1000, 2):  # only the common payload is sent; then, all or nothing
+        monkeypatch.setattr(A, "SPREAD_GROUPS", groups)
+        found = A.with_responses(pages)
+        got = sorted(((r.page_id, r.refers_to) for r in found.collect()), key=str)
+        assert got == sorted(((p, refers) for p, _, _, _, refers in expected(rows)), key=str)
+
+
+def test_a_folder_without_a_scheme_is_on_the_default_file_system(spark):
+    assert A.qualified(spark, "/shared/a") == A.qualified(spark, "file:///shared/a") == "file:///shared/a"
