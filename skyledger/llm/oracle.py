@@ -43,8 +43,8 @@ _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'
 
 
 def _matches(kind: int, pattern: str) -> str:
-    return f"""SELECT rid, source, {kind} AS kind, unnest(m) AS match, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS nth
-  FROM (SELECT rid, source, regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS g FROM docs) WHERE len(m) > 0"""
+    return f"""SELECT rid, doc_id, source, {kind} AS kind, unnest(m) AS match, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS nth
+  FROM (SELECT rid, doc_id, source, regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS g FROM docs) WHERE len(m) > 0"""
 
 
 SECRETS = f"""
@@ -57,23 +57,26 @@ candidates AS (
   SELECT *, regexp_matches(value, '(?i)example|sample|dummy|changeme|placeholder|your[_.-]|x{{4}}|0{{8}}|1234567')
       OR replace(lower(value), lower(value)[1:1], '') = '' AS placeholder
   FROM placed WHERE length(value) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
-owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM candidates GROUP BY value),
+owned AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, CAST(count(DISTINCT (coalesce(source, chr(0)), coalesce(CAST(doc_id AS VARCHAR), chr(0)))) AS BIGINT) AS repos
+  FROM candidates GROUP BY value),
 judged AS (
-  SELECT *, ['assign', 'access', 'hex'][kind + 1] AS name, CASE WHEN placeholder OR owners >= 3 THEN 'example' WHEN owners <= 1 THEN 'live' END AS verdict
+  SELECT *, ['assign', 'access', 'hex'][kind + 1] AS name, CASE WHEN placeholder OR owners >= 3 OR repos >= 100 THEN 'example' WHEN owners <= 1 THEN 'live' ELSE 'shared' END AS verdict
   FROM candidates JOIN owned USING (value)),
 spans AS (
   SELECT rid, kind, stop - length(match) AS start, stop, name FROM judged
-  UNION SELECT rid, CASE verdict WHEN 'live' THEN 3 ELSE 4 END, stop - length(value), stop, verdict FROM judged WHERE verdict IS NOT NULL),
+  UNION SELECT rid, CASE verdict WHEN 'live' THEN 3 WHEN 'example' THEN 4 ELSE 5 END, stop - length(value), stop, verdict FROM judged),
 texts AS (
   SELECT rid, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans,
     coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base
   FROM spans GROUP BY rid),
 counts AS (
   SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
-    count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example, max(owners) AS most_owners
+    count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example,
+    count(*) FILTER (WHERE verdict = 'shared') AS n_shared, max(owners) AS most_owners, max(repos) AS most_repos
   FROM judged GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live,
-  coalesce(n_example, 0) AS n_example, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(most_owners, 0) AS most_owners
+  coalesce(n_example, 0) AS n_example, coalesce(n_shared, 0) AS n_shared, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM docs LEFT JOIN texts USING (rid) LEFT JOIN counts USING (rid)"""
 
 WARC = f"""

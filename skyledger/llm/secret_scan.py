@@ -2,9 +2,10 @@
 
 Three kinds of candidates are found by pattern, leftmost and without overlap, and
 located in code points. The values are hashed, and for every hash the distinct
-repositories and owners are counted over the whole corpus: a value that many owners
-have is a copied example, one that a single owner has and that does not look like a
-placeholder is taken for live. All of it is DataFrame code.
+repositories and owners are counted over the whole corpus. A value that many owners or
+very many repositories have is a copied example, whoever copied it; so is one that looks like
+a placeholder. Of the others, a value that a single owner has is taken for live, and one
+that a few owners have is shared: it may be a team's credential. All of it is DataFrame code.
 
 Defined cases: a null text has no candidate; a null owner or repository counts as one
 owner or repository of its own; repeated rows are separate rows of the result but the
@@ -25,7 +26,7 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-VERDICTS = ("live", "example")  # kinds of the spans that the judgement adds
+VERDICTS = ("live", "example", "shared")  # kinds of the spans that the judgement adds
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_.-]|x{4}|0{8}|1234567|^(.)\1*$"
 MASK = "[SECRET]"
 
@@ -75,10 +76,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.max("placeholder").alias("placeholder"))
 
 
-def _judged(candidates: DataFrame, copied_owners: int, live_owners: int) -> DataFrame:
-    """Candidates with ``verdict``: live, example, or null where ownership says neither."""
-    verdict = (F.when(F.col("placeholder") | (F.col("owners") >= copied_owners), F.lit("example"))
-               .when(F.col("owners") <= live_owners, F.lit("live")))
+def _judged(candidates: DataFrame, copied_owners: int, copied_repos: int, live_owners: int) -> DataFrame:
+    """Candidates with ``verdict``: live, example or shared."""
+    copied = (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos)
+    verdict = (F.when(F.col("placeholder") | copied, F.lit("example"))
+               .when(F.col("owners") <= live_owners, F.lit("live")).otherwise(F.lit("shared")))
     judged = ownership(candidates).select("hash", verdict.alias("verdict"), "owners", "repos")
     return candidates.drop("owner", "repo", "placeholder").join(judged, "hash")
 
@@ -88,30 +90,30 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", key: str = "doc_id",
-         copied_owners: int = 3, live_owners: int = 1) -> DataFrame:
+         copied_owners: int = 3, copied_repos: int = 100, live_owners: int = 1) -> DataFrame:
     """One row per row of ``docs``: counts per kind, the spans, and what ownership says of them.
 
-    A value of ``copied_owners`` or more owners, or one that looks like a placeholder, is
-    an example; one of at most ``live_owners`` owners is live.
+    A value of ``copied_owners`` or more owners, of ``copied_repos`` or more repositories, or one that
+    looks like a placeholder, is an example; another of at most ``live_owners`` owners is live, the rest are shared.
     """
     light = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repo).alias("repo"),
                         _all_occurrences(text_of(text)).alias("occ"))
     light = written(light, "secret-candidates")  # row numbers stay as they are from here on
-    judged = _judged(_located(light), copied_owners, live_owners)
+    judged = _judged(_located(light), copied_owners, copied_repos, live_owners)
     name = _per_kind(F.col("kind"), F.lit)
     base = F.struct("start", F.col("kind"), "end", name.alias("name"))
-    added = F.struct(F.col("value_start").alias("start"), (len(KINDS) + F.when(F.col("verdict") == "live", 0).otherwise(1)).alias("kind"), "end", F.col("verdict").alias("name"))
+    added = F.struct(F.col("value_start").alias("start"), (len(KINDS) + F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict")).cast("int") - 1).alias("kind"), "end", F.col("verdict").alias("name"))
     per_row = judged.groupBy("rid").agg(
         *(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, name in enumerate(KINDS)),
         *(F.count(F.when(F.col("verdict") == v, 1)).alias(f"n_{v}") for v in VERDICTS),
-        F.collect_list(base).alias("base"), F.collect_set(F.when(F.col("verdict").isNotNull(), added)).alias("added"),
-        F.max("owners").alias("most_owners"))
+        F.collect_list(base).alias("base"), F.collect_set(added).alias("added"),
+        F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"))
     counts = [f"n_{name}" for name in (*KINDS, *VERDICTS)]
     rows = light.select("rid", "key").join(per_row, "rid", "left")
     return rows.select(F.col("key").alias(key), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
                        F.sha2(F.coalesce(_joined(F.col("base")), F.lit("")), 256).alias("base_sha256"),
                        F.coalesce(_joined(F.concat("base", "added")), F.lit("")).alias("spans"),
-                       F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"))
+                       F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"), F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"))
 
 
 def _masked_kind(text: Column, live: Column, name: str) -> Column:
@@ -128,7 +130,7 @@ def _masked_kind(text: Column, live: Column, name: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id",
-           copied_owners: int = 3, live_owners: int = 1) -> DataFrame:
+           copied_owners: int = 3, copied_repos: int = 100, live_owners: int = 1) -> DataFrame:
     """``docs`` with the live values masked; rows without a candidate pass untouched.
 
     Only rows with a candidate are written aside and joined, so the other texts never
@@ -140,7 +142,7 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: str
                                    _all_occurrences(text_of(text)).alias(occ))
     aside = written(aside, "secret-rows")
     light = aside.select(F.col(rid).alias("rid"), F.col(own).alias("owner"), F.col(rep).alias("repo"), F.col(occ).alias("occ"))
-    judged = _judged(_located(light), copied_owners, live_owners).where(F.col("verdict") == "live")
+    judged = _judged(_located(light), copied_owners, copied_repos, live_owners).where(F.col("verdict") == "live")
     hashes = judged.groupBy("rid").agg(F.collect_set("hash").alias(live)).withColumnRenamed("rid", rid)
     marked = aside.drop(own, rep, occ).join(hashes, rid, "left")
     for name in KINDS:  # a value inside one that is masked goes with it

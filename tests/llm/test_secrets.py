@@ -46,6 +46,18 @@ def test_ownership_tells_examples_from_live_values(documents):
     assert starts == sorted(starts)
 
 
+def test_repositories_tell_widely_copied_values(documents):
+    wide, team, mine = "AKIA" + "WIDE" * 4, "AKIA" + "TEAM" * 4, "AKIA" + "MINE" * 4
+    rows = [(i, f"{wide} x", None, "one") for i in range(12)] + [(3, f"{wide} x", None, "one")]
+    rows += [(20, team, None, "a"), (21, team, None, "b"), *[(30 + i, mine, None, "c") for i in range(9)]]
+    found = {r.doc_id: r for r in S.scan(documents(rows), copied_repos=10).collect()}
+    assert found[3].n_example == 1 and found[3].most_repos == 12 and found[3].most_owners == 1  # one owner, copied everywhere
+    assert found[20].n_shared == 1 and found[20].spans == "access:0:20,shared:0:20" and found[20].most_repos == 2
+    assert found[30].n_live == 1 and found[30].most_repos == 9
+    masked = {r.doc_id: r.text for r in S.redact(documents(rows), copied_repos=10).collect()}
+    assert masked[3] == f"{wide} x" and masked[20] == team and masked[30] == S.MASK
+
+
 def test_redaction_masks_live_values_only(documents, clashing):
     docs = clashing(documents(ROWS))
     cleaned = S.redact(docs)
