@@ -1,6 +1,7 @@
 """Benchmark passages in documents, found by embedded edit distance.
 
-Texts are sequences of words in lower case without the marks around them. A random walk
+Texts are sequences of words in lower case without the marks around them; of scripts written
+without spaces every character is a word. A random walk
 writes the word it stands on and moves on or stays, as a hash of word and step says; two
 sequences of small edit distance give embedded sequences of small Hamming distance, since
 walks that fell out of step meet again. Sampling a few embedded places gives a key that
@@ -22,14 +23,19 @@ items of the class, so others are left out before the walk; that loses nothing.
 Items are a stated query set: they are sent to the tasks in blocks of ``BLOCK_BYTES``, one
 pass over the documents for each block, and documents are never shuffled.
 
-Defined cases: null and empty texts hold nothing; items shorter than ``min_words`` words,
-null ones included, are never held; equal items are all reported; repeated rows are
-reported each; ties between places go to the first; empty tables give an empty result.
+Items shorter than ``min_words`` words are held only word for word: a hash of every window of
+their size is looked up, and the words are compared.
+
+Defined cases: null and empty texts hold nothing; items without a word, null ones included,
+are never held; equal items are all reported; repeated rows are reported each; ties between
+places go to the first; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,6 +51,9 @@ STEPS_PER_WORD = 2  # a walk moves at every other step
 TABLE_WORDS = 1 << 15
 PLACES = 2  # sampled for a key
 SEGMENT = 60  # words; longer items are looked for by segments
+CELLS_AT_ONCE = 4_000_000  # words of the regions that are verified together
+#: Blocks of scripts that are written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = re.compile("([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF])")
 LOST_PER_EDIT = 3  # embedded places that an edit is taken to change, per word
 
 
@@ -64,8 +73,13 @@ def _plain(word: bytes) -> str:
     return text[begin:end]
 
 
+def spaced(text: str) -> bytes:
+    """UTF-8 of the text with spaces around every character of an unspaced script."""
+    return (text if text.isascii() else UNSPACED.sub(r" \1 ", text)).encode("utf-8", "surrogatepass")
+
+
 def plain_words(text: str) -> list[str]:
-    found = (_plain(w) for words in word_lists(text.encode("utf-8", "surrogatepass")) for w in words)
+    found = (_plain(w) for words in word_lists(spaced(text)) for w in words)
     return [w for w in found if w]
 
 
@@ -126,6 +140,17 @@ def _key(symbols: np.ndarray) -> np.ndarray:
     return key
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from ``first`` up to ``last`` of every pair, one after the other, and how many each pair has."""
+    count = last - first
+    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), count
+
+
+def _window_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    return _key(np.lib.stride_tricks.sliding_window_view(words, size)) if len(words) >= size else np.empty(0, np.uint64)
+
+
 def edit_distances(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least edit distance between ``item`` and a run of words of each region (a row), and where that run ends."""
     width = np.arange(regions.shape[1] + 1)
@@ -142,21 +167,26 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str]], max_edits: float, recall: float, min_words: int):
         sequences = [(number, plain_words(text)) for number, text in items]
-        sequences = [(number, words) for number, words in sequences if len(words) >= min_words]
+        sequences = [(number, words) for number, words in sequences if words]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in sequences for w in words}), 1)}
         self.numbers = [number for number, _ in sequences]
         self.items = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in sequences]
-        self.edits = [math.floor(max_edits * len(item)) for item in self.items]
+        self.edits = [math.floor(max_edits * len(item)) if len(item) >= min_words else 0 for item in self.items]
         self.pad = max((len(i) + 4 * e for i, e in zip(self.items, self.edits)), default=0) + 1
         self.walks = Walks(len(self.vocabulary) + 1)
         cuts = [(k, round(j * len(item) / parts), round((j + 1) * len(item) / parts))
-                for k, item in enumerate(self.items) for parts in [-(-len(item) // SEGMENT)] for j in range(parts)]
+                for k, item in enumerate(self.items) if len(item) >= min_words for parts in [-(-len(item) // SEGMENT)] for j in range(parts)]
         self.segments = [self.items[k][begin:end] for k, begin, end in cuts]
         self.allowed = [math.floor(max_edits * len(segment)) for segment in self.segments]
         self.item_of, self.offset = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
         by_size: dict[int, list[int]] = {}
         for k, segment in enumerate(self.segments):
             by_size.setdefault(math.floor(CLASS_RATIO ** math.floor(math.log(len(segment), CLASS_RATIO) + 1e-9)), []).append(k)
+        short: dict[int, list[int]] = {}
+        for k, item in enumerate(self.items):
+            if len(item) < min_words:
+                short.setdefault(len(item), []).append(k)
+        self.short = [self._short(size, np.array(members)) for size, members in sorted(short.items())]
         self.classes = [self._class(size, members, repetitions(max_edits, recall)) for size, members in sorted(by_size.items())]
 
     def _class(self, size: int, members: list[int], times: int):
@@ -179,6 +209,25 @@ class ItemIndex:
             keys.append((repetition, places, allowed, key[order], np.array(members)[order]))
         return size, slack, known, keys
 
+    def _short(self, size: int, members: np.ndarray):
+        keys = np.concatenate([_window_keys(self.items[k], size) for k in members])
+        order = np.argsort(keys, kind="stable")
+        return size, keys[order], members[order]
+
+    def word_for_word(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Short items that occur, and where they start."""
+        for size, keys, members in self.short:
+            own = _window_keys(words, size)
+            first = np.searchsorted(keys, own, "left")
+            starts = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == own)
+            which, count = _ranges(first[starts], np.searchsorted(keys, own[starts], "right"))
+            starts, items = np.repeat(starts, count), members[which]
+            for k in np.unique(items).tolist():
+                here = starts[items == k]
+                same = (words[here[:, None] + np.arange(size)] == self.items[k]).all(1)
+                if same.any():
+                    yield k, here[same]
+
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (start, item) where a window shares a key with a segment of the item; the item would start there."""
         found = []
@@ -192,8 +241,7 @@ class ItemIndex:
                 if len(left):
                     own = _key(symbols)
                     first, last = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-                    count = last - first
-                    which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    which, count = _ranges(first, last)
                     segment = members[which]
                     found.append(np.stack([np.repeat(left, count) - self.offset[segment], self.item_of[segment]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -206,12 +254,17 @@ class ItemIndex:
         begins = np.cumsum([self.pad, *(len(d) + self.pad for d in documents[:-1])])
         starts, items = self.candidates(words)
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, here in self.word_for_word(words):
+            owners, at = np.unique(np.searchsorted(begins, here, "right") - 1, return_index=True)
+            for owner, start in zip(owners.tolist(), here[at].tolist()):
+                best[owner, k] = (0, start - int(begins[owner]))
         for k in np.unique(items).tolist():
             item, slack, own = self.items[k], self.edits[k], apart(np.sort(starts[items == k]), self.edits[k])
-            for begin in range(0, len(own), 4096):
-                block = own[begin:begin + 4096]
-                lead = slack if len(item) <= SEGMENT else 2 * slack  # edits before a segment move the item's start
-                span = np.arange(-lead, len(item) + 2 * lead)
+            lead = slack if len(item) <= SEGMENT else 2 * slack  # edits before a segment move the item's start
+            span = np.arange(-lead, len(item) + 2 * lead)
+            step = max(1, min(4096, CELLS_AT_ONCE // len(span)))
+            for begin in range(0, len(own), step):
+                block = own[begin:begin + step]
                 regions = words[np.minimum(block[:, None] + span, len(words) - 1)]
                 edits, ends = edit_distances(item, regions)
                 held = np.flatnonzero(edits <= slack)
@@ -246,7 +299,7 @@ def _scanned(batches: Iterable[pa.RecordBatch], index: ItemIndex, text: str) ->
     numbers = BoundedCache(number)
 
     def of(passage: str) -> np.ndarray:
-        parts = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in word_lists(passage.encode("utf-8", "surrogatepass"))]
+        parts = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in word_lists(spaced(passage))]
         words = np.concatenate(parts) if parts else np.empty(0, np.int64)
         return words[words >= 0]
 
@@ -260,6 +313,17 @@ def _scanned(batches: Iterable[pa.RecordBatch], index: ItemIndex, text: str) ->
                 begin, held, size = i + 1, [], 0
 
 
+_built: dict[str, ItemIndex] = {}
+
+
+def index_of(name: str, items: list[tuple[object, str]], *how) -> ItemIndex:
+    """The index of a block, built once for all tasks of a worker; ``name`` is the block's own, and one block is kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = ItemIndex(items, *how)
+    return _built[name]
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
           max_edits: float = 0.2, recall: float = 0.95, min_words: int = 8) -> DataFrame:
     """A row per document and item it holds: edits, words of the item, and the word at which the passage starts."""
@@ -270,8 +334,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     for block in blocks(items, item_key, item_text):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shipped.value, max_edits, recall, min_words)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(name, shipped.value, max_edits, recall, min_words)
             for batch, found in _scanned(batches, index, "x_text"):
                 cells = [(k, edits, len(index.items[k]), first) for _, k, edits, first in found]
                 columns = [batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([index.numbers[c[0]] for c in cells], item_type)]
@@ -292,8 +356,8 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     for number, block in enumerate(blocks(items, item_key, item_text)):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shipped.value, max_edits, recall, min_words)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(name, shipped.value, max_edits, recall, min_words)
             for batch, found in _scanned(batches, index, copy):
                 kept = np.ones(batch.num_rows, bool)
                 kept[[f[0] for f in found]] = False
