@@ -564,10 +564,12 @@ def recent_runs(t: Layers) -> DataFrame:
 
 @query
 def throughput_trend(t: Layers) -> DataFrame:
-    """The trend itself depends on the clock; what does not is returned."""
+    """The trend of the hourly loads of RAW, and beside it that of the ingest stream: the latter depends on the clock, so what does not is returned."""
+    loads = incremental.throughput_trend(incremental.hourly_load_runs(t.raw, validate.row_errors(t.raw)), "ingestion").withColumnRenamed("runs", "loads")
     trend = incremental.throughput_trend(_runs(t), "ingestion")
-    return trend.select("runs", F.col("trend").isin("improving", "degrading", "stable").alias("judged"), (F.col("avg_rps") > 0).alias("moving"),
-                        (F.col("recent_avg") > 0).alias("recently"), (F.col("older_avg") > 0).alias("before"))
+    checks = trend.select("runs", F.col("trend").isin("improving", "degrading", "stable").alias("judged"), (F.col("avg_rps") > 0).alias("moving"),
+                          (F.col("recent_avg") > 0).alias("recently"), (F.col("older_avg") > 0).alias("before"))
+    return loads.crossJoin(checks)  # one row each
 
 
 @query

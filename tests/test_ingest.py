@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from skyledger import queries
 from skyledger.operators import validate
 from skyledger.plans import dead_letters, health, incremental, ingest
 from skyledger.sources import files, payload, tables
@@ -215,6 +216,20 @@ def test_throughput_trend(spark, written, trend, n):
     assert (row.trend, row.runs) == (trend, n)
 
 
+def test_the_trend_query_returns_the_figures_of_the_trend(layered):
+    """What an hour loads decides its throughput; the ten last loads of even hours, newer half against older."""
+    row = queries.throughput_trend(layered).first()
+    found: dict[datetime, list[bool]] = {}
+    for r in validate.with_row_errors(layered.raw).select("loaded_at", (F.size("errors") == 0).alias("ok")).collect():
+        found.setdefault(r.loaded_at.replace(minute=0, second=0, microsecond=0), []).append(r.ok)
+    rates = [sum(found[h]) / (5 + len(found[h]) % 17 + h.hour) for h in sorted(h for h in found if h.hour % 2 == 0)[-10:]]
+    rates = [r for r in rates if round(r, 2) > 0]
+    older, newer = rates[:len(rates) // 2], rates[len(rates) // 2:]
+    assert row.loads == len(rates) and row.avg_rps == pytest.approx(sum(rates) / len(rates), abs=0.02)
+    assert row.recent_avg == pytest.approx(sum(newer) / len(newer), abs=0.02) and row.older_avg == pytest.approx(sum(older) / len(older), abs=0.02)
+    assert row.trend in ("improving", "degrading", "stable") and row.runs == 4
+
+
 def letters(spark):
     data = [("E1", "A", '{"event_id":"E1"}', NOW), ("E2", None, "broken", NOW + timedelta(1)), (None, "B", "[1]", NOW)]
     rows = spark.createDataFrame(data, "event_id string, flight_id string, value string, at timestamp")
