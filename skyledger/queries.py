@@ -531,10 +531,10 @@ def _jobs(t: Layers) -> tuple[str, str]:
     """Folders of the run rows and of the messages, after the ingest stream has read four of six files and two
     incremental runs have followed."""
     fresh = lambda label: session.new_path(t.spark, label)
-    runs, path = fresh("job-runs"), _message_files(t, _dealt(t).filter(F.col("arrival") < READ_FILES))
+    runs, (path, files_each) = fresh("job-runs"), _message_files(t, _dealt(t).filter(F.col("arrival") < READ_FILES))
     sink = stream_ingest.IngestSink(t.spark, fresh("stream-raw"), fresh("stream-letters"), fresh("stream-verdicts"), t.as_of, 1.0, f"{runs}/ingestion")
-    stream_ingest.start_ingest(_messages(t, path), sink, fresh("checkpoint"), available_now=True).awaitTermination()
-    payload.to_payload(_dealt(t).filter(F.col("arrival") >= READ_FILES)).select("value", "arrival").write.mode("append").partitionBy("arrival").text(path)
+    stream_ingest.start_ingest(_messages(t, path, files_each), sink, fresh("checkpoint"), available_now=True).awaitTermination()
+    payload.to_payload(_dealt(t).filter(F.col("arrival") >= READ_FILES)).select("value", "arrival").write.mode("append").partitionBy("arrival").option("compression", "gzip").text(path)
     cleaned = t.spark.read.parquet(_two_runs(t)[1])
     incremental.append_runs(f"{runs}/raw_to_clean", cleaned)
     return runs, path
@@ -965,28 +965,37 @@ def report_colours(t: Layers) -> DataFrame:
 
 # --- Streams ---------------------------------------------------------------------------------------
 
-MESSAGE_FILES = 6  # a stream takes one file per batch
+MESSAGE_FILES = 6  # batches of a stream
+MESSAGE_ROWS = 100_000  # about so many messages are a file; a batch has as many files as its messages ask for
+READ_FILES = 4  # batches that the ingest stream behind the run metrics has read
 
 
-READ_FILES = 4  # files that the ingest stream behind the run metrics has read
+def _message_files(t: Layers, rows: DataFrame) -> tuple[str, int]:
+    """Messages of ``rows`` in files, and how many files a batch has: as many for each, in the order of the column ``arrival``.
 
-
-def _message_files(t: Layers, rows: DataFrame) -> str:
-    """Messages of ``rows``, a file for each batch in the order of the column ``arrival``."""
+    A task writes a share of a batch; where shares have met in one task, empty files make up the number.
+    """
     path = session.new_path(t.spark, "messages")
+    counts = rows.groupBy("arrival").agg(F.count("*").alias("n")).collect()  # a row per batch
+    each = max([-(-r.n // MESSAGE_ROWS) for r in counts], default=1)
     messages = payload.to_payload(rows).select("value", "arrival")
-    messages.repartition(MESSAGE_FILES, "arrival").write.partitionBy("arrival").text(path)
-    names = sorted(t.spark.read.text(path).inputFiles(), key=lambda name: int(name.rpartition("arrival=")[2].partition("/")[0]))
-    files.arrange(t.spark, names, datetime(2024, 2, 1))
-    return path
+    share = F.pmod(F.xxhash64("value"), F.lit(each))
+    messages.repartition(MESSAGE_FILES * each, "arrival", share).write.partitionBy("arrival").option("compression", "gzip").text(path)
+    batches: dict[int, list[str]] = {int(r.arrival): [] for r in counts}
+    for name in t.spark.read.text(path).inputFiles():
+        batches[int(name.rpartition("arrival=")[2].partition("/")[0])].append(name)
+    for arrival, names in batches.items():
+        names += [files.empty_file(t.spark, f"{path}/arrival={arrival}/empty-{i:05d}.txt") for i in range(len(names), each)]
+    files.arrange(t.spark, [name for arrival in sorted(batches) for name in sorted(batches[arrival])], datetime(2024, 2, 1))
+    return path, each
 
 
-def _messages(t: Layers, path: str) -> DataFrame:
-    return stream_ingest.read_message_files(t.spark, path, max_files=1).select("value")
+def _messages(t: Layers, path: str, files_each: int) -> DataFrame:
+    return stream_ingest.read_message_files(t.spark, path, max_files=files_each).select("value")
 
 
 def _arrivals(t: Layers, rows: DataFrame) -> DataFrame:
-    return _messages(t, _message_files(t, rows))
+    return _messages(t, *_message_files(t, rows))
 
 
 def _dealt(t: Layers) -> DataFrame:

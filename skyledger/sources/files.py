@@ -85,6 +85,13 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key string, value string, attempt int").json(path).drop("attempt")
 
 
+def empty_file(spark: SparkSession, path: str) -> str:
+    """An empty file at ``path``."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, False).close()
+    return path
+
+
 def arrange(spark: SparkSession, paths: list[str], first: datetime) -> None:
     """Give files modification times a second apart, the order in which a file stream takes them."""
     for second, path in enumerate(paths):

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F, types as T
 
+from skyledger import queries
 from skyledger.operators import dedup
 from skyledger.sources import payload, snapshots, tables
 from skyledger.streaming import dedup as stream_dedup, ingest, live
@@ -172,3 +173,22 @@ def test_hourly_windows(spark, scratch):
         "checkpointLocation", scratch("cp")).start().awaitTermination()
     found = sorted((r.hour_start, r.unique_flights, r.total_events, r.avg_delay) for r in spark.table("hours").collect())
     assert found == [(NOW, 1, 2, 5.0), (NOW + timedelta(hours=1), 1, 1, 4.0)]
+
+
+def test_a_batch_of_messages_is_written_by_many_tasks(spark, layered, scratch, monkeypatch):
+    """No task holds a whole batch, and the stream still takes exactly a batch at a time."""
+    monkeypatch.setattr(queries, "MESSAGE_ROWS", 40, raising=False)
+    rows = queries._dealt(layered)
+    wanted = {r.arrival: r.n for r in rows.groupBy("arrival").agg(F.count("*").alias("n")).collect()}
+    found: dict[int, int] = {}
+
+    def take(batch, number):
+        found[number] = batch.count()
+
+    query = queries._arrivals(layered, rows).writeStream.foreachBatch(take).option("checkpointLocation", scratch("checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert found == wanted
+    written = queries._message_files(layered, rows)
+    path = written if isinstance(written, str) else written[0]
+    most = [r.n for r in spark.read.text(path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(most) == sum(wanted.values()) and max(most) < max(wanted.values()) * 0.9 and len(most) > len(wanted)
