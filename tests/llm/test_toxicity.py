@@ -116,6 +116,32 @@ def test_rows_are_halved_until_the_tables_fit(documents, llm, monkeypatch):
     assert 0 < sum(len(level.keys) for levels in model.classes for level in levels[-1:]) <= 200
 
 
+def test_tables_in_blocks_learn_from_every_label(documents, llm, monkeypatch):
+    docs = [(i, f"{t} {'abcdefgh'[i % 8] * (i % 5 + 1)}") for i, t in enumerate((TOXIC + FINE) * 8)]
+    marks = [(i, int("scum" in t or "idiot" in t)) for i, t in docs]
+    words = ["idiot", "idiots", "stupid", "nice", "über", "a", "cccc", "z" * 40, "日本語"]
+
+    def found():
+        model = learned(documents, llm, docs, marks)
+        rows = X.with_scores(documents([*docs, (90, None)]), model, keep_text=False).collect()
+        return len(model.further), model.of_words(words), [*model.weights, *(r.score for r in sorted(rows, key=lambda r: r.doc_id))]
+
+    none, ratios, scores = found()
+    monkeypatch.setattr(X, "MOST_ENTRIES", 200)
+    monkeypatch.setattr(X, "BROADCAST_LABELS", 0)
+    further, in_blocks, scored = found()
+    assert none == 0 and further > 0
+    assert np.allclose(in_blocks, ratios, rtol=1e-5, atol=1e-5) and np.allclose(scored, scores, rtol=1e-4, atol=1e-5)
+
+
+def test_class_counts_sent_on_in_parts_are_the_same(documents, llm, monkeypatch):
+    rows = llm.createDataFrame([(t, int(t in TOXIC)) for t in [*TOXIC, *FINE, None, "x" * 50] * 3], "text string, kind int").coalesce(1)
+    whole = sorted(tuple(r) for r in X.class_counts(rows, "text", "kind").collect())
+    monkeypatch.setattr(X, "TEXTS", 2)
+    monkeypatch.setattr(X, "SET_SYMBOLS", 30)
+    assert sorted(tuple(r) for r in X.class_counts(rows, "text", "kind").collect()) == whole
+
+
 def test_defined_cases(documents, llm, clashing):
     docs = [*((i, t) for i, t in enumerate(TOXIC * 6 + FINE * 6)), (90, None), (91, ""), (92, "12 !!"), (93, "long " * 100_000), (94, "w" * 600_000), (94, "w" * 600_000), (None, "idiot")]
     marks = [*((i, int(i < 18)) for i in range(42)), (0, 0), (1, None), (90, 0), (91, 1), (None, 1), (999, 1), (20, None)]
