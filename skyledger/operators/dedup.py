@@ -31,14 +31,14 @@ def exact_dedup(df: DataFrame, key: str = "event_id") -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
-def _first_in_cells(df: DataFrame, seconds: int, extra: list[Column] | None = None) -> DataFrame:
+def _first_in_cells(df: DataFrame, seconds: int, extra: list[Column] | None = None, kept: list[str] | None = None) -> DataFrame:
     """One candidate row per (flight, cell of ``seconds``), with the latest time in the cell before.
 
     Two rows in the same cell are closer than the window, so only the first can
     survive, and it does exactly when the newest row of the previous cell is at
     least a window older; rows of earlier cells are further away than that. Each row
     therefore reports to its own cell and, as a bare time, to the next one, and a
-    single aggregation decides everything.
+    single aggregation decides everything. Of the candidate the columns ``kept`` are returned (all, if not named).
     """
     micros = F.unix_micros("event_timestamp")
     width = seconds * 1_000_000
@@ -46,7 +46,7 @@ def _first_in_cells(df: DataFrame, seconds: int, extra: list[Column] | None = No
     row = F.struct(
         F.col("event_timestamp"),
         *[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ["loaded_at"] if c in df.columns],
-        F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+        F.struct(*[F.col(c) for c in kept or df.columns]).alias("row"),
     )
     slots = F.explode(F.array(
         F.struct(cell.alias("cell"), row.alias("candidate"), F.lit(None).cast("timestamp").alias("earlier")),
@@ -82,8 +82,21 @@ def fuzzy_dedup(df: DataFrame, seconds: int = FUZZY_WINDOW_SECONDS) -> DataFrame
     return kept.unionByName(df.filter(~_has_position(df)))
 
 
-def deduplicate(df: DataFrame, seconds: int = FUZZY_WINDOW_SECONDS) -> DataFrame:
-    return fuzzy_dedup(exact_dedup(df), seconds)
+def deduplicate(df: DataFrame, seconds: int = FUZZY_WINDOW_SECONDS, key: str = "event_id") -> DataFrame:
+    """Both removals. Whole rows are shuffled once, by their id.
+
+    Ids are unique after the first removal, so the second one moves ids and times only and its survivors are joined
+    back by id, as the rows lie. The id leads the columns and so decides between equal times, as it does in ``fuzzy_dedup``.
+    """
+    if df.columns[:1] != [key] or dict(df.dtypes)[key] != "string" or not {"flight_id", "event_timestamp"} <= set(df.columns):
+        return fuzzy_dedup(exact_dedup(df, key), seconds)
+    tag = F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit(""))  # no null: rows without an id are one, and joined like any other
+    unique = exact_dedup(df.select(tag.alias("_tag"), *df.columns[1:]), "_tag")
+    placed = unique.filter(_has_position(unique)).select("_tag", *(c for c in ("flight_id", "event_timestamp", "loaded_at") if c in df.columns))
+    survivors = _first_in_cells(placed, seconds, kept=["_tag"]).filter(_survives(seconds)).select(F.col("first.row._tag").alias("_kept"))
+    judged = unique.join(survivors, F.col("_tag") == F.col("_kept"), "left")
+    own = F.when(F.col("_tag") != "", F.substr("_tag", F.lit(2))).alias(key)
+    return judged.filter(F.col("_kept").isNotNull() | ~_has_position(unique)).select(own, *df.columns[1:])
 
 
 def dedup_report(df: DataFrame, seconds: int = FUZZY_WINDOW_SECONDS) -> DataFrame:

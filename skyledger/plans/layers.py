@@ -22,15 +22,19 @@ from skyledger.schemas import CLEAN_COLUMNS
 from skyledger.settings import AS_OF
 from skyledger.sources import tables
 from skyledger.sources.clustering import ClusteredTable
-from skyledger.sources.flights_from_events import raw_flights
+from skyledger.sources.flights_from_events import flights_from_events, read_events
 
 FACT_CLUSTERS = ["airline_iata", "route_key", "event_hour"]  # what reports and pages filter FACT by, beside the day
 
 
+LIES, LIES_TOO = "_lies", "_lies_too"  # the days rows are dealt by before they are widened
+
+
 def cleaned(raw: DataFrame) -> DataFrame:
-    """RAW to CLEAN. Each row counts as transformed five minutes after it was loaded."""
+    """RAW to CLEAN, dealt by the days of the run and of the event while rows are narrow. Each row counts as transformed five minutes after it was loaded."""
     run_time = F.col("loaded_at") + F.expr("INTERVAL 5 MINUTES")
-    return clean_flights(deduplicate(raw), run_time)
+    single = deduplicate(raw).withColumns({LIES: F.to_date(run_time), LIES_TOO: F.to_date("event_timestamp")})
+    return clean_flights(tables.dealt(single, LIES, LIES_TOO).drop(LIES, LIES_TOO), run_time)
 
 
 def _between(table: DataFrame, day: str, since: Column, until: Column | None) -> DataFrame:
@@ -44,9 +48,9 @@ class Layers:
         self.paths: dict[str, str] = {}
         self._profiles: dict[str, tables.DayTable] = {}
 
-    def _days(self, label: str, df: DataFrame, sort_by: str | None = None, days: tuple[str, ...] = (tables.DAY,)) -> DataFrame:
+    def _days(self, label: str, df: DataFrame, sort_by: str | None = None, days: tuple[str, ...] = (tables.DAY,), lie_so: bool = False) -> DataFrame:
         path = session.new_path(self.spark, label)
-        tables.write_days(df, path, sort_by, days)
+        tables.write_days(df, path, sort_by, days, lie_so=lie_so)
         self.paths[label] = path
         return tables.read(self.spark, path, df.schema)
 
@@ -59,8 +63,10 @@ class Layers:
     @cached_property
     def raw_table(self) -> DataFrame:
         """RAW with its partition column: the day a row was loaded, which is what incremental jobs ask for."""
-        rows = raw_flights(self.spark, self.sf_dir)
-        return self._days("raw", rows.withColumn(tables.LOAD_DAY, F.to_date("loaded_at")), days=(tables.LOAD_DAY,))
+        events = read_events(self.spark, self.sf_dir)
+        events = events.select("event_id", "user_id", "ts", "event_type", F.to_date(F.expr("CAST(ts AS TIMESTAMP) + INTERVAL 5 MINUTES")).alias(LIES))
+        rows = flights_from_events(tables.dealt(events, LIES))  # events are narrower than the rows they become
+        return self._days("raw", rows.withColumn(tables.LOAD_DAY, F.to_date("loaded_at")), days=(tables.LOAD_DAY,), lie_so=True)
 
     @property
     def raw(self) -> DataFrame:
@@ -70,7 +76,7 @@ class Layers:
     def clean_table(self) -> DataFrame:
         """CLEAN with both partition columns: the day of the run that made a row, and of its event."""
         rows = cleaned(self.raw).select(*CLEAN_COLUMNS, "event_date")
-        return self._days("clean", rows.withColumn(tables.MADE_DAY, F.to_date("transformed_at")), days=(tables.MADE_DAY, tables.DAY))
+        return self._days("clean", rows.withColumn(tables.MADE_DAY, F.to_date("transformed_at")), days=(tables.MADE_DAY, tables.DAY), lie_so=True)
 
     @property
     def clean(self) -> DataFrame:

@@ -28,15 +28,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _by_day(df: DataFrame, sort_by: str | None, days: tuple[str, ...] = (DAY,)) -> DataFrame:
-    """Even files per day: AQE merges small days and splits a day that is too large."""
-    even = df.hint("rebalance", *days)
+def dealt(df: DataFrame, *days: str) -> DataFrame:
+    """Rows by day, for even files: AQE merges small days and splits a day that is too large."""
+    return df.hint("rebalance", *days)
+
+
+def _by_day(df: DataFrame, sort_by: str | None, days: tuple[str, ...] = (DAY,), lie_so: bool = False) -> DataFrame:
+    even = df if lie_so else dealt(df, *days)
     return even.sortWithinPartitions(*days, sort_by) if sort_by else even
 
 
-def write_days(df: DataFrame, path: str, sort_by: str | None = None, days: tuple[str, ...] = (DAY,), anew: bool = False) -> None:
-    """A table that is built once; ``anew`` replaces it whole."""
-    _by_day(df, sort_by, days).write.mode("overwrite" if anew else "error").partitionBy(*days).parquet(path)
+def write_days(df: DataFrame, path: str, sort_by: str | None = None, days: tuple[str, ...] = (DAY,), anew: bool = False, lie_so: bool = False) -> None:
+    """A table that is built once; ``anew`` replaces it whole. ``lie_so``: the rows are ``dealt`` by their days already, and only derived from since."""
+    _by_day(df, sort_by, days, lie_so).write.mode("overwrite" if anew else "error").partitionBy(*days).parquet(path)
 
 
 def newest_days(spark: SparkSession, path: str, day: str, n: int) -> list[date]:
