@@ -29,20 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is evaluated once."""
     path = session.new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, rid: str, label: str) -> DataFrame:
+def numbered(df: DataFrame, rid: str, label: str, compression: str | None = None) -> DataFrame:
     """``df`` as a written table with a number for every row.
 
     Numbers that are made while reading depend on how files are split, which changes with
     the executors that are there; so rows that are read more than once get theirs once.
     """
-    return written(df.withColumn(rid, F.monotonically_increasing_id()), label)
+    return written(df.withColumn(rid, F.monotonically_increasing_id()), label, compression)
 
 
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:

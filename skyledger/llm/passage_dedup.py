@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from skyledger.llm.common import as_long, fresh, hash_cache, mixed, numbered, slices, text_of, word_hashes, written
 from skyledger.llm.components import components
-from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed, unpacked
+from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed
 
 PARAGRAPH = 24  # words
 WIDTH = 5  # words of an n-gram
@@ -171,14 +171,6 @@ class Paragraphs:
             often[here] = _distinct(common) - (common < 0).any(1)
         return n, often
 
-    def around(self, i: int, begins: np.ndarray, stops: np.ndarray) -> tuple[bytes, bytes]:
-        """The words before (the nearest first) and after a paragraph, as far as no run may cover them: 48 bits and how far to go."""
-        first, at, most = int(self.begins[self.owner[i]]), int(self.place[i]), max(PARAGRAPH - 1, 2 * PARAGRAPH - 2 - int(self.length[i]))
-        stop = at + int(self.length[i])
-        left, right = np.arange(at - 1, max(0, at - most) - 1, -1), np.arange(stop, min(len(begins), stop + most))
-        return tuple(packed(np.concatenate([(self.flat[first + x] >> np.uint64(16)).astype(np.int64), far]))
-                     for x, far in ((left, begins[at] - begins[left]), (right, stops[right] - stops[stop - 1])))
-
     def gram_set(self, i: int, only_common: bool) -> np.ndarray:
         """The distinct n-grams of a paragraph, 48 bits each."""
         here = slice(self.at[i], self.at[i] + self.counts[i])
@@ -223,7 +215,8 @@ def _paragraphs(batch: pa.RecordBatch, column: int, cache, common: np.ndarray, b
 def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> DataFrame:
     """Pairs (x, y) of vertices, a star for each bucket; (x, x) where a bucket holds one vertex several times.
 
-    Buckets of a single document are left out where all its paragraphs overlap.
+    Buckets of a single document are left out where all its paragraphs overlap. ``x_in`` and ``y_in`` tell
+    the document of the least name that holds the vertex: all that hold it are in each of its buckets.
     """
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (common, bits) = hash_cache(), shipped.value
@@ -236,24 +229,28 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> D
 
     def collide(table: pa.Table) -> pa.Table:
         found = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRIES)
-        found = found[np.lexsort((found["vertex"], found["value"]))]
+        found = found[np.lexsort((found["document"], found["vertex"], found["value"]))]
         starts = np.flatnonzero(np.concatenate([[True], found["value"][1:] != found["value"][:-1]]))
         names = found["document"] & _NAME
         several = (np.minimum.reduceat(names, starts) != np.maximum.reduceat(names, starts)) | (np.maximum.reduceat(found["document"] & ~_NAME, starts) > 0)
         sizes = np.diff(np.append(starts, len(found)))
         centre = np.repeat(found["vertex"][starts], sizes)
+        new = np.ones(len(found), bool)
+        new[1:] = (found["value"][1:] != found["value"][:-1]) | (found["vertex"][1:] != found["vertex"][:-1])
+        leads = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))  # the first entry of the vertex in its bucket
         later = np.repeat(several, sizes)
         later[starts] = False
-        pairs = np.unique(np.stack([centre[later], found["vertex"][later]], 1), axis=0)
+        pairs, at = np.unique(np.stack([centre[later], found["vertex"][later]], 1), axis=0, return_index=True)
+        x_in, y_in = np.repeat(names[starts], sizes)[later][at], names[leads][later][at]
         documents = np.unique(names[np.repeat(several, sizes)])
         bucket, at = np.unique(documents.astype(np.int64) * fragments >> 32, return_index=True)
         blobs = [x.astype("<u4").tobytes() for x in np.split(documents, at[1:])] if len(bucket) else []
-        x, y = ([*pairs[:, i].tolist(), *[None] * len(blobs)] for i in (0, 1))
-        return pa.table({"x": as_long(x), "y": as_long(y), "bucket": pa.array([*[None] * len(pairs), *bucket.tolist()], pa.int32()),
+        x, y, x_in, y_in = ([*column.tolist(), *[None] * len(blobs)] for column in (pairs[:, 0], pairs[:, 1], x_in >> 1, y_in >> 1))
+        return pa.table({"x": as_long(x), "y": as_long(y), "x_in": pa.array(x_in, pa.int32()), "y_in": pa.array(y_in, pa.int32()), "bucket": pa.array([*[None] * len(pairs), *bucket.tolist()], pa.int32()),
                          "documents": pa.array([*[None] * len(pairs), *blobs], pa.binary())})
 
     dealt = docs.select("rid", "x_text").mapInArrow(deal, "part int, entries binary")
-    return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, bucket int, documents binary"), "passage-candidates")
+    return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, x_in int, y_in int, bucket int, documents binary"), "passage-candidates")
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
@@ -283,33 +280,36 @@ def _documents(collisions: DataFrame) -> np.ndarray | None:
 
 
 def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarray | None) -> DataFrame:
-    """Place and vertices of the paragraphs that take part, and, once per task batch, the n-grams to verify them by.
+    """Place and vertices of the paragraphs that take part, and the n-grams to verify a vertex by.
 
+    ``at`` and ``size`` count words, ``room`` the words behind, as far as they may matter. The n-grams are
+    in one document of the vertex, or once per task batch if the vertices are too many to be named.
     Documents without a collision are passed over, if the others are few enough to be named.
     """
     named = docs.sparkSession.sparkContext.broadcast(documents)
-    ends = edges.select(F.col("x").alias("vertex"), (F.col("x") != F.col("y")).alias("paired")).unionByName(edges.select(F.col("y").alias("vertex"), (F.col("x") != F.col("y")).alias("paired")))
-    ends = written(ends.groupBy("vertex").agg(F.max("paired").alias("paired")), "passage-vertices")
+    paired = (F.col("x") != F.col("y")).alias("paired")
+    ends = edges.select(F.col("x").alias("vertex"), paired, F.col("x_in").alias("holder")).unionByName(edges.select(F.col("y").alias("vertex"), paired, F.col("y_in").alias("holder")))
+    ends = written(ends.groupBy("vertex").agg(F.max("paired").alias("paired"), F.min("holder").alias("holder")), "passage-vertices")
     few = ends.count() <= MOST_SENT
     known = None
     if few:
         table = ends.toArrow()
-        vertex, paired = table["vertex"].to_numpy(), table["paired"].to_numpy()
+        vertex, holder = table["vertex"].to_numpy(), np.where(table["paired"].to_numpy(), table["holder"].to_numpy().astype(np.int32), np.int32(-1))
         order = np.argsort(vertex)
-        known = docs.sparkSession.sparkContext.broadcast((vertex[order], paired[order]))
+        known = docs.sparkSession.sparkContext.broadcast((vertex[order], holder[order]))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (common, bits) = hash_cache(), shipped.value
-        vertex, paired = known.value if known is not None else (None, None)
+        vertex, holder = known.value if known is not None else (None, None)
 
-        def status(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def status(names: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if vertex is None:
                 return np.ones(len(names), bool), np.ones(len(names), bool)
             if not len(vertex):
                 return np.zeros(len(names), bool), np.zeros(len(names), bool)
             at = np.minimum(np.searchsorted(vertex, names), len(vertex) - 1)
             here = vertex[at] == names
-            return here, here & paired[at]
+            return here, here & (holder[at] == documents)
 
         for batch in slices(batches, _ROWS):
             if named.value is not None:
@@ -317,22 +317,22 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarr
                 at = np.minimum(np.searchsorted(named.value, own), max(0, len(named.value) - 1))
                 batch = batch.filter(pa.array(named.value[at] == own if len(named.value) else np.zeros(len(own), bool)))
             p = _paragraphs(batch, 2, cache, common, bits)
-            (by_content, pair_content), (by_kind, pair_kind) = status(p.content), status(p.kind)
+            documents = (short_names(batch.column(0).to_numpy()) >> 1).astype(np.int32)[p.owner]
+            (by_content, pair_content), (by_kind, pair_kind) = status(p.content, documents), status(p.kind, documents)
             pair_content &= p.rare > 0
             used = np.flatnonzero((by_content & (p.rare > 0)) | (by_kind & p.mostly_common))
             owner, place, content, common_kind = p.owner[used], p.place[used], p.content[used], p.mostly_common[used]
             kind = p.kind[used]
             n, n_often = p.distinct(used)
             alike = common_kind & (7 * n_often >= 6 * n)  # two of this class are always similar
-            start, end = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
-            before: list[bytes] = [b""] * len(used)
-            after = before.copy()
-            for i in np.unique(owner).tolist():
+            start, end, behind = (np.empty(len(used), np.int64) for _ in range(3))
+            size, kinds = p.length[used], np.unique(owner)
+            bounds = np.searchsorted(owner, np.append(kinds, len(batch)))
+            for i, low, high in zip(kinds.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 begins, stops = _word_spans(batch.column(2)[i].as_py())
-                mine = owner == i
-                for k in np.flatnonzero(mine).tolist():
-                    before[k], after[k] = p.around(used[k], begins, stops)
-                start[mine], end[mine] = begins[place[mine]], stops[place[mine] + p.length[used][mine] - 1]
+                last = place[low:high] + size[low:high]
+                start[low:high], end[low:high], behind[low:high] = begins[place[low:high]], stops[last - 1], len(begins) - last
+            behind = np.minimum(behind, _reach(size))
             sets: list[list[bytes | None]] = []
             for names_of, wanted, only_common in ((content, pair_content[used], False), (kind, pair_kind[used] & common_kind, True)):
                 column: list[bytes | None] = [None] * len(used)
@@ -342,25 +342,25 @@ def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarr
                 sets.append(column)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), as_long(start), as_long(end), as_long(content),
-                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]), pa.array(before, pa.binary()), pa.array(after, pa.binary()), *(pa.array(column, pa.binary()) for column in sets)], names)
+                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]), *(pa.array(x, pa.int32()) for x in (place, size, behind)), *(pa.array(column, pa.binary()) for column in sets)], names)
 
-    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "uniform", "before", "after", "content_ngrams", "kind_ngrams"]
+    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "uniform", "at", "size", "room", "content_ngrams", "kind_ngrams"]
     longs = {"rid", "start", "end", "content", "kind", "n"}
-    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "uniform": T.BooleanType(), "before": T.BinaryType(), "after": T.BinaryType(), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
+    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "uniform": T.BooleanType(), **dict.fromkeys(("at", "size", "room"), T.IntegerType()), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
     schema = T.StructType([T.StructField(name, T.LongType() if name in longs else kinds[name]) for name in names])
     found = docs.select("rid", "key", "x_text").mapInArrow(locate, schema)
     if not few:
         vertices = ends.select(F.col("vertex").alias("content"))
         found = written(found, "passage-paragraphs")
         found = found.join(vertices, "content", "left_semi").unionByName(found.join(vertices, "content", "left_anti").join(vertices.withColumnRenamed("content", "kind"), "kind", "left_semi").select(*names))
-    return written(found, "passage-occurrences")
+    return written(found, "passage-occurrences", "zstd")
 
 
 def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> DataFrame:
     """``content`` and its ``component``, for contents that are similar to another one."""
     sets = found.where(F.col("content_ngrams").isNotNull()).select(F.col("content").alias("id"), "n", F.col("content_ngrams").alias("ngrams")).unionByName(
         found.where(F.col("kind_ngrams").isNotNull()).select(F.col("kind").alias("id"), "n", F.col("kind_ngrams").alias("ngrams")))
-    sets = written(sets.select(F.monotonically_increasing_id().alias("rid"), "id", "n", "ngrams"), "passage-sets")
+    sets = sets.withColumn("rid", F.col("id"))  # several rows of one set count once
     verified = links(sets, edges.where("x <> y"), share)
     linked = verified.groupBy("id").agg(F.sum("links").alias("links")).where("links > 0").select(F.col("id").alias("kind"))
     members = found.where(F.col("kind").isNotNull()).groupBy("content", "kind").agg(F.max("alike").alias("alike"))
@@ -369,25 +369,36 @@ def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> Da
     return components(both, "id", "root", "passage-components").withColumnRenamed("vertex", "content")
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """For a column of lists of structs, the row of every struct, and the columns of the structs."""
+    structs = column.flatten()
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), structs.flatten()
+
+
+_SPAN = ["start", "end", "component", "uniform", "at", "size", "room"]
+
+
 def _apart(placed: DataFrame) -> DataFrame:
     """Paragraphs that overlap one of the same cluster before them in the same row are no repetition: they are judged with it, their ``head``."""
     schema = T.StructType([*placed.schema.fields, T.StructField("head", T.LongType()), T.StructField("main", T.BooleanType())])
-    names, per_row = schema.names, placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("start", "end", "component", "uniform", "before", "after"))).alias("spans"))
+    per_row = placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct(*_SPAN))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for i, (rid, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                last: dict[int, tuple[int, int]] = {}
-                for span in spans:
-                    head, end = last.get(span["component"], (0, 0))
-                    main = span["start"] >= end
-                    if main:
-                        head, end = last[span["component"]] = span["start"], span["end"]
-                    out.append((i, rid, *(span[n] for n in ("start", "end", "component", "uniform", "before", "after")), head, main))
-            keys = batch.column(1).take(pa.array([r[0] for r in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), keys, *(as_long([r[i] for r in out]) for i in (2, 3, 4)), pa.array([r[5] for r in out], pa.bool_()),
-                                                *(pa.array([r[i] for r in out], pa.binary()) for i in (6, 7)), as_long([r[8] for r in out]), pa.array([r[9] for r in out], pa.bool_())], names)
+            row, columns = _flat(batch.column(2))
+            heads, mains, last, now = [], [], {}, -1
+            for i, start, end, component in zip(row.tolist(), *(c.to_pylist() for c in columns[:3])):
+                if i != now:
+                    last, now = {}, i
+                head, stop = last.get(component, (0, 0))
+                main = start >= stop
+                if main:
+                    head = start
+                    last[component] = start, end
+                heads.append(head)
+                mains.append(main)
+            owner = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *columns, as_long(heads), pa.array(mains, pa.bool_())], schema.names)
 
     return per_row.mapInArrow(run, schema)
 
@@ -420,67 +431,98 @@ def _minus(spans: list[tuple[int, int, int]], kept: list[tuple[int, int, int]])
     return out
 
 
-def _far(around: bytes) -> np.ndarray:
-    """How far the outer ends of the words around a paragraph are."""
-    return unpacked(around)[len(around) // 12:]
+def _reach(size: np.ndarray) -> np.ndarray:
+    """How many words of an equal passage no run may cover, before or after a paragraph."""
+    return np.maximum(PARAGRAPH - 1, 2 * PARAGRAPH - 2 - size)
+
 
+_FARTHEST = 2 * PARAGRAPH - 2 - WIDTH
 
-def _extensions(judged: DataFrame) -> DataFrame:
+
+def open_sides(row: np.ndarray, at: np.ndarray, size: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words before and after each paragraph no paragraph of its row holds, a bit per word, the nearest first; paragraphs of a row are adjacent."""
+    most, stop = _reach(size), at + size
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+    widths = np.maximum.reduceat(stop, starts) + _FARTHEST + 1 if len(row) else starts
+    base = np.repeat(np.cumsum(widths) - widths, np.diff(np.append(starts, len(row))))
+    depth = np.zeros(int(widths.sum()) + 1, np.int64)
+    np.add.at(depth, base + at, 1)
+    np.add.at(depth, base + stop, -1)
+    free = np.cumsum(depth) == 0
+    left, right = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    for d in range(_FARTHEST):
+        left |= ((d < np.minimum(most, at)) & free[base + np.maximum(0, at - 1 - d)]).astype(np.int64) << d
+        right |= ((d < np.minimum(most, room)) & free[base + stop + d]).astype(np.int64) << d
+    return left, right
+
+
+def _extensions(judged: DataFrame, texts: DataFrame) -> DataFrame:
     """The words next to repeated paragraphs, outside of all of them, that another member of the cluster has in the same place.
 
-    A row per word: which row it is in, from where to where, and whether another one keeps it.
+    A row per word: which row it is in, from where to where, and whether another one keeps it. Words are
+    compared only at the distances at which some member of the cluster has a word that no paragraph holds.
     """
-    spans = F.sort_array(F.collect_list(F.struct("start", "end", "component", "before", "after"))).alias("spans")
-    per_row, longs, blobs = judged.groupBy("rid").agg(F.first("key").alias("key"), spans), ["start", "end", "component"], ["before", "after", "left_open", "right_open"]
-    kept = [T.StructField("rid", T.LongType()), T.StructField("key", judged.schema["key"].dataType)]
-    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in longs), *(T.StructField(n, T.BinaryType()) for n in blobs)])
+    places = ["component", "at", "size"]
+    per_row = judged.groupBy("rid").agg(F.collect_list(F.struct(*places, "room")).alias("spans"))
 
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Which words around a paragraph no paragraph of its row holds; null where all are held."""
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for i, (rid, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                covered = np.array(_merged([(s["start"], s["end"], 0) for s in spans]), np.int64)
-                for s in spans:
-                    masks: list[bytes | None] = []
-                    for at, data in ((s["start"] - _far(s["before"]), s["before"]), (s["end"] + _far(s["after"]) - 1, s["after"])):
-                        outside = at >= covered[np.maximum(0, np.searchsorted(covered[:, 0], at, "right") - 1), 1]
-                        outside |= at < covered[0, 0]
-                        masks.append(outside.astype(np.uint8).tobytes() if outside.any() else None)
-                    out.append((i, rid, s["start"], s["end"], s["component"], s["before"], s["after"], *masks))
-            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), batch.column(1).take(pa.array([r[0] for r in out], pa.int64())),
-                                              *(as_long([r[k] for r in out]) for k in range(2, 5)), *(pa.array([r[k] for r in out], pa.binary()) for k in range(5, 9))], schema.names)
-
-    ends = written(per_row.mapInArrow(gaps, schema), "passage-ends")
-    wanted = ends.groupBy("component").agg(F.bool_or(F.col("left_open").isNotNull()).alias("left"), F.bool_or(F.col("right_open").isNotNull()).alias("right")).where("left OR right")
-    names = ["rid", "key", "place", "component", "words", "start", "end", "open"]
-    word = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names[2:7]), T.StructField("open", T.BooleanType())])
+            row, (component, at, size, room) = _flat(batch.column(1))
+            masks = open_sides(row, *(c.to_numpy().astype(np.int64) for c in (at, size, room)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), component, at, size, *(pa.array(m) for m in masks)], ["rid", *places, "left", "right"])
+
+    ends = written(per_row.mapInArrow(sides, "rid long, component long, at int, size int, left long, right long"), "passage-ends", "zstd")
+    wanted = ends.groupBy("component").agg(F.bit_or("left").alias("any_left"), F.bit_or("right").alias("any_right")).where("any_left <> 0 OR any_right <> 0")
+    spans = ends.join(wanted, "component").groupBy("rid").agg(F.collect_list(F.struct(*places, "left", "right", "any_left", "any_right")).alias("spans"))
+    names = ["rid", "key", "place", "words", "component", "start", "end", "open"]
+    longs = [T.StructField(n, T.LongType()) for n in names]
+    schema = T.StructType([longs[0], T.StructField("key", texts.schema["key"].dataType), *longs[2:7], T.StructField("open", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = hash_cache()
         for batch in slices(batches):
-            out = []
-            for i, r in enumerate(batch.drop_columns(["key"]).to_pylist()):
-                for side, chosen, at, data, mask in ((0, r["left"], r["start"], r["before"], r["left_open"]), (1, r["right"], r["end"], r["after"], r["right_open"])):
-                    if not chosen:
-                        continue
-                    far = _far(data)
-                    words, name = unpacked(data)[:len(far)], mixed(np.full(1, side + 1, np.uint64))
-                    for value, to, free in zip(words.astype(np.uint64), (at + (far if side else -far)).tolist(), mask or bytes(len(far))):
-                        name = mixed(name ^ value) + np.uint64(0x165667B19E3779F9)
-                        out.append((i, r["rid"], r["end" if side else "start"], r["component"], int(name.view(np.int64)[0]), min(at, to), max(at, to), free > 0))
-                        at = to
-            yield pa.RecordBatch.from_arrays([as_long([r[1] for r in out]), batch.column(batch.schema.get_field_index("key")).take(pa.array([r[0] for r in out], pa.int64())),
-                                              *(as_long([r[k] for r in out]) for k in range(2, 7)), pa.array([r[7] for r in out], pa.bool_())], names)
-
-    words = written(ends.join(wanted, "component").mapInArrow(run, word), "passage-words")
-    shared = words.groupBy("component", "words").agg(F.min(F.struct("key", "rid", "place")).alias("first"), F.max(F.struct("key", "rid", "place")).alias("last")).where("first <> last")
-    held = words.where("open").join(shared.select("component", "words", F.col("first.rid").alias("first_rid"), F.col("first.place").alias("first_place")), ["component", "words"])
+            row, columns = _flat(batch.column(3))
+            component, at, size, *masks = (c.to_numpy().astype(np.int64) for c in columns)
+            passages = batch.column(2).to_pylist()
+            hashes = [word_hashes(x.encode("utf-8", "surrogatepass").lower(), cache) >> np.uint64(16) for x in passages]
+            begins, stops = (np.concatenate(x) for x in zip(*(_word_spans(x) for x in passages)))
+            counts, value = np.array([len(x) for x in hashes], np.int64), np.concatenate(hashes)
+            base, words = (np.cumsum(counts) - counts)[row], counts[row]
+            most, found = _reach(size), []
+            for side, mask, needed in ((0, masks[0], masks[2]), (1, masks[1], masks[3])):
+                name = mixed(mixed(component.astype(np.uint64)) ^ np.uint64(side + 1))
+                place = stops[base + at + size - 1] if side else begins[base + at]
+                near, here = place.copy(), np.arange(len(row))
+                for d in range(_FARTHEST):
+                    there = at + size + d if side else at - 1 - d
+                    here = here[(d < most[here]) & (there[here] >= 0) & (there[here] < words[here]) & (needed[here] >> d != 0)]
+                    word = base[here] + there[here]
+                    name[here] = mixed(name[here] ^ value[word]) + np.uint64(0x165667B19E3779F9)
+                    far = stops[word] if side else begins[word]
+                    chosen = needed[here] >> d & 1 > 0
+                    k = here[chosen]
+                    found.append((row[k], place[k], name[k].view(np.int64), component[k], *((near[k], far[chosen]) if side else (far[chosen], near[k])), mask[k] >> d & 1))
+                    near[here] = far
+            row, place, name, *others = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((place, name, row))
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (row, place, name)], axis=0)  # a line and a run may end at one word
+            once = order[new]
+            once = once[np.lexsort((others[1][once], place[once], row[once]))]  # close values side by side
+            row, place, name, component, start, end, free = (x[once] for x in (row, place, name, *others))
+            owner, held = pa.array(row), free == 0  # of words that a paragraph holds, only the name counts
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(name),
+                                              *(pa.array(x, mask=held) for x in (component, start, end)), pa.array(~held)], names)
+
+    words = written(texts.select("rid", "key", "x_text").join(spans, "rid").mapInArrow(run, schema), "passage-words", "zstd")
+    shared = words.groupBy("words").agg(F.min(F.struct("key", "rid", "place")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    held = words.where("open").join(shared.select("words", F.col("first.rid").alias("first_rid"), F.col("first.place").alias("first_place")), "words")
     return held.select("rid", "key", "start", "end", "component", (~((F.col("rid") == F.col("first_rid")) & (F.col("place") == F.col("first_place")))).alias("removed"))
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
     """A row per repeated passage of a document: key, row number, start and end (code points), cluster, and whether it is removed."""
-    return _passages(numbered(docs.select(F.col(key).alias("key"), text_of(text).alias("x_text")), "rid", "numbered-texts"), key, share, recall)
+    return _passages(numbered(docs.select(F.col(key).alias("key"), text_of(text).alias("x_text")), "rid", "numbered-texts", "zstd"), key, share, recall)
 
 
 def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float) -> DataFrame:
@@ -499,18 +541,18 @@ def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float)
     common = frequent_ngrams(texts.select("x_text"), ngrams_of, fragments)  # the order costs a pass, and saves most candidates
     shipped = texts.sparkSession.sparkContext.broadcast(common)
     collisions = _edges(texts, shipped, fragments, bands, rows)
-    edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
+    edges = collisions.where(F.col("x").isNotNull()).select("x", "y", "x_in", "y_in")
     found = _occurrences(texts, shipped, edges, _documents(collisions))
     clusters = _clustered(found, edges, share)
-    placed = found.select("rid", "key", "start", "end", "content", "uniform", "before", "after").join(clusters, "content", "left")
-    placed = placed.select("rid", "key", "start", "end", F.coalesce("component", "content").alias("component"), "uniform", "before", "after")
-    placed = written(_apart(placed), "passage-places")
+    placed = found.select("rid", "key", "content", *(n for n in _SPAN if n != "component")).join(clusters, "content", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "content")).select("rid", "key", *_SPAN)
+    placed = written(_apart(placed), "passage-places", "zstd")
     firsts = placed.where("main").groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"),
                                              F.count(F.lit(1)).alias("times"), F.bool_or("uniform").alias("uniform")).where("low < high OR times > 1 AND NOT uniform")
     judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
     removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("head") == F.col("first_start")))
-    judged = written(judged.withColumn("removed", removed), "passage-judged")
-    whole = judged.select("rid", "key", "start", "end", "component", "removed").unionByName(_extensions(judged))
+    judged = written(judged.select("rid", "key", "start", "end", "component", "at", "size", "room", removed.alias("removed")), "passage-judged", "zstd")
+    whole = judged.select("rid", "key", "start", "end", "component", "removed").unionByName(_extensions(judged, texts))
     per_row = whole.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", "removed")).alias("spans"))
     schema = T.StructType([T.StructField(key, texts.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("row_number", "start", "end", "cluster")), T.StructField("removed", T.BooleanType())])
 

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -156,3 +157,37 @@ def test_spans():
     assert P._minus([(0, 20, 1), (30, 40, 2)], [(5, 8, 0), (18, 35, 0)]) == [(0, 5, 1), (8, 18, 1), (35, 40, 2)]
     text = " a\u00a0b \U0001f600c\x0bd\n"
     assert [text[s:e] for s, e in zip(*P._word_spans(text))] == ["a\u00a0b", "\U0001f600c", "d"]
+
+
+def test_open_sides_are_the_words_that_no_paragraph_holds():
+    draw, rows = random.Random(17), []
+    for row in range(40):
+        total = draw.randint(30, 200)
+        for _ in range(draw.randint(1, 6)):
+            size = draw.choice((5, 9, 24, 24, 30))
+            at = draw.randint(0, total - size)
+            rows.append((row, at, size, min(total - at - size, 60)))
+    left, right = P.open_sides(*(np.array(x, np.int64) for x in zip(*rows)))
+    for (row, at, size, room), before, after in zip(rows, left.tolist(), right.tolist()):
+        most = max(P.PARAGRAPH - 1, 2 * P.PARAGRAPH - 2 - size)
+        held = {w for r, a, n, _ in rows if r == row for w in range(a, a + n)}
+        assert before == sum(1 << d for d in range(min(most, at)) if at - 1 - d not in held)
+        assert after == sum(1 << d for d in range(min(most, room)) if at + size + d not in held)
+
+
+def test_working_tables_stay_small(documents, monkeypatch):
+    """Copied texts of many paragraphs: rows of paragraphs carry no words along."""
+    draw, sizes = random.Random(2), {}
+    copied = [" ".join(words(draw, 600)) for _ in range(60)]
+    docs = documents([(key, copied[key % 60] + " " + " ".join(words(draw, 60))) for key in range(300)])
+    written = P.written
+
+    def weighed(df, label, *more):
+        out = written(df, label, *more)
+        sizes[label] = sum(os.path.getsize(f.removeprefix("file:")) for f in map(str, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(P, "written", weighed)
+    P.passages(docs).count()
+    text = docs.agg({"n_chars": "sum"}).first()[0]
+    assert sizes["passage-places"] + sizes["passage-judged"] + sizes["passage-ends"] < text, sizes
