@@ -94,13 +94,15 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
     pre = validate.validation_summary(validate.validate(batch, as_of)).first()
 
     staged_path = f"{clean_path}-batch-{run_id}"
-    fresh = dedup.exact_dedup(batch)
     since = get_watermark(control, "raw_to_clean")
-    if seen is not None:
+    if seen is None:
+        single = dedup.deduplicate(batch)
+    else:
+        fresh = dedup.exact_dedup(batch)
         held = tables.DayTable(spark, clean_path, T.StructType([T.StructField("event_id", T.StringType()), T.StructField(tables.DAY, T.DateType())]), ["event_id"])
         fresh = merge.unknown_rows(held, fresh, held.state())
-    single = dedup.fuzzy_dedup(fresh)
-    cleaned = clean.clean_flights(single if seen is None else seen.unseen(single, since), as_of).select(*CLEAN_COLUMNS, "event_date")
+        single = seen.unseen(dedup.fuzzy_dedup(fresh), since)
+    cleaned = clean.clean_flights(single, as_of).select(*CLEAN_COLUMNS, "event_date")
     tables.write_days(cleaned, staged_path, anew=True)
     if seen is not None:
         seen.add(fresh, batch.agg(F.max("loaded_at").alias("m")).scalar())
@@ -113,7 +115,7 @@ def run_raw_to_clean(spark: SparkSession, raw: DataFrame, clean_path: str, water
         statistics.add("CLEAN", inserted)
         statistics.add_done(batch, inserted)
 
-    written = ingest.write_clean(spark, clean_path, staged, counted if statistics else None)
+    written = ingest.write_clean(spark, clean_path, staged, counted if statistics else None, unique=True)  # cleaning leaves ids as they are
 
     watermarks.write(updated_watermark(control, "raw_to_clean", staged, written, run_id, as_of))
     finished("success", written, records_in - written)

@@ -60,10 +60,13 @@ def quick_raw_rows(staging: DataFrame, loaded_at: datetime = AS_OF) -> DataFrame
     return typed.withColumns(changes).select(*kept, "loaded_at")
 
 
-def write_clean(spark: SparkSession, clean_path: str, rows: DataFrame, then: Callable[[DataFrame], None] | None = None) -> int:
-    """Insert cleaned rows that CLEAN does not hold yet, with the columns it knows; returns how many. ``then`` gets these rows."""
+def write_clean(spark: SparkSession, clean_path: str, rows: DataFrame, then: Callable[[DataFrame], None] | None = None, unique: bool = False) -> int:
+    """Insert cleaned rows that CLEAN does not hold yet, with the columns it knows; returns how many. ``then`` gets these rows.
+
+    ``unique``: no event id is there twice, as after ``exact_dedup``; otherwise the earliest row of each is inserted.
+    """
     known = [c for c in CLEAN_COLUMNS if c in rows.columns]
-    return merge.insert_only(spark, clean_path, rows.select(*known, "event_date"), then=then)
+    return merge.insert_only(spark, clean_path, rows.select(*known, "event_date"), dedupe_source=not unique, then=then)
 
 
 def pending(raw: DataFrame, clean: DataFrame) -> DataFrame:
