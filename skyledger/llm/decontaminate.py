@@ -63,24 +63,53 @@ def repetitions(max_edits: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**PLACES))
 
 
-def _plain(word: bytes) -> str:
-    text = word.decode("utf-8", "surrogatepass").lower()
+_MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
+def _lowered(text: str) -> bytes:
+    """UTF-8 of the text in lower case, with spaces around every character of an unspaced script."""
+    return (text if text.isascii() else UNSPACED.sub(r" \1 ", text)).lower().encode("utf-8", "surrogatepass")
+
+
+def _plain(word: bytes) -> bytes:
+    """A word in lower case without the marks around it."""
+    if word.isascii():
+        return word.strip(_MARKS)
+    text = word.decode("utf-8", "surrogatepass")
     begin, end = 0, len(text)
     while begin < end and not text[begin].isalnum():
         begin += 1
     while end > begin and not text[end - 1].isalnum():
         end -= 1
-    return text[begin:end]
+    return text[begin:end].encode("utf-8", "surrogatepass")
 
 
-def spaced(text: str) -> bytes:
-    """UTF-8 of the text with spaces around every character of an unspaced script."""
-    return (text if text.isascii() else UNSPACED.sub(r" \1 ", text)).encode("utf-8", "surrogatepass")
+def plain_words(text: str) -> list[str]:
+    found = (_plain(w) for words in word_lists(_lowered(text)) for w in words)
+    return [w.decode("utf-8", "surrogatepass") for w in found if w]
 
 
-def plain_words(text: str) -> list[str]:
-    found = (_plain(w) for words in word_lists(spaced(text)) for w in words)
-    return [w for w in found if w]
+class WordNumbers:
+    """Numbers of the words of texts, 0 for those that no item has; those that are only marks are left out.
+
+    Most words without the ASCII marks around them are without any, so the items' words are asked for directly and
+    words that no item has are not kept. Only words that begin or end beyond ASCII are looked at by character.
+    """
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.known = {word.encode("utf-8", "surrogatepass"): number for word, number in vocabulary.items()} | {b"": -1}
+        self.beyond = BoundedCache(lambda word: self.known.get(_plain(word), 0))
+
+    def of(self, text: str) -> np.ndarray:
+        data, get, beyond, parts = _lowered(text), self.known.get, self.beyond, []
+        for words in word_lists(data):
+            if data.isascii():
+                numbers = [get(w.strip(_MARKS), 0) for w in words]
+            else:
+                numbers = [get(w, 0) or (beyond[w] if w[0] > 127 or w[-1] > 127 else 0) for w in [w.strip(_MARKS) for w in words]]
+            parts.append(np.array(numbers, np.int64))
+        found = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return found[found >= 0]
 
 
 def _moves(symbols: np.ndarray, repetition: int, part: int) -> np.ndarray:
@@ -292,21 +321,11 @@ def blocks(items: DataFrame, key: str, text: str, most: int = BLOCK_BYTES) -> It
 
 def _scanned(batches: Iterable[pa.RecordBatch], index: ItemIndex, text: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, int]]]]:
     """Batches with their matches; each of a bounded number of words, or one document."""
-    def number(word: bytes) -> int:
-        plain = _plain(word)
-        return index.vocabulary.get(plain, 0) if plain else -1
-
-    numbers = BoundedCache(number)
-
-    def of(passage: str) -> np.ndarray:
-        parts = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in word_lists(spaced(passage))]
-        words = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        return words[words >= 0]
-
+    numbers = WordNumbers(index.vocabulary)
     for batch in slices(batches):
         column, begin, held, size = batch.column(batch.schema.get_field_index(text)), 0, [], 0
         for i in range(batch.num_rows):
-            held.append(of(column[i].as_py()))
+            held.append(numbers.of(column[i].as_py()))
             size += len(held[-1])
             if size >= WORDS_AT_ONCE or i == batch.num_rows - 1:
                 yield batch.slice(begin, i + 1 - begin), index.matches(held) if index.items else []

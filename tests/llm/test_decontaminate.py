@@ -141,3 +141,21 @@ def test_one_index_for_all_tasks_of_a_worker():
     items = [(1, ITEMS[0][1])]
     first = D.index_of("a", items, 0.2, 0.95, 8)
     assert D.index_of("a", items, 0.2, 0.95, 8) is first and D.index_of("b", items, 0.2, 0.95, 8) is not first and list(D._built) == ["b"]
+
+
+def test_words_are_numbered_without_keeping_those_of_no_item():
+    def plain(word):  # by character
+        low = word.lower()
+        inside = [i for i, c in enumerate(low) if c.isalnum()]
+        return low[inside[0]:inside[-1] + 1] if inside else ""
+
+    words = ["Rain,", "(rain)", "RAIN", "ra-in", "--", "“rain”", "Élan", "“élan…", "élan", "¿élan?", "ΟΔΟΣ", "ΟΔΟΣ.", "Σ", "İn", "Nİ", "́á", "x\x1c", "\x85", "…", "3.5", "\ud800a", "a\ud800", "µ"]
+    known = {w: i for i, w in enumerate(sorted({plain(w) for w in words[::2]} - {""}), 1)}
+    numbers = D.WordNumbers(known)
+    for text in (" ".join(words), *words, "rain RAIN, other --", ""):
+        expected = [known.get(p, 0) for w in text.split(" ") if (p := plain(w))]
+        assert numbers.of(text).tolist() == expected, repr(text)
+        assert D.plain_words(text) == [p for w in text.split(" ") if (p := plain(w))]
+    kept = len(numbers.beyond)
+    assert numbers.of(" ".join(f"other{i}é{i}" for i in range(1000))).tolist() == [0] * 1000
+    assert len(numbers.beyond) == kept and len(numbers.known) == len(known) + 1
