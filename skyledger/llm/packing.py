@@ -37,20 +37,27 @@ END_ID = 1
 class WordEncoder:
     """Ids (little-endian unsigned 32-bit) of texts under a vocabulary that drops white space.
 
-    Words that are not known yet are encoded together, with a special string between them
-    as the mark at which their ids are cut apart again.
+    Words that are not known yet are encoded together. Their ids are cut apart again after the ids that end a
+    word where every word is one run of letters, else at a special string between them.
     """
 
     def __init__(self, path: str, entries: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for each in (self.tokenizer, self.letters):
+            each.no_truncation()
+            each.no_padding()
+        # lower-case letters up to U+00FF are what normalization gives, and one run of the pattern
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
-        self.entries, self.words, self.plain = entries, {}, {}
-        self.old_words, self.old_plain = {}, {}  # what was known when a cache was last full
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.entries, self.words, self.old_words = entries, {}, {}  # the last: what was known when the cache was last full
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,6 +67,14 @@ class WordEncoder:
         raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
         return [raw[4 * begin:4 * end] for begin, end in zip([0, *(e + 1 for e in ends[:-1])], ends)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of lower-case letters up to U+00FF."""
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(words) or ends[-1] != len(raw):
+            return self._encode_all(words)  # the vocabulary doesn't tell where words end
+        return [raw[begin:end] for begin, end in zip([0, *ends], ends)]
+
     @staticmethod
     def _parts(text: str) -> tuple[str, str]:
         """Words of Latin letters share their entry with other cases, and with the marks after them.
@@ -67,38 +82,41 @@ class WordEncoder:
         Up to U+00FF lower case is one letter for one and nothing composes, and a run of
         marks after a letter or digit is never part of the same token.
         """
-        if max(text) >= "\u0100" or "<|" in text:
+        if not text.isascii() and max(text) >= "\u0100" or "<|" in text:
             return text, ""
         low = text.lower()
         stem = low.rstrip(punctuation)
         return (stem, low[len(stem):]) if stem and stem[-1].isalnum() else (low, "")
 
-    def _learn(self, words: set[bytes]) -> None:
-        parts = {word: self._parts(word.decode("utf-8", "surrogatepass")) for word in words}
-        wanted = {p for pair in parts.values() for p in pair if p}
-        if len(self.plain) + len(wanted) > self.entries:
-            self.old_plain, self.plain = self.plain, {}
-        missing = wanted.difference(self.plain)
-        again = {p for p in missing if p in self.old_plain}
-        self.plain.update((p, self.old_plain[p]) for p in again)
-        missing = list(missing - again)
-        joined = [p for p in missing if "<|" not in p]
-        self.plain.update(zip(joined, self._encode_all(joined)) if joined else ())
-        self.plain.update((p, self.encode(p)) for p in missing if "<|" in p)
-        self.plain[""] = b""
-        self.words.update((word, self.plain[stem] + self.plain[marks]) for word, (stem, marks) in parts.items())
+    def _encoded(self, words: set[str]) -> dict[str, bytes]:
+        found = {"": b""}
+        letters = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0100") and w == w.lower()]
+        found.update(zip(letters, self._encode_letters(letters)) if letters else ())
+        others = [w for w in words.difference(found) if "<|" not in w]
+        found.update(zip(others, self._encode_all(others)) if others else ())
+        found.update((w, self.encode(w)) for w in words.difference(found))
+        return found
+
+    def learn(self, words: set[bytes]) -> None:
+        missing = words.difference(self.words)
+        if len(self.words) + len(missing) > self.entries:
+            self.old_words, self.words, missing = self.words, {}, set(words)
+        if self.old_words:
+            again = {word: self.old_words[word] for word in missing if word in self.old_words}
+            self.words.update(again)
+            missing = missing.difference(again)
+        if not missing:
+            return
+        names = list(missing)
+        stems, marks = zip(*map(self._parts, b"\n".join(names).decode("utf-8", "surrogatepass").split("\n")))
+        found = self._encoded({*stems, *marks})
+        ids = [found[stem] + found[rest] if rest else found[stem] for stem, rest in zip(stems, marks)]
+        self.words.update(zip(names, ids))
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of a whole text, in parts."""
         for words in word_lists(text.encode("utf-8", "surrogatepass")):
-            missing = set(words).difference(self.words)
-            if len(self.words) + len(missing) > self.entries:
-                self.old_words, self.words = self.words, {}
-                missing = set(words)
-            again = {word for word in missing if word in self.old_words}
-            self.words.update((word, self.old_words[word]) for word in again)
-            if len(missing) > len(again):
-                self._learn(missing - again)
+            self.learn(set(words))
             yield b"".join(map(self.words.__getitem__, words))
 
 

@@ -89,3 +89,14 @@ def test_packing_holds_every_id_once(llm, documents, clashing):
 
 def test_packing_nothing(documents):
     assert packing.pack(packing.cut(documents([(1, "x")]).limit(0), WORDS, 64), 64).count() == 0
+
+
+def test_words_of_letters_are_cut_apart_where_words_end():
+    encoder = packing.WordEncoder(WORDS, entries=50)
+    words = ["rain", "a", "élan", "straße", "ªº", "µ", "ÿ", "zzxxqqyy", "thereraneation"]
+    assert encoder._encode_letters(words) == [encoder.encode(w) for w in words]
+    encoder.ends[:] = False  # a vocabulary that doesn't mark the ends
+    assert encoder._encode_letters(words) == [encoder.encode(w) for w in words]
+    texts = ["Rain, rain! RAIN 3.5 ÉLAN élan… <|endoftext|> don't Straße-straße ǅ Σ", " ".join(f"w{i} {'ab' * (i % 9)}" for i in range(300))] * 2
+    for text in texts:
+        assert b"".join(encoder.pieces(text)) == encoder.encode(text)
