@@ -95,14 +95,18 @@ def _cut(sorted_values: np.ndarray, fragments: int) -> Iterator[tuple[int, np.nd
             yield fragment, sorted_values[bounds[fragment]:bounds[fragment + 1]]
 
 
-def frequent_ngrams(rows: DataFrame, ngrams_of, fragments: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, int]:
+def frequent_ngrams(rows: DataFrame, ngrams_of, fragments: int, frequent: int = FREQUENT, most: int = MOST_FREQUENT, *, twice_bits: int = 0) -> tuple[np.ndarray, int] | tuple[np.ndarray, int, np.ndarray]:
     """Sorted prefixes (``24 + log2(fragments)`` bits) of the n-grams that occur more than ``frequent`` times, and their width.
 
+    With ``twice_bits``, also a field of that many bits (a power of two) that has a one at the first bits of every
+    n-gram that occurs more than once.
+
     ``rows`` has one column, of which ``ngrams_of`` makes the 48-bit n-grams of a batch of
     documents. N-grams that share these bits are counted together; that changes the order,
     never the result.
     """
     bits = min(_BITS, fragments.bit_length() - 1 + 24)
+    each = min(1 << 24, (1 << twice_bits) // fragments) if twice_bits else 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 * _ROWS):
@@ -118,15 +122,26 @@ def frequent_ngrams(rows: DataFrame, ngrams_of, fragments: int, frequent: int =
         values, counts = np.unique(wide.view("<u4").ravel(), return_counts=True)
         common = counts > frequent
         fragment = table.column("fragment")[0].as_py()
-        return pa.table({"value": as_long(values[common].astype(np.int64) | (fragment << 24)), "documents": as_long(counts[common])})
+        value, documents, twice = as_long(values[common].astype(np.int64) | (fragment << 24)), as_long(counts[common]), pa.nulls(int(common.sum()), pa.binary())
+        if each:
+            flags = np.zeros(each, bool)
+            flags[values[counts > 1] >> (24 - each.bit_length() + 1)] = True
+            value, documents = (pa.concat_arrays([x, as_long([y])]) for x, y in ((value, fragment), (documents, None)))
+            twice = pa.concat_arrays([twice, pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())])
+        return pa.table({"value": value, "documents": documents, "twice": twice})
 
     dealt = rows.mapInArrow(deal, "fragment int, part binary")
-    found = written(dealt.groupBy("fragment").applyInArrow(count, "value long, documents long"), "frequent-ngrams")
+    found = written(dealt.groupBy("fragment").applyInArrow(count, "value long, documents long, twice binary"), "frequent-ngrams")
     least = frequent
     while found.where(F.col("documents") > least).count() > most:
         least *= 2
     chosen = found.where(F.col("documents") > least).select("value").toArrow()["value"].to_numpy()
-    return np.sort(chosen), bits
+    if not each:
+        return np.sort(chosen), bits
+    field = np.zeros((fragments, each // 8), np.uint8)
+    for row in found.where(F.col("twice").isNotNull()).select("value", "twice").toLocalIterator():
+        field[row[0]] = np.frombuffer(row[1], np.uint8)
+    return np.sort(chosen), bits, field.ravel()
 
 
 def is_frequent(ngrams: np.ndarray, common: np.ndarray, bits: int) -> np.ndarray:
@@ -136,7 +151,7 @@ def is_frequent(ngrams: np.ndarray, common: np.ndarray, bits: int) -> np.ndarray
     return common[np.minimum(np.searchsorted(common, short), len(common) - 1)] == short
 
 
-def _pairs_of(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of(counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs within runs of equal n-grams; the runs are short."""
     left, right = [], []
     for size in np.unique(counts[counts > 1]).tolist():
@@ -229,7 +244,7 @@ def candidates(sets: DataFrame, fragments: int, common: np.ndarray, common_bits:
             near = (run[1:] == run[:-1]) & (bottom * sizes[x] >= top * sizes[y])
             x, y, shared, needed = x[near], y[near], 0, -1
         else:
-            a, b = _pairs_of(lengths, starts)
+            a, b = pairs_of(lengths, starts)
             x, y = owner[a], owner[b]
             near = bottom * np.minimum(sizes[x], sizes[y]) >= top * np.maximum(sizes[x], sizes[y])
             x, y = x[near], y[near]

@@ -33,17 +33,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, GroupedData, functions as F, types as T
 
-from skyledger.llm.common import as_long, fresh, hash_cache, mixed, numbered, slices, text_of, word_hashes, written
+from skyledger.llm.common import as_long, fresh, mixed, numbered, slices, tasks_for, text_of, written
 from skyledger.llm.components import components
-from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed
+from skyledger.llm.ngram_join import frequent_ngrams, is_frequent, links, order_fragments, packed, pairs_of, unpacked
+from skyledger.llm.word_arrays import Words
 
 PARAGRAPH = 24  # words
 WIDTH = 5  # words of an n-gram
-MOST_SENT = 4_000_000  # vertex numbers that may be sent to every task (32 MB); beyond, they are joined
-ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8")])
+MOST_BITS = 29  # of a filter that is sent to every task (64 MB); fuller ones let more through, results never depend on them
+TASK_ROWS = 100_000  # paragraphs of a task, where those of a row are needed together
+ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8"), ("n", "<u4"), ("sketch", "<u8")])
+MOST_PAIRED = 64  # vertices of a bucket whose pairs are listed; larger buckets are searched
 _ROWS = 512
+_SLICES = 16  # tasks that make a filter
+_FILTERS = range(3)
+_VERTEX, _HOLDER, _DOCUMENT = _FILTERS
 _TOP = np.uint64(1 << 63)
 _NAME = np.uint32(0xFFFFFFFE)  # the document of an entry; the last bit says that its bucket holds two places of it that are apart
 
@@ -84,13 +90,26 @@ def _grams(flat: np.ndarray, count: int) -> np.ndarray:
     return grams
 
 
-def _line_numbers(data: bytes) -> np.ndarray:
-    """The line that each word of ``data`` is in."""
-    points = np.frombuffer(data, np.uint8)
-    inside = (points != 32) & ((points < 9) | (points > 13))
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    return np.searchsorted(np.flatnonzero(points == 10), np.flatnonzero(first))
+def _bit(field: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The bits of a field at the first bits of some 64-bit values."""
+    place = names >> np.uint64(64 - (8 * len(field)).bit_length() + 1)
+    return (field[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def short_table(common: np.ndarray) -> np.ndarray:
+    """Which last bits the common n-grams have: most others are told by them alone."""
+    table = np.zeros(1 << min(25, max(16, 4 + len(common).bit_length())), bool)
+    table[common & (len(table) - 1)] = True
+    return table
+
+
+def _is_common(ngrams: np.ndarray, common: np.ndarray, bits: int, often: np.ndarray | None) -> np.ndarray:
+    if often is None:
+        return is_frequent(ngrams, common, bits)
+    out = often[(ngrams >> (48 - bits)) & (len(often) - 1)]
+    maybe = np.flatnonzero(out)
+    out[maybe] = is_frequent(ngrams[maybe], common, bits)
+    return out
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -99,10 +118,10 @@ _BASE = 0x9E3779B97F4A7C15
 class Paragraphs:
     """The paragraphs of a batch of texts: starts, sizes, owners, n-grams, and what identifies them.
 
-    ``lines`` has the line of every word; without it, there are only runs chosen by content.
+    ``breaks`` are the words, counted over all texts, that begin a line; without it, there are only runs chosen by content.
     """
 
-    def __init__(self, words: list[np.ndarray], common: np.ndarray, bits: int, lines: list[np.ndarray] | None = None):
+    def __init__(self, words: list[np.ndarray], common: np.ndarray, bits: int, breaks: np.ndarray | None = None, often: np.ndarray | None = None, twice: np.ndarray | None = None):
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.concatenate([*words, np.zeros(PARAGRAPH, np.uint64)])
         self.begins = np.cumsum(sizes) - sizes
@@ -118,9 +137,8 @@ class Paragraphs:
         chosen = (place < starts) & (_slid(least[::-1], PARAGRAPH, np.maximum, -1)[::-1] == order)
         at = np.flatnonzero(chosen)
         length = np.full(len(at), PARAGRAPH, np.int64)
-        if lines is not None and n:
-            line = np.concatenate(lines)
-            begin = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])]))
+        if breaks is not None and n:
+            begin = np.union1d(breaks, self.begins[sizes > 0])
             extent = np.diff(np.append(begin, n))
             long = extent >= WIDTH
             at, length = np.concatenate([at, begin[long]]), np.concatenate([length, extent[long]])
@@ -143,7 +161,8 @@ class Paragraphs:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.flat_grams) * np.cumprod(steps)[:n], dtype=np.uint64)])
         content = (sums[self.at + self.counts] - sums[self.at]) * np.cumprod(back)[self.at]
         self.content = mixed(mixed(content) ^ self.length.astype(np.uint64)).view(np.int64)
-        self.flat_common = is_frequent((self.flat_grams >> np.uint64(16)).astype(np.int64), common, bits)
+        self.flat_common = _is_common((self.flat_grams >> np.uint64(16)).astype(np.int64), common, bits, often)
+        self.flat_twice = np.ones(n, bool) if twice is None else _bit(twice, self.flat_grams)
         rare = self.counts - self._over(np.add, self.flat_common.astype(np.int64))
         # the class of a mostly common paragraph: its common n-grams, whatever their order, and how many others it has
         mark = self._over(np.add, np.where(self.flat_common, mixed(self.flat_grams + np.uint64(97)), np.uint64(0)))
@@ -162,13 +181,18 @@ class Paragraphs:
     def distinct(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of distinct n-grams, and of distinct common ones, of some paragraphs."""
         n, often = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
-        for count in np.unique(self.counts[used]).tolist():
-            here = np.flatnonzero(self.counts[used] == count)
-            at = self.at[used[here]][:, None] + np.arange(count)
-            grams = (self.flat_grams[at] >> np.uint64(16)).astype(np.int64)
-            n[here] = _distinct(grams)
-            common = np.where(self.flat_common[at], grams, -1)
-            often[here] = _distinct(common) - (common < 0).any(1)
+        order = np.argsort(self.counts[used], kind="stable")
+        sizes, at = np.unique(self.counts[used[order]], return_index=True)
+        ngrams = (self.flat_grams >> np.uint64(16)).astype(np.int64)
+        only_common = np.where(self.flat_common, ngrams, -1)
+        for count, here in zip(sizes.tolist(), np.split(order, at[1:])):
+            places = self.at[used[here]][:, None] + np.arange(count)
+            n[here] = _distinct(ngrams[places])
+            common = self.flat_common[places].any(1)
+            often[here] = 0
+            if common.any():
+                found = only_common[places[common]]
+                often[here[common]] = _distinct(found) - (found < 0).any(1)
         return n, often
 
     def gram_set(self, i: int, only_common: bool) -> np.ndarray:
@@ -189,68 +213,177 @@ class Paragraphs:
         return out
 
     def entries(self, bands: int, rows: int, rids: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fragment and (next 32 bits of the band value, document, vertex) of every paragraph and band."""
+        """Fragment and (next 32 bits of the band value, document, vertex, number and bits of its n-grams) of every paragraph and band.
+
+        Bands of an n-gram that occurs once are left out: nothing shares their bucket but paragraphs that overlap there.
+        """
         parts, found, shift = [], [], np.uint64(64 - fragments.bit_length() + 1)
-        documents = short_names(rids)[self.owner]
+        documents, n = short_names(rids)[self.owner], np.zeros(len(self.at), np.int64)
+        bit = np.uint64(1) << (self.flat_grams & np.uint64(63))
+        all_bits, common_bits = self._over(np.bitwise_or, bit), self._over(np.bitwise_or, np.where(self.flat_common, bit, np.uint64(0)))
+        bucket_of = []
         for band in range(bands):
             rare_value = np.full(len(self.at), band + 1, np.uint64)
-            common_value = rare_value.copy()
+            common_value, twice = rare_value.copy(), np.ones(len(self.at), bool)
             for row in range(rows):
-                key = mixed(self.flat_grams + np.uint64((band * rows + row + 1) * _BASE % 2**64)) >> np.uint64(1)
-                rare_value = mixed(rare_value ^ self._over(np.minimum, np.where(self.flat_common, key | _TOP, key)))
+                key = mixed(self.flat_grams + np.uint64((band * rows + row + 1) * _BASE % 2**64)) >> np.uint64(2) << np.uint64(1) | self.flat_twice  # the last bit tells about the least one
+                least = self._over(np.minimum, np.where(self.flat_common, key | _TOP, key))
+                twice &= least & np.uint64(1) > 0
+                rare_value = mixed(rare_value ^ least)
                 common_value = mixed(common_value ^ self._over(np.minimum, np.where(self.flat_common, key, _TOP)) ^ np.uint64(0x5555))
-            for values, vertex, used in ((rare_value, self.content, self.rare > 0), (common_value, self.kind, self.mostly_common)):
-                part = np.zeros(int(used.sum()), ENTRIES)
-                part["value"], part["document"], part["vertex"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used] | self._repeated(values, used), vertex[used]
-                parts.append((values[used] >> shift).astype(np.int64))
-                found.append(part)
+            bucket_of += [(rare_value, self.content, all_bits, (self.rare > 0) & twice), (common_value, self.kind, common_bits, self.mostly_common)]
+        taken = np.flatnonzero(np.any([used for *_, used in bucket_of], axis=0))
+        n[taken] = self.distinct(taken)[0]
+        for values, vertex, sketch, used in bucket_of:
+            part = np.zeros(int(used.sum()), ENTRIES)
+            part["value"], part["document"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used] | self._repeated(values, used)
+            part["vertex"], part["n"], part["sketch"] = vertex[used], n[used], sketch[used]
+            parts.append((values[used] >> shift).astype(np.int64))
+            found.append(part)
         return np.concatenate(parts), np.concatenate(found)
 
 
-def _paragraphs(batch: pa.RecordBatch, column: int, cache, common: np.ndarray, bits: int) -> Paragraphs:
-    texts = [x.as_py().encode("utf-8", "surrogatepass").lower() for x in batch.column(column)]
-    return Paragraphs([word_hashes(x, cache) for x in texts], common, bits, [_line_numbers(x) for x in texts])
+def _paragraphs(words: Words, shipped) -> Paragraphs:
+    return Paragraphs(words.texts(), *shipped.value[:2], words.breaks, *shipped.value[2:])
 
 
-def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int) -> DataFrame:
-    """Pairs (x, y) of vertices, a star for each bucket; (x, x) where a bucket holds one vertex several times.
+def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int, share: tuple[int, int], bits: int) -> DataFrame:
+    """Pairs (x, y) of vertices that share a bucket and may be similar, and what is in such buckets, by filter.
 
-    Buckets of a single document are left out where all its paragraphs overlap. ``x_in`` and ``y_in`` tell
-    the document of the least name that holds the vertex: all that hold it are in each of its buckets.
+    A bucket is cut into parts between which sizes and sketches rule similarity out, and a part is a star.
+    Parts of a single document are left out where all its paragraphs overlap. ``places`` are the bits of a
+    filter to set: for vertices, for documents that hold them, and for vertices of a pair together with the
+    document of the least name that holds them: all that hold a vertex are in each of its buckets.
     """
+    arrays = list(ENTRIES.names)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (common, bits) = hash_cache(), shipped.value
-        for batch in slices(batches, 4 * _ROWS):
-            part, found = _paragraphs(batch, 1, cache, common, bits).entries(bands, rows, batch.column(0).to_numpy(), fragments)
+        for batch in batches:
+            dealt = [_paragraphs(Words(some.column(1)), shipped).entries(bands, rows, some.column(0).to_numpy(), fragments) for some in slices([batch], _ROWS)]
+            if not dealt:
+                continue
+            part, found = (np.concatenate(x) for x in zip(*dealt))
             order = np.argsort(part, kind="stable")
+            found = found[order]
             kinds, at = np.unique(part[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(found[order], at[1:])] if len(kinds) else []
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "entries"])
+            blobs = [[x.tobytes() for x in np.split(found[name], at[1:])] if len(kinds) else [] for name in arrays]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["part", *arrays])
 
     def collide(table: pa.Table) -> pa.Table:
-        found = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRIES)
-        found = found[np.lexsort((found["document"], found["vertex"], found["value"]))]
-        starts = np.flatnonzero(np.concatenate([[True], found["value"][1:] != found["value"][:-1]]))
-        names = found["document"] & _NAME
-        several = (np.minimum.reduceat(names, starts) != np.maximum.reduceat(names, starts)) | (np.maximum.reduceat(found["document"] & ~_NAME, starts) > 0)
-        sizes = np.diff(np.append(starts, len(found)))
-        centre = np.repeat(found["vertex"][starts], sizes)
-        new = np.ones(len(found), bool)
-        new[1:] = (found["value"][1:] != found["value"][:-1]) | (found["vertex"][1:] != found["vertex"][:-1])
-        leads = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))  # the first entry of the vertex in its bucket
-        later = np.repeat(several, sizes)
-        later[starts] = False
-        pairs, at = np.unique(np.stack([centre[later], found["vertex"][later]], 1), axis=0, return_index=True)
-        x_in, y_in = np.repeat(names[starts], sizes)[later][at], names[leads][later][at]
-        documents = np.unique(names[np.repeat(several, sizes)])
-        bucket, at = np.unique(documents.astype(np.int64) * fragments >> 32, return_index=True)
-        blobs = [x.astype("<u4").tobytes() for x in np.split(documents, at[1:])] if len(bucket) else []
-        x, y, x_in, y_in = ([*column.tolist(), *[None] * len(blobs)] for column in (pairs[:, 0], pairs[:, 1], x_in >> 1, y_in >> 1))
-        return pa.table({"x": as_long(x), "y": as_long(y), "x_in": pa.array(x_in, pa.int32()), "y_in": pa.array(y_in, pa.int32()), "bucket": pa.array([*[None] * len(pairs), *bucket.tolist()], pa.int32()),
-                         "documents": pa.array([*[None] * len(pairs), *blobs], pa.binary())})
-
-    dealt = docs.select("rid", "x_text").mapInArrow(deal, "part int, entries binary")
-    return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, x_in int, y_in int, bucket int, documents binary"), "passage-candidates")
+        value, document, vertex, n, sketch = (np.frombuffer(b"".join(table.column(name).to_pylist()), ENTRIES[name]) for name in arrays)
+        order = np.argsort(value, kind="stable")
+        again = value[order][1:] == value[order][:-1]
+        order = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]  # without buckets of one entry
+        if not len(order):
+            return _collided([], [], [])
+        order = order[np.lexsort((document[order], sketch[order], vertex[order], n[order], value[order]))]
+        value, document, vertex, n, sketch = (x[order] for x in (value, document, vertex, n, sketch))
+        names, apart = document & _NAME, document & ~_NAME
+        new = np.ones(len(value), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in (value, n, vertex, sketch)], axis=0)
+        at = np.flatnonzero(new)  # the first entry of each vertex in its bucket, that of the least document
+        label = similar_parts(value[at], n[at].astype(np.int64), sketch[at], share)
+        entries = np.diff(np.append(at, len(value)))
+        by = np.argsort(label, kind="stable")
+        v, low, high, repeated = (x[by] for x in (vertex[at], names[at], np.maximum.reduceat(names, at), np.maximum.reduceat(apart, at) > 0))
+        start = np.ones(len(v), bool)
+        start[1:] = label[by][1:] != label[by][:-1]
+        starts = np.flatnonzero(start)
+        counts = np.diff(np.append(starts, len(v)))
+        several = (np.minimum.reduceat(low, starts) != np.maximum.reduceat(high, starts)) | np.logical_or.reduceat(repeated, starts)
+        paired = np.repeat(several & (counts > 1), counts)
+        taken = paired | (low != high) | repeated
+        centre = np.repeat(v[starts], counts)
+        later = paired & (v != centre)
+        pairs = np.unique(np.stack([centre[later], v[later]], 1), axis=0)
+        held = np.zeros(len(v), bool)
+        held[by] = taken
+        held = np.repeat(held, entries)
+        return _collided(pairs[:, 0].tolist(), pairs[:, 1].tolist(), [_places(kind, x, bits) for kind, x in (
+            (_VERTEX, v[taken].view(np.uint64)), (_HOLDER, _held_by(v[paired], low[paired])), (_DOCUMENT, names[held].astype(np.uint64)))])
+
+    dealt = docs.select("rid", "x_text").mapInArrow(deal, "part int, " + ", ".join(f"{name} binary" for name in arrays))
+    return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, kind int, slice int, places binary"), "passage-candidates")
+
+
+def similar_parts(bucket: np.ndarray, size: np.ndarray, sketch: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """For the vertices of some buckets, one after another, the place of one of their part.
+
+    Vertices that may be similar are in one part. A bit of the sketch of one that another lacks is
+    an n-gram that the other lacks, so sketches bound what two have in common.
+    """
+    top, bottom = share
+
+    def possible(a, b) -> np.ndarray:
+        shared = np.minimum(size[a] - np.bitwise_count(sketch[a] & ~sketch[b]), size[b] - np.bitwise_count(sketch[b] & ~sketch[a]))
+        return (top + bottom) * shared >= top * (size[a] + size[b])
+
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    counts = np.diff(np.append(starts, len(bucket)))
+    label = np.arange(len(bucket))
+    few = counts <= MOST_PAIRED
+    a, b = pairs_of(counts[few], starts[few])
+    near = possible(a, b)
+    a, b, before = a[near], b[near], None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    for begin, count in zip(starts[~few].tolist(), counts[~few].tolist()):
+        rest = np.arange(begin, begin + count)
+        while len(rest):
+            root, rest = rest[0], rest[1:]
+            reached = [root]
+            while reached and len(rest):
+                near = possible(reached.pop(), rest)
+                label[rest[near]] = root
+                reached += rest[near].tolist()
+                rest = rest[~near]
+    return label
+
+
+def _held_by(vertices: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """What stands for a vertex and a document that holds it."""
+    return vertices.view(np.uint64) ^ mixed(documents.astype(np.uint64))
+
+
+def _places(kind: int, names: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
+    """The places of some names in a filter, by its slices."""
+    places = np.unique(mixed(names) >> np.uint64(64 - bits)).astype(np.int64)
+    each = (1 << bits) // _SLICES
+    kinds, at = np.unique(places // each, return_index=True)
+    return [(kind, k, x.tobytes()) for k, x in zip(kinds.tolist(), np.split((places % each).astype("<u4"), at[1:]))]
+
+
+def _collided(x: list[int], y: list[int], places: list[list[tuple[int, int, bytes]]]) -> pa.Table:
+    flat = [p for some in places for p in some]
+    none = [None] * len(x)
+    x, y = ([*some, *[None] * len(flat)] for some in (x, y))
+    return pa.table({"x": as_long(x), "y": as_long(y), **{name: pa.array([*none, *(p[i] for p in flat)], kind) for i, (name, kind) in enumerate((("kind", pa.int32()), ("slice", pa.int32()), ("places", pa.binary())))}})
+
+
+def _filters(collisions: DataFrame, bits: int):
+    """A bit field for each filter, sent to every task."""
+    each = (1 << bits) // _SLICES
+
+    def fill(table: pa.Table) -> pa.Table:
+        flags = np.zeros(each, bool)
+        for places in table.column("places"):
+            flags[np.frombuffer(places.as_py(), "<u4")] = True
+        return pa.table({**{name: table.column(name).slice(0, 1) for name in ("kind", "slice")}, "places": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    filled = written(collisions.where(F.col("kind").isNotNull()).select("kind", "slice", "places").groupBy("kind", "slice").applyInArrow(fill, "kind int, slice int, places binary"), "passage-filters")
+    fields = [np.zeros((1 << bits) // 8, np.uint8) for _ in _FILTERS]
+    for row in filled.toLocalIterator():
+        fields[row[0]][row[1] * each // 8:(row[1] + 1) * each // 8] = np.frombuffer(row[2], np.uint8)
+    return collisions.sparkSession.sparkContext.broadcast(fields)
+
+
+def _in(field: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether a filter holds the names; it may hold others as well."""
+    return _bit(field, mixed(names))
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
@@ -260,100 +393,54 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
 
 
 def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, in code points, of the words ``[^\\x20\\x09-\\x0D]+``."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.concatenate([[False], (points != 32) & ((points < 9) | (points > 13)), [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
-
+    """Starts and ends, in code points, of the words of one text."""
+    return Words(pa.array([text])).spans()
 
-def _documents(collisions: DataFrame) -> np.ndarray | None:
-    """Short names of the documents with a collision, sorted; None when they are too many to be sent to every task."""
-    def distinct(table: pa.Table) -> pa.Table:
-        names = np.unique(np.frombuffer(b"".join(table.column("documents").to_pylist()), "<u4"))
-        return pa.table({"documents": pa.array([names.tobytes()], pa.binary()), "n": as_long([len(names)])})
 
-    found = written(collisions.where(F.col("bucket").isNotNull()).select("bucket", "documents").groupBy("bucket").applyInArrow(distinct, "documents binary, n long"), "passage-documents")
-    if (found.agg(F.sum("n")).first()[0] or 0) > MOST_SENT:
-        return None
-    return np.sort(np.frombuffer(b"".join(r[0] for r in found.select("documents").collect()), "<u4"))
+def _colliding(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    """The rows whose number, in the first column, is that of a document with a collision."""
+    for batch in slices(batches, _ROWS):
+        batch = batch.filter(pa.array(_in(filters.value[_DOCUMENT], short_names(batch.column(0).to_numpy()).astype(np.uint64))))
+        if batch.num_rows:
+            yield batch
 
 
-def _occurrences(docs: DataFrame, shipped, edges: DataFrame, documents: np.ndarray | None) -> DataFrame:
+def _occurrences(docs: DataFrame, shipped, filters) -> DataFrame:
     """Place and vertices of the paragraphs that take part, and the n-grams to verify a vertex by.
 
     ``at`` and ``size`` count words, ``room`` the words behind, as far as they may matter. The n-grams are
-    in one document of the vertex, or once per task batch if the vertices are too many to be named.
-    Documents without a collision are passed over, if the others are few enough to be named.
+    in one document of the vertex. Filters let a few others through: vertices that occur once, which
+    make no cluster, and n-grams that other documents have as well.
     """
-    named = docs.sparkSession.sparkContext.broadcast(documents)
-    paired = (F.col("x") != F.col("y")).alias("paired")
-    ends = edges.select(F.col("x").alias("vertex"), paired, F.col("x_in").alias("holder")).unionByName(edges.select(F.col("y").alias("vertex"), paired, F.col("y_in").alias("holder")))
-    ends = written(ends.groupBy("vertex").agg(F.max("paired").alias("paired"), F.min("holder").alias("holder")), "passage-vertices")
-    few = ends.count() <= MOST_SENT
-    known = None
-    if few:
-        table = ends.toArrow()
-        vertex, holder = table["vertex"].to_numpy(), np.where(table["paired"].to_numpy(), table["holder"].to_numpy().astype(np.int32), np.int32(-1))
-        order = np.argsort(vertex)
-        known = docs.sparkSession.sparkContext.broadcast((vertex[order], holder[order]))
-
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (common, bits) = hash_cache(), shipped.value
-        vertex, holder = known.value if known is not None else (None, None)
-
-        def status(names: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if vertex is None:
-                return np.ones(len(names), bool), np.ones(len(names), bool)
-            if not len(vertex):
-                return np.zeros(len(names), bool), np.zeros(len(names), bool)
-            at = np.minimum(np.searchsorted(vertex, names), len(vertex) - 1)
-            here = vertex[at] == names
-            return here, here & (holder[at] == documents)
-
-        for batch in slices(batches, _ROWS):
-            if named.value is not None:
-                own = short_names(batch.column(0).to_numpy())
-                at = np.minimum(np.searchsorted(named.value, own), max(0, len(named.value) - 1))
-                batch = batch.filter(pa.array(named.value[at] == own if len(named.value) else np.zeros(len(own), bool)))
-            p = _paragraphs(batch, 2, cache, common, bits)
-            documents = (short_names(batch.column(0).to_numpy()) >> 1).astype(np.int32)[p.owner]
-            (by_content, pair_content), (by_kind, pair_kind) = status(p.content, documents), status(p.kind, documents)
-            pair_content &= p.rare > 0
-            used = np.flatnonzero((by_content & (p.rare > 0)) | (by_kind & p.mostly_common))
-            owner, place, content, common_kind = p.owner[used], p.place[used], p.content[used], p.mostly_common[used]
-            kind = p.kind[used]
+        vertices, holders, _ = filters.value
+        for batch in _colliding(batches, filters):
+            words = Words(batch.column(1))
+            p = _paragraphs(words, shipped)
+            documents = short_names(batch.column(0).to_numpy())[p.owner]
+            by_content = (p.rare > 0) & _in(vertices, p.content.view(np.uint64))
+            by_kind = p.mostly_common & _in(vertices, p.kind.view(np.uint64))
+            used = np.flatnonzero(by_content | by_kind)
+            owner, place, size, content, kind, common_kind = (x[used] for x in (p.owner, p.place, p.length, p.content, p.kind, p.mostly_common))
             n, n_often = p.distinct(used)
             alike = common_kind & (7 * n_often >= 6 * n)  # two of this class are always similar
-            start, end, behind = (np.empty(len(used), np.int64) for _ in range(3))
-            size, kinds = p.length[used], np.unique(owner)
-            bounds = np.searchsorted(owner, np.append(kinds, len(batch)))
-            for i, low, high in zip(kinds.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                begins, stops = _word_spans(batch.column(2)[i].as_py())
-                last = place[low:high] + size[low:high]
-                start[low:high], end[low:high], behind[low:high] = begins[place[low:high]], stops[last - 1], len(begins) - last
-            behind = np.minimum(behind, _reach(size))
+            begins, stops = words.spans()
+            start, end = begins[p.at[used]], stops[p.at[used] + size - 1]
+            behind = np.minimum(words.counts[owner] - place - size, _reach(size))
             sets: list[list[bytes | None]] = []
-            for names_of, wanted, only_common in ((content, pair_content[used], False), (kind, pair_kind[used] & common_kind, True)):
+            for names_of, wanted, only_common in ((content, by_content[used], False), (kind, by_kind[used], True)):
                 column: list[bytes | None] = [None] * len(used)
-                chosen = np.flatnonzero(wanted)
+                chosen = np.flatnonzero(wanted & _in(holders, _held_by(names_of, documents[used])))
                 for i in chosen[np.unique(names_of[chosen], return_index=True)[1]].tolist():
                     column[i] = packed(p.gram_set(used[i], only_common))
                 sets.append(column)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), as_long(start), as_long(end), as_long(content),
-                 pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]), *(pa.array(x, pa.int32()) for x in (place, size, behind)), *(pa.array(column, pa.binary()) for column in sets)], names)
+                [batch.column(0).take(pa.array(owner)), as_long(start), as_long(end), as_long(content), pa.array(kind, pa.int64(), mask=~common_kind), as_long(n), pa.array(alike), pa.array(p.uniform[used]),
+                 *(pa.array(x, pa.int32()) for x in (place, size, behind)), *(pa.array(column, pa.binary()) for column in sets)], names)
 
-    names = ["rid", "key", "start", "end", "content", "kind", "n", "alike", "uniform", "at", "size", "room", "content_ngrams", "kind_ngrams"]
-    longs = {"rid", "start", "end", "content", "kind", "n"}
-    kinds = {"key": docs.schema["key"].dataType, "alike": T.BooleanType(), "uniform": T.BooleanType(), **dict.fromkeys(("at", "size", "room"), T.IntegerType()), "content_ngrams": T.BinaryType(), "kind_ngrams": T.BinaryType()}
-    schema = T.StructType([T.StructField(name, T.LongType() if name in longs else kinds[name]) for name in names])
-    found = docs.select("rid", "key", "x_text").mapInArrow(locate, schema)
-    if not few:
-        vertices = ends.select(F.col("vertex").alias("content"))
-        found = written(found, "passage-paragraphs")
-        found = found.join(vertices, "content", "left_semi").unionByName(found.join(vertices, "content", "left_anti").join(vertices.withColumnRenamed("content", "kind"), "kind", "left_semi").select(*names))
-    return written(found, "passage-occurrences", "zstd")
+    schema = "rid long, start long, end long, content long, kind long, n long, alike boolean, uniform boolean, at int, size int, room int, content_ngrams binary, kind_ngrams binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return written(docs.select("rid", "x_text").mapInArrow(locate, schema), "passage-occurrences", "zstd")
 
 
 def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -369,38 +456,48 @@ def _clustered(found: DataFrame, edges: DataFrame, share: tuple[int, int]) -> Da
     return components(both, "id", "root", "passage-components").withColumnRenamed("vertex", "content")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-    """For a column of lists of structs, the row of every struct, and the columns of the structs."""
-    structs = column.flatten()
-    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), structs.flatten()
+_SPAN = ["start", "end", "component", "uniform", "at", "size", "room"]
+
 
+def _dealt(df: DataFrame, tasks: int, by: str = "rid") -> GroupedData:
+    """The rows of a document together, about as many for each of some tasks."""
+    return df.withColumn("task", F.pmod(F.xxhash64(by), F.lit(tasks))).groupBy("task")
 
-_SPAN = ["start", "end", "component", "uniform", "at", "size", "room"]
 
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(name).to_numpy() for name in names]
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """Paragraphs that overlap one of the same cluster before them in the same row are no repetition: they are judged with it, their ``head``."""
-    schema = T.StructType([*placed.schema.fields, T.StructField("head", T.LongType()), T.StructField("main", T.BooleanType())])
-    per_row = placed.groupBy("rid").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct(*_SPAN))).alias("spans"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            row, columns = _flat(batch.column(2))
-            heads, mains, last, now = [], [], {}, -1
-            for i, start, end, component in zip(row.tolist(), *(c.to_pylist() for c in columns[:3])):
-                if i != now:
-                    last, now = {}, i
-                head, stop = last.get(component, (0, 0))
-                main = start >= stop
-                if main:
-                    head = start
-                    last[component] = start, end
-                heads.append(head)
-                mains.append(main)
-            owner = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *columns, as_long(heads), pa.array(mains, pa.bool_())], schema.names)
-
-    return per_row.mapInArrow(run, schema)
+def _apart(placed: DataFrame, order: DataFrame, tasks: int) -> DataFrame:
+    """Paragraphs that overlap one of the same cluster before them in the same row are no repetition: they are judged with it, which is ``main``.
+
+    ``lead`` are the first one of a cluster in its row and those that are judged with it.
+    """
+    schema = "rid long, order long, start long, end long, component long, uniform boolean, at int, size int, room int, main boolean, lead boolean"
+
+    def run(spans: pa.Table, orders: pa.Table) -> pa.Table:
+        rid, start, end, component = _columns(spans, "rid", "start", "end", "component")
+        by = np.lexsort((end, start, component, rid))
+        rid, start, end, component = rid[by], start[by], end[by], component[by]
+        new = np.ones(len(rid), bool)
+        new[1:] = (rid[1:] != rid[:-1]) | (component[1:] != component[:-1])
+        main, lead, first = new.copy(), new.copy(), True
+        several = np.flatnonzero(np.repeat(counts := np.diff(np.append(np.flatnonzero(new), len(rid))), counts) > 1)
+        stop = 0
+        for i, begins, s, e in zip(several.tolist(), new[several].tolist(), start[several].tolist(), end[several].tolist()):
+            if begins:
+                first, stop = True, e
+            elif s >= stop:
+                main[i], first, stop = True, False, e
+            else:
+                lead[i] = first
+        known, numbers = _columns(orders, "rid", "order")
+        at = np.argsort(known)
+        number = numbers[at][np.searchsorted(known[at], rid)]
+        rest = spans.take(pa.array(by))
+        return pa.table([pa.array(rid), as_long(number), *(rest.column(name) for name in _SPAN), pa.array(main), pa.array(lead)], ["rid", "order", *_SPAN, "main", "lead"])
+
+    return _dealt(placed, tasks).cogroup(_dealt(order, tasks)).applyInArrow(run, schema)
 
 
 def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -456,68 +553,103 @@ def open_sides(row: np.ndarray, at: np.ndarray, size: np.ndarray, room: np.ndarr
     return left, right
 
 
-def _extensions(judged: DataFrame, texts: DataFrame) -> DataFrame:
+def _extensions(judged: DataFrame, texts: DataFrame, filters, fragments: int, tasks: int) -> DataFrame:
     """The words next to repeated paragraphs, outside of all of them, that another member of the cluster has in the same place.
 
-    A row per word: which row it is in, from where to where, and whether another one keeps it. Words are
+    A row per word: which document it is in, from where to where, and whether another one keeps it. Words are
     compared only at the distances at which some member of the cluster has a word that no paragraph holds.
+    They go to the tasks that compare them in arrays, an entry per word and not a row.
     """
-    places = ["component", "at", "size"]
-    per_row = judged.groupBy("rid").agg(F.collect_list(F.struct(*places, "room")).alias("spans"))
+    places = ["rid", "order", "component", "at", "size"]
 
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            row, (component, at, size, room) = _flat(batch.column(1))
-            masks = open_sides(row, *(c.to_numpy().astype(np.int64) for c in (at, size, room)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), component, at, size, *(pa.array(m) for m in masks)], ["rid", *places, "left", "right"])
+    def sides(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("rid").to_numpy(), kind="stable")))
+        rid, *spans = _columns(table, "rid", "at", "size", "room")
+        left, right = open_sides(rid, *(x.astype(np.int64) for x in spans))
+        return pa.table([*(table.column(name) for name in places), as_long(left), as_long(right)], [*places, "left", "right"])
 
-    ends = written(per_row.mapInArrow(sides, "rid long, component long, at int, size int, left long, right long"), "passage-ends", "zstd")
+    ends = written(_dealt(judged.select(*places, "room"), tasks).applyInArrow(sides, "rid long, order long, component long, at int, size int, left long, right long"), "passage-ends", "zstd")
     wanted = ends.groupBy("component").agg(F.bit_or("left").alias("any_left"), F.bit_or("right").alias("any_right")).where("any_left <> 0 OR any_right <> 0")
-    spans = ends.join(wanted, "component").groupBy("rid").agg(F.collect_list(F.struct(*places, "left", "right", "any_left", "any_right")).alias("spans"))
-    names = ["rid", "key", "place", "words", "component", "start", "end", "open"]
-    longs = [T.StructField(n, T.LongType()) for n in names]
-    schema = T.StructType([longs[0], T.StructField("key", texts.schema["key"].dataType), *longs[2:7], T.StructField("open", T.BooleanType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = hash_cache()
-        for batch in slices(batches):
-            row, columns = _flat(batch.column(3))
-            component, at, size, *masks = (c.to_numpy().astype(np.int64) for c in columns)
-            passages = batch.column(2).to_pylist()
-            hashes = [word_hashes(x.encode("utf-8", "surrogatepass").lower(), cache) >> np.uint64(16) for x in passages]
-            begins, stops = (np.concatenate(x) for x in zip(*(_word_spans(x) for x in passages)))
-            counts, value = np.array([len(x) for x in hashes], np.int64), np.concatenate(hashes)
-            base, words = (np.cumsum(counts) - counts)[row], counts[row]
-            most, found = _reach(size), []
-            for side, mask, needed in ((0, masks[0], masks[2]), (1, masks[1], masks[3])):
-                name = mixed(mixed(component.astype(np.uint64)) ^ np.uint64(side + 1))
-                place = stops[base + at + size - 1] if side else begins[base + at]
-                near, here = place.copy(), np.arange(len(row))
-                for d in range(_FARTHEST):
-                    there = at + size + d if side else at - 1 - d
-                    here = here[(d < most[here]) & (there[here] >= 0) & (there[here] < words[here]) & (needed[here] >> d != 0)]
-                    word = base[here] + there[here]
-                    name[here] = mixed(name[here] ^ value[word]) + np.uint64(0x165667B19E3779F9)
-                    far = stops[word] if side else begins[word]
-                    chosen = needed[here] >> d & 1 > 0
-                    k = here[chosen]
-                    found.append((row[k], place[k], name[k].view(np.int64), component[k], *((near[k], far[chosen]) if side else (far[chosen], near[k])), mask[k] >> d & 1))
-                    near[here] = far
-            row, place, name, *others = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((place, name, row))
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (row, place, name)], axis=0)  # a line and a run may end at one word
-            once = order[new]
-            once = once[np.lexsort((others[1][once], place[once], row[once]))]  # close values side by side
-            row, place, name, component, start, end, free = (x[once] for x in (row, place, name, *others))
-            owner, held = pa.array(row), free == 0  # of words that a paragraph holds, only the name counts
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(name),
-                                              *(pa.array(x, mask=held) for x in (component, start, end)), pa.array(~held)], names)
-
-    words = written(texts.select("rid", "key", "x_text").join(spans, "rid").mapInArrow(run, schema), "passage-words", "zstd")
-    shared = words.groupBy("words").agg(F.min(F.struct("key", "rid", "place")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    held = words.where("open").join(shared.select("words", F.col("first.rid").alias("first_rid"), F.col("first.place").alias("first_place")), "words")
-    return held.select("rid", "key", "start", "end", "component", (~((F.col("rid") == F.col("first_rid")) & (F.col("place") == F.col("first_place")))).alias("removed"))
+    spans = ends.join(wanted, "component")
+    held = texts.select("rid", "x_text").mapInArrow(lambda batches: _colliding(batches, filters), "rid long, x_text string")
+    arrays = ["names", "orders", "places", "open", "spans", "components"]
+
+    def run(spans: pa.Table, texts: pa.Table) -> pa.Table:
+        spans = spans.take(pa.array(np.argsort(spans.column("rid").to_numpy(), kind="stable")))
+        rids = spans.column("rid").to_numpy()
+        known = texts.column("rid").to_numpy()
+        at = np.flatnonzero(np.isin(known, rids))
+        at = at[np.argsort(known[at])]
+        found = []
+        for begin in range(0, len(at), _ROWS):
+            some = at[begin:begin + _ROWS]
+            low, high = np.searchsorted(rids, known[some[0]]), np.searchsorted(rids, known[some[-1]], "right")
+            found.append(_neighbours(texts.column("x_text").take(pa.array(some)).combine_chunks(), np.searchsorted(known[some], rids[low:high]), spans.slice(low, high - low)))
+        if not found:
+            return pa.table({"part": pa.array([], pa.int32()), **{name: pa.array([], pa.binary()) for name in arrays}})
+        name, order, place, free, start, end, component = (np.concatenate(x) for x in zip(*found))
+        lead = np.uint64(fragments.bit_length() - 1)
+        part = (name >> (np.uint64(64) - lead)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        kinds, cuts = np.unique(part[by], return_index=True)
+        rows = []
+        for x in np.split(by, cuts[1:]):
+            own = x[free[x]]
+            rows.append((packed(((name[x] << lead) >> np.uint64(16)).astype(np.int64)), order[x].tobytes(), place[x].astype("<u4").tobytes(), free[x].tobytes(),
+                         np.stack([start[own], end[own]]).astype("<u4").tobytes(), component[own].tobytes()))
+        return pa.table([pa.array(kinds, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows))], ["part", *arrays])
+
+    def compare(table: pa.Table) -> pa.Table:
+        name = unpacked(b"".join(table.column("names").to_pylist()))
+        order, place, free, component = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("orders", "<i8"), ("places", "<u4"), ("open", bool), ("components", "<i8")))
+        start, end = (np.concatenate(x) for x in zip(*(np.frombuffer(x, "<u4").reshape(2, -1) for x in table.column("spans").to_pylist())))
+        by = np.argsort(name, kind="stable")
+        again = name[by][1:] == name[by][:-1]
+        by = by[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
+        by = by[np.lexsort((place[by], order[by], name[by]))]
+        later = np.zeros(len(by), bool)
+        later[1:] = name[by][1:] == name[by][:-1]
+        mine = free[by]
+        own = (np.cumsum(free) - 1)[by[mine]]
+        return pa.table([as_long(order[by[mine]]), *(as_long(x[own].astype(np.int64)) for x in (start, end)), as_long(component[own]), pa.array(later[mine])], ["order", "start", "end", "component", "removed"])
+
+    words = _dealt(spans, max(tasks, fragments)).cogroup(_dealt(held, max(tasks, fragments))).applyInArrow(run, "part int, " + ", ".join(f"{name} binary" for name in arrays))
+    return written(words.groupBy("part").applyInArrow(compare, "order long, start long, end long, component long, removed boolean"), "passage-words")
+
+
+def _neighbours(texts: pa.Array, row: np.ndarray, spans: pa.Table) -> list[np.ndarray]:
+    """For the words next to the paragraphs of some texts: name, document, place, whether it is open, start, end and component.
+
+    The name of a word tells its cluster, side, and all words from the paragraph on.
+    """
+    words = Words(texts)
+    begins, stops = words.spans()
+    value = words.hashes >> np.uint64(16)
+    order, component = _columns(spans, "order", "component")
+    at, size, *masks = (x.astype(np.int64) for x in _columns(spans, "at", "size", "left", "right", "any_left", "any_right"))
+    base, counts = (np.cumsum(words.counts) - words.counts)[row], words.counts[row]
+    most, found = _reach(size), []
+    for side, mask, needed in ((0, masks[0], masks[2]), (1, masks[1], masks[3])):
+        name = mixed(mixed(component.view(np.uint64)) ^ np.uint64(side + 1))
+        place = stops[base + at + size - 1] if side else begins[base + at]
+        near, here = place.copy(), np.arange(len(row))
+        for d in range(_FARTHEST):
+            there = at[here] + size[here] + d if side else at[here] - 1 - d
+            here = here[inside := (d < most[here]) & (there >= 0) & (there < counts[here]) & (needed[here] >> d != 0)]
+            word = base[here] + there[inside]
+            name[here] = mixed(name[here] ^ value[word]) + np.uint64(0x165667B19E3779F9)
+            far = stops[word] if side else begins[word]
+            chosen = needed[here] >> d & 1 > 0
+            k = here[chosen]
+            found.append((row[k], place[k], name[k], component[k], *((near[k], far[chosen]) if side else (far[chosen], near[k])), order[k], mask[k] >> d & 1 > 0))
+            near[here] = far
+    row, place, name, component, start, end, order, free = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((place, name, row))
+    new = np.ones(len(by), bool)
+    new[1:] = np.any([x[by][1:] != x[by][:-1] for x in (row, place, name)], axis=0)  # a line and a run may end at one word
+    once = by[new]
+    once = once[np.lexsort((place[once], row[once]))]  # close values side by side
+    return [x[once] for x in (name, order, place, free, start, end, component)]
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
@@ -527,45 +659,53 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
 
 def _passages(texts: DataFrame, key: str, share: tuple[int, int], recall: float) -> DataFrame:
     """``texts`` is a written table of rid, key and x_text."""
+    texts.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # every step is written; its shuffles go when it ends
     bands, rows = tuned(share[0] / share[1], recall)
     fragments = order_fragments(texts, "x_text")
+    bits = min(MOST_BITS, fragments.bit_length() + 19)  # a bit for each 16 bytes of text
 
     def ngrams_of(column: pa.Array) -> np.ndarray:
-        cache = hash_cache()
-        words = [word_hashes(x.as_py().encode("utf-8", "surrogatepass").lower(), cache) for x in column]
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.concatenate([*words, np.zeros(WIDTH, np.uint64)])
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))  # words to the end of the text
-        return (_grams(flat, len(left))[left >= WIDTH] >> np.uint64(16)).astype(np.int64)
-
-    common = frequent_ngrams(texts.select("x_text"), ngrams_of, fragments)  # the order costs a pass, and saves most candidates
-    shipped = texts.sparkSession.sparkContext.broadcast(common)
-    collisions = _edges(texts, shipped, fragments, bands, rows)
-    edges = collisions.where(F.col("x").isNotNull()).select("x", "y", "x_in", "y_in")
-    found = _occurrences(texts, shipped, edges, _documents(collisions))
+        found = []
+        for begin in range(0, len(column), _ROWS):
+            words = Words(column.slice(begin, _ROWS))
+            left = np.repeat(np.cumsum(words.counts), words.counts) - np.arange(len(words.hashes))  # words to the end of the text
+            found.append((_grams(np.concatenate([words.hashes, np.zeros(WIDTH, np.uint64)]), len(left))[left >= WIDTH] >> np.uint64(16)).astype(np.int64))
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+    twice_bits = min(MOST_BITS, fragments.bit_length() + 21)  # a bit for each four bytes of text
+    common, common_bits, twice = frequent_ngrams(texts.select("x_text"), ngrams_of, fragments, twice_bits=twice_bits)  # the order costs a pass, and saves most candidates
+    shipped = texts.sparkSession.sparkContext.broadcast((common, common_bits, short_table(common), twice))
+    collisions = _edges(texts, shipped, fragments, bands, rows, share, bits)
+    edges = collisions.where(F.col("x").isNotNull()).select("x", "y")
+    filters = _filters(collisions, bits)
+    found = _occurrences(texts, shipped, filters)
+    tasks = tasks_for(found, TASK_ROWS)
     clusters = _clustered(found, edges, share)
-    placed = found.select("rid", "key", "content", *(n for n in _SPAN if n != "component")).join(clusters, "content", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "content")).select("rid", "key", *_SPAN)
-    placed = written(_apart(placed), "passage-places", "zstd")
-    firsts = placed.where("main").groupBy("component").agg(F.min(F.struct("key", "rid", "start")).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"),
-                                             F.count(F.lit(1)).alias("times"), F.bool_or("uniform").alias("uniform")).where("low < high OR times > 1 AND NOT uniform")
-    judged = placed.join(firsts.select("component", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start")), "component")
-    removed = ~((F.col("rid") == F.col("first_rid")) & (F.col("head") == F.col("first_start")))
-    judged = written(judged.select("rid", "key", "start", "end", "component", "at", "size", "room", removed.alias("removed")), "passage-judged", "zstd")
-    whole = judged.select("rid", "key", "start", "end", "component", "removed").unionByName(_extensions(judged, texts))
-    per_row = whole.groupBy("rid").agg(F.first("key").alias("key"), F.collect_list(F.struct("start", "end", "component", "removed")).alias("spans"))
-    schema = T.StructType([T.StructField(key, texts.schema["key"].dataType), *(T.StructField(n, T.LongType()) for n in ("row_number", "start", "end", "cluster")), T.StructField("removed", T.BooleanType())])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = []
-            for i, (rid, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                kept = _merged([(s["start"], s["end"], s["component"]) for s in spans if not s["removed"]])
-                gone = _minus(_merged([(s["start"], s["end"], s["component"]) for s in spans if s["removed"]]), kept)
-                out += [(i, rid, *s, False) for s in kept] + [(i, rid, *s, True) for s in gone]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([r[0] for r in out], pa.int64())), *(as_long([r[i] for r in out]) for i in range(1, 5)), pa.array([r[5] for r in out], pa.bool_())], schema.names)
-
-    return per_row.mapInArrow(merge, schema)
+    order = written(texts.select("key", "rid").orderBy("key", "rid").withColumn("order", F.monotonically_increasing_id()), "passage-order")
+    placed = found.select("rid", "content", *(n for n in _SPAN if n != "component")).join(clusters, "content", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "content")).select("rid", *_SPAN)
+    placed = written(_apart(placed, order.select("rid", "order"), tasks), "passage-places", "zstd")
+    firsts = placed.where("main").groupBy("component").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.count(F.lit(1)).alias("times"), F.bool_or("uniform").alias("uniform"))
+    firsts = firsts.where("first < last OR times > 1 AND NOT uniform").select("component", "first")
+    judged = placed.join(firsts, "component").withColumn("removed", ~((F.col("order") == F.col("first")) & F.col("lead")))
+    judged = written(judged.select("rid", "order", "start", "end", "component", "at", "size", "room", "removed"), "passage-judged", "zstd")
+    whole = judged.select("order", "start", "end", "component", "removed").unionByName(_extensions(judged, texts, filters, fragments, tasks))
+
+    def merge(table: pa.Table) -> pa.Table:
+        number = table.column("order").to_numpy()
+        table = table.take(pa.array(np.argsort(number, kind="stable")))
+        number, start, end, component, removed = _columns(table, "order", "start", "end", "component", "removed")
+        bounds = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])).tolist()
+        spans, gone_, out = list(zip(start.tolist(), end.tolist(), component.tolist())), removed.tolist(), []
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            document = int(number[low])
+            kept = _merged([s for s, away in zip(spans[low:high], gone_[low:high]) if not away])
+            gone = _minus(_merged([s for s, away in zip(spans[low:high], gone_[low:high]) if away]), kept)
+            out += [(document, *s, False) for s in kept] + [(document, *s, True) for s in gone]
+        return pa.table([*(as_long([r[i] for r in out]) for i in range(4)), pa.array([r[4] for r in out], pa.bool_())], ["order", "start", "end", "cluster", "removed"])
+
+    merged = _dealt(whole, tasks, "order").applyInArrow(merge, "order long, start long, end long, cluster long, removed boolean")
+    return merged.join(order, "order").select(F.col("key").alias(key), F.col("rid").alias("row_number"), "start", "end", "cluster", "removed")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (3, 4), recall: float = 0.95) -> DataFrame:
