@@ -20,6 +20,10 @@ least three quarters common are compared by their common part and the number of
 rare n-grams: those of equal common part are one vertex, whatever else they hold. Both
 parts are exact for pairs that collide; no bucket is cut.
 
+A bucket joins only paragraphs whose sizes and sketches (64 bits of their n-grams) let them be
+similar; bands whose n-gram occurs once make no entry. What takes part is told to the tasks by
+bit fields of bounded size, which may let more through and change no result.
+
 Defined cases: null and empty texts, and texts of fewer than ``WIDTH`` words, have no
 passages, and shorter lines only as part of a run; a passage that occurs twice in one row, apart from each other, is repeated, but a
 run of one and the same word in one row only is not; repeated rows are repeated passages; a
@@ -44,7 +48,7 @@ PARAGRAPH = 24  # words
 WIDTH = 5  # words of an n-gram
 MOST_BITS = 29  # of a filter that is sent to every task (64 MB); fuller ones let more through, results never depend on them
 TASK_ROWS = 100_000  # paragraphs of a task, where those of a row are needed together
-ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8"), ("n", "<u4"), ("sketch", "<u8")])
+ENTRIES = np.dtype([("value", "<u4"), ("document", "<u4"), ("vertex", "<i8"), ("n", "<u4"), ("own", "<u4"), ("sketch", "<u8")])
 MOST_PAIRED = 64  # vertices of a bucket whose pairs are listed; larger buckets are searched
 _ROWS = 512
 _SLICES = 16  # tasks that make a filter
@@ -213,12 +217,12 @@ class Paragraphs:
         return out
 
     def entries(self, bands: int, rows: int, rids: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fragment and (next 32 bits of the band value, document, vertex, number and bits of its n-grams) of every paragraph and band.
+        """Fragment and (next 32 bits of the band value, document, vertex, number of its n-grams, of those it is compared by, and their bits) of every paragraph and band.
 
         Bands of an n-gram that occurs once are left out: nothing shares their bucket but paragraphs that overlap there.
         """
         parts, found, shift = [], [], np.uint64(64 - fragments.bit_length() + 1)
-        documents, n = short_names(rids)[self.owner], np.zeros(len(self.at), np.int64)
+        documents, n, often = short_names(rids)[self.owner], np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
         bit = np.uint64(1) << (self.flat_grams & np.uint64(63))
         all_bits, common_bits = self._over(np.bitwise_or, bit), self._over(np.bitwise_or, np.where(self.flat_common, bit, np.uint64(0)))
         bucket_of = []
@@ -231,13 +235,13 @@ class Paragraphs:
                 twice &= least & np.uint64(1) > 0
                 rare_value = mixed(rare_value ^ least)
                 common_value = mixed(common_value ^ self._over(np.minimum, np.where(self.flat_common, key, _TOP)) ^ np.uint64(0x5555))
-            bucket_of += [(rare_value, self.content, all_bits, (self.rare > 0) & twice), (common_value, self.kind, common_bits, self.mostly_common)]
+            bucket_of += [(rare_value, self.content, n, all_bits, (self.rare > 0) & twice), (common_value, self.kind, often, common_bits, self.mostly_common)]
         taken = np.flatnonzero(np.any([used for *_, used in bucket_of], axis=0))
-        n[taken] = self.distinct(taken)[0]
-        for values, vertex, sketch, used in bucket_of:
+        n[taken], often[taken] = self.distinct(taken)
+        for values, vertex, own, sketch, used in bucket_of:
             part = np.zeros(int(used.sum()), ENTRIES)
             part["value"], part["document"] = (values[used] >> (shift - np.uint64(32))) & np.uint64(0xFFFFFFFF), documents[used] | self._repeated(values, used)
-            part["vertex"], part["n"], part["sketch"] = vertex[used], n[used], sketch[used]
+            part["vertex"], part["n"], part["own"], part["sketch"] = vertex[used], n[used], own[used], sketch[used]
             parts.append((values[used] >> shift).astype(np.int64))
             found.append(part)
         return np.concatenate(parts), np.concatenate(found)
@@ -270,19 +274,19 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int, shar
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["part", *arrays])
 
     def collide(table: pa.Table) -> pa.Table:
-        value, document, vertex, n, sketch = (np.frombuffer(b"".join(table.column(name).to_pylist()), ENTRIES[name]) for name in arrays)
+        value, document, vertex, n, own, sketch = (np.frombuffer(b"".join(table.column(name).to_pylist()), ENTRIES[name]) for name in arrays)
         order = np.argsort(value, kind="stable")
         again = value[order][1:] == value[order][:-1]
         order = order[np.concatenate([again, [False]]) | np.concatenate([[False], again])]  # without buckets of one entry
         if not len(order):
             return _collided([], [], [])
         order = order[np.lexsort((document[order], sketch[order], vertex[order], n[order], value[order]))]
-        value, document, vertex, n, sketch = (x[order] for x in (value, document, vertex, n, sketch))
+        value, document, vertex, n, own, sketch = (x[order] for x in (value, document, vertex, n, own, sketch))
         names, apart = document & _NAME, document & ~_NAME
         new = np.ones(len(value), bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in (value, n, vertex, sketch)], axis=0)
         at = np.flatnonzero(new)  # the first entry of each vertex in its bucket, that of the least document
-        label = similar_parts(value[at], n[at].astype(np.int64), sketch[at], share)
+        label = similar_parts(value[at], n[at].astype(np.int64), own[at].astype(np.int64), sketch[at], share)
         entries = np.diff(np.append(at, len(value)))
         by = np.argsort(label, kind="stable")
         v, low, high, repeated = (x[by] for x in (vertex[at], names[at], np.maximum.reduceat(names, at), np.maximum.reduceat(apart, at) > 0))
@@ -306,16 +310,16 @@ def _edges(docs: DataFrame, shipped, fragments: int, bands: int, rows: int, shar
     return written(dealt.groupBy("part").applyInArrow(collide, "x long, y long, kind int, slice int, places binary"), "passage-candidates")
 
 
-def similar_parts(bucket: np.ndarray, size: np.ndarray, sketch: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """For the vertices of some buckets, one after another, the place of one of their part.
+def similar_parts(bucket: np.ndarray, size: np.ndarray, own: np.ndarray, sketch: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """For the vertices of some buckets, one after another and by size, the place of one of their part.
 
-    Vertices that may be similar are in one part. A bit of the sketch of one that another lacks is
-    an n-gram that the other lacks, so sketches bound what two have in common.
+    Vertices that may be similar are in one part. Two have at most the n-grams in common that they are compared
+    by, their ``own``, and a bit of the sketch of one that another lacks is an n-gram that the other lacks.
     """
     top, bottom = share
 
     def possible(a, b) -> np.ndarray:
-        shared = np.minimum(size[a] - np.bitwise_count(sketch[a] & ~sketch[b]), size[b] - np.bitwise_count(sketch[b] & ~sketch[a]))
+        shared = np.minimum(own[a] - np.bitwise_count(sketch[a] & ~sketch[b]), own[b] - np.bitwise_count(sketch[b] & ~sketch[a]))
         return (top + bottom) * shared >= top * (size[a] + size[b])
 
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -333,14 +337,17 @@ def similar_parts(bucket: np.ndarray, size: np.ndarray, sketch: np.ndarray, shar
         label = label[label]
     for begin, count in zip(starts[~few].tolist(), counts[~few].tolist()):
         rest = np.arange(begin, begin + count)
+        rest = rest[bottom * own[rest] >= top * size[rest]]  # others are similar to none
         while len(rest):
             root, rest = rest[0], rest[1:]
             reached = [root]
             while reached and len(rest):
-                near = possible(reached.pop(), rest)
+                i = reached.pop()
+                low, high = np.searchsorted(size[rest], [-(-top * size[i] // bottom), bottom * size[i] // top + 1])
+                near = low + np.flatnonzero(possible(i, rest[low:high]))
                 label[rest[near]] = root
                 reached += rest[near].tolist()
-                rest = rest[~near]
+                rest = np.delete(rest, near)
     return label
 
 
@@ -595,13 +602,16 @@ def _extensions(judged: DataFrame, texts: DataFrame, filters, fragments: int, ta
         rows = []
         for x in np.split(by, cuts[1:]):
             own = x[free[x]]
-            rows.append((packed(((name[x] << lead) >> np.uint64(16)).astype(np.int64)), order[x].tobytes(), place[x].astype("<u4").tobytes(), free[x].tobytes(),
+            rows.append((packed(((name[x] << lead) >> np.uint64(16)).astype(np.int64)), *(pa.compress(y.tobytes(), "zstd", asbytes=True) for y in (order[x], place[x].astype("<u4"))), free[x].tobytes(),
                          np.stack([start[own], end[own]]).astype("<u4").tobytes(), component[own].tobytes()))
         return pa.table([pa.array(kinds, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows))], ["part", *arrays])
 
     def compare(table: pa.Table) -> pa.Table:
-        name = unpacked(b"".join(table.column("names").to_pylist()))
-        order, place, free, component = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("orders", "<i8"), ("places", "<u4"), ("open", bool), ("components", "<i8")))
+        names, flags = table.column("names").to_pylist(), table.column("open").to_pylist()
+        order, place = (np.frombuffer(b"".join(pa.decompress(x, len(y) * np.dtype(kind).itemsize, "zstd", asbytes=True) for x, y in zip(table.column(column).to_pylist(), flags)), kind)
+                        for column, kind in (("orders", "<i8"), ("places", "<u4")))
+        name, free = unpacked(b"".join(names)), np.frombuffer(b"".join(flags), bool)
+        component = np.frombuffer(b"".join(table.column("components").to_pylist()), "<i8")
         start, end = (np.concatenate(x) for x in zip(*(np.frombuffer(x, "<u4").reshape(2, -1) for x in table.column("spans").to_pylist())))
         by = np.argsort(name, kind="stable")
         again = name[by][1:] == name[by][:-1]
